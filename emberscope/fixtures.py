@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.functions.times import epoch_time
 from emberscope.model import Telemetry
 from emberscope.workspace import new_folder
 
@@ -144,7 +143,7 @@ def _view(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
 
 def _with_times(df: DataFrame) -> DataFrame:
     times = {
-        name: epoch_time(ms)
+        name: F.timestamp_millis(ms)
         for ms, name in (
             ("submission_ms", "submission_time"),
             ("completion_ms", "completion_time"),
@@ -408,7 +407,7 @@ def rest_snapshot(spark: SparkSession, sf_dir: str) -> str:
         )
         sqls = t.sql_executions.join(lists, "id").select(
             "id", "status", "description", F.col("plan_description").alias("planDescription"),
-            iso(epoch_time("submission_ms")).alias("submissionTime"), "duration",
+            iso(F.timestamp_millis("submission_ms")).alias("submissionTime"), "duration",
             "runningJobIds", "successJobIds", "failedJobIds",
         )
         executors = t.executors.select(

@@ -2,53 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from emberscope.model import GB, MB
 
 # Ascending lower bounds with the band that starts there.
 IO_BANDS = ((1, "muted"), (100 * MB, "ok"), (GB, "warning"), (10 * GB, "critical"))
 SHUFFLE_BANDS = ((100 * MB, "warning"), (500 * MB, "critical"))
 SPILL_BANDS = ((1, "warning"), (GB, "critical"))
-CPU_BANDS = ((0.3, "warning"), (0.5, "ok"), (0.95, "critical"))
-MEMORY_SHARE_BANDS = ((0.1, "ok"), (0.5, "warning"), (0.8, "critical"))
+CPU_BANDS = (("0.3D", "warning"), ("0.5D", "ok"), ("0.95D", "critical"))
+MEMORY_SHARE_BANDS = (("0.1D", "ok"), ("0.5D", "warning"), ("0.8D", "critical"))
 MEMORY_BYTES_BANDS = ((100 * MB, "ok"), (GB, "warning"), (10 * GB, "critical"))
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def _band(value: Column, steps, below: str) -> Column:
-    (first, name), *rest = list(reversed(steps))
-    band = F.when(value >= F.lit(first), name)
-    for bound, name in rest:
-        band = band.when(value >= F.lit(bound), name)
-    return band.otherwise(below)
+def _band(value: str, steps, below: str) -> str:
+    branches = " ".join(f"WHEN {value} >= {bound} THEN '{name}'" for bound, name in reversed(steps))
+    return f"CASE {branches} ELSE '{below}' END"
 
 
-def io_band(size) -> Column:
-    return _band(_col(size), IO_BANDS, "default")
+def io_band(size: str) -> str:
+    return _band(size, IO_BANDS, "default")
 
 
-def shuffle_band(size) -> Column:
-    return _band(_col(size), SHUFFLE_BANDS, "default")
+def shuffle_band(size: str) -> str:
+    return _band(size, SHUFFLE_BANDS, "default")
 
 
-def spill_band(size) -> Column:
-    return _band(_col(size), SPILL_BANDS, "default")
+def spill_band(size: str) -> str:
+    return _band(size, SPILL_BANDS, "default")
 
 
-def cpu_band(ratio) -> Column:
+def cpu_band(share: str) -> str:
     """Saturated and starved are both critical."""
-    return _band(_col(ratio), CPU_BANDS, "critical")
+    return _band(share, CPU_BANDS, "critical")
 
 
-def memory_band(peak, cluster_memory) -> Column:
+def memory_band(peak: str, cluster_memory: str) -> str:
     """Share of the cluster memory; absolute sizes where that is unknown."""
-    peak, total = _col(peak), F.coalesce(_col(cluster_memory), F.lit(0))
-    share = peak.cast("double") / F.nullif(total, F.lit(0)).cast("double")
-    return F.when(total > 0, _band(share, MEMORY_SHARE_BANDS, "default")).otherwise(
-        _band(peak, MEMORY_BYTES_BANDS, "default")
+    share = f"(cast({peak} as double) / nullif({cluster_memory}, 0))"
+    return (
+        f"if({cluster_memory} > 0, {_band(share, MEMORY_SHARE_BANDS, 'default')},"
+        f" {_band(peak, MEMORY_BYTES_BANDS, 'default')})"
     )

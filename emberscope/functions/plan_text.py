@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from emberscope.functions.texts import strip
+from emberscope.functions.texts import lit, strip
 
 # The plan operators that are counted.
 PLAN_OPERATORS = (
@@ -32,39 +29,32 @@ NUMBER = r"(?<![A-Za-z0-9_#])[0-9][0-9.]*+(?![A-Za-z_])"
 HINT_SEPARATOR = " → "
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
+def plan_lines(plan: str) -> str:
+    return f"split({plan}, '\\n', -1)"
 
-def plan_lines(plan) -> Column:
-    return F.split(_col(plan), "\n", -1)
 
-
-def _operator_name(line: Column, strict: bool) -> Column:
-    text = strip(line)
+def _operator_name(line: str, strict: bool) -> str:
     # strict: plus, minus and colon marks are each taken off once, in that order, so a
     # join child keeps part of its marker; otherwise the whole tree marker goes.
-    text = strip(F.regexp_replace(text, r"^\+*-*:*" if strict else r"^[\s+\-:|!*]*(\(\d+\))?", ""))
-    name = F.when(F.instr(text, "(") > 0, F.substring_index(text, "(", 1)).otherwise(
-        F.substring_index(text, "[", 1)
-    )
-    return F.when(text.startswith("=="), F.lit("")).otherwise(strip(name))
+    marker = r"^\+*-*:*" if strict else r"^[\s+\-:|!*]*(\(\d+\))?"
+    text = strip(f"regexp_replace({strip(line)}, r'{marker}', '')")
+    name = f"if(instr({text}, '(') > 0, substring_index({text}, '(', 1), substring_index({text}, '[', 1))"
+    return f"if(startswith({text}, '=='), '', {strip(name)})"
 
 
-def plan_operators(plan, strict: bool = True) -> Column:
+def plan_operators(plan: str, strict: bool = True) -> str:
     """Distinct operator names in order of appearance."""
-    names = F.transform(plan_lines(plan), lambda line: _operator_name(line, strict))
-    return F.array_distinct(F.filter(names, lambda name: name != ""))
+    names = f"transform({plan_lines(plan)}, line -> {_operator_name('line', strict)})"
+    return f"array_distinct(filter({names}, name -> name <> ''))"
 
 
-def top_operators(plan, n: int, strict: bool = True) -> Column:
-    return F.slice(plan_operators(plan, strict), 1, n)
+def top_operators(plan: str, n: int, strict: bool = True) -> str:
+    return f"slice({plan_operators(plan, strict)}, 1, {n})"
 
 
-def plan_hint(plan, n: int = 3, strict: bool = True) -> Column:
+def plan_hint(plan: str, n: int = 3, strict: bool = True) -> str:
     """The first ``n`` operators as one text, NULL when there is none."""
-    ops = top_operators(plan, n, strict)
-    return F.when(F.size(ops) > 0, F.array_join(ops, HINT_SEPARATOR))
+    return f"nullif(array_join({top_operators(plan, n, strict)}, {lit(HINT_SEPARATOR)}), '')"
 
 
 def operator_pattern() -> str:
@@ -76,20 +66,17 @@ def token_pattern() -> str:
     return "|".join([operator_pattern(), COLUMN_REF, QUOTED, NUMBER])
 
 
-def line_tokens(line) -> Column:
+def line_tokens(line: str) -> str:
     """Operators, column references, quoted texts and numbers of one plan line."""
-    line = _col(line)
-    content = F.regexp_replace(line, TREE_PREFIX, "")
-    tokens = F.regexp_extract_all(content, F.lit(token_pattern()), F.lit(0))
-    is_heading = strip(line).startswith("==") & strip(line).endswith("==")
-    return F.when(~is_heading, tokens)
+    content = f"regexp_replace({line}, r'{TREE_PREFIX}', '')"
+    heading = f"startswith({strip(line)}, '==') AND endswith({strip(line)}, '==')"
+    return f"if({heading}, NULL, regexp_extract_all({content}, {lit(token_pattern())}, 0))"
 
 
-def token_kind(token) -> Column:
-    token = _col(token)
+def token_kind(token: str) -> str:
+    operators = ", ".join(lit(name) for name in PLAN_OPERATORS)
     return (
-        F.when(token.isin(*PLAN_OPERATORS), "operator")
-        .when(token.rlike("^['\"]"), "quoted")
-        .when(token.rlike("^[0-9]"), "number")
-        .otherwise("column")
+        f"CASE WHEN {token} IN ({operators}) THEN 'operator'"
+        f" WHEN left({token}, 1) IN ({lit(chr(39))}, {lit(chr(34))}) THEN 'quoted'"
+        f" WHEN {token} RLIKE '^[0-9]' THEN 'number' ELSE 'column' END"
     )

@@ -1,10 +1,7 @@
-"""Number and name texts as column expressions (no UDF)."""
+"""Number and name texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The size and count suffixes and the prefix put before stage names
 # by remote sessions.
 BYTE_UNITS = ((1024, "KB"), (1024**2, "MB"), (1024**3, "GB"), (1024**4, "TB"))
@@ -14,116 +11,120 @@ REMOTE_STAGE_PREFIX = "Spark Connect - session_id: "
 REMOTE_STAGE_SEPARATOR = '" - '
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def lit(text: str) -> str:
+    """A string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def fixed(value: Column, digits: int) -> Column:
-    """Decimal text with ``digits`` places, exact ties to even, no grouping."""
-    pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", value, F.lit(pattern))
+def fill(template: str, *values: str) -> str:
+    """Put expressions into the ``{}`` places of a text."""
+    parts: list[str] = []
+    for i, piece in enumerate(template.split("{}")):
+        if piece:
+            parts.append(lit(piece))
+        if i < len(values):
+            parts.append(values[i])
+    return f"concat({', '.join(parts)})"
 
 
-def whole(value: Column) -> Column:
-    return fixed(value, 0)
+def fixed(value: str, digits: int) -> str:
+    """Decimal text with ``digits`` places, exact ties to even, no grouping."""
+    return f"format_number({value}, '{'0.' + '0' * digits if digits else '0'}')"
 
 
-def percent(ratio: Column) -> Column:
-    return F.concat(whole(ratio * F.lit(100.0)), F.lit("%"))
+def whole(value: str) -> str:
+    return fixed(f"cast({value} as double)", 0)
 
 
-def _div(value: Column, divisor: int) -> Column:
-    return F.call_function("div", value, F.lit(divisor).cast("bigint"))
+def percent(ratio: str) -> str:
+    return f"concat({fixed(f'({ratio}) * 100D', 0)}, '%')"
 
 
-def duration_text(ms) -> Column:
+def duration_text(ms: str) -> str:
     """``450ms``, ``1.5s``, ``1m 30s``, ``1h 1m``; negative gives N/A."""
-    ms = _col(ms).cast("bigint")
-    secs, mins, hours = _div(ms, 1000), _div(ms, 60_000), _div(ms, 3_600_000)
-    tenths = F.when(ms % 1000 > 0, F.concat(F.lit("."), _div(ms % 1000, 100).cast("string")))
+    ms = f"({ms})"
     return (
-        F.when(ms < 0, NOT_AVAILABLE)
-        .when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60_000, F.concat(secs.cast("string"), F.coalesce(tenths, F.lit("")), F.lit("s")))
-        .when(ms < 3_600_000, F.format_string("%dm %ds", mins, secs % 60))
-        .when(ms.isNotNull(), F.format_string("%dh %dm", hours, mins % 60))
+        f"CASE WHEN {ms} < 0 THEN '{NOT_AVAILABLE}'"
+        f" WHEN {ms} < 1000 THEN concat({ms}, 'ms')"
+        f" WHEN {ms} < 60000 THEN concat({ms} div 1000,"
+        f" if({ms} % 1000 > 0, concat('.', {ms} % 1000 div 100), ''), 's')"
+        f" WHEN {ms} < 3600000 THEN concat({ms} div 60000, 'm ', {ms} div 1000 % 60, 's')"
+        f" WHEN {ms} IS NOT NULL THEN concat({ms} div 3600000, 'h ', {ms} div 60000 % 60, 'm') END"
     )
 
 
-def bytes_text(size) -> Column:
+def _scaled(value: str, plain: str, units: tuple[tuple[int, str], ...], gap: str) -> str:
+    value = f"({value})"
+    branches = [
+        f"WHEN {value} < 0 THEN '{NOT_AVAILABLE}'",
+        f"WHEN {value} < {units[0][0]} THEN concat({value}, '{plain}')",
+    ]
+    for (scale, unit), (limit, _) in zip(units, [*units[1:], (None, "")]):
+        when = f"{value} < {limit}" if limit else f"{value} IS NOT NULL"
+        branches.append(f"WHEN {when} THEN concat({fixed(f'{value} / {scale}D', 1)}, '{gap}{unit}')")
+    return f"CASE {' '.join(branches)} END"
+
+
+def bytes_text(size: str) -> str:
     """``512 B``, ``1.5 KB`` up to TB; negative gives N/A."""
-    size = _col(size).cast("bigint")
-    text = F.when(size < 0, NOT_AVAILABLE).when(
-        size < 1024, F.concat(size.cast("string"), F.lit(" B"))
-    )
-    for (scale, unit), (limit, _) in zip(BYTE_UNITS, BYTE_UNITS[1:]):
-        text = text.when(size < limit, F.concat(fixed(size / scale, 1), F.lit(f" {unit}")))
-    scale, unit = BYTE_UNITS[-1]
-    return text.when(size.isNotNull(), F.concat(fixed(size / scale, 1), F.lit(f" {unit}")))
+    return _scaled(size, " B", BYTE_UNITS, " ")
 
 
-def bytes_or_dash(size) -> Column:
-    size = _col(size)
-    return F.when(size > 0, bytes_text(size)).otherwise("-")
+def bytes_or_dash(size: str) -> str:
+    return f"if({size} > 0, {bytes_text(size)}, '-')"
 
 
-def count_text(records) -> Column:
+def count_text(records: str) -> str:
     """``999``, ``1.5K``, ``1.5M``, ``2.5B``; negative gives N/A."""
-    records = _col(records).cast("bigint")
-    text = F.when(records < 0, NOT_AVAILABLE).when(records < 1000, records.cast("string"))
-    for (scale, unit), (limit, _) in zip(COUNT_UNITS, COUNT_UNITS[1:]):
-        text = text.when(records < limit, F.concat(fixed(records / scale, 1), F.lit(unit)))
-    scale, unit = COUNT_UNITS[-1]
-    return text.when(records.isNotNull(), F.concat(fixed(records / scale, 1), F.lit(unit)))
+    return _scaled(records, "", COUNT_UNITS, "")
 
 
-def shorten(text, limit: int) -> Column:
+def shorten(text: str, limit: int) -> str:
     """Cut to ``limit``: the limit is tested in bytes, the cut is made in characters."""
-    text = _col(text)
-    cut = (
-        F.substring(text, 1, limit)
-        if limit <= 3
-        else F.concat(F.substring(text, 1, limit - 3), F.lit("..."))
-    )
-    return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
+    cut = f"left({text}, {limit})" if limit <= 3 else f"concat(left({text}, {limit - 3}), '...')"
+    return f"if(octet_length({text}) <= {limit}, {text}, {cut})"
 
 
-def one_line(text) -> Column:
+def strip(text: str) -> str:
+    """Trim all white space, not only blanks."""
+    return f"regexp_replace({text}, r'(?U)^\\s+|\\s+$', '')"
+
+
+def one_line(text: str) -> str:
     """Line breaks and tabs become one space each."""
-    return F.translate(_col(text), "\n\r\t", "   ")
+    return f"translate({text}, '\\n\\r\\t', '   ')"
 
 
-def printable(text) -> Column:
+def printable(text: str) -> str:
     """Tabs become four spaces, other control characters vanish."""
-    return F.regexp_replace(F.replace(_col(text), F.lit("\t"), F.lit("    ")), r"\p{Cc}", "")
+    return f"regexp_replace(replace({text}, '\\t', '    '), r'\\p{{Cc}}', '')"
 
 
-def stage_label(name) -> Column:
+def stage_label(name: str) -> str:
     """The code location behind a remote session prefix, else the name itself."""
-    name = _col(name)
-    rest = F.substr(name, F.lit(len(REMOTE_STAGE_PREFIX) + 1))
-    at = F.instr(rest, REMOTE_STAGE_SEPARATOR)
-    tail = F.substr(rest, at + len(REMOTE_STAGE_SEPARATOR))
-    has_tail = name.startswith(REMOTE_STAGE_PREFIX) & (at > 0) & (F.length(tail) > 0)
-    return F.when(has_tail, strip(tail)).otherwise(name)
+    rest = f"substr({name}, {len(REMOTE_STAGE_PREFIX) + 1})"
+    found = f"instr({rest}, {lit(REMOTE_STAGE_SEPARATOR)})"
+    tail = f"substr({rest}, {found} + {len(REMOTE_STAGE_SEPARATOR)})"
+    return (
+        f"if(startswith({name}, {lit(REMOTE_STAGE_PREFIX)}) AND {found} > 0 AND length({tail}) > 0,"
+        f" {strip(tail)}, {name})"
+    )
 
 
-def strip(text: Column) -> Column:
-    """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+def cpu_millis(cpu_ns: str) -> str:
+    return f"({cpu_ns} div 1000000)"
 
 
-def cpu_ratio(cpu_ns, run_ms) -> Column:
+def cpu_ratio(cpu_ns: str, run_ms: str) -> str:
     """Share of the run time spent on CPU: whole milliseconds over run time, NULL at 0."""
-    run_ms = _col(run_ms)
-    return _div(_col(cpu_ns), 1_000_000).cast("double") / F.nullif(run_ms, F.lit(0)).cast("double")
+    return f"({cpu_millis(cpu_ns)} / nullif({run_ms}, 0))"
 
 
-def cpu_millis(cpu_ns) -> Column:
-    return _div(_col(cpu_ns), 1_000_000)
+def whole_div(value: str, divisor: str) -> str:
+    """Integer division; NULL when the divisor is 0."""
+    return f"({value} div nullif({divisor}, 0))"
 
 
-def whole_div(value, divisor: Column | int) -> Column:
-    """Integer division; NULL when the divisor is 0."""
-    divisor = F.lit(divisor).cast("bigint") if isinstance(divisor, int) else divisor
-    return F.call_function("div", _col(value), F.nullif(divisor, F.lit(0)))
+def ratio(value: str, divisor: str) -> str:
+    """Division in doubles; NULL when the divisor is 0."""
+    return f"(cast({value} as double) / nullif({divisor}, 0))"

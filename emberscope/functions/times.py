@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The accepted text forms.  Anything else is NULL.
 _DATE = r"\d{4}-\d{2}-\d{2}"
 _TIME = r"\d{2}:\d{2}:\d{2}(\.\d+)?"
@@ -13,35 +10,25 @@ SPACED_WITH_OFFSET = rf"^{_DATE} {_TIME}[+-]\d{{2}}:?\d{{2}}$"
 NAIVE_UTC = rf"^{_DATE}T{_TIME}(GMT)?$"
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
-def parse_time(text) -> Column:
+def parse_time(text: str) -> str:
     """Text to timestamp.  Naive and ``GMT`` forms are UTC whatever the session zone."""
-    text = _col(text)
-    naive = F.concat(F.regexp_replace(text, "GMT$", ""), F.lit("Z"))
     return (
-        F.when(text.rlike(WITH_OFFSET) | text.rlike(SPACED_WITH_OFFSET), F.try_to_timestamp(text))
-        .when(text.rlike(NAIVE_UTC), F.try_to_timestamp(naive))
+        f"CASE WHEN {text} RLIKE r'{WITH_OFFSET}' OR {text} RLIKE r'{SPACED_WITH_OFFSET}'"
+        f" THEN try_to_timestamp({text})"
+        f" WHEN {text} RLIKE r'{NAIVE_UTC}'"
+        f" THEN try_to_timestamp(concat(regexp_replace({text}, 'GMT$', ''), 'Z')) END"
     )
 
 
-def epoch_time(ms) -> Column:
-    return F.timestamp_millis(_col(ms))
-
-
-def elapsed_ms(start, end) -> Column:
+def elapsed_ms(start: str, end: str) -> str:
     """Milliseconds from start to end, NULL if either is missing."""
-    return F.unix_millis(_col(end)) - F.unix_millis(_col(start))
+    return f"(unix_millis({end}) - unix_millis({start}))"
 
 
-def clock_text(ts) -> Column:
+def clock_text(ts: str) -> str:
     """UTC ``HH:mm:ss`` or ``-``, independent of the session time zone."""
-    seconds = F.pmod(F.unix_seconds(_col(ts)), F.lit(86_400))
-    parts = [
-        F.lpad(F.call_function("div", seconds, F.lit(3600)).cast("string"), 2, "0"),
-        F.lpad(F.call_function("div", seconds % 3600, F.lit(60)).cast("string"), 2, "0"),
-        F.lpad((seconds % 60).cast("string"), 2, "0"),
-    ]
-    return F.when(_col(ts).isNotNull(), F.concat_ws(":", *parts)).otherwise("-")
+    second = f"pmod(unix_seconds({ts}), 86400)"
+    return (
+        f"coalesce(format_string('%02d:%02d:%02d', {second} div 3600, {second} % 3600 div 60,"
+        f" {second} % 60), '-')"
+    )

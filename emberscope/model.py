@@ -74,8 +74,18 @@ TASK_METRICS = (
 SUMMED_METRICS = TASK_METRICS[:-1]
 
 
+_TYPES = {
+    "bigint": T.LongType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """Flat ``name type`` lists only; needs no running session."""
+    pairs = [field.split() for field in ddl.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 _METRIC_DDL = ", ".join(f"{name} bigint" for name in TASK_METRICS)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberscope.functions.plan_text import HINT_SEPARATOR, plan_hint, plan_operators
+from emberscope.functions.plan_text import plan_hint, plan_operators
 from emberscope.operators.stage_rules import bottleneck, io_summary
 
 
@@ -32,13 +32,13 @@ def sql_hints(sql_executions: DataFrame, by: Sequence[str] = (), strict: bool =
     the plan with tree markers taken off.
     """
     hint = plan_hint("plan_description", 3, strict)
-    search = hint if strict else F.array_join(plan_operators("plan_description", False), HINT_SEPARATOR)
-    return sql_executions.select(
+    search = "sql_plan_hint" if strict else f"array_join({plan_operators('plan_description', False)}, ' ')"
+    return sql_executions.selectExpr(
         *by,
-        F.col("id").alias("sql_id"),
-        F.col("description").alias("sql_description"),
-        hint.alias("sql_plan_hint"),
-        search.alias("plan_search"),
+        "id AS sql_id",
+        "description AS sql_description",
+        f"{hint} AS sql_plan_hint",
+        f"{search} AS plan_search",
     )
 
 
@@ -102,6 +102,5 @@ def stage_context(
     links = stage_links(job_stages, sql_jobs, sql_executions, by, strict)
     return (
         stages.join(links, [*by, "stage_id"], "left")
-        .withColumn("io_summary", io_summary())
-        .withColumn("bottleneck", bottleneck())
+        .withColumns({"io_summary": F.expr(io_summary()), "bottleneck": F.expr(bottleneck())})
     )

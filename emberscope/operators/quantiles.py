@@ -1,10 +1,11 @@
 """Exact order statistics per group that survive a group with a third of all rows.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer.  Here the
-rows are first counted per (group, value), which Spark combines before the shuffle and
+The built-in ``percentile`` keeps every distinct value of a group in one buffer, which is
+right for groups of a known modest size only.  Groups above that size take another way:
+their rows are counted per (group, value), which Spark combines before the shuffle and
 spreads by value.  Values fall into order-preserving buckets (at most about 55,000 per
 group), so one short window over bucket counts finds the buckets holding the wanted ranks,
-and only the values inside those buckets are ordered.
+and only the values inside those buckets are ordered.  Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -15,9 +16,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+LARGE_GROUP = 65_536  # rows of a group up to which one buffer may hold its values
+MOST_LISTED = 10_000  # large groups up to which their keys are listed and broadcast
+
 _BASE_BITS, _STEP_BITS, _VALUE_BITS = 12, 4, 63
 
 
+def split_by_size(
+    df: DataFrame, keys: Sequence[str], large: int = LARGE_GROUP, most_listed: int = MOST_LISTED
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """``(rows of small groups, rows of large groups)``; None where there are none.
+
+    Runs one counting job over the key columns.  At most ``most_listed`` keys of large
+    groups are listed and broadcast; beyond that all rows count as large.
+    """
+    keys = list(keys)
+    sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of"))
+    over = sizes.where(F.col("rows_of") > large).select(*keys)
+    listed = over.limit(most_listed + 1).collect()
+    if not listed:
+        return df, None
+    if len(listed) > most_listed:
+        return None, df
+    keyed = F.broadcast(df.sparkSession.createDataFrame(listed, over.schema))
+    return df.join(keyed, keys, "left_anti"), df.join(keyed, keys, "left_semi")
+
+
 def value_bucket(value: Column) -> Column:
     """Monotone bucket of a bigint: exact below 4096, then within 1/256 of the value."""
     size = F.abs(value)
@@ -30,14 +54,12 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -bucket).otherwise(bucket).cast("int")
 
 
-def value_counts(
-    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()
-) -> DataFrame:
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows per (keys, value), with the bucket of the value; NULL values are left out."""
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("times"), *extra)
+        .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("bucket", value_bucket(F.col("value")))
     )
 
@@ -113,10 +135,26 @@ def quantiles_of_counts(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    large: int = LARGE_GROUP,
 ) -> DataFrame:
     """``keys, n`` and the named quantiles of an integer column, NULLs left out."""
     for p in probs.values():
         if not (0.0 <= p <= 1.0 and math.isfinite(p)):
             raise ValueError(f"quantile outside 0..1: {p}")
-    return quantiles_of_counts(value_counts(df, keys, value), keys, probs)
+    known = df.select(*keys, value).where(F.col(value).isNotNull())
+    small, big = split_by_size(known, keys, large)
+    parts = []
+    if small is not None:
+        levels = F.array(*[F.lit(float(p)) for p in probs.values()])
+        parts.append(
+            small.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n"), F.percentile(value, levels).alias("_levels"))
+            .select(*keys, "n", *[F.col("_levels")[i].alias(name) for i, name in enumerate(probs)])
+        )
+    if big is not None:
+        parts.append(quantiles_of_counts(value_counts(big, keys, value), keys, probs))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

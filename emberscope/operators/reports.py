@@ -17,7 +17,9 @@ from emberscope.functions.texts import (
     cpu_millis,
     cpu_ratio,
     duration_text,
+    fill,
     fixed,
+    lit,
     one_line,
     percent,
     printable,
@@ -30,7 +32,6 @@ from emberscope.operators.keys import attach_totals, salted_lookup, top_rows
 from emberscope.operators.linking import job_sql
 from emberscope.operators.quantiles import exact_quantiles, value_counts
 from emberscope.operators.ranking import with_rank
-from emberscope.operators.stage_rules import _text
 from emberscope.operators.task_rules import distributions, executor_shares, slowest_tasks
 
 # Fixed values
@@ -39,6 +40,8 @@ HISTOGRAM_BUCKETS = 10
 HISTOGRAM_BAR = 40
 NO_DESCRIPTION, NO_PLAN = "(no description)", "(empty plan)"
 
+WALL_MS = elapsed_ms("submission_time", "completion_time")
+
 
 # ---------------------------------------------------------------------------
 # Cluster resources
@@ -90,8 +93,7 @@ def job_rows(
 ) -> DataFrame:
     """Jobs with duration and SQL link, unsorted."""
     return job_sql(jobs, sql_jobs, sql_executions, by).select(
-        *by, "job_id", "name", "status",
-        elapsed_ms("submission_time", "completion_time").alias("duration_ms"),
+        *by, "job_id", "name", "status", F.expr(WALL_MS).alias("duration_ms"),
         "num_tasks", "num_failed_tasks", "sql_id", "sql_description", "submission_time", "sql_plan",
     )
 
@@ -107,15 +109,11 @@ def rank_jobs(
     return with_rank(job_rows(jobs, sql_jobs, sql_executions, by), job_order(), by)
 
 
-def wall_ms() -> Column:
-    return elapsed_ms("submission_time", "completion_time")
-
-
 def critical_stages(
     stages: DataFrame, job_stages: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
     """Stage ids that are the longest of some job; the larger id wins a tie."""
-    timed = stages.select(*by, "stage_id", wall_ms().alias("ms")).where("ms is not null")
+    timed = stages.selectExpr(*by, "stage_id", f"{WALL_MS} AS ms").where("ms IS NOT NULL")
     per_job = (
         job_stages.join(timed, [*by, "stage_id"])
         .groupBy(*by, "job_id")
@@ -184,47 +182,41 @@ def health_summary(
 
 def health_lines(health: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The two summary lines and the overall state."""
-    jobs = F.when(
-        (F.col("running_jobs") > 0) | (F.col("failed_jobs") > 0),
-        _text("Jobs: {} ({} running, {} failed)", F.col("total_jobs"), F.col("running_jobs"),
-              F.col("failed_jobs")),
-    ).otherwise(_text("Jobs: {}", F.col("total_jobs")))
-    io = _text("I/O: in {} out {} shuffle {}", bytes_text("total_input_bytes"),
-               bytes_text("total_output_bytes"), bytes_text("total_shuffle_bytes"))
-    found = F.when(
-        (F.col("critical_count") > 0) | (F.col("warning_count") > 0),
-        _text("Health: {} CRIT {} WARN", F.col("critical_count"), F.col("warning_count")),
-    ).otherwise("Health: OK")
-    issues = F.concat_ws(", ", "top_issue_1", "top_issue_2", "top_issue_3")
-    return health.select(
+    some_jobs = fill(
+        "Jobs: {} ({} running, {} failed)", "total_jobs", "running_jobs", "failed_jobs"
+    )
+    jobs = f"if(running_jobs > 0 OR failed_jobs > 0, {some_jobs}, {fill('Jobs: {}', 'total_jobs')})"
+    io = fill(
+        "I/O: in {} out {} shuffle {}", bytes_text("total_input_bytes"),
+        bytes_text("total_output_bytes"), bytes_text("total_shuffle_bytes"),
+    )
+    counts = fill("Health: {} CRIT {} WARN", "critical_count", "warning_count")
+    found = f"if(critical_count > 0 OR warning_count > 0, {counts}, 'Health: OK')"
+    issues = "concat_ws(', ', top_issue_1, top_issue_2, top_issue_3)"
+    return health.selectExpr(
         *by,
-        F.concat_ws(" | ", jobs, io, found).alias("summary"),
-        F.when(issues != "", F.concat(F.lit("Top: "), issues))
-        .otherwise("No critical issues detected")
-        .alias("issues"),
-        F.when(F.col("critical_count") > 0, "critical")
-        .when(F.col("warning_count") > 0, "warning")
-        .otherwise("ok")
-        .alias("state"),
+        f"concat_ws(' | ', {jobs}, {io}, {found}) AS summary",
+        f"if({issues} <> '', concat('Top: ', {issues}), 'No critical issues detected') AS issues",
+        "CASE WHEN critical_count > 0 THEN 'critical' WHEN warning_count > 0 THEN 'warning' ELSE 'ok' END"
+        " AS state",
     )
 
 
 # ---------------------------------------------------------------------------
 # Job and finding views
 # ---------------------------------------------------------------------------
-def _reference(id_column: str) -> Column:
-    return F.coalesce(F.concat(F.lit("#"), F.col(id_column)), F.lit("-"))
+SQL_REFERENCE = "coalesce(concat('#', sql_id), '-')"
 
 
 def jobs_report(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``job_rows`` as texts."""
-    return jobs.select(
+    return jobs.selectExpr(
         *by, "job_id", "status",
-        clock_text("submission_time").alias("started"),
-        F.coalesce(duration_text("duration_ms"), F.lit("running")).alias("duration"),
+        f"{clock_text('submission_time')} AS started",
+        f"coalesce({duration_text('duration_ms')}, 'running') AS duration",
         "num_tasks", "num_failed_tasks",
-        _reference("sql_id").alias("sql"),
-        shorten("name", 50).alias("name"),
+        f"{SQL_REFERENCE} AS sql",
+        f"{shorten('name', 50)} AS name",
     )
 
 
@@ -236,31 +228,35 @@ def job_detail(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per stage of each job, with the job's SQL and the critical mark."""
-    lines = plan_lines("sql_plan")
-    second = F.when(F.size(lines) > 1, F.regexp_replace(lines[1], r"(?U)^\s+", ""))
-    heads = jobs.select(
-        *by, "job_id", "sql_id",
-        F.when(
-            F.col("sql_id").isNotNull(),
-            shorten(one_line(F.coalesce("sql_description", F.lit(NO_DESCRIPTION))), 70),
-        ).alias("sql_text"),
-        shorten(F.when(F.col("sql_plan") == "", NO_PLAN).otherwise(lines[0]), 80).alias("plan_line_1"),
-        shorten(F.when(second != "", second), 74).alias("plan_line_2"),
+    description = one_line(f"coalesce(sql_description, {lit(NO_DESCRIPTION)})")
+    heads = (
+        jobs.withColumn("lines", F.expr(plan_lines("sql_plan")))
+        .withColumns(
+            {
+                "line_1": F.expr(f"if(sql_plan = '', {lit(NO_PLAN)}, lines[0])"),
+                "line_2": F.expr(r"nullif(regexp_replace(get(lines, 1), r'(?U)^\s+', ''), '')"),
+                "sql_line": F.expr(f"if(sql_id IS NULL, NULL, {description})"),
+            }
+        )
+        .selectExpr(
+            *by, "job_id", "sql_id",
+            f"{shorten('sql_line', 70)} AS sql_text",
+            f"{shorten('line_1', 80)} AS plan_line_1",
+            f"{shorten('line_2', 74)} AS plan_line_2",
+        )
     )
     rows = job_stages.join(stages, [*by, "stage_id"]).join(heads, [*by, "job_id"])
-    label = stage_label("name")
-    return _flag(rows, critical, by).select(
+    flagged = _flag(rows, critical, by).withColumn("label", F.expr(stage_label("name")))
+    return flagged.selectExpr(
         *by, "job_id", "stage_id", "attempt_id", "status",
-        F.when(F.col("critical"), F.concat(shorten(label, 27), F.lit(" CP")))
-        .otherwise(shorten(label, 30))
-        .alias("name"),
-        F.coalesce(duration_text(wall_ms()), F.lit("active")).alias("duration"),
+        f"if(critical, concat({shorten('label', 27)}, ' CP'), {shorten('label', 30)}) AS name",
+        f"coalesce({duration_text(WALL_MS)}, 'active') AS duration",
         "num_tasks",
-        bytes_or_dash("input_bytes").alias("input"),
-        bytes_or_dash("output_bytes").alias("output"),
-        bytes_or_dash("shuffle_read_bytes").alias("shuffle_read"),
-        bytes_or_dash("shuffle_write_bytes").alias("shuffle_write"),
-        bytes_or_dash("disk_bytes_spilled").alias("spill"),
+        f"{bytes_or_dash('input_bytes')} AS input",
+        f"{bytes_or_dash('output_bytes')} AS output",
+        f"{bytes_or_dash('shuffle_read_bytes')} AS shuffle_read",
+        f"{bytes_or_dash('shuffle_write_bytes')} AS shuffle_write",
+        f"{bytes_or_dash('disk_bytes_spilled')} AS spill",
         "critical", "sql_id", "sql_text", "plan_line_1", "plan_line_2",
     )
 
@@ -269,33 +265,28 @@ def suspect_detail(
     suspects: DataFrame, jobs: DataFrame, critical: DataFrame, by: Sequence[str] = ()
 ) -> DataFrame:
     """Findings as texts, joined to the job they lead to."""
-    heads = jobs.select(*by, "job_id", F.col("name").alias("job_name"), F.col("status").alias("job_status"))
-    label = F.when(
-        F.col("stage_name").isNotNull(),
-        _text("Stage {}: {}", F.col("stage_id"), stage_label("stage_name")),
-    ).otherwise(_text("Stage {}", F.col("stage_id")))
-    sql = F.when(
-        F.col("sql_id").isNotNull(),
-        _text("#{} — {}", F.col("sql_id"),
-              shorten(F.coalesce("sql_description", F.lit(NO_DESCRIPTION)), 70)),
-    )
-    savings = F.when(
-        F.col("estimated_savings_ms") > 0,
-        _text("~{} potential savings", duration_text("estimated_savings_ms")),
-    )
-    return _flag(suspects.join(heads, [*by, "job_id"], "left"), critical, by).select(
-        *by, "severity", "category", F.coalesce("bottleneck", F.lit("-")).alias("pattern"),
-        "stage_id", "job_id", "job_name", "job_status", _reference("sql_id").alias("sql"),
-        shorten("title", 50).alias("title"), label.alias("stage"), sql.alias("sql_text"),
-        shorten("sql_plan_hint", 80).alias("operators"), shorten("detail", 80).alias("detail"),
-        "io_summary", savings.alias("savings"), "recommendation", "critical",
+    heads = jobs.selectExpr(*by, "job_id", "name AS job_name", "status AS job_status")
+    label = fill("Stage {}: {}", "stage_id", stage_label("stage_name"))
+    sql = fill("#{} — {}", "sql_id", shorten(f"coalesce(sql_description, {lit(NO_DESCRIPTION)})", 70))
+    savings = fill("~{} potential savings", duration_text("estimated_savings_ms"))
+    return _flag(suspects.join(heads, [*by, "job_id"], "left"), critical, by).selectExpr(
+        *by, "severity", "category", "coalesce(bottleneck, '-') AS pattern",
+        "stage_id", "job_id", "job_name", "job_status", f"{SQL_REFERENCE} AS sql",
+        f"{shorten('title', 50)} AS title",
+        f"coalesce({label}, {fill('Stage {}', 'stage_id')}) AS stage",
+        f"{sql} AS sql_text",
+        f"{shorten('sql_plan_hint', 80)} AS operators",
+        f"{shorten('detail', 80)} AS detail",
+        "io_summary",
+        f"if(estimated_savings_ms > 0, {savings}, NULL) AS savings",
+        "recommendation", "critical",
     )
 
 
 def sql_recommendations(suspects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Findings per SQL execution with their advice."""
-    return suspects.where("sql_id is not null").select(
-        *by, "sql_id", "severity", _text("[Stage {}]", F.col("stage_id")).alias("stage"),
+    return suspects.where("sql_id IS NOT NULL").selectExpr(
+        *by, "sql_id", "severity", f"{fill('[Stage {}]', 'stage_id')} AS stage",
         "category", "stage_id", "title", "detail", "recommendation",
     )
 
@@ -303,6 +294,13 @@ def sql_recommendations(suspects: DataFrame, by: Sequence[str] = ()) -> DataFram
 # ---------------------------------------------------------------------------
 # Stage views
 # ---------------------------------------------------------------------------
+def _with_cluster(rows: DataFrame, cluster: DataFrame | None, by: Sequence[str]) -> DataFrame:
+    if cluster is None:
+        return rows.withColumn("cluster_memory", F.lit(0).cast("bigint"))
+    total = cluster.selectExpr(*by, "total_executor_memory AS cluster_memory")
+    return attach_totals(rows, total, by).na.fill(0, ["cluster_memory"])
+
+
 def stage_headers(
     stages: DataFrame, tasks: DataFrame, hints: DataFrame | None = None,
     cluster: DataFrame | None = None, by: Sequence[str] = (),
@@ -314,53 +312,42 @@ def stage_headers(
         rows = rows.withColumn("sql_plan_hint", F.lit(None).cast("string"))
     else:
         rows = rows.join(hints.select(*by, "stage_id", "sql_plan_hint"), [*by, "stage_id"], "left")
-    if cluster is None:
-        rows = rows.withColumn("total_executor_memory", F.lit(0).cast("bigint"))
-    else:
-        rows = attach_totals(rows, cluster.select(*by, "total_executor_memory"), by)
-    own, task = F.col("peak_execution_memory") > 0, F.col("task_peak") > 0
-    peak = F.when(own, F.col("peak_execution_memory")).when(task, F.col("task_peak"))
+    peak = (
+        "CASE WHEN peak_execution_memory > 0 THEN peak_execution_memory"
+        " WHEN task_peak > 0 THEN task_peak END"
+    )
+    rows = _with_cluster(rows, cluster, by).withColumn("peak_memory", F.expr(peak))
     parts = [
-        F.when(
-            F.col(f"{side}_bytes") > 0,
-            _text(label + ": {} ({})", bytes_text(f"{side}_bytes"), count_text(f"{side}_records")),
-        )
+        f"if({side}_bytes > 0,"
+        f" {fill(label + ': {} ({})', bytes_text(f'{side}_bytes'), count_text(f'{side}_records'))}, NULL)"
         for label, side in (
             ("in", "input"), ("out", "output"), ("shuf_r", "shuffle_read"), ("shuf_w", "shuffle_write"),
         )
     ]
-    parts.append(
-        F.when(
-            F.col("disk_bytes_spilled") > 0,
-            _text("spill: {} (RAM: {})", bytes_text("disk_bytes_spilled"),
-                  bytes_text("memory_bytes_spilled")),
-        )
+    spill = fill("spill: {} (RAM: {})", bytes_text("disk_bytes_spilled"), bytes_text("memory_bytes_spilled"))
+    parts.append(f"if(disk_bytes_spilled > 0, {spill}, NULL)")
+    cpu = percent(cpu_ratio("executor_cpu_time", "executor_run_time"))
+    cpu_detail = fill(
+        "cpu: {} / runtime: {}", duration_text(cpu_millis("executor_cpu_time")),
+        duration_text("executor_run_time"),
+    )
+    lost = fill(
+        "{} failed, {} killed out of {} tasks", "num_failed_tasks", "num_killed_tasks", "num_tasks"
     )
-    ratio = cpu_ratio("executor_cpu_time", "executor_run_time")
-    has_run = F.col("executor_run_time") > 0
-    lost = (F.col("num_failed_tasks") > 0) | (F.col("num_killed_tasks") > 0)
-    io = F.concat_ws("  ", *parts)
-    return rows.select(
+    return rows.selectExpr(
         *by, "stage_id", "attempt_id", "status", "num_tasks",
-        stage_label("name").alias("name"),
-        F.coalesce(duration_text(wall_ms()), F.lit("active")).alias("duration"),
+        f"{stage_label('name')} AS name",
+        f"coalesce({duration_text(WALL_MS)}, 'active') AS duration",
         "sql_plan_hint",
-        F.nullif(io, F.lit("")).alias("io"),
-        F.when(has_run, percent(ratio)).alias("cpu"),
-        F.when(
-            has_run,
-            _text("cpu: {} / runtime: {}", duration_text(cpu_millis("executor_cpu_time")),
-                  duration_text("executor_run_time")),
-        ).alias("cpu_detail"),
-        peak.alias("peak_memory"),
-        bytes_text(peak).alias("peak_memory_text"),
-        F.when(own, "stage").when(task, "task max").alias("peak_source"),
-        F.when(peak.isNotNull(), bands.memory_band(peak, "total_executor_memory")).alias("memory_band"),
-        F.when(
-            lost,
-            _text("{} failed, {} killed out of {} tasks", F.col("num_failed_tasks"),
-                  F.col("num_killed_tasks"), F.col("num_tasks")),
-        ).alias("failures"),
+        f"nullif(concat_ws('  ', {', '.join(parts)}), '') AS io",
+        f"if(executor_run_time > 0, {cpu}, NULL) AS cpu",
+        f"if(executor_run_time > 0, {cpu_detail}, NULL) AS cpu_detail",
+        "peak_memory",
+        f"{bytes_text('peak_memory')} AS peak_memory_text",
+        "CASE WHEN peak_execution_memory > 0 THEN 'stage' WHEN task_peak > 0 THEN 'task max' END"
+        " AS peak_source",
+        f"if(peak_memory IS NULL, NULL, {bands.memory_band('peak_memory', 'cluster_memory')}) AS memory_band",
+        f"if(num_failed_tasks > 0 OR num_killed_tasks > 0, {lost}, NULL) AS failures",
     )
 
 
@@ -370,8 +357,8 @@ def duration_profile(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def profile_texts(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return profile.select(
-        *by, "stage_id", *[duration_text(F.col(n).cast("bigint")).alias(n) for n in DURATION_PROBS]
+    return profile.selectExpr(
+        *by, "stage_id", *[f"{duration_text(f'cast({n} as bigint)')} AS {n}" for n in DURATION_PROBS]
     )
 
 
@@ -417,19 +404,17 @@ def duration_histogram(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def executor_breakdown(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Tasks, average duration, bytes and share of the stage's bytes per executor."""
-    return executor_shares(tasks, by).select(
+    return executor_shares(tasks, by).selectExpr(
         *by, "stage_id", "executor_id", "tasks",
-        whole_div("duration_sum", F.col("tasks")).alias("avg_duration"),
-        "bytes",
-        (F.col("share") * 100.0).alias("pct"),
+        f"{whole_div('duration_sum', 'tasks')} AS avg_duration", "bytes", "share * 100D AS pct",
     )
 
 
 def breakdown_texts(breakdown: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return breakdown.select(
-        *by, "stage_id", shorten("executor_id", 12).alias("executor"), "tasks",
-        duration_text("avg_duration").alias("avg_duration"), bytes_text("bytes").alias("bytes"),
-        F.concat(fixed(F.col("pct"), 1), F.lit("%")).alias("pct"),
+    return breakdown.selectExpr(
+        *by, "stage_id", f"{shorten('executor_id', 12)} AS executor", "tasks",
+        f"{duration_text('avg_duration')} AS avg_duration", f"{bytes_text('bytes')} AS bytes",
+        f"concat({fixed('pct', 1)}, '%') AS pct",
     )
 
 
@@ -440,9 +425,8 @@ def peak_memory(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("peak_execution_memory").alias("total_memory"),
         F.count(F.lit(1)).alias("tasks"),
     )
-    return per_stage.where("max_memory > 0").select(
-        *by, "stage_id", "max_memory",
-        whole_div("total_memory", F.col("tasks")).alias("avg_memory"), "total_memory",
+    return per_stage.where("max_memory > 0").selectExpr(
+        *by, "stage_id", "max_memory", f"{whole_div('total_memory', 'tasks')} AS avg_memory", "total_memory"
     )
 
 
@@ -458,20 +442,16 @@ def health_bands(
     stages: DataFrame, cluster: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Band of each measure of a stage."""
-    if cluster is None:
-        rows = stages.withColumn("total_executor_memory", F.lit(0).cast("bigint"))
-    else:
-        rows = attach_totals(stages, cluster.select(*by, "total_executor_memory"), by)
-    ratio = cpu_ratio("executor_cpu_time", "executor_run_time")
-    return rows.select(
+    busy = cpu_ratio("executor_cpu_time", "executor_run_time")
+    return _with_cluster(stages, cluster, by).selectExpr(
         *by, "stage_id", "attempt_id",
-        bands.io_band("input_bytes").alias("input_band"),
-        bands.io_band("output_bytes").alias("output_band"),
-        bands.shuffle_band("shuffle_read_bytes").alias("shuffle_read_band"),
-        bands.shuffle_band("shuffle_write_bytes").alias("shuffle_write_band"),
-        bands.spill_band("disk_bytes_spilled").alias("spill_band"),
-        F.when(ratio.isNotNull(), bands.cpu_band(ratio)).alias("cpu_band"),
-        bands.memory_band("peak_execution_memory", "total_executor_memory").alias("memory_band"),
+        f"{bands.io_band('input_bytes')} AS input_band",
+        f"{bands.io_band('output_bytes')} AS output_band",
+        f"{bands.shuffle_band('shuffle_read_bytes')} AS shuffle_read_band",
+        f"{bands.shuffle_band('shuffle_write_bytes')} AS shuffle_write_band",
+        f"{bands.spill_band('disk_bytes_spilled')} AS spill_band",
+        f"if({busy} IS NULL, NULL, {bands.cpu_band(busy)}) AS cpu_band",
+        f"{bands.memory_band('peak_execution_memory', 'cluster_memory')} AS memory_band",
     )
 
 
@@ -487,12 +467,12 @@ def merge_task_snapshots(old: DataFrame, new: DataFrame, by: Sequence[str] = ())
 
 def plan_tokens(sql_executions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """How often each operator, column, quoted text and number appears in each plan."""
-    lines = sql_executions.select(
-        *by, F.col("id").alias("sql_id"), F.explode(plan_lines("plan_description")).alias("line")
+    lines = sql_executions.selectExpr(
+        *by, "id AS sql_id", f"explode({plan_lines('plan_description')}) AS line"
     )
-    tokens = lines.select(*by, "sql_id", F.explode(line_tokens("line")).alias("token"))
+    tokens = lines.selectExpr(*by, "sql_id", f"explode({line_tokens('line')}) AS token")
     return (
-        tokens.withColumns({"kind": token_kind("token"), "token": printable("token")})
+        tokens.selectExpr(*by, "sql_id", f"{token_kind('token')} AS kind", f"{printable('token')} AS token")
         .groupBy(*by, "sql_id", "kind", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )

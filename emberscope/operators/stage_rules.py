@@ -1,7 +1,8 @@
 """Stage rules: each is a condition and the finding it reports, over one wide stage row.
 
-``stage_findings`` evaluates any number of rules in one pass over the rows and emits the
-findings that fired, instead of one scan per rule.
+Rules are SQL text over the columns of ``linking.stage_context``.  ``stage_findings``
+evaluates any number of rules in one pass over the rows and emits the findings that fired,
+instead of one scan per rule.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberscope import model as M
@@ -18,8 +19,11 @@ from emberscope.functions.texts import (
     cpu_millis,
     cpu_ratio,
     duration_text,
+    fill,
     fixed,
+    lit,
     percent,
+    ratio,
     shorten,
     stage_label,
     whole,
@@ -30,12 +34,12 @@ from emberscope.operators.keys import attach_totals
 # ---------------------------------------------------------------------------
 # Thresholds and the shares of the run time counted as savings.
 # ---------------------------------------------------------------------------
-SLOW_WARN_SD, SLOW_CRIT_SD = 2.0, 4.0
+SLOW_WARN_SD, SLOW_CRIT_SD = "2.0D", "4.0D"
 SPILL_CRIT = M.GB
-IO_MIN_RUN_MS, IO_MAX_RATIO = 10_000, 0.3
-CPU_MIN_RUN_MS, CPU_MIN_RATIO = 30_000, 0.9
-EXPLODE_MIN_RECORDS, EXPLODE_FACTOR, EXPLODE_CRIT = 1000, 10, 100.0
-FAIL_CRIT_RATE, FAIL_CRIT_TASKS = 0.1, 10
+IO_MIN_RUN_MS, IO_MAX_RATIO = 10_000, "0.3D"
+CPU_MIN_RUN_MS, CPU_MIN_RATIO = 30_000, "0.9D"
+EXPLODE_MIN_RECORDS, EXPLODE_FACTOR, EXPLODE_CRIT = 1000, 10, "100D"
+FAIL_CRIT_RATE, FAIL_CRIT_TASKS = "0.1D", 10
 MEM_SPILL_MIN = 50 * M.MB
 MANY_TASKS, SMALL_TASK_BYTES = 10_000, M.MB
 FEW_TASKS, LARGE_TASK_BYTES = 8, M.GB
@@ -45,15 +49,15 @@ JOIN_MARKS = ("SortMerge", "ShuffledHash", "Join")
 PYTHON_MARKS = ("ArrowEvalPython", "BatchEvalPython", "PythonUDF", "PythonRunner")
 REPEAT_MIN_TOTAL_MS = 30_000
 SAVINGS = {
-    M.DISK_SPILL: 0.3,
-    M.IO_BOUND: 0.2,
-    M.CPU_BOUND: 0.2,
-    M.RECORD_EXPLODE: 0.5,
-    M.MEM_PRESSURE: 0.1,
-    M.TOO_MANY_PARTS: 0.4,
-    M.TOO_FEW_PARTS: 0.5,
-    M.BCAST_JOIN: 0.6,
-    M.PYTHON_UDF: 0.5,
+    M.DISK_SPILL: "0.3D",
+    M.IO_BOUND: "0.2D",
+    M.CPU_BOUND: "0.2D",
+    M.RECORD_EXPLODE: "0.5D",
+    M.MEM_PRESSURE: "0.1D",
+    M.TOO_MANY_PARTS: "0.4D",
+    M.TOO_FEW_PARTS: "0.5D",
+    M.BCAST_JOIN: "0.6D",
+    M.PYTHON_UDF: "0.5D",
 }
 
 # What to do about a bottleneck.
@@ -104,90 +108,70 @@ CACHE_ADVICE = (
 
 @dataclass(frozen=True)
 class Finding:
-    """One rule bound to columns: when it fires and what it reports."""
+    """One rule: when it fires and what it reports, all as SQL text."""
 
-    fires: Column
     category: str
-    title: Column
-    detail: Column
-    recommendation: Column
-    savings: Column
-    critical: Column | None = None
-    bottleneck: Column | None = None
-
-    def severity(self) -> Column:
-        if self.critical is None:
-            return F.lit(M.WARN)
-        return F.when(self.critical, M.CRIT).otherwise(M.WARN)
+    fires: str
+    title: str
+    detail: str
+    recommendation: str
+    savings: str
+    critical: str = "false"
+    bottleneck: str = "cast(null as string)"
 
 
 StageRule = Callable[[], Finding]
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
-
-
-def _text(template: str, *values: Column) -> Column:
-    """Fill ``{}`` places with columns."""
-    parts: list[Column] = []
-    pieces = template.split("{}")
-    for piece, value in zip(pieces, [*values, None]):
-        if piece:
-            parts.append(F.lit(piece))
-        if value is not None:
-            parts.append(value.cast("string"))
-    return F.concat(*parts)
-
-
-def _saving(share: float | Column) -> Column:
+def _saving(share: str) -> str:
     """Share of the run time in double arithmetic, cut to whole milliseconds."""
-    factor = F.lit(float(share)) if isinstance(share, float) else share
-    return (_c("executor_run_time").cast("double") * factor).cast("bigint")
+    return f"cast(executor_run_time * {share} as bigint)"
 
 
-def _complete() -> Column:
-    return _c("status") == M.STAGE_COMPLETE
+COMPLETE = f"status = '{M.STAGE_COMPLETE}'"
+RUN_TEXT = duration_text("executor_run_time")
+CPU_TEXT = duration_text(cpu_millis("executor_cpu_time"))
+CPU_RATIO = cpu_ratio("executor_cpu_time", "executor_run_time")
+TOTAL_READ = "(input_bytes + shuffle_read_bytes)"
+READ_PER_TASK = whole_div(TOTAL_READ, "num_tasks")
 
 
 # ---------------------------------------------------------------------------
 # Derived columns of the wide stage row
 # ---------------------------------------------------------------------------
-def bottleneck() -> Column:
+def bottleneck() -> str:
     """The first matching pattern, or NULL."""
-    inp, out = _c("input_bytes"), _c("output_bytes")
-    read, write = _c("shuffle_read_bytes"), _c("shuffle_write_bytes")
     return (
-        F.when((inp > 100 * M.MB) & (out > inp * 5), M.DATA_EXPLOSION)
-        .when((inp > M.GB) & (inp > (out + write) * 10), M.LARGE_SCAN)
-        .when((write > 500 * M.MB) | ((read > inp) & (inp > 0)), M.WIDE_SHUFFLE)
+        f"CASE WHEN input_bytes > {100 * M.MB} AND output_bytes > 5 * input_bytes THEN '{M.DATA_EXPLOSION}'"
+        f" WHEN input_bytes > {M.GB} AND input_bytes > 10 * (output_bytes + shuffle_write_bytes)"
+        f" THEN '{M.LARGE_SCAN}'"
+        f" WHEN shuffle_write_bytes > {500 * M.MB} OR (shuffle_read_bytes > input_bytes AND input_bytes > 0)"
+        f" THEN '{M.WIDE_SHUFFLE}' END"
     )
 
 
-def remedy(pattern: Column) -> Column:
-    text = None
-    for name, advice in REMEDY.items():
-        text = F.when(pattern == name, advice) if text is None else text.when(pattern == name, advice)
-    return text
+def remedy(pattern: str) -> str:
+    branches = " ".join(f"WHEN {lit(name)} THEN {lit(advice)}" for name, advice in REMEDY.items())
+    return f"CASE {pattern} {branches} END"
 
 
-def io_summary() -> Column:
+def io_summary() -> str:
     """Byte counters above zero in one line, with the in:out ratio above 2."""
     parts = [
-        F.when(_c(name) > 0, F.concat(F.lit(label), bytes_text(name)))
+        f"if({name} > 0, {fill(label + ': {}', bytes_text(name))}, NULL)"
         for label, name in (
-            ("in: ", "input_bytes"),
-            ("out: ", "output_bytes"),
-            ("shuf_r: ", "shuffle_read_bytes"),
-            ("shuf_w: ", "shuffle_write_bytes"),
+            ("in", "input_bytes"),
+            ("out", "output_bytes"),
+            ("shuf_r", "shuffle_read_bytes"),
+            ("shuf_w", "shuffle_write_bytes"),
         )
     ]
-    positive = F.nullif(_c("output_bytes"), F.lit(0))
-    ratio = _c("input_bytes").cast("double") / positive.cast("double")
-    has_both = (_c("input_bytes") > 0) & (_c("output_bytes") > 0) & (ratio > 2.0)
-    parts.append(F.when(has_both, _text("ratio: {}:1 in:out", whole(ratio))))
-    line = F.concat_ws(", ", *parts)
-    return F.when(line == "", F.lit("no I/O")).otherwise(line)
+    in_out = ratio("input_bytes", "output_bytes")
+    parts.append(
+        f"if(input_bytes > 0 AND output_bytes > 0 AND {in_out} > 2D,"
+        f" {fill('ratio: {}:1 in:out', whole(in_out))}, NULL)"
+    )
+    return f"coalesce(nullif(concat_ws(', ', {', '.join(parts)}), ''), 'no I/O')"
 
 
 # ---------------------------------------------------------------------------
@@ -195,212 +179,185 @@ def io_summary() -> Column:
 # ---------------------------------------------------------------------------
 def slow_stage() -> Finding:
     """Needs ``run_mean, run_sd, run_n`` (see ``with_run_statistics``)."""
-    run = _c("executor_run_time").cast("double")
-    mean, sd, pattern = _c("run_mean"), _c("run_sd"), _c("bottleneck")
-    tag = F.coalesce(_text(" [{}]", pattern), F.lit(""))
     return Finding(
-        fires=_complete() & (_c("executor_run_time") > 0) & (_c("run_n") >= 2)
-        & (run > mean + sd * SLOW_WARN_SD),
-        critical=run > mean + sd * SLOW_CRIT_SD,
         category=M.SLOW_STAGE,
-        title=_text("Stage {} took {}{}", _c("stage_id"), duration_text("executor_run_time"), tag),
-        detail=_text(
+        fires=f"{COMPLETE} AND executor_run_time > 0 AND run_n >= 2"
+        f" AND executor_run_time > run_mean + {SLOW_WARN_SD} * run_sd",
+        critical=f"executor_run_time > run_mean + {SLOW_CRIT_SD} * run_sd",
+        title=fill(
+            "Stage {} took {}{}", "stage_id", RUN_TEXT,
+            f"coalesce({fill(' [{}]', 'bottleneck')}, '')",
+        ),
+        detail=fill(
             "Mean: {}, StdDev: {}, {}x slower than average",
-            duration_text(mean.cast("bigint")), duration_text(sd.cast("bigint")), fixed(run / mean, 1),
+            duration_text("cast(run_mean as bigint)"), duration_text("cast(run_sd as bigint)"),
+            fixed("executor_run_time / run_mean", 1),
         ),
-        recommendation=F.coalesce(remedy(pattern), F.lit(SLOW_ADVICE)),
-        savings=(run - mean).cast("bigint"),
-        bottleneck=pattern,
+        recommendation=f"coalesce({remedy('bottleneck')}, {lit(SLOW_ADVICE)})",
+        savings="cast(executor_run_time - run_mean as bigint)",
+        bottleneck="bottleneck",
     )
 
 
 def disk_spill() -> Finding:
-    pattern = _c("bottleneck")
     return Finding(
-        fires=_c("disk_bytes_spilled") > 0,
-        critical=_c("disk_bytes_spilled") > SPILL_CRIT,
         category=M.DISK_SPILL,
-        title=_text("Stage {} spilled {} to disk", _c("stage_id"), bytes_text("disk_bytes_spilled")),
-        detail=_text(
+        fires="disk_bytes_spilled > 0",
+        critical=f"disk_bytes_spilled > {SPILL_CRIT}",
+        title=fill("Stage {} spilled {} to disk", "stage_id", bytes_text("disk_bytes_spilled")),
+        detail=fill(
             "Memory spill: {}, Disk spill: {}",
             bytes_text("memory_bytes_spilled"), bytes_text("disk_bytes_spilled"),
         ),
-        recommendation=F.concat_ws(" ", F.lit(SPILL_ADVICE), remedy(pattern)),
+        recommendation=f"concat_ws(' ', {lit(SPILL_ADVICE)}, {remedy('bottleneck')})",
         savings=_saving(SAVINGS[M.DISK_SPILL]),
-        bottleneck=pattern,
+        bottleneck="bottleneck",
     )
 
 
 def io_bound() -> Finding:
-    ratio = cpu_ratio("executor_cpu_time", "executor_run_time")
     return Finding(
-        fires=_complete() & (_c("executor_run_time") > IO_MIN_RUN_MS) & (ratio < IO_MAX_RATIO),
         category=M.IO_BOUND,
-        title=_text("Stage {} I/O bound: CPU ratio {}", _c("stage_id"), percent(ratio)),
-        detail=_text(
-            "CPU time {} vs runtime {} ({} utilization)",
-            duration_text(cpu_millis("executor_cpu_time")), duration_text("executor_run_time"),
-            percent(ratio),
+        fires=f"{COMPLETE} AND executor_run_time > {IO_MIN_RUN_MS} AND {CPU_RATIO} < {IO_MAX_RATIO}",
+        title=fill("Stage {} I/O bound: CPU ratio {}", "stage_id", percent(CPU_RATIO)),
+        detail=fill(
+            "CPU time {} vs runtime {} ({} utilization)", CPU_TEXT, RUN_TEXT, percent(CPU_RATIO)
         ),
-        recommendation=F.lit(IO_ADVICE),
+        recommendation=lit(IO_ADVICE),
         savings=_saving(SAVINGS[M.IO_BOUND]),
     )
 
 
 def cpu_bound() -> Finding:
-    ratio = cpu_ratio("executor_cpu_time", "executor_run_time")
     return Finding(
-        fires=_complete() & (_c("executor_run_time") > CPU_MIN_RUN_MS) & (ratio > CPU_MIN_RATIO),
         category=M.CPU_BOUND,
-        title=_text(
-            "Stage {} CPU saturated: {} utilization for {}",
-            _c("stage_id"), percent(ratio), duration_text("executor_run_time"),
+        fires=f"{COMPLETE} AND executor_run_time > {CPU_MIN_RUN_MS} AND {CPU_RATIO} > {CPU_MIN_RATIO}",
+        title=fill(
+            "Stage {} CPU saturated: {} utilization for {}", "stage_id", percent(CPU_RATIO), RUN_TEXT
         ),
-        detail=_text(
-            "CPU time {} vs runtime {} — CPU fully utilized",
-            duration_text(cpu_millis("executor_cpu_time")), duration_text("executor_run_time"),
-        ),
-        recommendation=F.lit(CPU_ADVICE),
+        detail=fill("CPU time {} vs runtime {} — CPU fully utilized", CPU_TEXT, RUN_TEXT),
+        recommendation=lit(CPU_ADVICE),
         savings=_saving(SAVINGS[M.CPU_BOUND]),
     )
 
 
 def record_explosion() -> Finding:
-    ratio = _c("output_records").cast("double") / F.nullif(_c("input_records"), F.lit(0)).cast("double")
+    growth = ratio("output_records", "input_records")
     return Finding(
-        fires=(_c("input_records") > EXPLODE_MIN_RECORDS)
-        & (_c("output_records") > _c("input_records") * EXPLODE_FACTOR),
-        critical=ratio > EXPLODE_CRIT,
         category=M.RECORD_EXPLODE,
-        title=_text("Stage {} output {}x more records than input", _c("stage_id"), whole(ratio)),
-        detail=_text(
+        fires=f"input_records > {EXPLODE_MIN_RECORDS} AND output_records > {EXPLODE_FACTOR} * input_records",
+        critical=f"{growth} > {EXPLODE_CRIT}",
+        title=fill("Stage {} output {}x more records than input", "stage_id", whole(growth)),
+        detail=fill(
             "Input: {} records → Output: {} records ({}x expansion)",
-            _c("input_records"), _c("output_records"), whole(ratio),
+            "input_records", "output_records", whole(growth),
         ),
-        recommendation=F.lit(EXPLODE_ADVICE),
+        recommendation=lit(EXPLODE_ADVICE),
         savings=_saving(SAVINGS[M.RECORD_EXPLODE]),
-        bottleneck=F.lit(M.RECORD_EXPLOSION),
+        bottleneck=lit(M.RECORD_EXPLOSION),
     )
 
 
 def task_failures() -> Finding:
-    lost = _c("num_failed_tasks") + _c("num_killed_tasks")
-    rate = F.when(
-        _c("num_tasks") > 0,
-        lost.cast("double") / F.nullif(_c("num_tasks"), F.lit(0)).cast("double"),
-    ).otherwise(F.lit(0.0))
+    lost = "(num_failed_tasks + num_killed_tasks)"
+    rate = f"if(num_tasks > 0, {ratio(lost, 'num_tasks')}, 0D)"
     return Finding(
-        fires=(_c("num_failed_tasks") > 0) | (_c("num_killed_tasks") > 0),
-        critical=(rate > FAIL_CRIT_RATE) | (lost > FAIL_CRIT_TASKS),
         category=M.TASK_FAIL,
-        title=_text(
+        fires="num_failed_tasks > 0 OR num_killed_tasks > 0",
+        critical=f"{rate} > {FAIL_CRIT_RATE} OR {lost} > {FAIL_CRIT_TASKS}",
+        title=fill(
             "Stage {} has {} failed + {} killed tasks ({})",
-            _c("stage_id"), _c("num_failed_tasks"), _c("num_killed_tasks"), percent(rate),
+            "stage_id", "num_failed_tasks", "num_killed_tasks", percent(rate),
         ),
-        detail=_text(
+        detail=fill(
             "Total tasks: {}, Failed: {}, Killed: {}, Completed: {}",
-            _c("num_tasks"), _c("num_failed_tasks"), _c("num_killed_tasks"), _c("num_complete_tasks"),
+            "num_tasks", "num_failed_tasks", "num_killed_tasks", "num_complete_tasks",
         ),
-        recommendation=F.lit(FAIL_ADVICE),
+        recommendation=lit(FAIL_ADVICE),
         savings=_saving(rate),
     )
 
 
 def memory_pressure() -> Finding:
+    spilled = bytes_text("memory_bytes_spilled")
     return Finding(
-        fires=(_c("memory_bytes_spilled") > MEM_SPILL_MIN) & (_c("disk_bytes_spilled") == 0),
         category=M.MEM_PRESSURE,
-        title=_text(
-            "Stage {} memory spill {} (no disk spill yet)",
-            _c("stage_id"), bytes_text("memory_bytes_spilled"),
-        ),
-        detail=_text(
-            "Memory spilled: {}, Disk spilled: 0 — approaching disk spill threshold",
-            bytes_text("memory_bytes_spilled"),
+        fires=f"memory_bytes_spilled > {MEM_SPILL_MIN} AND disk_bytes_spilled = 0",
+        title=fill("Stage {} memory spill {} (no disk spill yet)", "stage_id", spilled),
+        detail=fill(
+            "Memory spilled: {}, Disk spilled: 0 — approaching disk spill threshold", spilled
         ),
-        recommendation=F.lit(MEM_ADVICE),
+        recommendation=lit(MEM_ADVICE),
         savings=_saving(SAVINGS[M.MEM_PRESSURE]),
     )
 
 
-def _partition_size() -> tuple[Column, Column]:
-    total = _c("input_bytes") + _c("shuffle_read_bytes")
-    return total, whole_div(total, _c("num_tasks"))
+def _partition_detail() -> str:
+    return fill(
+        "Total data: {}, {} tasks × {} avg", bytes_text(TOTAL_READ), "num_tasks", bytes_text(READ_PER_TASK)
+    )
 
 
-def _partition_detail(total: Column, each: Column) -> Column:
-    return _text(
-        "Total data: {}, {} tasks × {} avg", bytes_text(total), _c("num_tasks"), bytes_text(each)
-    )
+def _target(least: int) -> str:
+    return f"greatest({TOTAL_READ} div {TARGET_PARTITION_BYTES}, {least})"
 
 
 def too_many_partitions() -> Finding:
-    total, each = _partition_size()
-    target = F.greatest(whole_div(total, TARGET_PARTITION_BYTES), F.lit(1).cast("bigint"))
     return Finding(
-        fires=_complete() & (_c("num_tasks") > MANY_TASKS) & (total != 0) & (each < SMALL_TASK_BYTES),
         category=M.TOO_MANY_PARTS,
-        title=_text(
-            "Stage {} has {} tasks with only {}/task avg",
-            _c("stage_id"), _c("num_tasks"), bytes_text(each),
+        fires=f"{COMPLETE} AND num_tasks > {MANY_TASKS} AND {TOTAL_READ} <> 0"
+        f" AND {READ_PER_TASK} < {SMALL_TASK_BYTES}",
+        title=fill(
+            "Stage {} has {} tasks with only {}/task avg", "stage_id", "num_tasks", bytes_text(READ_PER_TASK)
         ),
-        detail=_partition_detail(total, each),
-        recommendation=_text("Use df.coalesce({}) for partitions of about 128MB.", target),
+        detail=_partition_detail(),
+        recommendation=fill("Use df.coalesce({}) for partitions of about 128MB.", _target(1)),
         savings=_saving(SAVINGS[M.TOO_MANY_PARTS]),
     )
 
 
 def too_few_partitions() -> Finding:
-    total, each = _partition_size()
-    target = F.greatest(whole_div(total, TARGET_PARTITION_BYTES), F.lit(8).cast("bigint"))
     return Finding(
-        fires=_complete() & (_c("num_tasks") > 0) & (_c("num_tasks") <= FEW_TASKS)
-        & (each > LARGE_TASK_BYTES),
         category=M.TOO_FEW_PARTS,
-        title=_text(
-            "Stage {} has only {} tasks with {}/task avg",
-            _c("stage_id"), _c("num_tasks"), bytes_text(each),
+        fires=f"{COMPLETE} AND num_tasks > 0 AND num_tasks <= {FEW_TASKS}"
+        f" AND {READ_PER_TASK} > {LARGE_TASK_BYTES}",
+        title=fill(
+            "Stage {} has only {} tasks with {}/task avg", "stage_id", "num_tasks", bytes_text(READ_PER_TASK)
         ),
-        detail=_partition_detail(total, each),
-        recommendation=_text("Use df.repartition({}) for partitions of about 128MB.", target),
+        detail=_partition_detail(),
+        recommendation=fill("Use df.repartition({}) for partitions of about 128MB.", _target(8)),
         savings=_saving(SAVINGS[M.TOO_FEW_PARTS]),
     )
 
 
-def _mentions(words: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | _c("plan_search").contains(word)
-    return _c("plan_search").isNotNull() & hit
+def _mentions(words: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains(plan_search, {lit(word)})" for word in words) + ")"
 
 
 def broadcast_join() -> Finding:
     moved = bytes_text("shuffle_write_bytes")
     return Finding(
-        fires=_complete() & (_c("shuffle_write_bytes") > 0)
-        & (_c("shuffle_write_bytes") < BROADCAST_MAX_BYTES)
-        & (_c("executor_run_time") > PLAN_RULE_MIN_RUN_MS) & _mentions(JOIN_MARKS),
         category=M.BCAST_JOIN,
-        title=_text("Stage {} shuffles only {} — broadcast join candidate", _c("stage_id"), moved),
-        detail=_text(
+        fires=f"{COMPLETE} AND shuffle_write_bytes > 0 AND shuffle_write_bytes < {BROADCAST_MAX_BYTES}"
+        f" AND executor_run_time > {PLAN_RULE_MIN_RUN_MS} AND {_mentions(JOIN_MARKS)}",
+        title=fill("Stage {} shuffles only {} — broadcast join candidate", "stage_id", moved),
+        detail=fill(
             "Shuffle write: {} < 100MB threshold. A broadcast join would eliminate this shuffle.", moved
         ),
-        recommendation=F.lit(BROADCAST_ADVICE),
+        recommendation=lit(BROADCAST_ADVICE),
         savings=_saving(SAVINGS[M.BCAST_JOIN]),
     )
 
 
 def python_udf() -> Finding:
-    ratio = F.coalesce(cpu_ratio("executor_cpu_time", "executor_run_time"), F.lit(0.0))
+    busy = f"coalesce({CPU_RATIO}, 0D)"
     return Finding(
-        fires=_complete() & (_c("executor_run_time") > PLAN_RULE_MIN_RUN_MS) & _mentions(PYTHON_MARKS),
-        critical=(ratio > CPU_MIN_RATIO) & (_c("executor_run_time") > CPU_MIN_RUN_MS),
         category=M.PYTHON_UDF,
-        title=_text(
-            "Stage {} uses Python UDF ({})", _c("stage_id"), duration_text("executor_run_time")
-        ),
-        detail=_text("Python UDF detected in SQL plan. CPU utilization: {}", percent(ratio)),
-        recommendation=F.lit(PYTHON_ADVICE),
+        fires=f"{COMPLETE} AND executor_run_time > {PLAN_RULE_MIN_RUN_MS} AND {_mentions(PYTHON_MARKS)}",
+        critical=f"{busy} > {CPU_MIN_RATIO} AND executor_run_time > {CPU_MIN_RUN_MS}",
+        title=fill("Stage {} uses Python UDF ({})", "stage_id", RUN_TEXT),
+        detail=fill("Python UDF detected in SQL plan. CPU utilization: {}", percent(busy)),
+        recommendation=lit(PYTHON_ADVICE),
         savings=_saving(SAVINGS[M.PYTHON_UDF]),
     )
 
@@ -426,9 +383,11 @@ ROW_RULES: dict[str, StageRule] = {
 # ---------------------------------------------------------------------------
 def run_statistics(stages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean, population deviation and count of the run times of completed stages."""
-    run = F.when(_complete() & (_c("executor_run_time") > 0), _c("executor_run_time"))
-    return stages.groupBy(*by).agg(
-        F.avg(run).alias("run_mean"), F.stddev_pop(run).alias("run_sd"), F.count(run).alias("run_n")
+    timed = stages.selectExpr(
+        *by, f"if({COMPLETE} AND executor_run_time > 0, executor_run_time, NULL) AS run"
+    )
+    return timed.groupBy(*by).agg(
+        F.avg("run").alias("run_mean"), F.stddev_pop("run").alias("run_sd"), F.count("run").alias("run_n")
     )
 
 
@@ -436,15 +395,11 @@ def with_run_statistics(context: DataFrame, stages: DataFrame, by: Sequence[str]
     return attach_totals(context, run_statistics(stages, by), by)
 
 
-def _as_struct(finding: Finding) -> Column:
-    return F.struct(
-        finding.severity().alias("severity"),
-        F.lit(finding.category).alias("category"),
-        finding.title.alias("title"),
-        finding.detail.alias("detail"),
-        finding.recommendation.alias("recommendation"),
-        (F.lit(None).cast("string") if finding.bottleneck is None else finding.bottleneck).alias("pattern"),
-        finding.savings.alias("estimated_savings_ms"),
+def _as_struct(f: Finding) -> str:
+    return (
+        f"named_struct('severity', if({f.critical}, '{M.CRIT}', '{M.WARN}'), 'category', {lit(f.category)},"
+        f" 'title', {f.title}, 'detail', {f.detail}, 'recommendation', {f.recommendation},"
+        f" 'pattern', {f.bottleneck}, 'estimated_savings_ms', {f.savings})"
     )
 
 
@@ -453,17 +408,14 @@ def stage_findings(
 ) -> DataFrame:
     """Findings of the given rules over the wide stage rows, in one pass."""
     findings = [rule() for rule in rules]
-    fired = F.array_compact(F.array(*[F.when(f.fires, _as_struct(f)) for f in findings]))
-    kept = (*by, "stage_id", "job_id", "name", "sql_id", "sql_description", "io_summary", "sql_plan_hint")
+    kept = [*by, "stage_id", "job_id", "name", "sql_id", "sql_description", "io_summary", "sql_plan_hint"]
     if len(findings) == 1:
-        found = context.where(findings[0].fires).select(*kept, F.inline(F.array(_as_struct(findings[0]))))
+        rows = context.where(findings[0].fires)
+        found = rows.selectExpr(*kept, f"inline(array({_as_struct(findings[0])}))")
     else:
-        found = context.select(*kept, fired.alias("_fired")).where(F.size("_fired") > 0).select(
-            *kept, F.inline("_fired")
-        )
-    return as_suspects(
-        found.withColumnRenamed("pattern", "bottleneck").withColumnRenamed("name", "stage_name"), by
-    )
+        fired = ", ".join(f"if({f.fires}, {_as_struct(f)}, NULL)" for f in findings)
+        found = context.selectExpr(*kept, f"inline(array({fired}))").where("category IS NOT NULL")
+    return as_suspects(found.withColumnsRenamed({"pattern": "bottleneck", "name": "stage_name"}), by)
 
 
 def as_suspects(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -472,42 +424,36 @@ def as_suspects(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def cache_opportunities(context: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Completed stages that repeat under one name; reported on the slowest of them."""
-    named = context.where(_complete() & (_c("executor_run_time") > 0)).withColumn(
-        "label", stage_label("name")
-    )
-    shown = F.struct(
-        "executor_run_time", "stage_id", "job_id", "name", "sql_id", "sql_description",
-        "io_summary", "sql_plan_hint",
+    shown = (
+        "struct(stage_id, job_id, name AS stage_name, sql_id, sql_description, io_summary, sql_plan_hint)"
     )
     groups = (
-        named.groupBy(*by, "label")
+        context.where(f"{COMPLETE} AND executor_run_time > 0")
+        .withColumn("label", F.expr(stage_label("name")))
+        .groupBy(*by, "label")
         .agg(
             F.count(F.lit(1)).alias("times"),
             F.sum("executor_run_time").alias("total"),
             F.min("executor_run_time").alias("least"),
-            F.max_by(shown, F.struct("executor_run_time", "stage_id")).alias("slowest"),
+            F.expr(f"max_by({shown}, struct(executor_run_time, stage_id))").alias("slowest"),
         )
-        .where((_c("times") >= 2) & (_c("total") > REPEAT_MIN_TOTAL_MS))
+        .where(f"times >= 2 AND total > {REPEAT_MIN_TOTAL_MS}")
+    )
+    total = duration_text("total")
+    title = fill("'{}' repeated {} times (total: {})", shorten("label", 40), "times", total)
+    detail = fill(
+        "{} stages share name '{}'. Total runtime: {}. Caching could eliminate {} re-computations.",
+        "times", shorten("label", 30), total, "(times - 1)",
     )
-    found = groups.select(
+    found = groups.selectExpr(
         *by,
-        F.lit(M.WARN).alias("severity"),
-        F.lit(M.CACHE_OPPTY).alias("category"),
-        "slowest.stage_id",
-        "slowest.job_id",
-        _text("'{}' repeated {} times (total: {})", shorten("label", 40), _c("times"),
-              duration_text("total")).alias("title"),
-        _text(
-            "{} stages share name '{}'. Total runtime: {}. Caching could eliminate {} re-computations.",
-            _c("times"), shorten("label", 30), duration_text("total"), _c("times") - 1,
-        ).alias("detail"),
-        _c("slowest.name").alias("stage_name"),
-        "slowest.sql_id",
-        "slowest.sql_description",
-        "slowest.io_summary",
-        F.lit(CACHE_ADVICE).alias("recommendation"),
-        F.lit(None).cast("string").alias("bottleneck"),
-        "slowest.sql_plan_hint",
-        (_c("total") - _c("least")).alias("estimated_savings_ms"),
+        f"'{M.WARN}' AS severity",
+        f"'{M.CACHE_OPPTY}' AS category",
+        f"{title} AS title",
+        f"{detail} AS detail",
+        f"{lit(CACHE_ADVICE)} AS recommendation",
+        "cast(null as string) AS bottleneck",
+        "total - least AS estimated_savings_ms",
+        "slowest.*",
     )
     return as_suspects(found, by)

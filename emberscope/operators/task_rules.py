@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscope import model as M
-from emberscope.functions.texts import bytes_text, count_text, duration_text, fixed, percent, whole
+from emberscope.functions.texts import bytes_text, duration_text, fill, fixed, lit, percent, whole
 from emberscope.operators.keys import top_rows
-from emberscope.operators.quantiles import quantiles_of_counts, value_counts
-from emberscope.operators.stage_rules import _text, as_suspects
+from emberscope.operators.quantiles import LARGE_GROUP, quantiles_of_counts, split_by_size, value_counts
+from emberscope.operators.stage_rules import as_suspects
 
 # Skew limits on deviation/mean and on max/median, and the hot share.
-CV_WARN, CV_CRIT = 1.0, 2.0
-RATIO_WARN, RATIO_CRIT = 3.0, 10.0
+CV_WARN, CV_CRIT = "1D", "2D"
+RATIO_WARN, RATIO_CRIT = "3D", "10D"
 RECORD_SKEW_MIN_MAX = 1000
 HOT_SHARE = 0.5
 TOP_STAGES, MANY_TASKS, STAGE_CAP = 5, 100, 15
@@ -43,18 +43,68 @@ def task_records() -> Column:
     return F.col("input_records") + F.col("shuffle_read_records")
 
 
-def measure_rows(
-    tasks: DataFrame, by: Sequence[str] = (), measures: Sequence[str] = MEASURES
-) -> DataFrame:
-    """One row per task and measure: ``stage_id, task_id, size_of, measure, value``."""
+def _measured(tasks: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
     values = {"duration": F.col("duration"), "size": task_size(), "records": task_records()}
-    wide = tasks.select(
-        *by, "stage_id", "task_id", task_size().alias("size_of"),
-        *[values[m].alias(m) for m in measures],
+    return tasks.select(
+        *by, "stage_id", "task_id", task_size().alias("size_of"), *[values[m].alias(m) for m in measures]
+    )
+
+
+def _packed(value: Column) -> Column:
+    """Value and task id as one decimal: its maximum is the largest value and, among
+    equals, the largest task id, and the aggregation buffer stays fixed in width."""
+    return F.coalesce(value, F.lit(0)).cast("decimal(18,0)") * F.lit(_TASK_ID_ROOM) + F.col(
+        "task_id"
+    ).cast("decimal(19,0)")
+
+
+def _task_id_of(packed: Column) -> Column:
+    return F.pmod(packed, F.lit(_TASK_ID_ROOM)).cast("bigint")
+
+
+def _moments(measures: Sequence[str], fixed_width: bool) -> list[Column]:
+    """Moments and the top task per measure.
+
+    A maximum over structs is the cheap form next to ``percentile``, where buffers are
+    objects anyway; packed decimals keep the hash aggregation of large groups.
+    """
+    out = []
+    for m in measures:
+        known = F.col(m).isNotNull()
+        out += [
+            F.count(m).alias(f"n_{m}"), F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"sd_{m}"),
+        ]
+        if fixed_width:
+            packed = F.when(known, _packed(F.col(m)))
+            out += [
+                F.max(m).alias(f"max_{m}"),
+                _task_id_of(F.max(packed)).alias(f"top_{m}"),
+                F.max_by("size_of", packed).alias(f"bytes_{m}"),
+            ]
+        else:
+            row = F.struct(F.col(m).alias("value"), F.col("task_id"), F.col("size_of"))
+            top = F.max(F.when(known, row))
+            out += [
+                top["value"].alias(f"max_{m}"), top["task_id"].alias(f"top_{m}"),
+                top["size_of"].alias(f"bytes_{m}"),
+            ]
+    return out
+
+
+def _per_measure(wide: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """One row per stage and measure from one row per stage."""
+    fields = ("n", "mean", "sd", "median", "max", "top", "bytes")
+    return wide.select(
+        *keys,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(m).alias("measure"), *[F.col(f"{f}_{m}").alias(f) for f in fields])
+                    for m in measures
+                ]
+            )
+        ),
     )
-    return wide.unpivot(
-        [*by, "stage_id", "task_id", "size_of"], list(measures), "measure", "value"
-    ).where("value is not null")
 
 
 def distributions(
@@ -62,64 +112,65 @@ def distributions(
     by: Sequence[str] = (),
     measures: Sequence[str] = MEASURES,
     positive_mean: bool = True,
+    large: int = LARGE_GROUP,
 ) -> DataFrame:
     """Per stage and measure: ``n, mean, cv, median, max_val, max_median_ratio`` and the
     task with the largest value (``task_id``, its ``task_bytes``).
 
     Stages with fewer than two values or a mean of zero or less have no distribution; with
     ``positive_mean=False`` the latter are kept, with ``cv`` 0.
+
+    Stages of up to ``large`` tasks are done in one grouping.  Larger ones get their medians
+    by counting values, which splits a stage over many tasks.
     """
-    keys = [*by, "stage_id", "measure"]
-    rows = measure_rows(tasks, by, measures)
-    moments = rows.groupBy(*keys).agg(
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("sd"),
-        F.max("value").alias("max_val"),
-    )
-    if positive_mean:
-        moments = moments.where("mean > 0")
-    cv = F.when(F.col("mean") > 0, F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))).otherwise(F.lit(0.0))
-    counts = value_counts(
-        rows, keys, "value",
-        [F.max("task_id").alias("task_id"), F.max_by("size_of", "task_id").alias("task_bytes")],
-    )
-    medians = quantiles_of_counts(counts, keys, {"median": 0.5}).where("n >= 2")
-    largest = counts.groupBy(*keys).agg(
-        F.max_by("task_id", "value").alias("task_id"),
-        F.max_by("task_bytes", "value").alias("task_bytes"),
-    )
+    keys = [*by, "stage_id"]
+    wide = _measured(tasks, by, measures)
+    small, big = split_by_size(wide, keys, large)
+    parts = []
+    if small is not None:
+        medians = [F.percentile(m, 0.5).alias(f"median_{m}") for m in measures]
+        parts.append(_per_measure(small.groupBy(*keys).agg(*_moments(measures, False), *medians), keys, measures))
+    if big is not None:
+        rows = big.unpivot(keys, list(measures), "measure", "value")
+        counted = value_counts(rows, [*keys, "measure"], "value")
+        medians = quantiles_of_counts(counted, [*keys, "measure"], {"median": 0.5}).drop("n")
+        no_median = [F.lit(None).cast("double").alias(f"median_{m}") for m in measures]
+        sums = big.groupBy(*keys).agg(*_moments(measures, True)).select("*", *no_median)
+        parts.append(
+            _per_measure(sums, keys, measures).drop("median").join(medians, [*keys, "measure"])
+        )
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    positive = F.col("mean") > 0
     ratio = F.when(
-        F.col("median") > 0, F.col("max_val").cast("double") / F.nullif(F.col("median"), F.lit(0.0))
+        F.col("median") > 0, F.col("max").cast("double") / F.nullif(F.col("median"), F.lit(0.0))
     ).otherwise(F.lit(0.0))
-    return (
-        medians.join(moments, keys)
-        .join(largest, keys)
-        .select(
-            *keys, "n", "mean", cv.alias("cv"), "median", "max_val",
-            ratio.alias("max_median_ratio"), "task_id", "task_bytes",
-        )
+    cv = F.when(positive, F.col("sd") / F.nullif(F.col("mean"), F.lit(0.0))).otherwise(F.lit(0.0))
+    return rows.where((F.col("n") >= 2) & (positive if positive_mean else F.lit(True))).select(
+        *keys, "measure", "n", "mean", cv.alias("cv"), "median", F.col("max").alias("max_val"),
+        ratio.alias("max_median_ratio"), F.col("top").alias("task_id"), F.col("bytes").alias("task_bytes"),
     )
 
 
-def skew_severity(cv: Column, ratio: Column) -> Column:
+def skew_severity(cv: str, ratio: str) -> str:
     """CRIT, WARN or NULL."""
-    return F.when((cv > CV_CRIT) | (ratio > RATIO_CRIT), M.CRIT).when(
-        (cv > CV_WARN) | (ratio > RATIO_WARN), M.WARN
+    return (
+        f"CASE WHEN {cv} > {CV_CRIT} OR {ratio} > {RATIO_CRIT} THEN '{M.CRIT}'"
+        f" WHEN {cv} > {CV_WARN} OR {ratio} > {RATIO_WARN} THEN '{M.WARN}' END"
     )
 
 
 def skewed(dists: DataFrame) -> DataFrame:
     """Distributions that count as skew, with their severity and category."""
-    large_enough = (F.col("measure") != "records") | (F.col("max_val") > RECORD_SKEW_MIN_MAX)
-    category = (
-        F.when(F.col("measure") == "duration", M.DATA_SKEW)
-        .when(F.col("measure") == "size", M.SIZE_SKEW)
-        .otherwise(M.RECORD_SKEW)
-    )
+    category = _by_measure(f"'{M.DATA_SKEW}'", f"'{M.SIZE_SKEW}'", f"'{M.RECORD_SKEW}'")
     return (
-        dists.withColumn("severity", skew_severity(F.col("cv"), F.col("max_median_ratio")))
-        .where(F.col("severity").isNotNull() & large_enough)
-        .withColumn("category", category)
+        dists.withColumns(
+            {
+                "severity": F.expr(skew_severity("cv", "max_median_ratio")),
+                "category": F.expr(category),
+            }
+        )
+        .where("severity IS NOT NULL")
+        .where(f"measure <> 'records' OR max_val > {RECORD_SKEW_MIN_MAX}")
     )
 
 
@@ -151,16 +202,13 @@ def slowest_tasks(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Duration and task id are packed into one decimal, so the scan over tasks is a plain
     maximum per stage and executor; only those few rows carry the executor's name further.
     """
-    packed = F.coalesce("duration", F.lit(0)).cast("decimal(18,0)") * F.lit(_TASK_ID_ROOM) + F.col(
-        "task_id"
-    ).cast("decimal(19,0)")
+    packed = _packed(F.col("duration"))
     per_executor = tasks.groupBy(*by, "stage_id", "executor_id").agg(F.max(packed).alias("packed"))
     return (
         per_executor.groupBy(*by, "stage_id")
         .agg(F.max("packed").alias("packed"), F.max_by("executor_id", "packed").alias("executor_id"))
         .select(
-            *by, "stage_id", F.pmod("packed", F.lit(_TASK_ID_ROOM)).cast("bigint").alias("task_id"),
-            "executor_id",
+            *by, "stage_id", _task_id_of(F.col("packed")).alias("task_id"), "executor_id"
         )
     )
 
@@ -175,39 +223,23 @@ def hotspots(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Findings
 # ---------------------------------------------------------------------------
-def _skew_texts() -> tuple[Column, Column, Column]:
-    measure = F.col("measure")
-    label = (
-        F.when(measure == "duration", "Duration skew")
-        .when(measure == "size", "Data size skew")
-        .otherwise("Record count skew")
-    )
-    title = _text(
-        "{}: CV={}, max/median={}x", label, fixed(F.col("cv"), 1), fixed(F.col("max_median_ratio"), 1)
-    )
-    median = F.col("median").cast("bigint")
-    detail = (
-        F.when(
-            measure == "duration",
-            _text("Task #{} took {} (median {}), processed {}", F.col("task_id"),
-                  duration_text("max_val"), duration_text(median), bytes_text("task_bytes")),
-        )
-        .when(
-            measure == "size",
-            _text("Task #{} processed {} (median {}, max {})", F.col("task_id"),
-                  bytes_text("max_val"), bytes_text(median), bytes_text("max_val")),
-        )
-        .otherwise(
-            _text("Task #{} processed {} records (median {}, max {})", F.col("task_id"),
-                  F.col("max_val"), whole(F.col("median")), whole(F.col("max_val"))),
-        )
+def _by_measure(duration: str, size: str, records: str) -> str:
+    return f"CASE measure WHEN 'duration' THEN {duration} WHEN 'size' THEN {size} ELSE {records} END"
+
+
+def _skew_texts() -> tuple[str, str, str]:
+    label = _by_measure("'Duration skew'", "'Data size skew'", "'Record count skew'")
+    title = fill("{}: CV={}, max/median={}x", label, fixed("cv", 1), fixed("max_median_ratio", 1))
+    middle = "cast(median as bigint)"
+    detail = _by_measure(
+        fill("Task #{} took {} (median {}), processed {}", "task_id", duration_text("max_val"),
+             duration_text(middle), bytes_text("task_bytes")),
+        fill("Task #{} processed {} (median {}, max {})", "task_id", bytes_text("max_val"),
+             bytes_text(middle), bytes_text("max_val")),
+        fill("Task #{} processed {} records (median {}, max {})", "task_id", "max_val",
+             whole("median"), whole("max_val")),
     )
-    advice = (
-        F.when(measure == "duration", DURATION_ADVICE)
-        .when(measure == "size", SIZE_ADVICE)
-        .otherwise(RECORD_ADVICE)
-    )
-    return title, detail, advice
+    return title, detail, _by_measure(lit(DURATION_ADVICE), lit(SIZE_ADVICE), lit(RECORD_ADVICE))
 
 
 def _with_links(found: DataFrame, names: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -242,26 +274,23 @@ def stage_names(stages: DataFrame, links: DataFrame, by: Sequence[str] = ()) ->
 
 def skew_findings(dists: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     title, detail, advice = _skew_texts()
-    found = skewed(dists).select(
-        *by, "severity", "category", "stage_id", title.alias("title"), detail.alias("detail"),
-        advice.alias("recommendation"),
+    found = skewed(dists).selectExpr(
+        *by, "severity", "category", "stage_id", f"{title} AS title", f"{detail} AS detail",
+        f"{advice} AS recommendation",
     )
     return _with_links(found, names, by)
 
 
 def hotspot_findings(tasks: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    share = percent(F.col("share"))
-    found = hotspots(tasks, by).select(
-        *by,
-        F.lit(M.WARN).alias("severity"),
-        F.lit(M.EXEC_HOTSPOT).alias("category"),
-        "stage_id",
-        _text("Executor {} handles {} of data", F.col("executor_id"), share).alias("title"),
-        _text(
-            "Executor {} processed {} ({} of total {}) across {} tasks",
-            F.col("executor_id"), bytes_text("bytes"), share, bytes_text("stage_bytes"), F.col("tasks"),
-        ).alias("detail"),
-        F.lit(HOTSPOT_ADVICE).alias("recommendation"),
+    share = percent("share")
+    title = fill("Executor {} handles {} of data", "executor_id", share)
+    detail = fill(
+        "Executor {} processed {} ({} of total {}) across {} tasks",
+        "executor_id", bytes_text("bytes"), share, bytes_text("stage_bytes"), "tasks",
+    )
+    found = hotspots(tasks, by).selectExpr(
+        *by, f"'{M.WARN}' AS severity", f"'{M.EXEC_HOTSPOT}' AS category", "stage_id",
+        f"{title} AS title", f"{detail} AS detail", f"{lit(HOTSPOT_ADVICE)} AS recommendation",
     )
     return _with_links(found, names, by)
 

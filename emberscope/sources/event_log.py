@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 
 from emberscope import model as M
 from emberscope.functions.texts import strip
-from emberscope.functions.times import epoch_time
 from emberscope.workspace import new_folder
 
 # ---------------------------------------------------------------------------
@@ -234,121 +233,106 @@ def _line_frame(file: str, first: int, lines: list[bytes]) -> pd.DataFrame:
 # ---------------------------------------------------------------------------
 # Events
 # ---------------------------------------------------------------------------
-def _at(*path: str) -> Column:
-    col = F.col("e")
-    for name in path:
-        col = col[name]
-    return col
+def _at(*path: str) -> str:
+    """A field of the parsed line."""
+    return ".".join(["e", *[f"`{name}`" for name in path]])
 
 
-def _count(*path: str) -> Column:
-    return F.coalesce(_at(*path), F.lit(0))
+def _count(*path: str) -> str:
+    return f"coalesce({_at(*path)}, 0)"
 
 
-def _stage_info(info: Column) -> Column:
-    return F.struct(
-        info["Stage ID"].alias("stage_id"),
-        F.coalesce(info["Stage Attempt ID"], F.lit(0)).alias("attempt_id"),
-        F.coalesce(info["Stage Name"], F.lit("")).alias("name"),
-        F.coalesce(info["Number of Tasks"], F.lit(0)).alias("num_tasks"),
-        info["Submission Time"].alias("submission_ms"),
-        info["Completion Time"].alias("completion_ms"),
+def _stage_info(info: str) -> str:
+    return (
+        f"named_struct('stage_id', {info}.`Stage ID`,"
+        f" 'attempt_id', coalesce({info}.`Stage Attempt ID`, 0),"
+        f" 'name', coalesce({info}.`Stage Name`, ''),"
+        f" 'num_tasks', coalesce({info}.`Number of Tasks`, 0),"
+        f" 'submission_ms', {info}.`Submission Time`,"
+        f" 'completion_ms', {info}.`Completion Time`)"
     )
 
 
-def _kind() -> Column:
+def _kind() -> str:
     """The event kind; a handled event without its required ids is malformed."""
-    tag = _at("Event")
-    required = {
-        "SparkListenerJobStart": _at("Job ID").isNull()
-        | _at("Stage IDs").isNull()
-        | F.coalesce(F.exists(_at("Stage Infos"), lambda i: i["Stage ID"].isNull()), F.lit(False)),
-        "SparkListenerJobEnd": _at("Job ID").isNull(),
-        "SparkListenerStageSubmitted": _at("Stage Info", "Stage ID").isNull(),
-        "SparkListenerStageCompleted": _at("Stage Info", "Stage ID").isNull(),
-        "SparkListenerTaskEnd": _at("Stage ID").isNull()
-        | _at("Stage Attempt ID").isNull()
-        | (_at("Task Info").isNotNull() & _at("Task Info", "Task ID").isNull()),
-        "SparkListenerExecutorAdded": _at("Executor ID").isNull(),
-        "SparkListenerExecutorRemoved": _at("Executor ID").isNull(),
+    stage = f"{_at('Stage Info', 'Stage ID')} IS NULL"
+    missing = {
+        "job_start": f"{_at('Job ID')} IS NULL OR {_at('Stage IDs')} IS NULL"
+        f" OR coalesce(exists({_at('Stage Infos')}, i -> i.`Stage ID` IS NULL), false)",
+        "job_end": f"{_at('Job ID')} IS NULL",
+        "stage_submitted": stage,
+        "stage_completed": stage,
+        "task_end": f"{_at('Stage ID')} IS NULL OR {_at('Stage Attempt ID')} IS NULL"
+        f" OR ({_at('Task Info')} IS NOT NULL AND {_at('Task Info', 'Task ID')} IS NULL)",
+        "executor_added": f"{_at('Executor ID')} IS NULL",
+        "executor_removed": f"{_at('Executor ID')} IS NULL",
+        "sql_start": f"{_at('executionId')} IS NULL",
+        "sql_end": f"{_at('executionId')} IS NULL",
     }
-    handled = tag.isin(*EVENT_KINDS)
-    kind = F.when(tag.isNull() | (handled & _at("_corrupt").isNotNull()), MALFORMED)
+    branches = [f"WHEN {_at('Event')} IS NULL THEN '{MALFORMED}'"]
     for event, name in EVENT_KINDS.items():
-        missing = required.get(event)
-        if missing is None and name in ("sql_start", "sql_end"):
-            missing = _at("executionId").isNull()
-        if missing is not None:
-            kind = kind.when((tag == event) & missing, MALFORMED)
-        kind = kind.when(tag == event, name)
-    return kind.otherwise(OTHER)
+        broken = f"{_at('_corrupt')} IS NOT NULL OR ({missing.get(name, 'false')})"
+        branches.append(f"WHEN {_at('Event')} = '{event}' THEN if({broken}, '{MALFORMED}', '{name}')")
+    return f"CASE {' '.join(branches)} ELSE '{OTHER}' END"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """One flat row per non-blank line, with ``kind`` and the fields of that kind."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    task, metrics = ("Task Info",), ("Task Metrics",)
-    failed = F.coalesce(
-        F.coalesce(_at("Task End Reason", "Reason"), F.when(_at("Task End Reason").isNotNull(), ""))
-        != "Success",
-        _at(*task, "Failed"),
-        F.lit(False),
-    )
+    task, metrics = "Task Info", "Task Metrics"
+    reason = f"if({_at('Task End Reason')} IS NULL, NULL, coalesce({_at('Task End Reason', 'Reason')}, ''))"
+    result = f"if({_at('Job Result')} IS NULL, NULL, coalesce({_at('Job Result', 'Result')}, ''))"
+    fetched = _count(metrics, "Shuffle Read Metrics", "Remote Bytes Read")
+    local = _count(metrics, "Shuffle Read Metrics", "Local Bytes Read")
+    columns = {
+        "raw": f"if(kind = '{MALFORMED}', value, NULL)",
+        "app_id": _at("App ID"),
+        "job_id": _at("Job ID"),
+        "submission_ms": _at("Submission Time"),
+        "completion_ms": _at("Completion Time"),
+        "stage_ids": _at("Stage IDs"),
+        "stage_infos": f"transform({_at('Stage Infos')}, i -> {_stage_info('i')})",
+        "call_site": f"{_at('Properties')}['{CALL_SITE_PROPERTY}']",
+        "job_description": f"{_at('Properties')}['{DESCRIPTION_PROPERTY}']",
+        "sql_ref": f"{_at('Properties')}['{SQL_ID_PROPERTY}']",
+        "job_result": result,
+        "stage": f"if({_at('Stage Info')} IS NULL, NULL, {_stage_info(_at('Stage Info'))})",
+        "stage_id": _at("Stage ID"),
+        "stage_attempt_id": _at("Stage Attempt ID"),
+        "task_id": _at(task, "Task ID"),
+        "task_index": _count(task, "Index"),
+        "attempt": _count(task, "Attempt"),
+        "executor_id": f"coalesce({_at(task, 'Executor ID')}, {_at('Executor ID')}, '')",
+        "host": f"coalesce({_at(task, 'Host')}, '')",
+        "failed": f"coalesce({reason} <> 'Success', {_at(task, 'Failed')}, false)",
+        "finish_ms": _at(task, "Finish Time"),
+        "duration": f"{_at(task, 'Finish Time')} - {_at(task, 'Launch Time')}",
+        "executor_run_time": _count(metrics, "Executor Run Time"),
+        "executor_cpu_time": _count(metrics, "Executor CPU Time"),
+        "input_bytes": _count(metrics, "Input Metrics", "Bytes Read"),
+        "input_records": _count(metrics, "Input Metrics", "Records Read"),
+        "output_bytes": _count(metrics, "Output Metrics", "Bytes Written"),
+        "output_records": _count(metrics, "Output Metrics", "Records Written"),
+        "shuffle_read_bytes": f"{fetched} + {local}",
+        "shuffle_read_records": _count(metrics, "Shuffle Read Metrics", "Total Records Read"),
+        "shuffle_write_bytes": _count(metrics, "Shuffle Write Metrics", "Shuffle Bytes Written"),
+        "shuffle_write_records": _count(metrics, "Shuffle Write Metrics", "Shuffle Records Written"),
+        "memory_bytes_spilled": _count(metrics, "Memory Bytes Spilled"),
+        "disk_bytes_spilled": _count(metrics, "Disk Bytes Spilled"),
+        "peak_execution_memory": _count(metrics, "Peak Execution Memory"),
+        "total_cores": _count("Executor Info", "Total Cores"),
+        "execution_id": _at("executionId"),
+        "description": _at("description"),
+        "plan_description": _at("physicalPlanDescription"),
+        "time_ms": _at("time"),
+    }
     carried = [c for c in lines.columns if c != "value"]
     parsed = (
-        lines.where(strip(F.col("value")) != "")
-        .withColumn("e", F.from_json(F.col("value"), EVENT, options))
-        .withColumn("kind", _kind())
-    )
-    return parsed.select(
-        *carried,
-        "kind",
-        F.when(F.col("kind") == MALFORMED, F.col("value")).alias("raw"),
-        _at("App ID").alias("app_id"),
-        _at("Job ID").alias("job_id"),
-        _at("Submission Time").alias("submission_ms"),
-        _at("Completion Time").alias("completion_ms"),
-        _at("Stage IDs").alias("stage_ids"),
-        F.transform(_at("Stage Infos"), _stage_info).alias("stage_infos"),
-        _at("Properties")[CALL_SITE_PROPERTY].alias("call_site"),
-        _at("Properties")[DESCRIPTION_PROPERTY].alias("job_description"),
-        _at("Properties")[SQL_ID_PROPERTY].alias("sql_ref"),
-        F.when(_at("Job Result").isNotNull(), F.coalesce(_at("Job Result", "Result"), F.lit("")))
-        .alias("job_result"),
-        F.when(_at("Stage Info").isNotNull(), _stage_info(_at("Stage Info"))).alias("stage"),
-        _at("Stage ID").alias("stage_id"),
-        _at("Stage Attempt ID").alias("stage_attempt_id"),
-        _at(*task, "Task ID").alias("task_id"),
-        _count(*task, "Index").alias("task_index"),
-        _count(*task, "Attempt").alias("attempt"),
-        F.coalesce(_at(*task, "Executor ID"), _at("Executor ID"), F.lit("")).alias("executor_id"),
-        F.coalesce(_at(*task, "Host"), F.lit("")).alias("host"),
-        failed.alias("failed"),
-        _at(*task, "Finish Time").alias("finish_ms"),
-        (_at(*task, "Finish Time") - _at(*task, "Launch Time")).alias("duration"),
-        _count(*metrics, "Executor Run Time").alias("executor_run_time"),
-        _count(*metrics, "Executor CPU Time").alias("executor_cpu_time"),
-        _count(*metrics, "Input Metrics", "Bytes Read").alias("input_bytes"),
-        _count(*metrics, "Input Metrics", "Records Read").alias("input_records"),
-        _count(*metrics, "Output Metrics", "Bytes Written").alias("output_bytes"),
-        _count(*metrics, "Output Metrics", "Records Written").alias("output_records"),
-        (
-            _count(*metrics, "Shuffle Read Metrics", "Remote Bytes Read")
-            + _count(*metrics, "Shuffle Read Metrics", "Local Bytes Read")
-        ).alias("shuffle_read_bytes"),
-        _count(*metrics, "Shuffle Read Metrics", "Total Records Read").alias("shuffle_read_records"),
-        _count(*metrics, "Shuffle Write Metrics", "Shuffle Bytes Written").alias("shuffle_write_bytes"),
-        _count(*metrics, "Shuffle Write Metrics", "Shuffle Records Written")
-        .alias("shuffle_write_records"),
-        _count(*metrics, "Memory Bytes Spilled").alias("memory_bytes_spilled"),
-        _count(*metrics, "Disk Bytes Spilled").alias("disk_bytes_spilled"),
-        _count(*metrics, "Peak Execution Memory").alias("peak_execution_memory"),
-        _count("Executor Info", "Total Cores").alias("total_cores"),
-        _at("executionId").alias("execution_id"),
-        _at("description").alias("description"),
-        _at("physicalPlanDescription").alias("plan_description"),
-        _at("time").alias("time_ms"),
+        lines.where(f"{strip('value')} <> ''")
+        .withColumn("e", F.from_json("value", EVENT, options))
+        .withColumn("kind", F.expr(_kind()))
     )
+    return parsed.selectExpr(*carried, "kind", *[f"{text} AS {name}" for name, text in columns.items()])
 
 
 def stage_events(events: DataFrame, path: str) -> DataFrame:
@@ -402,7 +386,7 @@ def task_rows(task_ends: DataFrame) -> DataFrame:
     return task_ends.where("task_id is not null").withColumns(
         {
             "status": F.when(F.col("failed"), "FAILED").otherwise("SUCCESS"),
-            "finish_time": epoch_time("finish_ms"),
+            "finish_time": F.timestamp_millis("finish_ms"),
         }
     )
 
@@ -426,10 +410,11 @@ def stage_metrics(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def _jobs(events: _Events) -> DataFrame:
     name = F.coalesce("call_site", "job_description", F.concat(F.lit("Job "), F.col("job_id")))
-    num_tasks = F.aggregate(
-        F.coalesce("stage_infos", F.array().cast("array<struct<num_tasks:bigint>>")),
-        F.lit(0).cast("bigint"),
-        lambda total, info: total + info["num_tasks"],
+    num_tasks = F.coalesce(
+        F.aggregate(
+            "stage_infos", F.lit(0).cast("bigint"), lambda total, info: total + info["num_tasks"]
+        ),
+        F.lit(0),
     )
     start = F.struct(
         name.alias("name"), num_tasks.alias("num_tasks"), F.col("submission_ms"), F.col("stage_ids")
@@ -457,8 +442,8 @@ def _jobs(events: _Events) -> DataFrame:
             "job_id",
             "start.name",
             "status",
-            epoch_time("start.submission_ms").alias("submission_time"),
-            F.when(ended, epoch_time("end.completion_ms")).alias("completion_time"),
+            F.timestamp_millis("start.submission_ms").alias("submission_time"),
+            F.when(ended, F.timestamp_millis("end.completion_ms")).alias("completion_time"),
             "start.stage_ids",
             "start.num_tasks",
             zero.alias("num_active_tasks"),
@@ -537,9 +522,9 @@ def _stages(events: _Events) -> DataFrame:
             zero.alias("num_killed_tasks"),
             *[F.coalesce(m, zero).alias(m) for m in M.TASK_METRICS],
             "first.name",
-            epoch_time("submission_ms").alias("submission_time"),
-            F.when(done, epoch_time("done_ms")).alias("completion_time"),
-            epoch_time("submission_ms").alias("first_task_launched_time"),
+            F.timestamp_millis("submission_ms").alias("submission_time"),
+            F.when(done, F.timestamp_millis("done_ms")).alias("completion_time"),
+            F.timestamp_millis("submission_ms").alias("first_task_launched_time"),
         )
     )
 
@@ -562,7 +547,7 @@ def _sql_executions(events: _Events) -> DataFrame:
         F.when(end_ms.isNotNull(), "COMPLETED").otherwise("RUNNING").alias("status"),
         F.coalesce("start.description", F.lit("")).alias("description"),
         F.coalesce("start.plan_description", F.lit("")).alias("plan_description"),
-        epoch_time("start.time_ms").alias("submission_time"),
+        F.timestamp_millis("start.time_ms").alias("submission_time"),
         F.coalesce(end_ms - F.col("start.time_ms"), F.lit(0)).alias("duration"),
     )
 

@@ -114,7 +114,7 @@ def task_rows(raw: DataFrame) -> DataFrame:
         "stageAttemptId", F.regexp_extract("file", in_path, 2).try_cast("bigint"), F.lit(0)
     )
     m = "taskMetrics"
-    launched = F.unix_millis(parse_time("launchTime"))
+    launched = F.unix_millis(F.expr(parse_time("launchTime")))
     return raw.where("taskId is not null").select(
         "app_id",
         F.col("taskId").alias("task_id"),
@@ -181,20 +181,20 @@ def read_snapshot(spark: SparkSession, root: str, json_lines: bool = False) -> M
         "stages": stages.select(
             "app_id", "status", F.col("stageId").alias("stage_id"), F.col("attemptId").alias("attempt_id"),
             "name", *[_zero(n).alias(_snake(n)) for n in _STAGE_COUNTS],
-            *[parse_time(n).alias(_snake(n))
+            *[F.expr(parse_time(n)).alias(_snake(n))
               for n in ("submissionTime", "completionTime", "firstTaskLaunchedTime")],
         ),
         "jobs": jobs.select(
             "app_id", F.col("jobId").alias("job_id"), "name", "status",
             *[_zero(n).alias(_snake(n)) for n in _JOB_COUNTS],
-            *[parse_time(n).alias(_snake(n)) for n in ("submissionTime", "completionTime")],
+            *[F.expr(parse_time(n)).alias(_snake(n)) for n in ("submissionTime", "completionTime")],
         ),
         "job_stages": jobs.select(
             "app_id", F.col("jobId").alias("job_id"), F.explode("stageIds").alias("stage_id")
         ),
         "sql_executions": sqls.select(
             "app_id", "id", "status", "description", F.col("planDescription").alias("plan_description"),
-            parse_time("submissionTime").alias("submission_time"), _zero("duration").alias("duration"),
+            F.expr(parse_time("submissionTime")).alias("submission_time"), _zero("duration").alias("duration"),
         ),
         "sql_jobs": links[0].unionByName(links[1]).unionByName(links[2]),
         "executors": executors.select(
