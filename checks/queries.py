@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscope import fixtures as X
 from emberscope import model as M
 from emberscope.functions import plan_text, texts, times
 from emberscope.operators import linking, reports, stage_rules, task_rules
-from emberscope.operators.ranking import with_rank
 from emberscope.plans import analysis
 from emberscope.sources import event_log as log
 from emberscope.sources import rest_snapshot, store
@@ -235,13 +233,13 @@ def _(spark, sf_dir):
 # -- ranking, summary ----------------------------------------------------------------------
 @register("r1_suspects")
 def _(spark, sf_dir):
-    found = analysis.find_suspects(X.telemetry(spark, sf_dir))
+    found = store.written(analysis.find_suspects(X.telemetry(spark, sf_dir)), "findings")
     return reports.rank_suspects(found).select("rank", *FINDING)
 
 
 @register("r1_suspects_by_app")
 def _(spark, sf_dir):
-    found = analysis.find_suspects(_fleet(spark, sf_dir), ["app_id"])
+    found = store.written(analysis.find_suspects(_fleet(spark, sf_dir), ["app_id"]), "findings")
     return reports.rank_suspects(found, ["app_id"]).select("app_id", "rank", *FINDING)
 
 
@@ -272,7 +270,7 @@ def _(spark, sf_dir):
 
 @register("r5_stage_hints")
 def _(spark, sf_dir):
-    hints = analysis.analyze(X.telemetry(spark, sf_dir)).stage_hints
+    hints = analysis.analyze(X.telemetry(spark, sf_dir), store_findings=False).stage_hints
     return hints.groupBy("sql_plan_hint").agg(F.count(F.lit(1)).alias("stages"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from emberscope.model import Telemetry
 from emberscope.operators import linking, reports, stage_rules, task_rules
+from emberscope.sources import store
 
 
 @dataclass(frozen=True)
@@ -93,9 +94,18 @@ class Report:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
-def analyze(t: Telemetry, by: Sequence[str] = (), strict: bool = True) -> Report:
-    """Sorted findings, ranked jobs, critical stages, hints, health and resources."""
+def analyze(
+    t: Telemetry, by: Sequence[str] = (), strict: bool = True, store_findings: bool = True
+) -> Report:
+    """Sorted findings, ranked jobs, critical stages, hints, health and resources.
+
+    The findings are needed by several tables, and sorting reads its input twice; they are
+    therefore computed once and written to the shared folder unless ``store_findings`` is
+    off.
+    """
     suspects = find_suspects(t, by, strict)
+    if store_findings:
+        suspects = store.written(suspects, "findings")
     jobs = reports.job_rows(t.jobs, t.sql_jobs, t.sql_executions, by)
     return Report(
         suspects=reports.sort_suspects(suspects, by),

@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscope.model import TABLE_SCHEMAS, Telemetry
+from emberscope.workspace import new_folder
 
 _CLUSTER_KEYS = ("app_id", "stage_id", "task_id", "job_id", "sql_id", "id")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows computed once, as a table in the shared folder."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(telemetry: Telemetry, label: str = "telemetry") -> Telemetry:
+    """Every table but tasks computed once; tasks stay the scan they are."""
+    return telemetry.map(lambda name, df: df if name == "tasks" else written(df, f"{label}-{name}"))
+
+
 def clustered(df: DataFrame) -> DataFrame:
     """Range-partition by application and ids: neighbours share files, and a large
     application spans as many files as it needs."""
