@@ -28,7 +28,6 @@ def elapsed_ms(start: str, end: str) -> str:
 def clock_text(ts: str) -> str:
     """UTC ``HH:mm:ss`` or ``-``, independent of the session time zone."""
     second = f"pmod(unix_seconds({ts}), 86400)"
-    return (
-        f"coalesce(format_string('%02d:%02d:%02d', {second} div 3600, {second} % 3600 div 60,"
-        f" {second} % 60), '-')"
-    )
+    parts = (f"{second} div 3600", f"{second} % 3600 div 60", f"{second} % 60")
+    two_digits = ", ':', ".join(f"lpad({part}, 2, '0')" for part in parts)
+    return f"coalesce(concat({two_digits}), '-')"

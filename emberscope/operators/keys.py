@@ -21,6 +21,15 @@ def attach_totals(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFr
     return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[n].alias(n) for n in names])
 
 
+SMALL_TABLE = 200_000  # rows up to which a narrow lookup table is broadcast
+
+
+def small_side(lookup: DataFrame, most: int = SMALL_TABLE) -> DataFrame:
+    """The lookup marked for broadcast if it is counted to be small; else as it is, so that
+    the join shuffles and adaptive execution splits its hot keys."""
+    return F.broadcast(lookup) if lookup.limit(most + 1).count() <= most else lookup
+
+
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows per key, with their number in ``row_no``.
 

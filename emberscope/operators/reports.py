@@ -39,6 +39,19 @@ DURATION_PROBS = {"min": 0.0, "median": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0
 HISTOGRAM_BUCKETS = 10
 HISTOGRAM_BAR = 40
 NO_DESCRIPTION, NO_PLAN = "(no description)", "(empty plan)"
+RUNNING, ACTIVE, CRITICAL_MARK = "running", "active", " CP"
+ISSUE = "{} in stage {}"
+JOBS_LINE, BUSY_JOBS_LINE = "Jobs: {}", "Jobs: {} ({} running, {} failed)"
+IO_LINE = "I/O: in {} out {} shuffle {}"
+HEALTH_LINE, HEALTHY_LINE = "Health: {} CRIT {} WARN", "Health: OK"
+TOP_LINE, NO_ISSUES_LINE = "Top: {}", "No critical issues detected"
+STAGE_LINE, STAGE_TAG = "Stage {}: {}", "[Stage {}]"
+SQL_LINE = "#{} — {}"
+SAVINGS_LINE = "~{} potential savings"
+HEADER_IO = {"in: {} ({})": "input", "out: {} ({})": "output", "shuf_r: {} ({})": "shuffle_read", "shuf_w: {} ({})": "shuffle_write"}
+HEADER_SPILL = "spill: {} (RAM: {})"
+HEADER_CPU = "cpu: {} / runtime: {}"
+HEADER_FAILURES = "{} failed, {} killed out of {} tasks"
 
 WALL_MS = elapsed_ms("submission_time", "completion_time")
 
@@ -141,7 +154,7 @@ def health_summary(
     appears in any of the tables gets its row, and no join is needed.
     """
     critical, warning = F.col("severity") == M.CRIT, F.col("severity") == M.WARN
-    issue = F.concat(F.col("category"), F.lit(" in stage "), F.col("stage_id"))
+    issue = F.expr(fill(ISSUE, "category", "stage_id"))
     first = top_rows(suspects.where(critical), by, suspect_order(), 3)
 
     def counter(condition: Column) -> Column:
@@ -182,21 +195,19 @@ def health_summary(
 
 def health_lines(health: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The two summary lines and the overall state."""
-    some_jobs = fill(
-        "Jobs: {} ({} running, {} failed)", "total_jobs", "running_jobs", "failed_jobs"
-    )
-    jobs = f"if(running_jobs > 0 OR failed_jobs > 0, {some_jobs}, {fill('Jobs: {}', 'total_jobs')})"
+    busy = fill(BUSY_JOBS_LINE, "total_jobs", "running_jobs", "failed_jobs")
+    jobs = f"if(running_jobs > 0 OR failed_jobs > 0, {busy}, {fill(JOBS_LINE, 'total_jobs')})"
     io = fill(
-        "I/O: in {} out {} shuffle {}", bytes_text("total_input_bytes"),
+        IO_LINE, bytes_text("total_input_bytes"),
         bytes_text("total_output_bytes"), bytes_text("total_shuffle_bytes"),
     )
-    counts = fill("Health: {} CRIT {} WARN", "critical_count", "warning_count")
-    found = f"if(critical_count > 0 OR warning_count > 0, {counts}, 'Health: OK')"
+    counts = fill(HEALTH_LINE, "critical_count", "warning_count")
+    found = f"if(critical_count > 0 OR warning_count > 0, {counts}, {lit(HEALTHY_LINE)})"
     issues = "concat_ws(', ', top_issue_1, top_issue_2, top_issue_3)"
     return health.selectExpr(
         *by,
         f"concat_ws(' | ', {jobs}, {io}, {found}) AS summary",
-        f"if({issues} <> '', concat('Top: ', {issues}), 'No critical issues detected') AS issues",
+        f"if({issues} <> '', {fill(TOP_LINE, issues)}, {lit(NO_ISSUES_LINE)}) AS issues",
         "CASE WHEN critical_count > 0 THEN 'critical' WHEN warning_count > 0 THEN 'warning' ELSE 'ok' END"
         " AS state",
     )
@@ -213,7 +224,7 @@ def jobs_report(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return jobs.selectExpr(
         *by, "job_id", "status",
         f"{clock_text('submission_time')} AS started",
-        f"coalesce({duration_text('duration_ms')}, 'running') AS duration",
+        f"coalesce({duration_text('duration_ms')}, '{RUNNING}') AS duration",
         "num_tasks", "num_failed_tasks",
         f"{SQL_REFERENCE} AS sql",
         f"{shorten('name', 50)} AS name",
@@ -249,8 +260,8 @@ def job_detail(
     flagged = _flag(rows, critical, by).withColumn("label", F.expr(stage_label("name")))
     return flagged.selectExpr(
         *by, "job_id", "stage_id", "attempt_id", "status",
-        f"if(critical, concat({shorten('label', 27)}, ' CP'), {shorten('label', 30)}) AS name",
-        f"coalesce({duration_text(WALL_MS)}, 'active') AS duration",
+        f"if(critical, concat({shorten('label', 27)}, '{CRITICAL_MARK}'), {shorten('label', 30)}) AS name",
+        f"coalesce({duration_text(WALL_MS)}, '{ACTIVE}') AS duration",
         "num_tasks",
         f"{bytes_or_dash('input_bytes')} AS input",
         f"{bytes_or_dash('output_bytes')} AS output",
@@ -266,9 +277,9 @@ def suspect_detail(
 ) -> DataFrame:
     """Findings as texts, joined to the job they lead to."""
     heads = jobs.selectExpr(*by, "job_id", "name AS job_name", "status AS job_status")
-    label = fill("Stage {}: {}", "stage_id", stage_label("stage_name"))
-    sql = fill("#{} — {}", "sql_id", shorten(f"coalesce(sql_description, {lit(NO_DESCRIPTION)})", 70))
-    savings = fill("~{} potential savings", duration_text("estimated_savings_ms"))
+    label = fill(STAGE_LINE, "stage_id", stage_label("stage_name"))
+    sql = fill(SQL_LINE, "sql_id", shorten(f"coalesce(sql_description, {lit(NO_DESCRIPTION)})", 70))
+    savings = fill(SAVINGS_LINE, duration_text("estimated_savings_ms"))
     return _flag(suspects.join(heads, [*by, "job_id"], "left"), critical, by).selectExpr(
         *by, "severity", "category", "coalesce(bottleneck, '-') AS pattern",
         "stage_id", "job_id", "job_name", "job_status", f"{SQL_REFERENCE} AS sql",
@@ -286,7 +297,7 @@ def suspect_detail(
 def sql_recommendations(suspects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Findings per SQL execution with their advice."""
     return suspects.where("sql_id IS NOT NULL").selectExpr(
-        *by, "sql_id", "severity", f"{fill('[Stage {}]', 'stage_id')} AS stage",
+        *by, "sql_id", "severity", f"{fill(STAGE_TAG, 'stage_id')} AS stage",
         "category", "stage_id", "title", "detail", "recommendation",
     )
 
@@ -319,25 +330,21 @@ def stage_headers(
     rows = _with_cluster(rows, cluster, by).withColumn("peak_memory", F.expr(peak))
     parts = [
         f"if({side}_bytes > 0,"
-        f" {fill(label + ': {} ({})', bytes_text(f'{side}_bytes'), count_text(f'{side}_records'))}, NULL)"
-        for label, side in (
-            ("in", "input"), ("out", "output"), ("shuf_r", "shuffle_read"), ("shuf_w", "shuffle_write"),
-        )
+        f" {fill(part, bytes_text(f'{side}_bytes'), count_text(f'{side}_records'))}, NULL)"
+        for part, side in HEADER_IO.items()
     ]
-    spill = fill("spill: {} (RAM: {})", bytes_text("disk_bytes_spilled"), bytes_text("memory_bytes_spilled"))
+    spill = fill(HEADER_SPILL, bytes_text("disk_bytes_spilled"), bytes_text("memory_bytes_spilled"))
     parts.append(f"if(disk_bytes_spilled > 0, {spill}, NULL)")
     cpu = percent(cpu_ratio("executor_cpu_time", "executor_run_time"))
     cpu_detail = fill(
-        "cpu: {} / runtime: {}", duration_text(cpu_millis("executor_cpu_time")),
+        HEADER_CPU, duration_text(cpu_millis("executor_cpu_time")),
         duration_text("executor_run_time"),
     )
-    lost = fill(
-        "{} failed, {} killed out of {} tasks", "num_failed_tasks", "num_killed_tasks", "num_tasks"
-    )
+    lost = fill(HEADER_FAILURES, "num_failed_tasks", "num_killed_tasks", "num_tasks")
     return rows.selectExpr(
         *by, "stage_id", "attempt_id", "status", "num_tasks",
         f"{stage_label('name')} AS name",
-        f"coalesce({duration_text(WALL_MS)}, 'active') AS duration",
+        f"coalesce({duration_text(WALL_MS)}, '{ACTIVE}') AS duration",
         "sql_plan_hint",
         f"nullif(concat_ws('  ', {', '.join(parts)}), '') AS io",
         f"if(executor_run_time > 0, {cpu}, NULL) AS cpu",

@@ -60,6 +60,44 @@ SAVINGS = {
     M.PYTHON_UDF: "0.5D",
 }
 
+# Titles and details of the findings.
+TITLES = {
+    M.SLOW_STAGE: "Stage {} took {}{}",
+    M.DISK_SPILL: "Stage {} spilled {} to disk",
+    M.IO_BOUND: "Stage {} I/O bound: CPU ratio {}",
+    M.CPU_BOUND: "Stage {} CPU saturated: {} utilization for {}",
+    M.RECORD_EXPLODE: "Stage {} output {}x more records than input",
+    M.TASK_FAIL: "Stage {} has {} failed + {} killed tasks ({})",
+    M.MEM_PRESSURE: "Stage {} memory spill {} (no disk spill yet)",
+    M.TOO_MANY_PARTS: "Stage {} has {} tasks with only {}/task avg",
+    M.TOO_FEW_PARTS: "Stage {} has only {} tasks with {}/task avg",
+    M.BCAST_JOIN: "Stage {} shuffles only {} — broadcast join candidate",
+    M.PYTHON_UDF: "Stage {} uses Python UDF ({})",
+    M.CACHE_OPPTY: "'{}' repeated {} times (total: {})",
+}
+DETAILS = {
+    M.SLOW_STAGE: "Mean: {}, StdDev: {}, {}x slower than average",
+    M.DISK_SPILL: "Memory spill: {}, Disk spill: {}",
+    M.IO_BOUND: "CPU time {} vs runtime {} ({} utilization)",
+    M.CPU_BOUND: "CPU time {} vs runtime {} — CPU fully utilized",
+    M.RECORD_EXPLODE: "Input: {} records → Output: {} records ({}x expansion)",
+    M.TASK_FAIL: "Total tasks: {}, Failed: {}, Killed: {}, Completed: {}",
+    M.MEM_PRESSURE: "Memory spilled: {}, Disk spilled: 0 — approaching disk spill threshold",
+    M.TOO_MANY_PARTS: "Total data: {}, {} tasks × {} avg",
+    M.TOO_FEW_PARTS: "Total data: {}, {} tasks × {} avg",
+    M.BCAST_JOIN: "Shuffle write: {} < 100MB threshold. A broadcast join would eliminate this shuffle.",
+    M.PYTHON_UDF: "Python UDF detected in SQL plan. CPU utilization: {}",
+    M.CACHE_OPPTY: "{} stages share name '{}'. Total runtime: {}. Caching could eliminate {} re-computations.",
+}
+PATTERN_TAG = " [{}]"
+IO_PARTS = {
+    "in: {}": "input_bytes",
+    "out: {}": "output_bytes",
+    "shuf_r: {}": "shuffle_read_bytes",
+    "shuf_w: {}": "shuffle_write_bytes",
+}
+IO_RATIO, NO_IO = "ratio: {}:1 in:out", "no I/O"
+
 # What to do about a bottleneck.
 REMEDY = {
     M.LARGE_SCAN: "Read less: select the columns you need and filter on partition columns such as"
@@ -158,20 +196,14 @@ def remedy(pattern: str) -> str:
 def io_summary() -> str:
     """Byte counters above zero in one line, with the in:out ratio above 2."""
     parts = [
-        f"if({name} > 0, {fill(label + ': {}', bytes_text(name))}, NULL)"
-        for label, name in (
-            ("in", "input_bytes"),
-            ("out", "output_bytes"),
-            ("shuf_r", "shuffle_read_bytes"),
-            ("shuf_w", "shuffle_write_bytes"),
-        )
+        f"if({name} > 0, {fill(part, bytes_text(name))}, NULL)" for part, name in IO_PARTS.items()
     ]
     in_out = ratio("input_bytes", "output_bytes")
     parts.append(
         f"if(input_bytes > 0 AND output_bytes > 0 AND {in_out} > 2D,"
-        f" {fill('ratio: {}:1 in:out', whole(in_out))}, NULL)"
+        f" {fill(IO_RATIO, whole(in_out))}, NULL)"
     )
-    return f"coalesce(nullif(concat_ws(', ', {', '.join(parts)}), ''), 'no I/O')"
+    return f"coalesce(nullif(concat_ws(', ', {', '.join(parts)}), ''), {lit(NO_IO)})"
 
 
 # ---------------------------------------------------------------------------
@@ -185,11 +217,11 @@ def slow_stage() -> Finding:
         f" AND executor_run_time > run_mean + {SLOW_WARN_SD} * run_sd",
         critical=f"executor_run_time > run_mean + {SLOW_CRIT_SD} * run_sd",
         title=fill(
-            "Stage {} took {}{}", "stage_id", RUN_TEXT,
-            f"coalesce({fill(' [{}]', 'bottleneck')}, '')",
+            TITLES[M.SLOW_STAGE], "stage_id", RUN_TEXT,
+            f"coalesce({fill(PATTERN_TAG, 'bottleneck')}, '')",
         ),
         detail=fill(
-            "Mean: {}, StdDev: {}, {}x slower than average",
+            DETAILS[M.SLOW_STAGE],
             duration_text("cast(run_mean as bigint)"), duration_text("cast(run_sd as bigint)"),
             fixed("executor_run_time / run_mean", 1),
         ),
@@ -204,9 +236,9 @@ def disk_spill() -> Finding:
         category=M.DISK_SPILL,
         fires="disk_bytes_spilled > 0",
         critical=f"disk_bytes_spilled > {SPILL_CRIT}",
-        title=fill("Stage {} spilled {} to disk", "stage_id", bytes_text("disk_bytes_spilled")),
+        title=fill(TITLES[M.DISK_SPILL], "stage_id", bytes_text("disk_bytes_spilled")),
         detail=fill(
-            "Memory spill: {}, Disk spill: {}",
+            DETAILS[M.DISK_SPILL],
             bytes_text("memory_bytes_spilled"), bytes_text("disk_bytes_spilled"),
         ),
         recommendation=f"concat_ws(' ', {lit(SPILL_ADVICE)}, {remedy('bottleneck')})",
@@ -219,9 +251,9 @@ def io_bound() -> Finding:
     return Finding(
         category=M.IO_BOUND,
         fires=f"{COMPLETE} AND executor_run_time > {IO_MIN_RUN_MS} AND {CPU_RATIO} < {IO_MAX_RATIO}",
-        title=fill("Stage {} I/O bound: CPU ratio {}", "stage_id", percent(CPU_RATIO)),
+        title=fill(TITLES[M.IO_BOUND], "stage_id", percent(CPU_RATIO)),
         detail=fill(
-            "CPU time {} vs runtime {} ({} utilization)", CPU_TEXT, RUN_TEXT, percent(CPU_RATIO)
+            DETAILS[M.IO_BOUND], CPU_TEXT, RUN_TEXT, percent(CPU_RATIO)
         ),
         recommendation=lit(IO_ADVICE),
         savings=_saving(SAVINGS[M.IO_BOUND]),
@@ -233,9 +265,9 @@ def cpu_bound() -> Finding:
         category=M.CPU_BOUND,
         fires=f"{COMPLETE} AND executor_run_time > {CPU_MIN_RUN_MS} AND {CPU_RATIO} > {CPU_MIN_RATIO}",
         title=fill(
-            "Stage {} CPU saturated: {} utilization for {}", "stage_id", percent(CPU_RATIO), RUN_TEXT
+            TITLES[M.CPU_BOUND], "stage_id", percent(CPU_RATIO), RUN_TEXT
         ),
-        detail=fill("CPU time {} vs runtime {} — CPU fully utilized", CPU_TEXT, RUN_TEXT),
+        detail=fill(DETAILS[M.CPU_BOUND], CPU_TEXT, RUN_TEXT),
         recommendation=lit(CPU_ADVICE),
         savings=_saving(SAVINGS[M.CPU_BOUND]),
     )
@@ -247,9 +279,9 @@ def record_explosion() -> Finding:
         category=M.RECORD_EXPLODE,
         fires=f"input_records > {EXPLODE_MIN_RECORDS} AND output_records > {EXPLODE_FACTOR} * input_records",
         critical=f"{growth} > {EXPLODE_CRIT}",
-        title=fill("Stage {} output {}x more records than input", "stage_id", whole(growth)),
+        title=fill(TITLES[M.RECORD_EXPLODE], "stage_id", whole(growth)),
         detail=fill(
-            "Input: {} records → Output: {} records ({}x expansion)",
+            DETAILS[M.RECORD_EXPLODE],
             "input_records", "output_records", whole(growth),
         ),
         recommendation=lit(EXPLODE_ADVICE),
@@ -266,11 +298,11 @@ def task_failures() -> Finding:
         fires="num_failed_tasks > 0 OR num_killed_tasks > 0",
         critical=f"{rate} > {FAIL_CRIT_RATE} OR {lost} > {FAIL_CRIT_TASKS}",
         title=fill(
-            "Stage {} has {} failed + {} killed tasks ({})",
+            TITLES[M.TASK_FAIL],
             "stage_id", "num_failed_tasks", "num_killed_tasks", percent(rate),
         ),
         detail=fill(
-            "Total tasks: {}, Failed: {}, Killed: {}, Completed: {}",
+            DETAILS[M.TASK_FAIL],
             "num_tasks", "num_failed_tasks", "num_killed_tasks", "num_complete_tasks",
         ),
         recommendation=lit(FAIL_ADVICE),
@@ -283,9 +315,9 @@ def memory_pressure() -> Finding:
     return Finding(
         category=M.MEM_PRESSURE,
         fires=f"memory_bytes_spilled > {MEM_SPILL_MIN} AND disk_bytes_spilled = 0",
-        title=fill("Stage {} memory spill {} (no disk spill yet)", "stage_id", spilled),
+        title=fill(TITLES[M.MEM_PRESSURE], "stage_id", spilled),
         detail=fill(
-            "Memory spilled: {}, Disk spilled: 0 — approaching disk spill threshold", spilled
+            DETAILS[M.MEM_PRESSURE], spilled
         ),
         recommendation=lit(MEM_ADVICE),
         savings=_saving(SAVINGS[M.MEM_PRESSURE]),
@@ -294,7 +326,7 @@ def memory_pressure() -> Finding:
 
 def _partition_detail() -> str:
     return fill(
-        "Total data: {}, {} tasks × {} avg", bytes_text(TOTAL_READ), "num_tasks", bytes_text(READ_PER_TASK)
+        DETAILS[M.TOO_MANY_PARTS], bytes_text(TOTAL_READ), "num_tasks", bytes_text(READ_PER_TASK)
     )
 
 
@@ -308,7 +340,7 @@ def too_many_partitions() -> Finding:
         fires=f"{COMPLETE} AND num_tasks > {MANY_TASKS} AND {TOTAL_READ} <> 0"
         f" AND {READ_PER_TASK} < {SMALL_TASK_BYTES}",
         title=fill(
-            "Stage {} has {} tasks with only {}/task avg", "stage_id", "num_tasks", bytes_text(READ_PER_TASK)
+            TITLES[M.TOO_MANY_PARTS], "stage_id", "num_tasks", bytes_text(READ_PER_TASK)
         ),
         detail=_partition_detail(),
         recommendation=fill("Use df.coalesce({}) for partitions of about 128MB.", _target(1)),
@@ -322,7 +354,7 @@ def too_few_partitions() -> Finding:
         fires=f"{COMPLETE} AND num_tasks > 0 AND num_tasks <= {FEW_TASKS}"
         f" AND {READ_PER_TASK} > {LARGE_TASK_BYTES}",
         title=fill(
-            "Stage {} has only {} tasks with {}/task avg", "stage_id", "num_tasks", bytes_text(READ_PER_TASK)
+            TITLES[M.TOO_FEW_PARTS], "stage_id", "num_tasks", bytes_text(READ_PER_TASK)
         ),
         detail=_partition_detail(),
         recommendation=fill("Use df.repartition({}) for partitions of about 128MB.", _target(8)),
@@ -340,9 +372,9 @@ def broadcast_join() -> Finding:
         category=M.BCAST_JOIN,
         fires=f"{COMPLETE} AND shuffle_write_bytes > 0 AND shuffle_write_bytes < {BROADCAST_MAX_BYTES}"
         f" AND executor_run_time > {PLAN_RULE_MIN_RUN_MS} AND {_mentions(JOIN_MARKS)}",
-        title=fill("Stage {} shuffles only {} — broadcast join candidate", "stage_id", moved),
+        title=fill(TITLES[M.BCAST_JOIN], "stage_id", moved),
         detail=fill(
-            "Shuffle write: {} < 100MB threshold. A broadcast join would eliminate this shuffle.", moved
+            DETAILS[M.BCAST_JOIN], moved
         ),
         recommendation=lit(BROADCAST_ADVICE),
         savings=_saving(SAVINGS[M.BCAST_JOIN]),
@@ -355,8 +387,8 @@ def python_udf() -> Finding:
         category=M.PYTHON_UDF,
         fires=f"{COMPLETE} AND executor_run_time > {PLAN_RULE_MIN_RUN_MS} AND {_mentions(PYTHON_MARKS)}",
         critical=f"{busy} > {CPU_MIN_RATIO} AND executor_run_time > {CPU_MIN_RUN_MS}",
-        title=fill("Stage {} uses Python UDF ({})", "stage_id", RUN_TEXT),
-        detail=fill("Python UDF detected in SQL plan. CPU utilization: {}", percent(busy)),
+        title=fill(TITLES[M.PYTHON_UDF], "stage_id", RUN_TEXT),
+        detail=fill(DETAILS[M.PYTHON_UDF], percent(busy)),
         recommendation=lit(PYTHON_ADVICE),
         savings=_saving(SAVINGS[M.PYTHON_UDF]),
     )
@@ -440,9 +472,9 @@ def cache_opportunities(context: DataFrame, by: Sequence[str] = ()) -> DataFrame
         .where(f"times >= 2 AND total > {REPEAT_MIN_TOTAL_MS}")
     )
     total = duration_text("total")
-    title = fill("'{}' repeated {} times (total: {})", shorten("label", 40), "times", total)
+    title = fill(TITLES[M.CACHE_OPPTY], shorten("label", 40), "times", total)
     detail = fill(
-        "{} stages share name '{}'. Total runtime: {}. Caching could eliminate {} re-computations.",
+        DETAILS[M.CACHE_OPPTY],
         "times", shorten("label", 30), total, "(times - 1)",
     )
     found = groups.selectExpr(

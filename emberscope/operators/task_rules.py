@@ -26,6 +26,21 @@ RECORD_SKEW_MIN_MAX = 1000
 HOT_SHARE = 0.5
 TOP_STAGES, MANY_TASKS, STAGE_CAP = 5, 100, 15
 
+# Titles and details of the findings.
+SKEW_TITLE = "{}: CV={}, max/median={}x"
+SKEW_LABELS = {
+    "duration": "Duration skew",
+    "size": "Data size skew",
+    "records": "Record count skew",
+}
+SKEW_DETAILS = {
+    "duration": "Task #{} took {} (median {}), processed {}",
+    "size": "Task #{} processed {} (median {}, max {})",
+    "records": "Task #{} processed {} records (median {}, max {})",
+}
+HOT_TITLE = "Executor {} handles {} of data"
+HOT_DETAIL = "Executor {} processed {} ({} of total {}) across {} tasks"
+
 DURATION_ADVICE = "Repartition, or salt the keys that hold most rows."
 SIZE_ADVICE = "Tasks get unequal amounts of data: repartition by a more even key or salt it."
 RECORD_ADVICE = "Tasks get unequal numbers of records: look for hot keys in joins and groupings."
@@ -228,15 +243,15 @@ def _by_measure(duration: str, size: str, records: str) -> str:
 
 
 def _skew_texts() -> tuple[str, str, str]:
-    label = _by_measure("'Duration skew'", "'Data size skew'", "'Record count skew'")
-    title = fill("{}: CV={}, max/median={}x", label, fixed("cv", 1), fixed("max_median_ratio", 1))
+    label = _by_measure(*[lit(text) for text in SKEW_LABELS.values()])
+    title = fill(SKEW_TITLE, label, fixed("cv", 1), fixed("max_median_ratio", 1))
     middle = "cast(median as bigint)"
     detail = _by_measure(
-        fill("Task #{} took {} (median {}), processed {}", "task_id", duration_text("max_val"),
+        fill(SKEW_DETAILS["duration"], "task_id", duration_text("max_val"),
              duration_text(middle), bytes_text("task_bytes")),
-        fill("Task #{} processed {} (median {}, max {})", "task_id", bytes_text("max_val"),
+        fill(SKEW_DETAILS["size"], "task_id", bytes_text("max_val"),
              bytes_text(middle), bytes_text("max_val")),
-        fill("Task #{} processed {} records (median {}, max {})", "task_id", "max_val",
+        fill(SKEW_DETAILS["records"], "task_id", "max_val",
              whole("median"), whole("max_val")),
     )
     return title, detail, _by_measure(lit(DURATION_ADVICE), lit(SIZE_ADVICE), lit(RECORD_ADVICE))
@@ -283,9 +298,9 @@ def skew_findings(dists: DataFrame, names: DataFrame, by: Sequence[str] = ()) ->
 
 def hotspot_findings(tasks: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     share = percent("share")
-    title = fill("Executor {} handles {} of data", "executor_id", share)
+    title = fill(HOT_TITLE, "executor_id", share)
     detail = fill(
-        "Executor {} processed {} ({} of total {}) across {} tasks",
+        HOT_DETAIL,
         "executor_id", bytes_text("bytes"), share, bytes_text("stage_bytes"), "tasks",
     )
     found = hotspots(tasks, by).selectExpr(

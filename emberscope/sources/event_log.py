@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from emberscope import model as M
 from emberscope.functions.texts import strip
+from emberscope.operators.keys import small_side
 from emberscope.workspace import new_folder
 
 # ---------------------------------------------------------------------------
@@ -186,9 +188,12 @@ def _gzip_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         .where(~F.col("path").rlike(CODEC_SUFFIX) & (F.col("length") < (1 << 31) - 1))
     )
     magic = F.substring("content", 1, 2) == F.lit(bytes([0x1F, 0x8B]))
-    return files.where(magic).select(
-        F.regexp_replace("path", "^file:/+", "file:///").alias("file"), "content"
-    )
+    return files.where(magic).select(_file_url("path").alias("file"), "content")
+
+
+def _file_url(path: str) -> Column:
+    """The form of a local path that file metadata uses."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
 
 
 def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -590,7 +595,7 @@ def _executors(events: _Events) -> DataFrame:
 def telemetry_of(events: DataFrame) -> M.Telemetry:
     """The telemetry tables of parsed (best: staged) events, keyed by ``app_id``."""
     ev = _Events(events)
-    apps = _applications(ev)
+    apps = small_side(_applications(ev)) if ev.staged else _applications(ev)
     jobs = _with_app(_jobs(ev), apps)
     tables = {
         "tasks": _with_app(task_rows(ev.of("task_end")), apps),
@@ -612,9 +617,19 @@ def read_event_log(
     app_from: str = "file",
     gzip_by_content: bool = False,
     staging: bool = True,
+    pick: str = "all",
 ) -> M.Telemetry:
-    """Event logs to telemetry.  ``staging=False`` re-parses the text for every table."""
-    events = parse_lines(read_lines(spark, paths, app_from, gzip_by_content))
+    """Event logs to telemetry.
+
+    ``pick="largest"`` reads only the largest file of every folder; by default all files
+    count, as rolling logs need.  ``staging=False`` re-parses the text for every table.
+    """
+    lines = read_lines(spark, paths, app_from, gzip_by_content)
+    if pick == "largest":
+        chosen = [largest_per_folder(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
+        files = reduce(DataFrame.unionByName, chosen).select(_file_url("path").alias("file"))
+        lines = lines.join(small_side(files), F.col("pos.file") == F.col("file"), "left_semi")
+    events = parse_lines(lines)
     return telemetry_of(stage_events(events, new_folder(spark, "events")) if staging else events)
 
 
