@@ -188,12 +188,7 @@ def _gzip_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         .where(~F.col("path").rlike(CODEC_SUFFIX) & (F.col("length") < (1 << 31) - 1))
     )
     magic = F.substring("content", 1, 2) == F.lit(bytes([0x1F, 0x8B]))
-    return files.where(magic).select(_file_url("path").alias("file"), "content")
-
-
-def _file_url(path: str) -> Column:
-    """The form of a local path that file metadata uses."""
-    return F.regexp_replace(path, "^file:/+", "file:///")
+    return files.where(magic).select(F.col("_metadata.file_path").alias("file"), "content")
 
 
 def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -627,7 +622,7 @@ def read_event_log(
     lines = read_lines(spark, paths, app_from, gzip_by_content)
     if pick == "largest":
         chosen = [largest_per_folder(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
-        files = reduce(DataFrame.unionByName, chosen).select(_file_url("path").alias("file"))
+        files = reduce(DataFrame.unionByName, chosen).select(F.col("path").alias("file"))
         lines = lines.join(small_side(files), F.col("pos.file") == F.col("file"), "left_semi")
     events = parse_lines(lines)
     return telemetry_of(stage_events(events, new_folder(spark, "events")) if staging else events)
@@ -639,7 +634,7 @@ def read_event_log(
 def log_files(spark: SparkSession, root: str) -> DataFrame:
     """``path, length`` of the files below a root (names and sizes only, no content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", "length")
+    return files.select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 def discover_event_log(spark: SparkSession, root: str) -> str | None:
