@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import re
 import sys
 import time
 from collections import Counter
@@ -61,6 +62,10 @@ def check(spark: SparkSession, con, sf_dir: str, name: str, sql: str) -> tuple[b
     df = QUERIES[name](spark, sf_dir)
     got_rows = [tuple(r) for r in df.collect()]
     took = time.time() - start
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    crossed = re.findall(r"(?m)^[\s:+*()\d-]*(CartesianProduct|BroadcastNestedLoopJoin)\b", plan)
+    if crossed:
+        return False, f"plan has {crossed}", took
     want = con.execute(sql)
     want_columns = [d[0] for d in want.description]
     want_types = [str(d[1]) for d in want.description]

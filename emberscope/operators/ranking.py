@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberscope.operators.keys import small_side
 from emberscope.workspace import shared_folder
 
 _ROWS_PER_PARTITION_BITS = 33  # layout of monotonically_increasing_id
@@ -48,6 +49,6 @@ def with_rank(
     if not by:
         return numbered
     starts = numbered.groupBy(*by).agg(F.min(name).alias("_start"))
-    return numbered.join(starts, list(by)).withColumn(name, F.col(name) - F.col("_start") + 1).drop(
+    return numbered.join(small_side(starts), list(by)).withColumn(name, F.col(name) - F.col("_start") + 1).drop(
         "_start"
     )

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberscope import model as M
-from emberscope.functions.texts import strip
 from emberscope.operators.keys import small_side
 from emberscope.workspace import new_folder
 
@@ -328,7 +327,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     }
     carried = [c for c in lines.columns if c != "value"]
     parsed = (
-        lines.where(f"{strip('value')} <> ''")
+        lines.where(r"value RLIKE r'\S'")
         .withColumn("e", F.from_json("value", EVENT, options))
         .withColumn("kind", F.expr(_kind()))
     )
