@@ -612,18 +612,21 @@ def read_event_log(
     gzip_by_content: bool = False,
     staging: bool = True,
     pick: str = "all",
+    spread: int | None = None,
 ) -> M.Telemetry:
     """Event logs to telemetry.
 
     ``pick="largest"`` reads only the largest file of every folder; by default all files
     count, as rolling logs need.  ``staging=False`` re-parses the text for every table.
+    ``spread`` deals the lines to that many tasks before parsing: compressed files cannot be
+    split, so one very large log would otherwise be parsed by one task.
     """
     lines = read_lines(spark, paths, app_from, gzip_by_content)
     if pick == "largest":
         chosen = [largest_per_folder(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
         files = reduce(DataFrame.unionByName, chosen).select(F.col("path").alias("file"))
         lines = lines.join(small_side(files), F.col("pos.file") == F.col("file"), "left_semi")
-    events = parse_lines(lines)
+    events = parse_lines(lines if spread is None else lines.repartition(spread))
     return telemetry_of(stage_events(events, new_folder(spark, "events")) if staging else events)
 
 

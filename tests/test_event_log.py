@@ -140,6 +140,14 @@ def test_order_of_lines_decides(spark, tmp_path):
     assert log.read_event_log(spark, str(tmp_path)).jobs.first().status == "UNKNOWN"
 
 
+def test_spread_keeps_the_order_of_lines(spark, tmp_path):
+    (tmp_path / "app.gz").write_bytes(gzip.compress(text().encode()))
+    spread = log.read_event_log(spark, str(tmp_path), spread=3)
+    whole = log.read_event_log(spark, str(tmp_path))
+    for name in ("stages", "jobs", "sql_jobs", "executors"):
+        assert sorted(map(str, getattr(spread, name).collect())) == sorted(map(str, getattr(whole, name).collect()))
+
+
 def test_rolling_and_many_applications(spark, tmp_path):
     for app in ("a", "b"):
         folder = tmp_path / f"eventlog_v2_{app}"
