@@ -38,8 +38,12 @@ def split_by_size(
         return df, None
     if len(listed) > most_listed:
         return None, df
-    keyed = F.broadcast(df.sparkSession.createDataFrame(listed, over.schema))
-    return df.join(keyed, keys, "left_anti"), df.join(keyed, keys, "left_semi")
+    named = over.withColumnsRenamed({k: f"_{k}" for k in keys}).schema
+    keyed = F.broadcast(df.sparkSession.createDataFrame(listed, named))
+    same = F.lit(True)  # a NULL key is a group like any other
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(keyed, same, "left_anti"), df.join(keyed, same, "left_semi")
 
 
 def value_bucket(value: Column) -> Column:

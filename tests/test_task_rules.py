@@ -111,6 +111,8 @@ def test_split_lists_or_takes_all(spark):
     small, big = quantiles.split_by_size(rows, ["k"], large=50)
     assert (small.count(), big.count()) == (10, 90)
     assert quantiles.split_by_size(rows, ["k"], large=100) == (rows, None)
+    unknown = rows.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    assert [part.count() for part in quantiles.split_by_size(unknown, ["k"], large=50)] == [10, 90]
     assert quantiles.split_by_size(rows, ["k"], large=0, most_listed=3) == (None, rows)
 
 
