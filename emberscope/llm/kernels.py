@@ -177,3 +177,53 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "biu" else np.float64)
     np.cumsum(values, out=sums[1:])
     return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
+def joined(words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kept words with one space after each, and the start and end of each word there."""
+    start, end = (words.start, words.end) if keep is None else (words.start[keep], words.end[keep])
+    at = np.concatenate([[0], np.cumsum(end - start + 1)])
+    source = np.repeat(start - at[:-1], end - start + 1) + np.arange(at[-1])
+    out = np.append(words.of.data, np.uint8(32))[source]
+    out[at[1:] - 1] = 32
+    return out, at[:-1], at[1:] - 1
+
+
+def joined_texts(words: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's kept words, one space between them."""
+    data, start, end = joined(words, keep)
+    kept = per_text(keep, words.bounds)
+    after = np.cumsum(kept)
+    some = kept > 0
+    inner = np.ones(len(data), bool)
+    inner[end[after[some] - 1]] = False  # the space after a text's last word
+    ends = np.zeros(len(kept) + 1, np.int64)
+    ends[1:][some] = end[after[some] - 1] - np.arange(some.sum())
+    offsets = np.maximum.accumulate(ends)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[inner])]
+    return pa.LargeStringArray.from_buffers(len(kept), *buffers[1:]).cast(pa.string())
+
+
+def members(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which keys occur among the others."""
+    if not len(among):
+        return np.zeros(len(keys), bool)
+    among = np.sort(among)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return among[at] == keys
+
+
+def later_twins(keys: np.ndarray) -> np.ndarray:
+    """Which values equal an earlier one."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    again = np.zeros(len(keys), bool)
+    again[order[1:]] = ranked[1:] == ranked[:-1]
+    return again
+
+
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row number and the value of each entry of a column of long arrays; null rows have none."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(column)), sizes), values
