@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontamination, packing, quality, simhash, substring_dedup
+from emberscope.llm import decontamination, lm_scoring, packing, quality, simhash, substring_dedup
 from emberscope.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.held_out_scores(table(spark, sf_dir, "documents"))
