@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontamination, lm_scoring, packing, quality, simhash, substring_dedup
+from emberscope.llm import decontamination, language_id, lm_scoring, packing, quality, simhash, substring_dedup
 from emberscope.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,12 @@ def _register(fn):
     return fn
 
 
+@_register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.held_out_languages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @_register
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
