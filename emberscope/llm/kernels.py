@@ -79,7 +79,10 @@ class Bytes:
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64 bits for each byte span; equal spans have equal hashes wherever they lie."""
-        sums = self.running_hash()
+        return self.hash_between(self.running_hash(), start, end)
+
+    def hash_between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same from a running hash that is at hand."""
         _, back = _powers(max(22, len(self.data).bit_length()))
         return scrambled((sums[end] - sums[start]) * back[start])
 
@@ -113,11 +116,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
 class Words:
     """Words of a batch: byte spans, and the range of word numbers of each text."""
 
-    def __init__(self, of: Bytes):
+    def __init__(self, of: Bytes, inside: np.ndarray | None = None):
+        """``inside`` marks the bytes of words, where they are others than the usual ones."""
         data, offsets = of.data, of.offsets
         self.of = of
         n = len(data)
-        inside = ~_SEPARATOR[data]
+        inside = ~_SEPARATOR[data] if inside is None else inside
         first, last = inside.copy(), inside.copy()
         if n:
             first[1:] &= ~inside[:-1]

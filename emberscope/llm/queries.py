@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontamination, language_id, lm_scoring, packing, quality, simhash, substring_dedup
+from emberscope.llm import decontamination, language_id, lm_scoring, packing, quality, simhash, substring_dedup, toxicity
 from emberscope.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("sentences").alias("n_sentences"))
+
+
 @_register
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
