@@ -345,13 +345,21 @@ def _found(name: str) -> str:
 
 
 def _k7(cap: str, app: str = "") -> str:
-    part = "PARTITION BY app_id " if app else ""
+    """Stage attempts in the order of the three lists; the first one met stands for its stage."""
     col = "app_id, " if app else ""
-    source = f"(SELECT *, {APP_STAGE} AS app_id FROM stages)" if app else "stages"
-    return f"""SELECT {col}stage_id, attempt_id FROM (SELECT *, row_number() OVER ({part}ORDER BY executor_run_time DESC, stage_id) AS pick FROM (
-      SELECT *, row_number() OVER ({part}ORDER BY executor_run_time DESC, stage_id) AS by_run,
-        row_number() OVER ({part}ORDER BY shuffle_write_bytes DESC, stage_id) AS by_shuffle
-      FROM {source} WHERE status IN ('COMPLETE', 'FAILED')) WHERE by_run <= 5 OR (by_shuffle <= 5 AND shuffle_write_bytes > 0) OR num_tasks > 100) {cap}"""
+    part = f"PARTITION BY {APP_STAGE} " if app else ""
+    source = f"""SELECT *, {APP_STAGE} AS app_id FROM (
+        SELECT stage_id, attempt_id, status, num_tasks, executor_run_time AS run, shuffle_write_bytes AS w FROM stages
+        UNION ALL SELECT stage_id, 3, status, num_tasks, CASE WHEN stage_id % 2 = 0 THEN executor_run_time * 2 ELSE executor_run_time // 2 END,
+          CASE WHEN stage_id % 2 = 0 THEN shuffle_write_bytes ELSE shuffle_write_bytes // 2 END FROM stages WHERE stage_id % 3 = 0
+      ) WHERE status IN ('COMPLETE', 'FAILED')"""
+    return f"""SELECT * FROM (WITH ended AS ({source}), ranked AS (
+      SELECT *, row_number() OVER ({part}ORDER BY run DESC, stage_id, attempt_id) AS a, row_number() OVER ({part}ORDER BY w DESC, stage_id, attempt_id) AS b FROM ended
+    ), met AS (
+      SELECT *, a AS met_at FROM ranked WHERE a <= 5 UNION ALL SELECT *, 1000000 + b FROM ranked WHERE b <= 5 AND w > 0
+      UNION ALL SELECT *, 2000000 + attempt_id FROM ranked WHERE num_tasks > 100
+    ), places AS (SELECT {col}stage_id, arg_min(attempt_id, met_at) AS attempt_id, max(run) AS run FROM met GROUP BY {col}stage_id)
+    SELECT {col}stage_id, attempt_id FROM (SELECT *, row_number() OVER ({"PARTITION BY app_id " if app else ""}ORDER BY run DESC, stage_id) AS pick FROM places) {cap})"""
 
 
 def _skew(measure: str) -> str:
@@ -361,12 +369,16 @@ def _skew(measure: str) -> str:
 REMEDIES_SQL = "CASE bottleneck WHEN 'Large Scan' THEN '{}' WHEN 'Wide Shuffle' THEN '{}' WHEN 'Data Explosion' THEN '{}' END"
 
 
-def _remedies() -> str:
-    from emberscope.operators.stage_rules import REMEDY
+#: The texts of the remedies, stated here on their own.
+REMEDY_TEXTS = (
+    "Read less: select the columns you need and filter on partition columns such as date or region before anything else.",
+    "Shuffle less: join small tables with broadcast(small_df) and aggregate before the join.",
+    "Filter before explode() and make sure that no join lacks its condition.",
+)
 
-    return REMEDIES_SQL.format(
-        *[REMEDY[p].replace("'", "''") for p in ("Large Scan", "Wide Shuffle", "Data Explosion")]
-    )
+
+def _remedies() -> str:
+    return REMEDIES_SQL.format(*[text.replace("'", "''") for text in REMEDY_TEXTS])
 
 
 BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
@@ -385,7 +397,9 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "d12_remedy": f"SELECT stage_id, {_remedies()} AS remedy FROM ctx WHERE bottleneck IS NOT NULL",
     "d13_io_summary": f"SELECT stage_id, {IO} AS io_summary FROM stages",
     "d14_cache_opportunity": f"SELECT {FOUND} FROM ({CACHE.format(app='')})",
-    "d_details": " UNION ALL ".join(f"SELECT stage_id, category, detail FROM ({rule(r)})" for r in RULES),
+    "d_details": " UNION ALL ".join(
+        [f"SELECT stage_id, category, detail FROM ({rule(r)})" for r in RULES] + [f"SELECT stage_id, category, detail FROM ({CACHE.format(app='')})"]
+    ),
     "x1_custom_detector": """SELECT stage_id, job_id, 'WARN' AS severity, 'Heavy Write' AS category, 'Stage ' || stage_id || ' writes more than it reads' AS title
       FROM ctx WHERE shuffle_write_bytes > input_bytes""",
     "k1_distribution": "SELECT stage_id, measure, n, round(cv, 6) AS cv, round(ratio, 6) AS max_median_ratio, median, max_val FROM dists",
@@ -428,8 +442,8 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
       coalesce('#' || f.sql_id, '-') AS sql, {cut('f.title', 50)} AS title, 'Stage ' || f.stage_id || ': ' || x.label AS stage,
       '#' || f.sql_id || ' — ' || {cut("coalesce(x.sql_description, '(no description)')", 70)} AS sql_text, {cut('x.hint', 80)} AS operators, {cut('f.detail', 80)} AS detail,
       x.io_summary, CASE WHEN f.estimated_savings_ms > 0 THEN '~' || ({dur('f.estimated_savings_ms')}) || ' potential savings' END AS savings, c.stage_id IS NOT NULL AS critical
-      FROM ({rule('d2')} UNION ALL {rule('d6')}) f JOIN ctx x ON x.stage_id = f.stage_id LEFT JOIN jobs j ON j.job_id = f.job_id LEFT JOIN critical c ON c.stage_id = f.stage_id""",
-    "v4_sql_recommendations": f"SELECT sql_id, severity, '[Stage ' || stage_id || ']' AS stage, category, stage_id, title FROM ({ALL_RULES}) WHERE sql_id IS NOT NULL",
+      FROM ({" UNION ALL ".join(f"SELECT {FOUND}, detail FROM ({rule(r)})" for r in RULES)}) f JOIN ctx x ON x.stage_id = f.stage_id LEFT JOIN jobs j ON j.job_id = f.job_id LEFT JOIN critical c ON c.stage_id = f.stage_id""",
+    "v4_sql_recommendations": f"SELECT sql_id, severity, '[Stage ' || stage_id || ']' AS stage, category, stage_id, title FROM ({SUSPECTS}) WHERE sql_id IS NOT NULL",
     "v5_stage_header": f"""SELECT stage_id, status, num_tasks, label AS name, coalesce({dur(WALL)}, 'active') AS duration, hint AS sql_plan_hint, nullif({HEADER_IO}, '') AS io,
       CASE WHEN run > 0 THEN {pct('cpu')} END AS cpu, CASE WHEN run > 0 THEN 'cpu: ' || ({dur('(executor_cpu_time // 1000000)')}) || ' / runtime: ' || ({dur('run')}) END AS cpu_detail,
       {PEAK} AS peak_memory, {byt(f'({PEAK})')} AS peak_memory_text,
@@ -477,8 +491,17 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
       WHEN 4 THEN epoch_us(ts) // 1000000 * 1000 WHEN 5 THEN NULL ELSE epoch_us(ts) // 1000 END AS ms FROM events)""",
     "s1_event_log_scan": EVENT_ROWS,
     "s2_compressed_log": EVENT_ROWS,
-    "s3_largest_log_file": "SELECT 'phase=5' AS folder FROM tasks HAVING count(*) > 0",
-    "s4_first_log": "SELECT 'app-1' AS app_id, status, count(*) AS n FROM jobs GROUP BY status",
+    "s3_largest_log_file": f"""SELECT app, jobs, coalesce(stages, 0) AS stages, 1::BIGINT AS logs, app = min(app) OVER () AS is_first
+      FROM (SELECT {APP_JOB} AS app, count(*) AS jobs FROM jobs WHERE job_id IN (SELECT job_id FROM job_stages WHERE {APP_STAGE} = {APP_JOB}) GROUP BY 1)
+      LEFT JOIN (SELECT {APP_STAGE} AS app, count(*) AS stages FROM stages GROUP BY 1) USING (app)""",
+    "s4_first_log": "SELECT 'app-1' AS app_id, status, count(*) AS n, 1::BIGINT AS unreadable FROM jobs GROUP BY status",
+    "s6_broken_answers": """SELECT 'app-1' AS app_id, 'jobs.json' AS answer, count(*) AS n_rows, count(*) FILTER (job_id % 10 = 0) AS n_broken, count(*) FILTER (job_id % 10 <> 0) AS kept FROM jobs
+      UNION ALL SELECT 'app-1', 'stages.json', count(*), count(*) FILTER (stage_id % 7 = 0), count(*) FILTER (stage_id % 7 <> 0) FROM stages""",
+    "p1_applications": """SELECT app_id, count(*) AS jobs, sum(job_id)::BIGINT AS job_ids FROM (
+      SELECT CASE WHEN job_id % 2 = 0 THEN 'app-1/1' ELSE 'app-1/2' END AS app_id, job_id FROM jobs UNION ALL SELECT 'log three', job_id FROM jobs WHERE job_id % 3 = 0) GROUP BY app_id""",
+    "st2_native": STAGE_METRICS,
+    "st4_native": """SELECT 'app-1' AS app_id, finish_ms - finish_ms % 60000 AS window_start, count(*) AS n, count(*) FILTER (status = 'FAILED') AS failed, sum(input_bytes + shuffle_read_bytes)::BIGINT AS bytes
+      FROM tasks WHERE finish_ms IS NOT NULL GROUP BY 2""",
     "s5_rest_snapshot": """SELECT 'app-1' AS app_id, job_id, status, duration_ms, sql_id, (SELECT count(*) FROM job_stages js JOIN critical c ON c.stage_id = js.stage_id WHERE js.job_id = j.job_id) AS critical_stages
       FROM job_rows j""",
     "s6_rest_tasks": f"SELECT 0::BIGINT AS attempt_id, * FROM ({STAGE_METRICS})",
@@ -503,7 +526,8 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
 }
 
 BODIES["st3_stream_findings"] = (
-    f"SELECT 'app-1' AS app_id, category, severity, count(*) AS n, sum(estimated_savings_ms)::BIGINT AS savings FROM ({SUSPECTS}) GROUP BY category, severity"
+    "SELECT app_id, category, severity, n, savings FROM (SELECT unnest(['app-1', 'log app-2']) AS app_id) CROSS JOIN ("
+    f"SELECT category, severity, count(*) AS n, sum(estimated_savings_ms)::BIGINT AS savings FROM ({SUSPECTS}) GROUP BY category, severity)"
 )
 
 

@@ -103,9 +103,10 @@ def _(spark, sf_dir):
 
 @register("d_details")
 def _(spark, sf_dir):
-    """Detail texts of all stage rules."""
+    """Detail texts of all stage rules and of repeated stages."""
     inputs = analysis.inputs_of(X.telemetry(spark, sf_dir))
-    return analysis.row_findings(inputs).select("stage_id", "category", "detail")
+    found = analysis.row_findings(inputs).unionByName(analysis.repeated_stages(inputs))
+    return found.select("stage_id", "category", "detail")
 
 
 @register("x1_custom_detector")
@@ -171,17 +172,17 @@ def _(spark, sf_dir):
 
 @register("k7_task_analysis_stages")
 def _(spark, sf_dir):
-    return task_rules.stages_worth_task_analysis(X.telemetry(spark, sf_dir).stages)
+    return task_rules.stages_worth_task_analysis(X.with_attempts(X.telemetry(spark, sf_dir).stages))
 
 
 @register("k7_task_analysis_stages_uncapped")
 def _(spark, sf_dir):
-    return task_rules.stages_worth_task_analysis(X.telemetry(spark, sf_dir).stages, cap=None)
+    return task_rules.stages_worth_task_analysis(X.with_attempts(X.telemetry(spark, sf_dir).stages), cap=None)
 
 
 @register("k7_task_analysis_stages_by_app")
 def _(spark, sf_dir):
-    return task_rules.stages_worth_task_analysis(_fleet(spark, sf_dir).stages, ["app_id"])
+    return task_rules.stages_worth_task_analysis(X.with_attempts(_fleet(spark, sf_dir).stages), ["app_id"])
 
 
 @register("k_titles")
@@ -305,13 +306,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = X.telemetry(spark, sf_dir)
     critical = reports.critical_stages(t.stages, t.job_stages)
-    found = stage_rules.stage_findings(_context(spark, sf_dir), [stage_rules.disk_spill, stage_rules.task_failures])
+    found = analysis.row_findings(analysis.inputs_of(t))
     return reports.suspect_detail(found, _jobs(t), critical).drop("recommendation")
 
 
 @register("v4_sql_recommendations")
 def _(spark, sf_dir):
-    found = analysis.row_findings(analysis.inputs_of(X.telemetry(spark, sf_dir)))
+    found = store.written(analysis.find_suspects(X.telemetry(spark, sf_dir)), "findings")
     return reports.sql_recommendations(found).select("sql_id", "severity", "stage", "category", "stage_id", "title")
 
 
@@ -442,26 +443,35 @@ def _(spark, sf_dir):
 
 @register("s2_compressed_log")
 def _(spark, sf_dir):
-    """The same log gzip-compressed, read without staging."""
-    lines = log.read_lines(spark, X.event_log(spark, sf_dir, "gzip"))
+    """The same log gzip-compressed, half of it without a suffix, read without staging."""
+    lines = log.read_lines(spark, X.bare_gzip_log(spark, sf_dir))
     return log.event_counts(log.parse_lines(lines))
 
 
 @register("s3_largest_log_file")
 def _(spark, sf_dir):
-    """Tasks found in the folder whose files hold most bytes (the task phase)."""
-    root = X.event_log(spark, sf_dir)
-    files = log.log_files(spark, root)
-    folder = F.regexp_extract("path", r"/(phase=\d+)/", 1)
-    sizes = files.groupBy(folder.alias("folder")).agg(F.sum("length").alias("length"))
-    return sizes.groupBy().agg(F.max_by("folder", "length").alias("folder"))
+    """Jobs and stages of the larger log of each application, and which one a search finds first."""
+    root = X.logs_by_application(spark, sf_dir)
+    folder = r"/app=([^/]+)/"
+    first = F.regexp_extract(F.lit(log.discover_event_log(spark, root)), folder, 1)
+    events = log.read_events(spark, root, pick="largest")
+    files = log.largest_per_folder(spark, root).select(F.regexp_extract("path", folder, 1).alias("app"))
+    counted = events.groupBy(F.regexp_extract("app_key", folder, 1).alias("app")).agg(
+        F.count_if(F.col("kind") == "job_start").alias("jobs"),
+        F.count_if(F.col("kind") == "stage_submitted").alias("stages"),
+        F.count_distinct("app_key").alias("logs"),
+    )
+    return files.join(counted, "app").withColumn("is_first", F.col("app") == first)
 
 
 @register("s4_first_log")
 def _(spark, sf_dir):
-    """The first of several roots that holds an application."""
-    t = log.load_first(spark, ["/no/such/folder", X.event_log(spark, sf_dir)])
-    return t.jobs.groupBy("app_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    """The first of several roots that holds an application; one is damaged, one is missing."""
+    roots = [X.damaged_log(spark, sf_dir), "/no/such/folder", X.event_log(spark, sf_dir)]
+    unreadable: list[tuple[str, str]] = []
+    t = log.load_first(spark, roots, unreadable=unreadable)
+    counted = t.jobs.groupBy("app_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("unreadable", F.lit(len(unreadable)).cast("bigint"))
 
 
 @register("s5_rest_snapshot")
@@ -483,6 +493,17 @@ def _(spark, sf_dir):
     return log.stage_metrics(t.tasks)
 
 
+@register("s6_broken_answers")
+def _(spark, sf_dir):
+    """Rows and broken rows of each saved answer, and what is left of them."""
+    root = X.broken_rest(spark, sf_dir)
+    left = rest_snapshot.read_snapshot(spark, root, json_lines=True)
+    kept = left.jobs.agg(F.count(F.lit(1)).alias("kept")).select(F.lit("jobs.json").alias("answer"), "kept").unionByName(
+        left.stages.agg(F.count(F.lit(1)).alias("kept")).select(F.lit("stages.json").alias("answer"), "kept")
+    )
+    return rest_snapshot.broken_rows(spark, root, json_lines=True).join(kept, "answer")
+
+
 @register("s7_rest_without_sql")
 def _(spark, sf_dir):
     """A snapshot without optional answers gives empty tables."""
@@ -524,6 +545,14 @@ def _logged(spark, sf_dir) -> M.Telemetry:
     return log.telemetry_of(X.staged_events(spark, sf_dir))
 
 
+@register("p1_applications")
+def _(spark, sf_dir):
+    """Jobs per application of three logs: two attempts of one id, and one without an id."""
+    t = log.read_event_log(spark, X.logs_of_attempts(spark, sf_dir))
+    short = F.regexp_replace("app_id", r"^.*/eventlog_v2_", "log ")
+    return t.jobs.groupBy(short.alias("app_id")).agg(F.count(F.lit(1)).alias("jobs"), F.sum("job_id").alias("job_ids"))
+
+
 @register("p2_jobs")
 def _(spark, sf_dir):
     return _logged(spark, sf_dir).jobs.select(
@@ -621,11 +650,12 @@ def _(spark, sf_dir):
 
 @register("st3_stream_findings")
 def _(spark, sf_dir):
-    """Findings kept up to date over the streamed log, after its last file."""
+    """Findings kept up to date over two streamed logs, one without an application start."""
     state = new_folder(spark, "findings")
-    lines = live.stream_lines(spark, X.event_log(spark, sf_dir))
+    lines = live.stream_lines(spark, X.two_logs(spark, sf_dir))
     live.run_findings(lines, state, new_folder(spark, "stream-checkpoint"), once=True).awaitTermination()
-    return live.current_findings(spark, state).groupBy("app_id", "category", "severity").agg(
+    short = F.regexp_replace("app_id", r"^.*/eventlog_v2_", "log ")
+    return live.current_findings(spark, state).groupBy(short.alias("app_id"), "category", "severity").agg(
         F.count(F.lit(1)).alias("n"), F.sum("estimated_savings_ms").alias("savings")
     )
 
@@ -634,3 +664,28 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = _rolled(spark, sf_dir, live.health_batch, live.HEALTH_ROLLUP)
     return found.select(F.unix_millis("window_start").alias("window_start"), "n", "failed", "bytes")
+
+
+def _complete(stream: DataFrame, spark) -> DataFrame:
+    """The last complete output of a stateful stream, as a table."""
+    path = new_folder(spark, "stream-complete")
+    query = (
+        stream.writeStream.outputMode("complete").trigger(availableNow=True)
+        .option("checkpointLocation", new_folder(spark, "stream-checkpoint"))
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@register("st2_native")
+def _(spark, sf_dir):
+    """The running totals kept in Spark's own state."""
+    return _complete(live.live_stage_metrics(_task_stream(spark, sf_dir, 16)), spark).drop("app_id", "attempt_id")
+
+
+@register("st4_native")
+def _(spark, sf_dir):
+    """Health windows kept in Spark's own state."""
+    found = _complete(live.live_health(_task_stream(spark, sf_dir, 16).where("finish_time IS NOT NULL")), spark)
+    return found.select("app_id", F.unix_millis("window_start").alias("window_start"), "n", "failed", "bytes")

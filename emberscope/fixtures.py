@@ -192,6 +192,20 @@ def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
     )
 
 
+def with_attempts(stages: DataFrame) -> DataFrame:
+    """A second attempt of every third stage, numbered 3: longer for even stages, shorter and
+    with half the shuffle for odd ones."""
+    even = F.col("stage_id") % 2 == 0
+    again = stages.where("stage_id % 3 = 0").withColumns(
+        {
+            "attempt_id": F.lit(3).cast("bigint"),
+            "executor_run_time": F.when(even, F.col("executor_run_time") * 2).otherwise(F.expr("executor_run_time div 2")),
+            "shuffle_write_bytes": F.when(even, F.col("shuffle_write_bytes")).otherwise(F.expr("shuffle_write_bytes div 2")),
+        }
+    )
+    return stages.unionByName(again)
+
+
 def _ingest(spark: SparkSession, sf_dir: str) -> str:
     folder = new_folder(spark, "tables")
     tasks = task_table(spark, sf_dir)
@@ -363,6 +377,115 @@ def event_log(spark: SparkSession, sf_dir: str, codec: str = "none") -> str:
     return _once(spark, sf_dir, f"log-{codec}", write)
 
 
+def _renamed(spark: SparkSession, root: str, name) -> None:
+    """Give every data file below a root the name that ``name(old)`` returns (derived logs only)."""
+    java = spark._jvm.org.apache.hadoop.fs
+    top = java.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = system.listFiles(top, True)
+    found = []
+    while files.hasNext():
+        found.append(files.next().getPath())
+    for path in found:
+        if path.getName().startswith("part-"):
+            system.rename(path, java.Path(path.getParent(), name(path.getName())))
+
+
+def bare_gzip_log(spark: SparkSession, sf_dir: str) -> str:
+    """The event log gzip-compressed; the files of odd phases have no suffix that says so."""
+
+    def write() -> str:
+        root = new_folder(spark, "log-bare")
+        lines = event_lines(telemetry(spark, sf_dir))
+        for rest in (0, 1):
+            part = f"{root}/eventlog_v2_app-1/half={rest}"
+            lines.where(F.col("phase") % 2 == rest).write.partitionBy("phase").option("compression", "gzip").text(part)
+        _renamed(spark, f"{root}/eventlog_v2_app-1/half=1", lambda name: name.split(".")[0])
+        return root
+
+    return _once(spark, sf_dir, "log-bare", write)
+
+
+def damaged_log(spark: SparkSession, sf_dir: str) -> str:
+    """The plain lines of the jobs under names that promise gzip."""
+
+    def write() -> str:
+        root = new_folder(spark, "log-damaged")
+        event_lines(telemetry(spark, sf_dir)).where("phase = 3").select("value").write.text(root)
+        _renamed(spark, root, lambda name: name.split(".")[0] + ".gz")
+        return root
+
+    return _once(spark, sf_dir, "log-damaged", write)
+
+
+def logs_by_application(spark: SparkSession, sf_dir: str) -> str:
+    """A folder per application of the fleet with two logs of its jobs: one of the starts of
+    the jobs, and a larger one with their ends and the stages' starts too."""
+
+    def write() -> str:
+        root = new_folder(spark, "logs-by-app")
+        t = fleet(telemetry(spark, sf_dir))
+        lines = event_lines(t).where("phase IN (3, 4, 7)")
+        job = F.coalesce(F.get_json_object("value", "$.Job ID").cast("bigint"), F.lit(-1))
+        stage = F.get_json_object("value", "$.Stage Info.Stage ID").cast("bigint")
+        app = F.when(job >= 0, F.expr(APP_OF_JOB.replace("job_id", "job"))).otherwise(F.expr(APP_OF_STAGE.replace("stage_id", "stage")))
+        named = lines.withColumns({"job": job, "stage": stage}).withColumn("app", app).select("app", "phase", "value")
+        for part in (named.where("phase = 3"), named):
+            part.select("app", "value").repartition("app").write.mode("append").partitionBy("app").text(root)
+        return root
+
+    return _once(spark, sf_dir, "logs-by-app", write)
+
+
+def logs_of_attempts(spark: SparkSession, sf_dir: str) -> str:
+    """Three logs: two attempts of one application with even and odd jobs, and one of every
+    third job that names no application."""
+
+    def write() -> str:
+        root = new_folder(spark, "logs-attempts")
+        lines = event_lines(telemetry(spark, sf_dir)).where("phase = 3")
+        job = F.get_json_object("value", "$.Job ID").cast("bigint")
+        start = lines.limit(1)
+        for log, wanted, attempt in (("one", job % 2 == 0, "1"), ("two", job % 2 == 1, "2"), ("three", job % 3 == 0, None)):
+            body = lines.where(wanted).select("phase", "value")
+            if attempt:
+                body = body.unionByName(_line(0, start, "SparkListenerApplicationStart", F.lit("app-1").alias("App ID"), F.lit(attempt).alias("App Attempt ID")))
+            body.write.partitionBy("phase").text(f"{root}/eventlog_v2_{log}")
+        return root
+
+    return _once(spark, sf_dir, "logs-attempts", write)
+
+
+def two_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The event log twice: as written, and as a second application without its start."""
+
+    def write() -> str:
+        root = new_folder(spark, "logs-two")
+        lines = event_lines(telemetry(spark, sf_dir))
+        lines.write.partitionBy("phase").text(f"{root}/eventlog_v2_app-1")
+        lines.where("phase > 0").write.partitionBy("phase").text(f"{root}/eventlog_v2_app-2")
+        return root
+
+    return _once(spark, sf_dir, "logs-two", write)
+
+
+def broken_rest(spark: SparkSession, sf_dir: str) -> str:
+    """Saved answers in which every tenth job has a text for its id and every seventh stage is cut off."""
+
+    def write() -> str:
+        root = new_folder(spark, "rest-broken")
+        t = telemetry(spark, sf_dir)
+        job = F.to_json(F.struct(F.col("job_id").alias("jobId"), "name", "status"))
+        odd = F.concat(F.lit('{"jobId": "none", "status": "'), F.col("status"), F.lit('"}'))
+        t.jobs.select(F.when(F.col("job_id") % 10 == 0, odd).otherwise(job).alias("value")).write.text(f"{root}/app-1/jobs.json")
+        stage = F.to_json(F.struct(F.col("stage_id").alias("stageId"), "name", "status"))
+        cut = F.substring(stage, 1, 12)
+        t.stages.select(F.when(F.col("stage_id") % 7 == 0, cut).otherwise(stage).alias("value")).write.text(f"{root}/app-1/stages.json")
+        return root
+
+    return _once(spark, sf_dir, "rest-broken", write)
+
+
 def staged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log read back, parsed and staged, once."""
     from emberscope.sources import event_log as log

@@ -465,11 +465,17 @@ def health_bands(
 # ---------------------------------------------------------------------------
 # Snapshots and plans
 # ---------------------------------------------------------------------------
+SNAPSHOT_PARTS = 16  # tasks that share the work on one stage
+
+
 def merge_task_snapshots(old: DataFrame, new: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The new rows, and the old rows of stages the new snapshot does not hold."""
     keys = [*by, "stage_id"]
-    fresh = new.select(*keys).distinct()
-    return new.unionByName(old.join(fresh, keys, "left_anti"), allowMissingColumns=True)
+    fresh = new.select(*keys).distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOT_PARTS - 1))))
+    # a stage is dealt to several tasks by task id, so that none receives a whole large stage
+    dealt = old.withColumn("_part", F.pmod(F.xxhash64("task_id"), F.lit(SNAPSHOT_PARTS)).cast("int"))
+    kept = dealt.join(fresh, [*keys, "_part"], "left_anti").drop("_part")
+    return new.unionByName(kept, allowMissingColumns=True)
 
 
 def plan_tokens(sql_executions: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -324,8 +324,9 @@ def stages_worth_task_analysis(
 ) -> DataFrame:
     """Stages to look at first: top by run time, top by shuffle write, many tasks.
 
-    The cap belongs to the report; ties are cut by run time, then stage id.  ``cap=None``
-    keeps all.
+    A stage counts with the attempt that won its place: by run time first, then by shuffle
+    write, then the first attempt with many tasks.  The cap belongs to the report; ties are
+    cut by run time, then stage id.  ``cap=None`` keeps all.
     """
     ended = stages.where(F.col("status").isin(M.STAGE_COMPLETE, M.STAGE_FAILED)).select(
         *by, "stage_id", "attempt_id", "executor_run_time", "shuffle_write_bytes", "num_tasks"
@@ -335,14 +336,13 @@ def stages_worth_task_analysis(
     by_shuffle = top_rows(ended, by, [F.col("shuffle_write_bytes").desc(), *tie], TOP_STAGES).where(
         "shuffle_write_bytes > 0"
     )
-    many = ended.where(F.col("num_tasks") > MANY_TASKS)
+    many = ended.where(F.col("num_tasks") > MANY_TASKS).withColumn("row_no", F.col("attempt_id").cast("int"))
+    listed = [df.withColumn("list_no", F.lit(i)) for i, df in enumerate((by_run, by_shuffle, many))]
     picked = (
-        by_run.drop("row_no")
-        .unionByName(by_shuffle.drop("row_no"))
-        .unionByName(many)
+        listed[0].unionByName(listed[1]).unionByName(listed[2])
         .groupBy(*by, "stage_id")
         .agg(
-            F.min("attempt_id").alias("attempt_id"),
+            F.min_by("attempt_id", F.struct("list_no", "row_no")).alias("attempt_id"),
             F.max("executor_run_time").alias("executor_run_time"),
         )
     )

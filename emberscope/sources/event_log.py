@@ -14,10 +14,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,8 +53,10 @@ DESCRIPTION_PROPERTY = "spark.job.description"
 ROLLING_FOLDER = r"^(.*/eventlog_v2_[^/]+)/"
 ROLLING_FILE = r"/events_(\d+)_[^/]*$"
 PARENT_FOLDER = r"^(.*)/[^/]*$"
-CODEC_SUFFIX = r"\.(gz|zst|zstd|bz2|lz4|snappy|deflate)$"
-UNKNOWN_APP = "unknown"
+CODEC_SUFFIX = r"\.(gz|gzip|zst|zstd|bz2|lz4|snappy|deflate)$"
+KNOWN_PLAIN = r"\.(json|jsonl|log|txt|text)$"
+DAMAGED = "damaged gzip data"
+HEADS_AT_ONCE = 32
 
 
 def _fields(*pairs: tuple[str, T.DataType]) -> T.StructType:
@@ -100,6 +105,7 @@ TASK_METRICS = _fields(
 EVENT = _fields(
     ("Event", _TEXT),
     ("App ID", _TEXT),
+    ("App Attempt ID", _TEXT),
     ("Job ID", _LONG),
     ("Submission Time", _LONG),
     ("Completion Time", _LONG),
@@ -151,82 +157,138 @@ def read_lines(
     spark: SparkSession,
     paths: str | Sequence[str],
     app_from: str = "file",
-    gzip_by_content: bool = False,
+    gzip_by_content: bool = True,
 ) -> DataFrame:
     """``app_key, pos, value`` for every line below the paths; codecs go by file suffix.
 
     ``app_from``: a file outside a rolling log folder is one application (``"file"``) or
     part of the application of its folder (``"directory"``).  With ``gzip_by_content``
-    files without a codec suffix are also tested for the gzip magic bytes.
+    files without a codec suffix that begin like gzip are unpacked too, whatever their size.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    text = spark.read.option("recursiveFileLookup", "true").text(paths)
-    raw = text.select(
+    raw = _text(spark, paths)
+    if not gzip_by_content:
+        return _located(raw, app_from, F.col("block"), F.monotonically_increasing_id())
+    zipped = gzip_files(spark, paths)
+    plain = _located(raw, app_from, F.col("block"), F.monotonically_increasing_id())
+    if not zipped:
+        return plain
+    inflated = _located(_inflated(spark, zipped), app_from, F.lit(0), F.col("line"))
+    taken = spark.createDataFrame([(f,) for f in zipped], "taken string")
+    return plain.join(taken, F.col("pos.file") == F.col("taken"), "left_anti").unionByName(inflated)
+
+
+def _text(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
+    text = spark.read.options(recursiveFileLookup="true", **options).text(paths)
+    return text.select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
     )
-    if not gzip_by_content:
-        return _located(raw, app_from, F.col("block"), F.monotonically_increasing_id())
-    zipped = _gzip_files(spark, paths)
-    plain = raw.join(zipped.select("file"), "file", "left_anti")
-    return _located(plain, app_from, F.col("block"), F.monotonically_increasing_id()).unionByName(
-        _located(
-            zipped.mapInPandas(_inflate, "file string, line bigint, value string"),
-            app_from, F.lit(0), F.col("line"),
-        )
-    )
 
 
-def _gzip_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files that start like gzip but lack the suffix Spark goes by (2 GB at most)."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(paths)
-        .where(~F.col("path").rlike(CODEC_SUFFIX) & (F.col("length") < (1 << 31) - 1))
+def gzip_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files that begin like gzip but lack the suffix Spark goes by.
+
+    Two bytes are read of each file whose name does not tell, by the file system the path
+    names; the listing of these names is what Spark's own reader keeps on the driver too.
+    """
+    named = reduce(DataFrame.unionByName, [log_files(spark, p) for p in paths])
+    untold = named.where(~F.col("path").rlike(KNOWN_PLAIN) & ~F.col("path").rlike(CODEC_SUFFIX) & (F.col("length") > 2))
+    java, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def begins_like_gzip(path: str) -> bool:
+        place = java.org.apache.hadoop.fs.Path(java.java.net.URI(path))
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            return (stream.read(), stream.read()) == (0x1F, 0x8B)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(max_workers=HEADS_AT_ONCE) as pool:
+        files = [row["path"] for row in untold.select("path").toLocalIterator()]
+        return [path for path, yes in zip(files, pool.map(begins_like_gzip, files)) if yes]
+
+
+def _inflated(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``file, line, value`` of gzip files that Spark takes for plain text.
+
+    Spark reads their bytes as lines in pieces of any number of tasks; each file's pieces
+    then come in order to one task, which unpacks the stream and holds one chunk of it.
+    """
+    pieces = _text(spark, [unquote(f) for f in files], lineSep="\n").select(
+        "file", "block", F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece")
     )
-    magic = F.substring("content", 1, 2) == F.lit(bytes([0x1F, 0x8B]))
-    return files.where(magic).select(F.col("_metadata.file_path").alias("file"), "content")
+    ordered = pieces.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "piece")
+    return ordered.mapInPandas(_inflate, "file string, line bigint, value string")
 
 
 def _inflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Unpack whole gzip files chunk by chunk into line rows."""
-    chunk, lines_per_batch = 1 << 20, 20_000
+    """Pieces of gzip files, in order, to line rows; a damaged file ends in a line that says so."""
+    now, stream = None, None
     for batch in batches:
-        for file, content in zip(batch["file"], batch["content"]):
-            rest, ready, number = b"", [], 0
-            for start in _gzip_chunks(content, chunk):
-                *whole, rest = (rest + start).split(b"\n")
-                ready.extend(whole)
-                while len(ready) >= lines_per_batch:
-                    yield _line_frame(file, number, ready[:lines_per_batch])
-                    number += lines_per_batch
-                    ready = ready[lines_per_batch:]
-            ready.append(rest)
-            yield _line_frame(file, number, ready)
-
-
-def _gzip_chunks(content: bytes, chunk: int) -> Iterator[bytes]:
-    unpack = zlib.decompressobj(wbits=31)
-    at = 0
-    while at < len(content):
-        yield unpack.decompress(content[at : at + chunk])
-        at += chunk
-        while unpack.eof and unpack.unused_data:  # the next member of the same file
-            left = unpack.unused_data
-            unpack = zlib.decompressobj(wbits=31)
-            yield unpack.decompress(left)
-
-
-def _line_frame(file: str, first: int, lines: list[bytes]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "file": file,
-            "line": range(first, first + len(lines)),
-            "value": [line.decode("utf-8", "replace") for line in lines],
-        }
-    )
+        for file, rows in batch.groupby("file", sort=False):
+            if file != now:
+                if stream is not None:
+                    yield from stream.end()
+                now, stream = file, _GzipLines(file)
+            yield from stream.feed(b"\n".join(rows["piece"]) + b"\n")
+    if stream is not None:
+        yield from stream.end()
+
+
+class _GzipLines:
+    """Lines of one gzip file of one or more members; what follows the last member is ignored."""
+
+    lines_per_batch = 20_000
+
+    def __init__(self, file: str):
+        self.file, self.number, self.rest, self.ready = file, 0, b"", []
+        self.unpack = zlib.decompressobj(wbits=31)
+        self.inside, self.members = False, 0  # of a member; members unpacked
+        self.broken = self.over = False
+
+    def feed(self, data: bytes) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(data), 1 << 20):
+            part = data[at : at + (1 << 20)]
+            while part and not (self.broken or self.over):
+                if not self.inside and self.members and part[:1] != b"\x1f":
+                    self.over = True
+                    break
+                try:
+                    text = self.unpack.decompress(part)
+                except zlib.error:
+                    self.broken = True
+                    break
+                self.inside = not self.unpack.eof
+                yield from self._lines(text)
+                part = self.unpack.unused_data
+                if self.unpack.eof:
+                    self.members += 1
+                    self.unpack = zlib.decompressobj(wbits=31)
+
+    def _lines(self, text: bytes) -> Iterator[pd.DataFrame]:
+        *whole, self.rest = (self.rest + text).split(b"\n")
+        self.ready.extend(whole)
+        while len(self.ready) >= self.lines_per_batch:
+            yield self._frame(self.ready[: self.lines_per_batch])
+            self.ready = self.ready[self.lines_per_batch :]
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        self.ready.append(self.rest)
+        if self.broken or self.inside:
+            self.ready.append(DAMAGED.encode())
+        yield self._frame(self.ready)
+
+    def _frame(self, lines: list[bytes]) -> pd.DataFrame:
+        first, self.number = self.number, self.number + len(lines)
+        return pd.DataFrame(
+            {
+                "file": self.file,
+                "line": range(first, first + len(lines)),
+                "value": [line.decode("utf-8", "replace") for line in lines],
+            }
+        )
 
 
 # ---------------------------------------------------------------------------
@@ -286,6 +348,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     columns = {
         "raw": f"if(kind = '{MALFORMED}', value, NULL)",
         "app_id": _at("App ID"),
+        "app_attempt": _at("App Attempt ID"),
         "job_id": _at("Job ID"),
         "submission_ms": _at("Submission Time"),
         "completion_ms": _at("Completion Time"),
@@ -365,19 +428,32 @@ class _Events:
         return rows
 
 
-def _applications(events: _Events) -> DataFrame:
-    """``app_key, app_id``: the last application id logged under the key."""
-    return (
-        events.of("app_start")
-        .where("app_id is not null")
-        .groupBy("app_key")
-        .agg(F.max_by("app_id", "pos").alias("app_id"))
+def applications(events: DataFrame) -> DataFrame:
+    """``app_key, app_id``: one application per log.
+
+    A log is known by the last application id it names.  Where several logs name the same id
+    (attempts of one application, or a log and its copy) they stay apart: the attempt is
+    added if all of them name different ones, else the log's key.  A log without an
+    application start is known by its key.
+    """
+    logs = events.groupBy("app_key").agg(
+        F.max_by(F.struct("app_id", "app_attempt"), F.when(F.col("kind") == "app_start", F.col("pos"))).alias("start")
+    ).select("app_key", "start.app_id", "start.app_attempt")
+    alike = logs.where("app_id IS NOT NULL").groupBy("app_id").agg(
+        F.count(F.lit(1)).alias("logs"), F.count_distinct("app_attempt").alias("attempts")
     )
+    named = logs.join(alike, "app_id", "left")
+    name = (
+        F.when(F.col("app_id").isNull(), F.col("app_key"))
+        .when(F.col("logs") == 1, F.col("app_id"))
+        .when(F.col("attempts") == F.col("logs"), F.concat_ws("/", "app_id", "app_attempt"))
+        .otherwise(F.concat_ws("@", "app_id", "app_key"))
+    )
+    return named.select("app_key", name.alias("app_id"))
 
 
 def _with_app(df: DataFrame, apps: DataFrame) -> DataFrame:
-    named = df.drop("app_id").join(apps, "app_key", "left")
-    return named.withColumn("app_id", F.coalesce("app_id", F.lit(UNKNOWN_APP))).drop("app_key")
+    return df.drop("app_id", "app_attempt").join(apps, "app_key").drop("app_key")
 
 
 def task_rows(task_ends: DataFrame) -> DataFrame:
@@ -589,7 +665,7 @@ def _executors(events: _Events) -> DataFrame:
 def telemetry_of(events: DataFrame) -> M.Telemetry:
     """The telemetry tables of parsed (best: staged) events, keyed by ``app_id``."""
     ev = _Events(events)
-    apps = small_side(_applications(ev)) if ev.staged else _applications(ev)
+    apps = applications(events)
     jobs = _with_app(_jobs(ev), apps)
     tables = {
         "tasks": _with_app(task_rows(ev.of("task_end")), apps),
@@ -605,29 +681,49 @@ def telemetry_of(events: DataFrame) -> M.Telemetry:
     )
 
 
-def read_event_log(
+def read_events(
     spark: SparkSession,
     paths: str | Sequence[str],
     app_from: str = "file",
-    gzip_by_content: bool = False,
+    gzip_by_content: bool = True,
     staging: bool = True,
     pick: str = "all",
     spread: int | None = None,
-) -> M.Telemetry:
-    """Event logs to telemetry.
+) -> DataFrame:
+    """Event logs to parsed events, for ``telemetry_of`` and ``skipped_lines``.
 
     ``pick="largest"`` reads only the largest file of every folder; by default all files
     count, as rolling logs need.  ``staging=False`` re-parses the text for every table.
     ``spread`` deals the lines to that many tasks before parsing: compressed files cannot be
     split, so one very large log would otherwise be parsed by one task.
     """
-    lines = read_lines(spark, paths, app_from, gzip_by_content)
+    paths = [paths] if isinstance(paths, str) else list(paths)
     if pick == "largest":
-        chosen = [largest_per_folder(spark, p) for p in ([paths] if isinstance(paths, str) else paths)]
-        files = reduce(DataFrame.unionByName, chosen).select(F.col("path").alias("file"))
-        lines = lines.join(small_side(files), F.col("pos.file") == F.col("file"), "left_semi")
+        chosen = reduce(DataFrame.unionByName, [largest_per_folder(spark, p) for p in paths])
+        paths = [unquote(row["path"]) for row in chosen.select("path").toLocalIterator()]
+    lines = read_lines(spark, paths, app_from, gzip_by_content)
     events = parse_lines(lines if spread is None else lines.repartition(spread))
-    return telemetry_of(stage_events(events, new_folder(spark, "events")) if staging else events)
+    return stage_events(events, new_folder(spark, "events")) if staging else events
+
+
+def read_event_log(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    app_from: str = "file",
+    gzip_by_content: bool = True,
+    staging: bool = True,
+    pick: str = "all",
+    spread: int | None = None,
+) -> M.Telemetry:
+    """Event logs to telemetry; the options are those of ``read_events``."""
+    return telemetry_of(read_events(spark, paths, app_from, gzip_by_content, staging, pick, spread))
+
+
+def skipped_lines(events: DataFrame) -> DataFrame:
+    """Per log: lines read, and lines skipped because they are malformed."""
+    return events.groupBy("app_key").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("kind") == MALFORMED).alias("skipped")
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -670,15 +766,22 @@ def largest_per_folder(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def load_first(spark: SparkSession, roots: Sequence[str], app_from: str = "directory") -> M.Telemetry | None:
-    """The first root whose logs hold a job or a stage; a missing or empty root is skipped."""
+def load_first(
+    spark: SparkSession, roots: Sequence[str], app_from: str = "directory", unreadable: list[tuple[str, str]] | None = None
+) -> M.Telemetry | None:
+    """The first root whose logs hold a job or a stage.
+
+    A missing, empty or unreadable root is skipped; ``unreadable`` collects (root, reason)
+    of the last kind.
+    """
     for root in roots:
         try:
-            found = read_event_log(spark, root, app_from)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            continue
-        if not (found.jobs.isEmpty() and found.stages.isEmpty()):
-            return found
+            events = read_events(spark, root, app_from)
+            if events.where(F.col("kind").isin("job_start", "stage_submitted", "stage_completed")).isEmpty():
+                continue
+            return telemetry_of(events)
+        except (PySparkException, Py4JJavaError) as error:
+            missing = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+            if not missing and unreadable is not None:
+                unreadable.append((root, str(error).splitlines()[0]))
     return None

@@ -14,6 +14,9 @@ stages with very many tasks, because such files can be split).
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +72,13 @@ TASK_JSON = (
 )
 
 
+#: Files, their rows and whether they may be absent.
+ANSWERS = (
+    (JOBS_FILE, JOB_JSON, False), (STAGES_FILE, STAGE_JSON, False), (SQL_FILE, SQL_JSON, True),
+    (EXECUTORS_FILE, EXECUTOR_JSON, True), (TASKS_FILES, TASK_JSON, True),
+)
+
+
 def _snake(name: str) -> str:
     return "".join("_" + c.lower() if c.isupper() else c for c in name)
 
@@ -77,30 +87,46 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0))
 
 
-def _read(
-    spark: SparkSession, root: str, file: str, ddl: str, json_lines: bool, optional: bool
-) -> DataFrame:
+def _answers(spark: SparkSession, root: str, file: str, ddl: str, json_lines: bool, optional: bool) -> DataFrame:
     """Rows of one kind of answer with ``app_id`` and ``file`` from the path.
 
-    A broken required answer fails the read; broken rows of an optional one are dropped.
+    Every row is parsed on its own: ``_broken`` holds the text of a row that does not fit, or
+    of a file that is no array.  A missing optional answer has no rows.
     """
-    columns = spark.createDataFrame([], f"{ddl}, app_id string, file string")
-    reader = (
-        spark.read.schema(ddl)
-        .option("multiLine", str(not json_lines).lower())
-        .option("mode", "DROPMALFORMED" if optional else "FAILFAST")
-    )
-    path = F.col("_metadata.file_path")
-    folder = file.split("/")[0]
     try:
-        rows = reader.json(f"{root.rstrip('/')}/*/{file}")
+        text = spark.read.option("wholetext", str(not json_lines).lower()).text(f"{root.rstrip('/')}/*/{file}")
     except AnalysisException as missing:
         if optional and missing.getCondition() == "PATH_NOT_FOUND":
-            return columns
+            return spark.createDataFrame([], f"{ddl}, app_id string, file string, _broken string")
         raise
-    return rows.select(
-        "*", F.regexp_extract(path, rf"/([^/]+)/{folder}", 1).alias("app_id"), path.alias("file")
+    inside = re.escape(file).replace(r"\*", "[^/]+")
+    path = F.col("_metadata.file_path")
+    rows = text.select(
+        "value", F.regexp_extract(path, rf"/([^/]+)/{inside}(/[^/]*)?$", 1).alias("app_id"), path.alias("file")
     )
+    if not json_lines:
+        listed = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+        rows = rows.select("app_id", "file", F.explode(listed).alias("value"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = rows.where(r"value RLIKE r'\S'").select("app_id", "file", F.from_json("value", f"{ddl}, _broken string", options).alias("r"), "value")
+    broken = F.when(F.col("r").isNull() | F.col("r._broken").isNotNull(), F.col("value"))
+    return parsed.select("r.*", "app_id", "file", broken.alias("_bad")).drop("_broken").withColumnRenamed("_bad", "_broken")
+
+
+def _read(spark: SparkSession, root: str, file: str, ddl: str, json_lines: bool, optional: bool) -> DataFrame:
+    """The rows that fit."""
+    return _answers(spark, root, file, ddl, json_lines, optional).where("_broken IS NULL").drop("_broken")
+
+
+def broken_rows(spark: SparkSession, root: str, json_lines: bool = False) -> DataFrame:
+    """Per application and kind of answer: rows, and those that ``read_snapshot`` leaves out."""
+    counted = [
+        _answers(spark, root, file, ddl, json_lines, optional)
+        .groupBy("app_id", F.lit(file).alias("answer"))
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.count("_broken").alias("n_broken"))
+        for file, ddl, optional in ANSWERS
+    ]
+    return reduce(DataFrame.unionByName, counted)
 
 
 def task_rows(raw: DataFrame) -> DataFrame:
@@ -108,7 +134,7 @@ def task_rows(raw: DataFrame) -> DataFrame:
 
     Stage and attempt come from the row, or from the path where the row has none.
     """
-    in_path = r"/stages/(\d+)/(\d+)/taskList\.json$"
+    in_path = r"/stages/(\d+)/(\d+)/taskList\.json(?:/[^/]*)?$"
     stage = F.coalesce("stageId", F.regexp_extract("file", in_path, 1).try_cast("bigint"), F.lit(0))
     attempt = F.coalesce(
         "stageAttemptId", F.regexp_extract("file", in_path, 2).try_cast("bigint"), F.lit(0)
@@ -157,16 +183,12 @@ def first_application(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, root: str, json_lines: bool = False) -> M.Telemetry:
-    """All saved answers below a root, keyed by ``app_id``."""
+    """All saved answers below a root, keyed by ``app_id``.
 
-    def load(file: str, ddl: str, optional: bool) -> DataFrame:
-        return _read(spark, root, file, ddl, json_lines, optional)
+    A broken row costs that row and a broken file that file; ``broken_rows`` counts them.
+    """
 
-    jobs = load(JOBS_FILE, JOB_JSON, False)
-    stages = load(STAGES_FILE, STAGE_JSON, False)
-    sqls = load(SQL_FILE, SQL_JSON, True)
-    executors = load(EXECUTORS_FILE, EXECUTOR_JSON, True)
-    tasks = load(TASKS_FILES, TASK_JSON, True)
+    jobs, stages, sqls, executors, tasks = [_read(spark, root, file, ddl, json_lines, optional) for file, ddl, optional in ANSWERS]
     links = [
         sqls.select(
             "app_id", F.col("id").alias("sql_id"), F.explode(column).alias("job_id"),

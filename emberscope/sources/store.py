@@ -18,6 +18,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, path: str) -> DataFrame:
+    """The rows computed once, as a table that replaces what lies at the path."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settled(telemetry: Telemetry, label: str = "telemetry") -> Telemetry:
     """Every table but tasks computed once; tasks stay the scan they are."""
     return telemetry.map(lambda name, df: df if name == "tasks" else written(df, f"{label}-{name}"))
