@@ -4,13 +4,13 @@ Positions of a document are taken modulo 13, and 8-word anchors are hashed only
 residues 0, 1, 3 and 9.  The differences of these four reach every residue, so two equal
 20-word windows, wherever they start, share an anchor at one offset of at most 12 that is a
 cover position in both.  Hence only windows around an anchor that two documents have can
-repeat across documents; those are extended to the full 20 words, hashed with 128 bits, and
+repeat across documents; those are extended to the full 20 words, hashed with 96 bits, and
 the smallest document that holds a window keeps it.
 
-1. one pass emits the distinct anchors of each document; what several documents of a batch
-   share leaves the batch as one row for the shuffle and as settled rows for the others;
+1. one pass emits the distinct anchors of each document; what several documents of a stretch
+   share leaves it as one row for the shuffle and as settled rows for the others;
 2. anchors met from two documents go back to their documents;
-3. windows around them are compared, combined per batch in the same way;
+3. windows around them are compared, combined in the same way;
 4. one pass marks the words and writes what is left.
 
 Exact copies need no windows: a text that a smaller id has goes whole.
@@ -40,6 +40,7 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
+_SLICE, _COMBINED = 1 << 20, 6 << 20  # bytes of text at a time, and combined before a shuffle
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 _OPEN, _SETTLED = 0, 2  # to be compared further; decided
 _SHARED = 1  # to be compared further, and known to be shared
@@ -50,12 +51,12 @@ def _salt(n: int) -> np.ndarray:
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, text number and hash of each anchor."""
+    """Word number, text number and hash of each anchor (48 bits: a chance match only costs a look)."""
     at = words.window_starts(ANCHOR)
     text = words.text_of[at]
     cover = _IS_COVER[(at - words.bounds[text]) % PERIOD]
     at, text = at[cover], text[cover]
-    return at, text, window_hashes(words.hashes(), ANCHOR)[at]
+    return at, text, window_hashes(words.hashes(), ANCHOR)[at] >> np.uint64(16)
 
 
 def _pairs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +73,17 @@ def _pairs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, ids, same
 
 
-def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """Stretches of a batch that are combined before the shuffle, each cut into slices."""
     for batch in batches:
+        for group in slices(batch, 1, _COMBINED):
+            yield slices(group, 1, _SLICE)
+
+
+def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches):
         keys, owners = [], []
-        for part in slices(batch, 1):
+        for part in group:
             _, text, hashes = _anchors(Words(bytes_of(part.column(1))))
             keys.append(hashes)
             owners.append(part.column(0).to_numpy()[text])
@@ -117,9 +125,9 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, shared hashes, hashes of copied texts."""
-    for batch in batches:
+    for group in _groups(batches):
         out = []
-        for part in slices(batch, 1):
+        for part in group:
             ids = part.column(0).to_numpy()
             words = Words(bytes_of(part.column(1)))
             copied = _copied(part)
@@ -134,6 +142,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             starts = starts[marks[starts + PERIOD] > marks[starts]]
             word_hashes = words.hashes()
             one, two = (window_hashes(word_hashes, WINDOW, k)[starts] for k in (0, 1))
+            two >>= np.uint64(32)
             out.append((one, two, ids[words.text_of[starts]]))
         if not out:
             continue
@@ -189,7 +198,7 @@ def _finish(batches: Iterator[pa.RecordBatch], untouched: bool) -> Iterator[pa.R
     ``untouched``: a text that loses nothing stays as it is, with its own spacing.
     """
     for batch in batches:
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, _SLICE):
             words = Words(bytes_of(part.column(1)))
             salt = _salt(part.num_rows)
             starts = words.window_starts(WINDOW)
