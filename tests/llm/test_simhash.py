@@ -2,11 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from llmdata import awkward, rows, spark_docs
+from llmdata import awkward, prose, rows, spark_docs
 
 from emberscope.llm import simhash
 from emberscope.llm.components import components
+from emberscope.llm.kernels import bytes_of
 
 
 def brute_print(text):
@@ -32,6 +34,25 @@ def brute_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
+def components_of_long_prints(texts):
+    """Smallest member of each text's component, by comparing all pairs that share a block."""
+    words = simhash.long_fingerprints_of(bytes_of(pa.array(texts)))
+    blocks, n = words.view(np.uint16), len(texts)
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if (blocks[i] == blocks[j]).any() and np.bitwise_count(words[i, :4] ^ words[j, :4]).sum() <= simhash.MOST_CHECKED:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 def test_matches_brute_force(spark):
     texts = awkward()
     prints = [brute_print(t) for t in texts]
@@ -56,11 +77,45 @@ def test_large_buckets_are_dealt_again(spark, monkeypatch):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, groups.values()))
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in (re.findall("[^\x20\x09-\x0d]+", x.lower()) for x in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_set_bits_are_majorities():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 2, 255, 256, 700, 3])
+    hashes = rng.integers(0, 1 << 63, sizes.sum(), dtype=np.uint64) * np.uint64(3)
+    for got, part, n in zip(simhash._set_bits(hashes, sizes), np.split(hashes, np.cumsum(sizes)[:-1]), sizes):
+        assert int(got) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in part) > n)
+
+
+def test_similar_documents_are_found_and_others_left(spark):
+    rng = random.Random(12)
+    texts, groups = [], []
+    for g in range(60):
+        words = prose(rng, rng.randrange(120, 500), 5000).split()
+        texts.append(" ".join(words))
+        groups.append(g)
+        for _ in range(rng.randrange(0, 3)):
+            changed = list(words)
+            for k in rng.sample(range(len(words)), len(words) // 60):
+                changed[k] = f"x{rng.random()}"
+            if jaccard(texts[groups.index(g)], " ".join(changed)) >= 0.8:
+                texts.append(" ".join(changed))
+                groups.append(g)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark_docs(spark, rows(texts))).collect()}
+    want = {i: groups.index(g) for i, g in enumerate(groups)}
+    assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want) and len(set(groups)) < len(texts)
+    assert all(groups[c] == groups[i] for i, c in got.items())
+
+
 def test_stage_keeps_one_of_each(spark):
     docs = spark_docs(spark)
     kept = simhash.one_of_each(docs)
-    first = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    first = {r["component_id"] for r in simhash.similar_documents(docs).collect()}
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == first
+    assert simhash.one_of_each(spark_docs(spark, [])).count() == 0
 
 
 def test_null_ids_repeats_and_empty_table(spark):
