@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -32,6 +33,7 @@ def session(cpus: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberscope-checks-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

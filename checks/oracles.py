@@ -404,6 +404,8 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
       FROM ctx WHERE shuffle_write_bytes > input_bytes""",
     "k1_distribution": "SELECT stage_id, measure, n, round(cv, 6) AS cv, round(ratio, 6) AS max_median_ratio, median, max_val FROM dists",
     "k1_distribution_by_app": f"SELECT {APP_STAGE} AS app_id, stage_id, n, round(cv, 6) AS cv, median, max_val FROM dists WHERE measure = 'size'",
+    "k1_one_stage": """SELECT 0::BIGINT AS stage_id, count(v) AS n, round(stddev_pop(v) / avg(v), 6) AS cv, quantile_cont(v, 0.5)::DOUBLE AS median, max(v) AS max_val
+      FROM (SELECT 1000000000000 + duration * 1003 + task_id % 1000 AS v FROM tasks)""",
     "k2_skew_severity": "SELECT measure, severity, count(*) AS n FROM graded GROUP BY measure, severity",
     "k3_data_skew": _skew("duration"),
     "k4_size_skew": _skew("size"),

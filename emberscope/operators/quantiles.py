@@ -1,11 +1,13 @@
 """Exact order statistics per group that survive a group with a third of all rows.
 
-The built-in ``percentile`` keeps every distinct value of a group in one buffer, which is
-right for groups of a known modest size only.  Groups above that size take another way:
-their rows are counted per (group, value), which Spark combines before the shuffle and
-spreads by value.  Values fall into order-preserving buckets (at most about 55,000 per
-group), so one short window over bucket counts finds the buckets holding the wanted ranks,
-and only the values inside those buckets are ordered.  Both ways give the same result.
+The built-in ``percentile`` keeps the distinct values of a group in one buffer, which is right
+for groups of a known modest size.  The rows of larger groups are counted per (group, value),
+which Spark combines before the shuffle and spreads by value.  Values fall into
+order-preserving buckets (at most about 55,000 per group) and, inside a bucket, into at most
+65,536 parts, so a short window over the sums of the cells finds the cells that hold the
+wanted ranks.  Only the values inside those are ordered: one value below 2^28, at most 2^16
+different ones below 2^44.  Sizes come from a table of groups and part the rows by a join
+inside the plan: nothing runs while it is built, and an empty part is skipped at run time.
 """
 
 from __future__ import annotations
@@ -17,33 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LARGE_GROUP = 65_536  # rows of a group up to which one buffer may hold its values
-MOST_LISTED = 10_000  # large groups up to which their keys are listed and broadcast
 
 _BASE_BITS, _STEP_BITS, _VALUE_BITS = 12, 4, 63
-
-
-def split_by_size(
-    df: DataFrame, keys: Sequence[str], large: int = LARGE_GROUP, most_listed: int = MOST_LISTED
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """``(rows of small groups, rows of large groups)``; None where there are none.
-
-    Runs one counting job over the key columns.  At most ``most_listed`` keys of large
-    groups are listed and broadcast; beyond that all rows count as large.
-    """
-    keys = list(keys)
-    sizes = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_of"))
-    over = sizes.where(F.col("rows_of") > large).select(*keys)
-    listed = over.limit(most_listed + 1).collect()
-    if not listed:
-        return df, None
-    if len(listed) > most_listed:
-        return None, df
-    named = over.withColumnsRenamed({k: f"_{k}" for k in keys}).schema
-    keyed = F.broadcast(df.sparkSession.createDataFrame(listed, named))
-    same = F.lit(True)  # a NULL key is a group like any other
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(keyed, same, "left_anti"), df.join(keyed, same, "left_semi")
+_PART_BITS, _PARTS = 16, 1
 
 
 def value_bucket(value: Column) -> Column:
@@ -58,16 +36,38 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -bucket).otherwise(bucket).cast("int")
 
 
+def _bucket_bits(value: Column) -> Column:
+    """How many low bits of the value its bucket leaves open."""
+    size = F.abs(value)
+    bits_open = F.when(size < (1 << _BASE_BITS), F.lit(0))
+    step, bits = 0, _BASE_BITS
+    while bits < _VALUE_BITS:
+        step, bits = step + 1, bits + _STEP_BITS
+        known = F.lit(_STEP_BITS * step)
+        bits_open = bits_open.when(size < (1 << bits), known) if bits < _VALUE_BITS else bits_open.otherwise(known)
+    return bits_open
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per (keys, value), with the bucket of the value; NULL values are left out."""
+    """Rows per (keys, value); NULL values are left out."""
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("value"))
         .agg(F.count(F.lit(1)).alias("times"))
-        .withColumn("bucket", value_bucket(F.col("value")))
     )
 
 
+def _with_cells(counts: DataFrame) -> DataFrame:
+    """Add ``cell_0``, the bucket, and ``cell_1`` and on, the parts inside it, in value order."""
+    rows = counts.withColumns({"cell_0": value_bucket(F.col("value")), "_open": _bucket_bits(F.col("value"))})
+    inside = "abs(value) & (shiftleft(1L, _open) - 1)"
+    for k in range(1, _PARTS + 1):
+        part = f"shiftright({inside}, greatest(_open - {_PART_BITS * k}, 0)) & {(1 << _PART_BITS) - 1}"
+        known = f"CASE WHEN _open <= {_PART_BITS * (k - 1)} THEN 0L ELSE {part} END"
+        rows = rows.withColumn(f"cell_{k}", F.expr(f"CAST(CASE WHEN value < 0 THEN -({known}) ELSE {known} END AS int)"))
+    return rows.drop("_open")
+
+
 def _rank(n: Column, p: float) -> tuple[Column, Column]:
     """0-based lower and upper rank of quantile ``p`` by linear interpolation."""
     at = (n - 1).cast("double") * F.lit(float(p))
@@ -79,6 +79,15 @@ def _weight(n: Column, p: float) -> Column:
     return at - F.floor(at)
 
 
+def _joined(rows: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a NULL key is a group like any other."""
+    named = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(named[f"_{k}"])
+    return rows.join(named, same).drop(*[f"_{k}" for k in keys])
+
+
 def quantiles_of_counts(
     counts: DataFrame, keys: Sequence[str], probs: dict[str, float]
 ) -> DataFrame:
@@ -87,37 +96,30 @@ def quantiles_of_counts(
     Returns ``keys, n`` and one double column per entry of ``probs``.
     """
     keys = list(keys)
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
-    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        counts.groupBy(*keys, "bucket")
-        .agg(F.sum("times").alias("rows_in"))
-        .select(
-            *keys,
-            "bucket",
-            "rows_in",
-            F.coalesce(F.sum("rows_in").over(earlier), F.lit(0)).alias("rows_before"),
-            F.sum("rows_in").over(Window.partitionBy(*keys)).alias("n"),
-        )
-    )
+    rows = _with_cells(counts)
     wanted = F.lit(False)
     for p in probs.values():
         for rank in _rank(F.col("n"), p):
             wanted = wanted | (
                 (rank >= F.col("rows_before")) & (rank < F.col("rows_before") + F.col("rows_in"))
             )
-    targets = buckets.where(wanted).select(*keys, "bucket", "rows_before", "n")
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    placed = (
-        counts.select(*keys, "bucket", "value", "times")
-        .join(targets, [*keys, "bucket"])
-        .withColumn(
-            "first", F.col("rows_before") + F.coalesce(F.sum("times").over(inside), F.lit(0))
+    places: list[str] = []
+    for k in range(_PARTS + 1):
+        cell = f"cell_{k}"
+        earlier = Window.partitionBy(*keys, *places).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        carried = [F.first("rows_before").alias("outside"), F.first("n").alias("n")] if k else []
+        sums = rows.groupBy(*keys, *places, cell).agg(F.sum("times").alias("rows_in"), *carried)
+        ahead = F.coalesce(F.sum("rows_in").over(earlier), F.lit(0))
+        total = F.col("n") if k else F.sum("rows_in").over(Window.partitionBy(*keys))
+        placed = sums.select(
+            *keys, *places, cell, "rows_in", (ahead + F.col("outside") if k else ahead).alias("rows_before"), total.alias("n")
         )
-        .withColumn("after", F.col("first") + F.col("times"))
-    )
+        places = [*places, cell]
+        rows = _joined(rows.drop("rows_before", "n"), placed.where(wanted).drop("rows_in"), [*keys, *places])
+    inside = Window.partitionBy(*keys, *places).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn(
+        "first", F.col("rows_before") + F.coalesce(F.sum("times").over(inside), F.lit(0))
+    ).withColumn("after", F.col("first") + F.col("times"))
     picks, names = [F.max("n").alias("n")], []
     for i, (name, p) in enumerate(probs.items()):
         low, high = _rank(F.col("n"), p)
@@ -138,27 +140,28 @@ def quantiles_of_counts(
     return found.select(*keys, "n", *columns)
 
 
+def parted(df: DataFrame, sizes: DataFrame, keys: Sequence[str], large: int = LARGE_GROUP) -> tuple[DataFrame, DataFrame]:
+    """``(rows of groups of up to large rows, rows of larger groups)`` by a table (keys, n)."""
+    over = sizes.where(F.col("n") > large).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)  # a NULL key is a group like any other
+    for k in keys:
+        same = same & df[k].eqNullSafe(over[f"_{k}"])
+    return df.join(over, same, "left_anti"), df.join(over, same, "left_semi")
+
+
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    large: int = LARGE_GROUP,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], large: int = LARGE_GROUP
 ) -> DataFrame:
     """``keys, n`` and the named quantiles of an integer column, NULLs left out."""
     for p in probs.values():
         if not (0.0 <= p <= 1.0 and math.isfinite(p)):
             raise ValueError(f"quantile outside 0..1: {p}")
     known = df.select(*keys, value).where(F.col(value).isNotNull())
-    small, big = split_by_size(known, keys, large)
-    parts = []
-    if small is not None:
-        levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-        parts.append(
-            small.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"), F.percentile(value, levels).alias("_levels"))
-            .select(*keys, "n", *[F.col("_levels")[i].alias(name) for i, name in enumerate(probs)])
-        )
-    if big is not None:
-        parts.append(quantiles_of_counts(value_counts(big, keys, value), keys, probs))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    small, big = parted(known, known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, large)
+    levels = F.array(*[F.lit(float(p)) for p in probs.values()])
+    buffered = (
+        small.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("n"), F.percentile(value, levels).alias("_levels"))
+        .select(*keys, "n", *[F.col("_levels")[i].alias(name) for i, name in enumerate(probs)])
+    )
+    return buffered.unionByName(quantiles_of_counts(value_counts(big, keys, value), keys, probs))

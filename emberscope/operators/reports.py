@@ -32,7 +32,7 @@ from emberscope.operators.keys import attach_totals, salted_lookup, top_rows
 from emberscope.operators.linking import job_sql
 from emberscope.operators.quantiles import exact_quantiles, value_counts
 from emberscope.operators.ranking import with_rank
-from emberscope.operators.task_rules import distributions, executor_shares, slowest_tasks
+from emberscope.operators.task_rules import distributions, executor_shares, executor_totals, slowest_tasks
 
 # Fixed values
 DURATION_PROBS = {"min": 0.0, "median": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
@@ -369,6 +369,9 @@ def profile_texts(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+HISTOGRAM_SALTS = 8  # tasks that share the lookup of one stage's range
+
+
 def duration_histogram(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Ten equal duration buckets per stage, empty ones included; none without a range.
 
@@ -376,9 +379,10 @@ def duration_histogram(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     a salted lookup, so one large stage is worked on by many tasks.
     """
     keys = [*by, "stage_id"]
-    ranges = (
-        tasks.groupBy(*keys)
-        .agg(F.min("duration").alias("least"), F.max("duration").alias("most"))
+    counts = value_counts(tasks, keys, "duration")
+    ranges = (  # from the counted values: tasks are read once
+        counts.groupBy(*keys)
+        .agg(F.min("value").alias("least"), F.max("value").alias("most"))
         .where("most > least")
     )
     width = (F.col("most") - F.col("least")).cast("double") / F.lit(float(HISTOGRAM_BUCKETS))
@@ -386,8 +390,7 @@ def duration_histogram(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.floor((F.col("value") - F.col("least")).cast("double") / width),
         F.lit(HISTOGRAM_BUCKETS - 1),
     )
-    counts = value_counts(tasks, keys, "duration")
-    placed = salted_lookup(counts, ranges, keys, F.col("value")).withColumn("at", at)
+    placed = salted_lookup(counts, ranges, keys, F.col("value"), HISTOGRAM_SALTS).withColumn("at", at)
     per_stage = placed.groupBy(*keys).agg(
         F.max("least").alias("least"),
         F.max("most").alias("most"),
@@ -427,10 +430,8 @@ def breakdown_texts(breakdown: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def peak_memory(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Largest, average and total peak memory of a stage's tasks, where any is known."""
-    per_stage = tasks.groupBy(*by, "stage_id").agg(
-        F.max("peak_execution_memory").alias("max_memory"),
-        F.sum("peak_execution_memory").alias("total_memory"),
-        F.count(F.lit(1)).alias("tasks"),
+    per_stage = executor_totals(tasks, by).groupBy(*by, "stage_id").agg(
+        F.max("max_memory").alias("max_memory"), F.sum("total_memory").alias("total_memory"), F.sum("tasks").alias("tasks")
     )
     return per_stage.where("max_memory > 0").selectExpr(
         *by, "stage_id", "max_memory", f"{whole_div('total_memory', 'tasks')} AS avg_memory", "total_memory"
@@ -439,9 +440,10 @@ def peak_memory(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def skew_metrics(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Deviation, max/median and slowest task with its executor, for two durations or more."""
-    dists = distributions(tasks, by, ["duration"], positive_mean=False)
+    totals = executor_totals(tasks, by)
+    dists = distributions(tasks, by, ["duration"], False, totals)
     return dists.select(*by, "stage_id", "cv", "max_median_ratio").join(
-        slowest_tasks(tasks, by), [*by, "stage_id"]
+        slowest_tasks(tasks, by, totals), [*by, "stage_id"]
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from emberscope import model as M
 from emberscope.functions.texts import bytes_text, duration_text, fill, fixed, lit, percent, whole
 from emberscope.operators.keys import top_rows
-from emberscope.operators.quantiles import LARGE_GROUP, quantiles_of_counts, split_by_size, value_counts
+from emberscope.operators.quantiles import LARGE_GROUP, parted, quantiles_of_counts, value_counts
 from emberscope.operators.stage_rules import as_suspects
 
 # Skew limits on deviation/mean and on max/median, and the hot share.
@@ -58,11 +58,8 @@ def task_records() -> Column:
     return F.col("input_records") + F.col("shuffle_read_records")
 
 
-def _measured(tasks: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    values = {"duration": F.col("duration"), "size": task_size(), "records": task_records()}
-    return tasks.select(
-        *by, "stage_id", "task_id", task_size().alias("size_of"), *[values[m].alias(m) for m in measures]
-    )
+def _values() -> dict[str, Column]:
+    return {"duration": F.col("duration"), "size": task_size(), "records": task_records()}
 
 
 def _packed(value: Column) -> Column:
@@ -77,48 +74,47 @@ def _task_id_of(packed: Column) -> Column:
     return F.pmod(packed, F.lit(_TASK_ID_ROOM)).cast("bigint")
 
 
-def _moments(measures: Sequence[str], fixed_width: bool) -> list[Column]:
-    """Moments and the top task per measure.
+def executor_totals(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per stage and executor with all that the rules over tasks need but quantiles.
 
-    A maximum over structs is the cheap form next to ``percentile``, where buffers are
-    objects anyway; packed decimals keep the hash aggregation of large groups.
+    Counts, sums and maxima, and per measure the count, mean, variance and the task with the
+    largest value.  Fixed-width buffers, combined before the shuffle; everything that adds up
+    to a stage starts from these rows and not from tasks.
     """
-    out = []
-    for m in measures:
-        known = F.col(m).isNotNull()
-        out += [
-            F.count(m).alias(f"n_{m}"), F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"sd_{m}"),
+    measured = []
+    for m, value in _values().items():
+        packed = F.when(value.isNotNull(), _packed(value))
+        measured += [
+            F.count(value).alias(f"n_{m}"), F.avg(value).alias(f"mean_{m}"), F.var_pop(value).alias(f"var_{m}"),
+            F.max(value).alias(f"max_{m}"), F.max(packed).alias(f"top_{m}"),
+            F.max_by(task_size(), packed).alias(f"bytes_{m}"),
         ]
-        if fixed_width:
-            packed = F.when(known, _packed(F.col(m)))
-            out += [
-                F.max(m).alias(f"max_{m}"),
-                _task_id_of(F.max(packed)).alias(f"top_{m}"),
-                F.max_by("size_of", packed).alias(f"bytes_{m}"),
-            ]
-        else:
-            row = F.struct(F.col(m).alias("value"), F.col("task_id"), F.col("size_of"))
-            top = F.max(F.when(known, row))
-            out += [
-                top["value"].alias(f"max_{m}"), top["task_id"].alias(f"top_{m}"),
-                top["size_of"].alias(f"bytes_{m}"),
-            ]
-    return out
-
-
-def _per_measure(wide: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """One row per stage and measure from one row per stage."""
-    fields = ("n", "mean", "sd", "median", "max", "top", "bytes")
-    return wide.select(
+    return tasks.groupBy(*by, "stage_id", "executor_id").agg(
+        F.count(F.lit(1)).alias("tasks"), F.sum(task_size()).alias("bytes"),
+        F.sum(F.coalesce("duration", F.lit(0))).alias("duration_sum"), F.min("duration").alias("min_duration"),
+        F.max(_packed(F.col("duration"))).alias("slowest"),
+        F.max("peak_execution_memory").alias("max_memory"), F.sum("peak_execution_memory").alias("total_memory"),
+        *measured,
+    )
+
+
+def _moments(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """One row per stage and measure: n, mean, deviation and the task with the largest value."""
+    fields = ("n", "mean", "var", "max", "top", "bytes")
+    parts = totals.select(
         *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("measure"), *[F.col(f"{f}_{m}").alias(f) for f in fields])
-                    for m in measures
-                ]
-            )
-        ),
+        F.inline(F.array(*[
+            F.struct(F.lit(m).alias("measure"), *[F.col(f"{f}_{m}").alias(f) for f in fields]) for m in measures
+        ])),
+    ).where("n > 0")
+    stage = Window.partitionBy(*keys, "measure")  # over executors, not tasks
+    weight = F.col("n").cast("double")
+    whole = parts.withColumn("mean_all", F.sum(weight * F.col("mean")).over(stage) / F.sum(weight).over(stage))
+    apart = F.col("mean") - F.col("mean_all")
+    return whole.groupBy(*keys, "measure").agg(
+        F.sum("n").alias("n"), F.first("mean_all").alias("mean"),
+        F.sqrt(F.sum(weight * (F.col("var") + apart * apart)) / F.sum(weight)).alias("sd"),
+        F.max("max").alias("max"), _task_id_of(F.max("top")).alias("top"), F.max_by("bytes", "top").alias("bytes"),
     )
 
 
@@ -127,34 +123,29 @@ def distributions(
     by: Sequence[str] = (),
     measures: Sequence[str] = MEASURES,
     positive_mean: bool = True,
+    totals: DataFrame | None = None,
     large: int = LARGE_GROUP,
 ) -> DataFrame:
     """Per stage and measure: ``n, mean, cv, median, max_val, max_median_ratio`` and the
     task with the largest value (``task_id``, its ``task_bytes``).
 
     Stages with fewer than two values or a mean of zero or less have no distribution; with
-    ``positive_mean=False`` the latter are kept, with ``cv`` 0.
-
-    Stages of up to ``large`` tasks are done in one grouping.  Larger ones get their medians
-    by counting values, which splits a stage over many tasks.
+    ``positive_mean=False`` the latter are kept, with ``cv`` 0.  Tasks are read twice: for
+    ``executor_totals`` (unless they are given), which also tell the sizes, and for the medians.
     """
     keys = [*by, "stage_id"]
-    wide = _measured(tasks, by, measures)
-    small, big = split_by_size(wide, keys, large)
-    parts = []
-    if small is not None:
-        medians = [F.percentile(m, 0.5).alias(f"median_{m}") for m in measures]
-        parts.append(_per_measure(small.groupBy(*keys).agg(*_moments(measures, False), *medians), keys, measures))
-    if big is not None:
-        rows = big.unpivot(keys, list(measures), "measure", "value")
-        counted = value_counts(rows, [*keys, "measure"], "value")
-        medians = quantiles_of_counts(counted, [*keys, "measure"], {"median": 0.5}).drop("n")
-        no_median = [F.lit(None).cast("double").alias(f"median_{m}") for m in measures]
-        sums = big.groupBy(*keys).agg(*_moments(measures, True)).select("*", *no_median)
-        parts.append(
-            _per_measure(sums, keys, measures).drop("median").join(medians, [*keys, "measure"])
-        )
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    totals = executor_totals(tasks, by) if totals is None else totals
+    moments = _moments(totals, keys, measures)
+    wide = tasks.select(*keys, *[_values()[m].alias(m) for m in measures])
+    small, big = parted(wide, totals.groupBy(*keys).agg(F.sum("tasks").alias("n")), keys, large)
+
+    def long(rows: DataFrame, value: str) -> DataFrame:
+        return rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias(value)) for m in measures])))
+
+    buffered = long(small.groupBy(*keys).agg(*[F.percentile(m, 0.5).alias(m) for m in measures]), "median")
+    counted = value_counts(long(big, "value"), [*keys, "measure"], "value")
+    medians = buffered.unionByName(quantiles_of_counts(counted, [*keys, "measure"], {"median": 0.5}).drop("n"))
+    rows = moments.join(medians, [*keys, "measure"])
     positive = F.col("mean") > 0
     ratio = F.when(
         F.col("median") > 0, F.col("max").cast("double") / F.nullif(F.col("median"), F.lit(0.0))
@@ -189,15 +180,13 @@ def skewed(dists: DataFrame) -> DataFrame:
     )
 
 
-def executor_shares(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def executor_shares(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
     """Per stage and executor: tasks, bytes, share of the stage's bytes, stage totals.
 
     The window runs over one row per executor of a stage, not over tasks.
     """
-    per_executor = tasks.groupBy(*by, "stage_id", "executor_id").agg(
-        F.count(F.lit(1)).alias("tasks"),
-        F.sum(task_size()).alias("bytes"),
-        F.sum(F.coalesce("duration", F.lit(0))).alias("duration_sum"),
+    per_executor = (executor_totals(tasks, by) if totals is None else totals).select(
+        *by, "stage_id", "executor_id", "tasks", "bytes", "duration_sum"
     )
     stage = Window.partitionBy(*by, "stage_id")
     total = F.sum("bytes").over(stage)
@@ -211,26 +200,21 @@ def executor_shares(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def slowest_tasks(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The slowest task of each stage and its executor; the larger task id wins a tie.
-
-    Duration and task id are packed into one decimal, so the scan over tasks is a plain
-    maximum per stage and executor; only those few rows carry the executor's name further.
-    """
-    packed = _packed(F.col("duration"))
-    per_executor = tasks.groupBy(*by, "stage_id", "executor_id").agg(F.max(packed).alias("packed"))
+def slowest_tasks(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
+    """The slowest task of each stage and its executor; the larger task id wins a tie."""
+    per_executor = executor_totals(tasks, by) if totals is None else totals
     return (
         per_executor.groupBy(*by, "stage_id")
-        .agg(F.max("packed").alias("packed"), F.max_by("executor_id", "packed").alias("executor_id"))
+        .agg(F.max("slowest").alias("packed"), F.max_by("executor_id", "slowest").alias("executor_id"))
         .select(
             *by, "stage_id", _task_id_of(F.col("packed")).alias("task_id"), "executor_id"
         )
     )
 
 
-def hotspots(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def hotspots(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
     """Executors that read more than half of a stage's bytes (stages of two tasks or more)."""
-    return executor_shares(tasks, by).where(
+    return executor_shares(tasks, by, totals).where(
         (F.col("stage_tasks") >= 2) & (F.col("stage_bytes") > 0) & (F.col("share") > HOT_SHARE)
     )
 
@@ -296,14 +280,16 @@ def skew_findings(dists: DataFrame, names: DataFrame, by: Sequence[str] = ()) ->
     return _with_links(found, names, by)
 
 
-def hotspot_findings(tasks: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def hotspot_findings(
+    tasks: DataFrame, names: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None
+) -> DataFrame:
     share = percent("share")
     title = fill(HOT_TITLE, "executor_id", share)
     detail = fill(
         HOT_DETAIL,
         "executor_id", bytes_text("bytes"), share, bytes_text("stage_bytes"), "tasks",
     )
-    found = hotspots(tasks, by).selectExpr(
+    found = hotspots(tasks, by, totals).selectExpr(
         *by, f"'{M.WARN}' AS severity", f"'{M.EXEC_HOTSPOT}' AS category", "stage_id",
         f"{title} AS title", f"{detail} AS detail", f"{lit(HOTSPOT_ADVICE)} AS recommendation",
     )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame
 
@@ -14,12 +16,31 @@ from emberscope.sources import store
 
 @dataclass(frozen=True)
 class Inputs:
-    """What a detector may read: the telemetry, the wide stage rows, links and names."""
+    """What a detector may read: the telemetry, the wide stage rows, links, names and totals.
+
+    The wide rows, the names and the totals per stage and executor are each computed when a
+    detector first asks for them, once, and written to the shared folder.
+    """
 
     telemetry: Telemetry
     by: tuple[str, ...]
-    context: DataFrame
-    names: DataFrame
+    strict: bool = True
+
+    @cached_property
+    def context(self) -> DataFrame:
+        t = self.telemetry
+        rows = linking.stage_context(t.stages, t.job_stages, t.sql_jobs, t.sql_executions, self.by, self.strict)
+        return store.written(stage_rules.with_run_statistics(rows, t.stages, self.by), "stage-context")
+
+    @cached_property
+    def names(self) -> DataFrame:
+        t = self.telemetry
+        links = linking.stage_links(t.job_stages, t.sql_jobs, t.sql_executions, self.by, self.strict)
+        return store.written(task_rules.stage_names(t.stages, links, self.by), "stage-names")
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return store.written(task_rules.executor_totals(self.telemetry.tasks, self.by), "executor-totals")
 
 
 Detector = Callable[[Inputs], DataFrame]
@@ -35,12 +56,12 @@ def repeated_stages(inputs: Inputs) -> DataFrame:
 
 
 def skew_findings(inputs: Inputs) -> DataFrame:
-    dists = task_rules.distributions(inputs.telemetry.tasks, inputs.by)
+    dists = task_rules.distributions(inputs.telemetry.tasks, inputs.by, totals=inputs.totals)
     return task_rules.skew_findings(dists, inputs.names, inputs.by)
 
 
 def hotspot_findings(inputs: Inputs) -> DataFrame:
-    return task_rules.hotspot_findings(inputs.telemetry.tasks, inputs.names, inputs.by)
+    return task_rules.hotspot_findings(inputs.telemetry.tasks, inputs.names, inputs.by, inputs.totals)
 
 
 # The registry.  Add a function from Inputs to a table with the suspect columns.
@@ -53,15 +74,7 @@ DETECTORS: dict[str, Detector] = {
 
 
 def inputs_of(t: Telemetry, by: Sequence[str] = (), strict: bool = True) -> Inputs:
-    by = tuple(by)
-    context = linking.stage_context(t.stages, t.job_stages, t.sql_jobs, t.sql_executions, by, strict)
-    links = linking.stage_links(t.job_stages, t.sql_jobs, t.sql_executions, by, strict)
-    return Inputs(
-        telemetry=t,
-        by=by,
-        context=stage_rules.with_run_statistics(context, t.stages, by),
-        names=task_rules.stage_names(t.stages, links, by),
-    )
+    return Inputs(t, tuple(by), strict)
 
 
 def find_suspects(
@@ -81,39 +94,56 @@ def find_suspects(
 
 @dataclass(frozen=True)
 class Report:
-    """Everything one refresh shows; each table is computed when it is used."""
+    """Everything one refresh shows; each table is made when it is first asked for.
+
+    The findings are needed by several tables, and sorting reads its input twice; they are
+    therefore computed once and written to the shared folder unless ``store_findings`` is off.
+    """
+
+    telemetry: Telemetry
+    by: tuple[str, ...] = ()
+    strict: bool = True
+    store_findings: bool = True
 
-    suspects: DataFrame
-    jobs: DataFrame
-    critical_stages: DataFrame
-    stage_hints: DataFrame
-    health: DataFrame
-    cluster: DataFrame
+    NAMES: ClassVar[tuple[str, ...]] = ("suspects", "jobs", "critical_stages", "stage_hints", "health", "cluster")
+
+    @cached_property
+    def found(self) -> DataFrame:
+        rows = find_suspects(self.telemetry, self.by, self.strict)
+        return store.written(rows, "findings") if self.store_findings else rows
+
+    @cached_property
+    def suspects(self) -> DataFrame:
+        return reports.sort_suspects(self.found, self.by)
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        t = self.telemetry
+        return reports.job_rows(t.jobs, t.sql_jobs, t.sql_executions, self.by).orderBy(*self.by, *reports.job_order())
+
+    @cached_property
+    def critical_stages(self) -> DataFrame:
+        return reports.critical_stages(self.telemetry.stages, self.telemetry.job_stages, self.by)
+
+    @cached_property
+    def stage_hints(self) -> DataFrame:
+        t = self.telemetry
+        return linking.plan_hints(t.stages, t.job_stages, t.sql_jobs, t.sql_executions, self.by, self.strict)
+
+    @cached_property
+    def health(self) -> DataFrame:
+        return reports.health_summary(self.telemetry.jobs, self.telemetry.stages, self.found, self.by)
+
+    @cached_property
+    def cluster(self) -> DataFrame:
+        return reports.cluster_resources(self.telemetry.executors, self.by, self.telemetry.jobs if self.by else None)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in self.NAMES}
 
 
 def analyze(
     t: Telemetry, by: Sequence[str] = (), strict: bool = True, store_findings: bool = True
 ) -> Report:
-    """Sorted findings, ranked jobs, critical stages, hints, health and resources.
-
-    The findings are needed by several tables, and sorting reads its input twice; they are
-    therefore computed once and written to the shared folder unless ``store_findings`` is
-    off.
-    """
-    suspects = find_suspects(t, by, strict)
-    if store_findings:
-        suspects = store.written(suspects, "findings")
-    jobs = reports.job_rows(t.jobs, t.sql_jobs, t.sql_executions, by)
-    return Report(
-        suspects=reports.sort_suspects(suspects, by),
-        jobs=jobs.orderBy(*by, *reports.job_order()),
-        critical_stages=reports.critical_stages(t.stages, t.job_stages, by),
-        stage_hints=linking.plan_hints(
-            t.stages, t.job_stages, t.sql_jobs, t.sql_executions, by, strict
-        ),
-        health=reports.health_summary(t.jobs, t.stages, suspects, by),
-        cluster=reports.cluster_resources(t.executors, by, t.jobs if by else None),
-    )
+    """Sorted findings, ranked jobs, critical stages, hints, health and resources; runs nothing."""
+    return Report(t, tuple(by), strict, store_findings)

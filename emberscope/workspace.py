@@ -7,6 +7,7 @@ Only a local session may fall back to a temporary folder.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):  # one process; not local-cluster
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="emberscope-"))
         current = context.getCheckpointDir()

@@ -18,15 +18,14 @@ def with_last(n, usual, last):
     return [task(i, **usual) for i in range(n)] + [task(n, **last)]
 
 
-@pytest.mark.parametrize("large", [quantiles.LARGE_GROUP, 0])
-def test_skews(spark, large):
-    assert skews(spark, [task(i) for i in range(100)], large=large) == set()
-    assert (M.DATA_SKEW, M.CRIT) in skews(spark, with_last(99, {"duration": 1000}, {"duration": 100_000}), large=large)
-    assert (M.DATA_SKEW, M.CRIT) in skews(spark, with_last(99, {"duration": 100}, {"duration": 500_000}), large=large)
-    assert (M.SIZE_SKEW, M.CRIT) in skews(spark, with_last(99, {"input_bytes": 100}, {"input_bytes": 100_000}), large=large)
-    records = skews(spark, with_last(99, {"input_records": 100}, {"input_records": 100_000}), large=large)
+def test_skews(spark):
+    assert skews(spark, [task(i) for i in range(100)]) == set()
+    assert (M.DATA_SKEW, M.CRIT) in skews(spark, with_last(99, {"duration": 1000}, {"duration": 100_000}))
+    assert (M.DATA_SKEW, M.CRIT) in skews(spark, with_last(99, {"duration": 100}, {"duration": 500_000}))
+    assert (M.SIZE_SKEW, M.CRIT) in skews(spark, with_last(99, {"input_bytes": 100}, {"input_bytes": 100_000}))
+    records = skews(spark, with_last(99, {"input_records": 100}, {"input_records": 100_000}))
     assert (M.RECORD_SKEW, M.CRIT) in records
-    few = skews(spark, with_last(99, {"input_records": 1}, {"input_records": 1000}), large=large)
+    few = skews(spark, with_last(99, {"input_records": 1}, {"input_records": 1000}))
     assert not any(category == M.RECORD_SKEW for category, _ in few)
 
 
@@ -46,8 +45,7 @@ def test_distribution_values(spark):
 def test_ties_go_to_the_larger_task(spark):
     rows = [task(i, duration=d, executor_id=f"e{i}") for i, d in enumerate([5, 9, 9, 1])]
     tasks = frame(spark, "tasks", rows)
-    for large in (quantiles.LARGE_GROUP, 0):
-        assert task_rules.distributions(tasks, (), ["duration"], large=large).first().task_id == 2
+    assert task_rules.distributions(tasks, (), ["duration"]).first().task_id == 2
     slowest = task_rules.slowest_tasks(tasks).first()
     assert (slowest.task_id, slowest.executor_id) == (2, "e2")
 
@@ -89,7 +87,7 @@ PROBS = {"q0": 0.0, "q50": 0.5, "q90": 0.9, "q99": 0.99, "q100": 1.0}
 @pytest.mark.parametrize("large", [0, 700, quantiles.LARGE_GROUP])
 def test_quantiles_against_brute_force(spark, large):
     rng = random.Random(7)
-    scales = [1, 5, 4096, 10**6, 2**30, 2**40, -(10**6)]
+    scales = [1, 5, 4096, 10**6, 2**30, 2**40, 2**61, -(10**6), -(2**50)]
     values = {k: [int(rng.choice(scales) * rng.random()) for _ in range(n)] for k, n in enumerate([1, 2, 3, 500, 5000])}
     rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k int, v bigint")
     got = {r.k: r for r in quantiles.exact_quantiles(rows, ["k"], "v", PROBS, large).collect()}
@@ -106,14 +104,15 @@ def test_value_bucket_keeps_order(spark):
     assert buckets == sorted(buckets) and max(buckets) < 60_000
 
 
-def test_split_lists_or_takes_all(spark):
-    rows = spark.range(100).selectExpr("if(id < 90, 0, id) AS k", "id AS v")
-    small, big = quantiles.split_by_size(rows, ["k"], large=50)
-    assert (small.count(), big.count()) == (10, 90)
-    assert quantiles.split_by_size(rows, ["k"], large=100) == (rows, None)
-    unknown = rows.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
-    assert [part.count() for part in quantiles.split_by_size(unknown, ["k"], large=50)] == [10, 90]
-    assert quantiles.split_by_size(rows, ["k"], large=0, most_listed=3) == (None, rows)
+def test_close_values_share_no_window(spark):
+    """Values inside one bucket are told apart by its parts; NULL keys are a group."""
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 1, NULL) AS k", "1000000000000 + id * 7 AS v")
+    got = {r.k: r for r in quantiles.exact_quantiles(rows, ["k"], "v", PROBS, 0).collect()}
+    for k, first in ((1, 0), (None, 1)):
+        values = 10**12 + 7 * np.arange(first, 40_000, 2)
+        assert got[k].n == 20_000 and all(got[k][name] == pytest.approx(np.quantile(values, p), rel=1e-15) for name, p in PROBS.items())
+    cells = quantiles._with_cells(rows.select(F.col("v").alias("value"))).groupBy("cell_0", "cell_1").count()
+    assert cells.agg(F.max("count")).first()[0] <= 2**12
 
 
 def test_rank_over_many_partitions(spark):
