@@ -54,6 +54,8 @@ _SCRIPTS = sorted({name for _, name in SCRIPT_STARTS} - {"common"})
 _STARTS = np.array([at for at, _ in SCRIPT_STARTS])
 _SCRIPT_OF = np.array([_SCRIPTS.index(name) if name != "common" else -1 for _, name in SCRIPT_STARTS])
 _ASCII_SCRIPT = _SCRIPT_OF[np.searchsorted(_STARTS, np.arange(128), side="right") - 1]
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 BUCKETS = _WIDTH * len(_GRAMS) + len(_SCRIPTS)
 
 
@@ -216,10 +218,10 @@ def _label(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.R
                 scores.append(model.value.word_scores(grams))
                 letters.append(grams.letters)
                 counts.append(grams.words.counts)
-                lettered = per_text(grams.letters, grams.words.bounds)
-                for i in np.flatnonzero((lettered > 0) & (lettered < 8)):  # blocks hold more than letters
-                    lettered[i] = any(map(str.isalpha, small.column(1)[int(i)].as_py()))
-                named.append(lettered > 0)
+                has = per_text(_ASCII_LETTER[of.data], of.offsets) > 0
+                for i in np.flatnonzero(~has):  # few: texts without a-z
+                    has[i] = any(map(str.isalpha, small.column(1)[int(i)].as_py()))
+                named.append(has)
             scores, letters, counts, named = (np.concatenate(x) for x in (scores, letters, counts, named))
             bounds = np.concatenate([[0], np.cumsum(counts)])
             n = part.num_rows

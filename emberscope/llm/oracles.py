@@ -40,4 +40,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM bits
 """
 
-ORACLES = {"op4_quality_rules": QUALITY}
+SUBSTRINGS = r"""
+WITH words AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+    generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i FROM documents)
+), windows AS (
+  SELECT doc_id, i, w, n, CASE WHEN i + 19 <= n THEN string_agg(w, ' ') OVER
+    (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS twenty FROM words
+), later AS (
+  SELECT doc_id, i, w, n, twenty IS NOT NULL AND row_number() OVER (PARTITION BY twenty ORDER BY doc_id, i) > 1 AS gone FROM windows
+), covered AS (
+  SELECT doc_id, i, w, n, max(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS c FROM later
+), kept AS (
+  SELECT doc_id, max(n) AS n_words, count(*) FILTER (c) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT c) AS left_words FROM covered GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_words, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS}
