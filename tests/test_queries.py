@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_point
-from checks import compare
+from checks import compare, oracles
+from checks.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-SQLS = entry_point.oracle_sql()
+SQLS = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con():
     return compare.duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, note, _ = compare.check(spark, con, SF_DIR, name, SQLS[name])
     assert ok and "TYPES" not in note, note
@@ -25,4 +26,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(SQLS) == set(entry_point.queries())
+    assert set(SQLS) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(SQLS) <= set(entry_point.oracle_sql())
