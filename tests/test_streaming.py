@@ -87,3 +87,31 @@ def test_names_of_applications(spark):
     rows = spark.createDataFrame([(p,) for p in paths], "file string")
     assert [r[0] for r in rows.select(live.app_from_path()).collect()] == ["app-7", "app-8", "app-9"]
     assert json.loads(json.dumps(sorted(log.EVENT_KINDS)))
+
+
+def test_closed_files_only(spark, tmp_path):
+    rolling = tmp_path / "eventlog_v2_x"
+    rolling.mkdir()
+    for name in ("events_1_x", "events_2_x", "appstatus_x.inprogress"):
+        (rolling / name).write_text("{}\n")
+    for name in ("app-progress", "s", "ss", "y.inprogress", "inprogress", "z"):
+        (tmp_path / name).write_text("{}\n")
+    closed = {r.path.split("/")[-1] for r in live.closed_files(spark, str(tmp_path)).collect()}
+    assert closed == {"events_1_x", "app-progress", "s", "ss", "inprogress", "z"}
+    named = spark.read.option("pathGlobFilter", live.closed_names()).option("recursiveFileLookup", "true").text(str(tmp_path))
+    files = {f.split("/")[-1] for f in named.inputFiles()}
+    assert files == closed | {"events_2_x"}
+
+
+def test_compaction_keeps_the_totals(spark):
+    path = new_folder(spark, "rollup")
+    rows = spark.createDataFrame([("a", 1, 2, 1, 5)], "app_id string, window_start int, n long, failed long, bytes long")
+    part = f"{path}/base_id=__HIVE_DEFAULT_PARTITION__"
+    for i in range(3):
+        rows.write.parquet(f"{part}/batch_id={i}")
+    total = lambda: [tuple(r) for r in live.read_rollup(spark, path, live.HEALTH_ROLLUP).collect()]
+    assert total() == [("a", 1, 6, 3, 15)]
+    assert live.compact_rollup(spark, path, live.HEALTH_ROLLUP) == 2 and total() == [("a", 1, 6, 3, 15)]
+    rows.write.parquet(f"{part}/batch_id=3")
+    assert total() == [("a", 1, 8, 4, 20)]
+    assert live.compact_rollup(spark, path, live.HEALTH_ROLLUP) == 3 and total() == [("a", 1, 8, 4, 20)]
