@@ -33,15 +33,15 @@ from emberscope.llm.tables import fold
 
 FOLDS, HELD_OUT = 3, 1
 TOXIC_FROM = 0.7
-MOST_OF_A_CLASS = 4000
-MOST_CHARS = 20_000
+MOST_OF_A_CLASS = 3000
+MOST_CHARS = 10_000
 _WIDTH = 1 << 20
 _PREFIXES = (4, 5, 6, 7, 8)
 _ROUNDS = 300
 _STEP = 0.1
 _START = -7.0  # a sentence is hardly ever toxic before anything is learned
 _SHRINK = 0.5  # documents that must speak for a feature before it gets a weight
-_RARE = 3  # documents of the sample that a feature must occur in
+_RARE = 3  # sentences of the sample that a feature must occur in
 
 _PAUSE = np.zeros(256, bool)
 _PAUSE[[0x21, 0x2E, 0x3F, 0x0A]] = True  # ! . ? and line feed
@@ -114,22 +114,20 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def fitted(labels: np.ndarray, features: np.ndarray, feature_counts: np.ndarray, sizes: np.ndarray, sentence_counts: np.ndarray) -> Model:
+def fitted(labels: np.ndarray, features: np.ndarray, sizes: np.ndarray, sentence_counts: np.ndarray) -> Model:
     """Weights that make the noisy-or of the sentences fit the labels of the documents.
 
     The rows of ``features`` (per document, sentence by sentence) and ``sizes`` are flat.
     """
     owner = np.repeat(np.arange(len(labels)), sentence_counts)
-    document = np.repeat(np.arange(len(labels)), feature_counts)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    once = np.unique(features.astype(np.int64) * len(labels) + document) // max(len(labels), 1)
-    used, spread = np.unique(once, return_counts=True)
-    used = used[spread >= _RARE]
+    used = np.flatnonzero(np.bincount(features, minlength=1) >= _RARE)
     if not len(used) or labels.min(initial=1) == labels.max(initial=0) or not len(labels):
         return Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     column = np.minimum(np.searchsorted(used, features), len(used) - 1)
     known = used[column] == features
-    column, sentence = column[known], sentence[known]
+    column = column[known]
+    sentence = np.repeat(np.arange(len(sizes)), sizes)[known]
+    del known
 
     weights, bias = np.zeros(len(used)), _START
     squares = np.zeros(len(used) + 1)
@@ -159,10 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column) -> Model:
     chosen = texts.join(F.broadcast(sample), F.col("_id") == F.col("_labelled")).select("label", "text")
     table = chosen.mapInArrow(_features, "label int, features array<int>, sizes array<int>").toArrow().combine_chunks()
     flat = [table[c].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("features", "sizes")]
-    lengths = [np.asarray(f.value_lengths()) for f in flat]
-    return fitted(
-        table["label"].to_numpy(), np.asarray(flat[0].flatten()), lengths[0], np.asarray(flat[1].flatten()), lengths[1]
-    )
+    features, sizes = (np.asarray(f.flatten()) for f in flat)
+    return fitted(table["label"].to_numpy(), features, sizes, np.asarray(flat[1].value_lengths()))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
