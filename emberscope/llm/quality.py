@@ -107,7 +107,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column is the text; it is replaced by the struct of measurements."""
     names = [m.split()[0] for m in MEASURES.split(", ")]
     for batch in batches:
-        for part in slices(batch, batch.num_columns - 1):
+        for part in slices(batch, batch.num_columns - 1, 1 << 20):
             *carried, texts = part.columns
             columns = [pa.array(np.asarray(c, np.int64)) for c in _measured(texts)]
             rows = pa.StructArray.from_arrays(columns, names)
