@@ -1,21 +1,23 @@
 """Benchmark passages in training documents, found with spaced seeds.
 
-A seed hashes the words of a 13-word window at the positions of a fixed mask and ignores the
-others.  The three masks are chosen so that any 13 aligned words of which at most two differ
-agree on one whole seed.  Seeds of the benchmark set bits of a filter of fixed size (8 MB);
+A seed hashes the words of a window at the positions of a fixed mask and ignores the others.
+The seven masks are chosen so that any aligned words that count as an overlap agree on one
+whole seed: 80 of 100 equal in a whole item of 8 to 12 words or in a stretch of 13 to 25 (a
+longer one has such a stretch in one of its halves).  An item of fewer than ``LEAST`` words has
+one seed, all its words.  Seeds of the benchmark set bits of a filter of fixed size (8 MB);
 the pass over the documents keeps only stretches around seeds that the filter lets through.
 Those are joined with the benchmark's seeds by hash, which gives alignments of a stretch
 with an item, and each alignment is verified word by word: it counts if it has a stretch of
 13 words (or the whole item, if that is shorter) of which 80 of 100 are equal.
 
 Words are lower-cased (A-Z).  Defined results: items and documents without words, or null,
-match nothing; items of fewer than ``LEAST`` words are not searched for; rows that share an
+match nothing; items of fewer than ``LEAST`` words count where all their words stand; rows that share an
 id are one document or item; null ids are skipped; an empty table gives no hit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -30,20 +32,27 @@ from emberscope.llm.tables import settled
 STRETCH = 13
 SHARE = 0.8
 LEAST = 8
-#: Fixed masks: word positions that count.  Any two changed words of 13 leave one of them whole.
-MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 7, 9, 10), (0, 1, 4, 5, 6, 7, 8))
+#: Fixed masks: word positions that count.  Whatever words ``SHARE`` lets differ leave one of them whole.
+MASKS = (
+    (0, 1, 2, 4, 5, 7), (0, 2, 3, 4, 5, 6), (0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 7, 8),
+    (0, 1, 4, 5, 6, 8), (0, 1, 3, 6, 7, 8), (0, 1, 2, 3, 4, 5),
+)
 FILTER_BITS = 26
-_AROUND = STRETCH  # words kept on either side of a seed
+_AROUND = 2 * STRETCH - 1  # words kept on either side of a seed: the longest stretch that need not have a shorter one in it
 
 
-def _seeds(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word number and hash of every seed."""
+def _seeds(words: Words, hashes: np.ndarray, lengths: Iterable[int], items: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word number and hash of every seed; ``lengths`` of short items make masks without gaps."""
     at, out = [], []
     left = np.repeat(words.bounds[1:], words.counts) - np.arange(len(words))
-    for m, mask in enumerate(MASKS):
+    size = np.repeat(words.counts, words.counts)
+    for tag, mask in [*enumerate(MASKS, 1), *((100 + n, range(n)) for n in lengths)]:
         span = mask[-1] + 1
-        starts = np.flatnonzero(left >= span)
-        total = np.full(len(starts), scrambled(np.array([m + 1], np.uint64))[0])
+        there = left >= span
+        if items:
+            there &= size >= LEAST if tag < 100 else size == span
+        starts = np.flatnonzero(there)
+        total = np.full(len(starts), scrambled(np.array([tag], np.uint64))[0])
         for k in mask:
             total = scrambled(total + hashes[starts + k])
         at.append(starts)
@@ -57,7 +66,7 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 1):
             words = Words(bytes_of(part.column(1)).lowered())
             hashes = words.hashes()
-            at, seeds = _seeds(words, hashes)
+            at, seeds = _seeds(words, hashes, range(1, LEAST), True)
             order = np.lexsort((seeds, at))
             at, seeds = at[order], seeds[order]
             bounds = np.searchsorted(at, words.bounds)
@@ -96,13 +105,13 @@ def _passes(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _regions(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], bits: Broadcast, lengths: list[int]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to stretches of word hashes around seeds that pass the filter."""
     for batch in batches:
         for part in slices(batch, 1):
             words = Words(bytes_of(part.column(1)).lowered())
             hashes = words.hashes()
-            at, seeds = _seeds(words, hashes)
+            at, seeds = _seeds(words, hashes, lengths)
             hit = _passes(seeds, bits.value)
             at, seeds = at[hit], seeds[hit]
             if not len(at):
@@ -163,7 +172,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, item = (batch.column(k)[i].values.to_numpy() for k in (2, 4))
             shift = shifts[i]  # of the item's first word in the region
             low, high = max(0, -shift), min(len(item), len(doc) - shift)
-            if high <= low:
+            if high <= low or len(item) < LEAST and not np.array_equal(item, doc[low + shift : high + shift]):
                 continue
             found = _longest(item[low:high] == doc[low + shift : high + shift])
             if found is None:
@@ -188,15 +197,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = settled(
         items.where("item_id IS NOT NULL AND text IS NOT NULL").mapInArrow(
             _item_seeds, "item_id long, item_words array<long>, seed_at array<long>, seeds array<long>"
-        ).where(F.size("item_words") >= LEAST).withColumn("item_key", F.xxhash64("item_id", "item_words")),
+        ).where(F.size("item_words") > 0).withColumn("item_key", F.xxhash64("item_id", "item_words")),
         "benchmark-seeds",
     )
     seeds = items.select("item_key", F.explode(F.arrays_zip("seed_at", "seeds")).alias("s")).select("item_key", F.col("s.seed_at").alias("seed_at"), F.col("s.seeds").alias("seed"))
     bits = spark.sparkContext.broadcast(_filter(seeds))
+    lengths = [r[0] for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < LEAST).distinct().collect()]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     regions = settled(
         texts.mapInArrow(
-            partial(_regions, bits=bits), "doc_id long, region_start long, region_words array<long>, hit_at array<long>, hits array<long>"
+            partial(_regions, bits=bits, lengths=lengths), "doc_id long, region_start long, region_words array<long>, hit_at array<long>, hits array<long>"
         ).withColumn("region_key", F.xxhash64("doc_id", "region_start", "region_words")),
         "seeded-regions",
     )
