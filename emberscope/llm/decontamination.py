@@ -8,7 +8,8 @@ one seed, all its words.  Seeds of the benchmark set bits of a filter of fixed s
 the pass over the documents keeps only stretches around seeds that the filter lets through.
 Those are joined with the benchmark's seeds by hash, which gives alignments of a stretch
 with an item, and each alignment is verified word by word: it counts if it has a stretch of
-13 words (or the whole item, if that is shorter) of which 80 of 100 are equal.
+13 words (or the whole item, if that is shorter) of which 80 of 100 are equal.  Reported is
+the part of it from the first equal word to the last.
 
 Words are lower-cased (A-Z).  Defined results: items and documents without words, or null,
 match nothing; items of fewer than ``LEAST`` words count where all their words stand; rows that share an
@@ -141,7 +142,7 @@ def _regions(batches: Iterator[pa.RecordBatch], bits: Broadcast, lengths: list[i
 
 
 def _longest(equal: np.ndarray) -> tuple[int, int] | None:
-    """The longest stretch [a, b) with enough equal words that begins and ends with one."""
+    """The longest stretch [a, b) with enough equal words; changed words may stand at its ends."""
     sums = np.concatenate([[0.0], np.cumsum(equal - SHARE)])
     least = np.minimum.accumulate(sums)
     a, best = 0, None
@@ -156,10 +157,7 @@ def _longest(equal: np.ndarray) -> tuple[int, int] | None:
             a += 1
     if best is None or best[1] <= best[0]:
         return None
-    inside = np.flatnonzero(equal[best[0] : best[1]])
-    if not len(inside):
-        return None
-    return best[0] + int(inside[0]), best[0] + int(inside[-1]) + 1
+    return best
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +172,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = max(0, -shift), min(len(item), len(doc) - shift)
             if high <= low or len(item) < LEAST and not np.array_equal(item, doc[low + shift : high + shift]):
                 continue
-            found = _longest(item[low:high] == doc[low + shift : high + shift])
-            if found is None:
+            same = item[low:high] == doc[low + shift : high + shift]
+            found = _longest(same)
+            if found is None or found[1] - found[0] < min(STRETCH, len(item)):
                 continue
-            a, b = low + found[0], low + found[1]
-            equal = int((item[a:b] == doc[a + shift : b + shift]).sum())
-            if b - a >= min(STRETCH, len(item)) and equal >= SHARE * (b - a):
-                out.append((ids[i], items[i], starts[i] + a + shift, a, b - a, equal))
+            inside = found[0] + np.flatnonzero(same[found[0] : found[1]])  # reported from the first equal word to the last
+            a, b = low + int(inside[0]), low + int(inside[-1]) + 1
+            out.append((ids[i], items[i], starts[i] + a + shift, a, b - a, len(inside)))
         if out:
             types = [batch.schema.types[0], batch.schema.types[3], *[pa.int64()] * 4]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
