@@ -59,4 +59,64 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS}
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _scaled(factor: int) -> str:
+    return f"list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _squared(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _means(of: str, key: str, rows: str) -> str:
+    """Per key the list of floor(sum / count) of the components; the division itself has no rest."""
+    return f"""SELECT {key}, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT {key}, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+        SELECT {key}, unnest({of}) AS x, generate_subscripts({of}, 1) AS i FROM {rows}) GROUP BY {key}, i) GROUP BY {key}"""
+
+
+def vector_codes(rounds: int = 6) -> str:
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, label, {_scaled(4096)} AS v FROM embeddings WHERE {_USABLE})",
+        "parts AS MATERIALIZED (SELECT vec_id, q, v[q * (len(v) // 8) + 1 : (q + 1) * (len(v) // 8)] AS v FROM kept, range(8) AS t(q))",
+        """b0 AS MATERIALIZED (SELECT q, e, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e
+           FROM (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 16)) USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, q, v, near.d AS d, near.e AS e FROM (
+          SELECT p.vec_id, p.q, any_value(p.v) AS v, min({{'d': {_squared("p.v", "b.v")}, 'e': b.e}}) AS near
+          FROM parts p JOIN b{r} b ON p.q = b.q GROUP BY p.vec_id, p.q))""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT q, e, coalesce(m.v, b.v) AS v
+              FROM b{r} b LEFT JOIN ({_means("v", "q, e", f"a{r}")}) m USING (q, e))""")
+    steps.append(f"""coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY q) AS code, CAST(sum(d) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY vec_id)""")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY q, e)) FROM b{rounds}) AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id)"""
+
+
+def centroids(rounds: int = 10) -> str:
+    steps = [
+        f"kept AS MATERIALIZED (SELECT vec_id, {_scaled(1024)} AS v FROM embeddings WHERE {_USABLE} AND len(embedding) = 64)",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v
+           FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 8))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, near.d AS d, near.c AS c FROM (
+          SELECT k.vec_id, any_value(k.v) AS v, min({{'d': {_squared("k.v", "c.v")}, 'c': c.c}}) AS near FROM kept k, c{r} c GROUP BY k.vec_id))""")
+        if r < rounds:
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN ({_means('v', 'c', f'a{r}')}) m USING (c))")
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} o USING (c)"""
+
+
+ORACLES = {
+    "op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS,
+    "op11_vector_codes": vector_codes(), "op13_centroid_clustering": centroids(),
+}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscope.llm import decontamination, html_text, language_id, lm_scoring, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from emberscope.llm import (
+    centroids, decontamination, html_text, language_id, lm_scoring, packing, quality, sharding, simhash, substring_dedup, toxicity,
+    url_filter, vector_codes,
+)
 from emberscope.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +73,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.held_out_scores(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("centroid")

@@ -19,6 +19,6 @@ def test_query_equals_sql(spark, name):
     assert compare.rows_of(got.columns, [tuple(r) for r in got.collect()]) == compare.rows_of(columns, want.fetchall())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert {int(name.split("_")[0][2:]) for name in QUERIES} == set(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert {int(name.split("_")[0][2:]) for name in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_point.queries())
