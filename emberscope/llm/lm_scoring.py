@@ -7,11 +7,15 @@ the longer one has already ruled out (symbol exclusion; the escape counts the di
 symbols).  Below the empty context all symbols left are equally likely.  Texts are lower-cased
 (A-Z) and end with an end symbol, which the model codes too.
 
-Counts cover every training document.  One pass counts words and five-symbol grams per batch,
-one shuffle adds them up; shorter contexts are sums of longer ones.  The trie that tasks
-receive holds at most ``MOST_GRAMS`` grams per order: beyond that, the rarest are left to
-shorter contexts.  Words seen often (at most ``MOST_WORDS``) are looked up in a broadcast
-table, all others by a join, so no word's count is lost.
+Counts cover every training document, and no gram is left out.  One pass counts words and
+five-symbol grams per batch, one shuffle adds them up; shorter contexts are sums of longer ones.
+The trie stays a set of tables: totals of contexts, what a shorter context has left once a
+longer one has ruled out its symbols, and the cost of every gram that occurs in training.
+Tasks receive the costs of the most frequent grams (at most ``CACHED_GRAMS``) as a cache; the
+other grams of a text are listed with their number of uses and joined with the tables, those
+that training lacks through one join per order.  Words are met in the same way: the most
+frequent ones (at most ``MOST_WORDS``) by a cache, all others by a join.  The caches change
+no result.
 
 Defined results: a null text is empty, and an empty text still has its end token; a null id
 is scored, not held out and not learned from; repeated rows are scored each; an empty table
@@ -26,7 +30,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +38,7 @@ from emberscope.llm.kernels import Bytes, U, Words, bytes_of, per_text, slices
 from emberscope.llm.tables import fold, settled
 
 ORDER = 4
-MOST_GRAMS = 2_000_000
+CACHED_GRAMS = 1_000_000
 MOST_WORDS = 200_000
 FOLDS = 10
 _EDGE = 256  # starts and ends a text
@@ -121,156 +125,154 @@ def _level() -> Column:
     return F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
 
 
-def _threshold(rows: DataFrame, most: int, least: int = 0) -> int:
-    """The smallest level from which on at most ``most`` rows lie, not below ``least``."""
-    left, threshold = 0, 1 << 10
+def _most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the highest levels of counts, at most ``most`` of them."""
+    left, least = 0, 1 << 10
     for level, k in sorted(map(tuple, rows.groupBy(_level()).count().collect()), reverse=True):
         left += k
         if left > most:
             break
-        threshold = level
-    return max(threshold, least)
-
-
-class Order:
-    """Grams of one context length: sorted keys, counts, and what their contexts add up to."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray, shorter: "Order | None"):
-        order = np.argsort(grams)
-        self.grams, self.n = grams[order], n[order].astype(np.float64)
-        owner = self.grams >> U(_BITS)
-        heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-        self.contexts = owner[heads]
-        self.context_of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(owner))))
-        self.total = np.bincount(self.context_of, self.n, len(heads))
-        self.kinds = np.bincount(self.context_of, minlength=len(heads)).astype(np.float64)
-        if shorter is not None:  # what the shorter context has left once these symbols are ruled out
-            depth = _BITS * (int(self._length(shorter)) + 1)
-            suffix = self.grams & U((1 << depth) - 1)
-            at = np.searchsorted(shorter.grams, suffix)
-            taken = np.bincount(self.context_of, shorter.n[at], len(heads))
-            parent = shorter.context_of[at[heads]]
-            self.rest_total = shorter.total[parent] - taken
-            self.rest_kinds = shorter.kinds[parent] - self.kinds
-        self.shorter = shorter
-
-    @staticmethod
-    def _length(order: "Order") -> int:
-        k = 0
-        while order.shorter is not None:
-            order, k = order.shorter, k + 1
-        return k
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """Row of each gram, or -1."""
-        return _rows(self.grams, grams)
-
-    def find_contexts(self, contexts: np.ndarray) -> np.ndarray:
-        return _rows(self.contexts, contexts)
+        least = level
+    return rows.where(_level() >= least)
 
 
-def _rows(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+# ---------------------------------------------------------------------------
+# The trie as tables
+# ---------------------------------------------------------------------------
+def _last(k: int) -> Column:
+    """The last k + 1 symbols of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1))
+
+
+def _context(k: int) -> Column:
+    """The k symbols before a gram's last one."""
+    return F.shiftright(_last(k), _BITS)
+
+
+def _bounded(df: DataFrame, symbols: int) -> DataFrame:
+    """Tables of up to two symbols have at most 257^2 rows and are broadcast."""
+    return F.broadcast(df) if symbols <= 2 else df
+
+
+def orders(grams: DataFrame) -> list[DataFrame]:
+    """(gram, n) of each context length from 0 to 4, from a table of five-symbol grams."""
+    out = [grams]
+    for k in range(ORDER - 1, -1, -1):
+        out.append(settled(out[-1].groupBy(_last(k).alias("gram")).agg(F.sum("n").alias("n")), f"grams-{k}"))
+    return out[::-1]
+
+
+def known_costs(grams: DataFrame) -> DataFrame:
+    """(gram, n, cost): log10 of the probability of every gram of the longest order that was seen."""
+    same = Window.partitionBy(_context(ORDER))  # at most 257 rows
+    whole = F.sum("n").over(same) + F.count(F.lit(1)).over(same)
+    return grams.select("gram", "n", F.log10(F.col("n") / whole).alias("cost"))
+
+
+def contexts(by_order: list[DataFrame], k: int) -> DataFrame:
+    """Per context of k symbols: total, kinds, and what the shorter context has besides its symbols."""
+    own = by_order[k].withColumn("context", _context(k))
+    if not k:
+        return own.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+    shorter = by_order[k - 1].select(F.col("gram").alias("_gram"), F.col("n").alias("_n"))
+    rows = own.join(_bounded(shorter, k), _last(k - 1) == F.col("_gram")).groupBy("context").agg(
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("_n").alias("_taken")
+    )
+    parents = by_order[k - 1].groupBy(_context(k - 1).alias("_parent")).agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_kinds"))
+    parent = F.col("context").bitwiseAND(F.lit((1 << _BITS * (k - 1)) - 1))
+    return rows.join(_bounded(parents, k - 1), parent == F.col("_parent")).select(
+        "context", "total", "kinds", (F.col("_total") - F.col("_taken")).alias("rest_total"), (F.col("_kinds") - F.col("kinds")).alias("rest_kinds")
+    )
 
 
-class Model:
-    """The frozen trie.  The longest grams are found through a table addressed by hash."""
+def escaped_costs(unseen: DataFrame, by_order: list[DataFrame]) -> DataFrame:
+    """(gram, cost) of five-symbol grams that training lacks: one step per context length.
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]]):
-        self.orders: list[Order] = []
-        for grams, n in orders:
-            self.orders.append(Order(grams, n, self.orders[-1] if self.orders else None))
-        top = self.orders[-1]
-        bits = max(4, (2 * len(top.grams)).bit_length())
+    Where the longer context is known (``ruled``), a shorter one counts only the symbols that
+    the longer one lacks.
+    """
+    zero = F.lit(0).cast("long")
+    left = unseen.select("gram", F.lit(0.0).alias("cost"), F.lit(False).alias("ruled"), zero.alias("rt"), zero.alias("rk"), F.lit(False).alias("done"))
+    for k in range(ORDER, -1, -1):
+        own = by_order[k].select(F.col("gram").alias("_gram"), F.col("n").alias("_n"))
+        about = contexts(by_order, k)
+        if k:
+            about = about.select(F.col("context").alias("_context"), "total", "kinds", "rest_total", "rest_kinds")
+        else:
+            about = about.select(F.col("context").alias("_context"), "total", "kinds", zero.alias("rest_total"), zero.alias("rest_kinds"))
+        rows = left.join(_bounded(own, k + 1), _last(k) == F.col("_gram"), "left")
+        rows = rows.join(_bounded(about, k), _context(k) == F.col("_context"), "left")
+        total, kinds = F.when(F.col("ruled"), F.col("rt")).otherwise(F.col("total")), F.when(F.col("ruled"), F.col("rk")).otherwise(F.col("kinds"))
+        found, known = F.col("_n").isNotNull(), F.col("total").isNotNull()
+        step = F.when(found, F.log10(F.col("_n") / (total + kinds))).when(known & (kinds > 0), F.log10(kinds / (total + kinds))).otherwise(0.0)
+        left = rows.select(
+            "gram", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + step).alias("cost"), known.alias("ruled"),
+            F.coalesce("rest_total", zero).alias("rt"), F.coalesce("rest_kinds", zero).alias("rk"), (F.col("done") | found).alias("done"),
+        )
+    symbols = by_order[0].count()  # at most 257
+    return left.select("gram", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - F.log10(F.lit(float(max(_SYMBOLS - symbols, 1))))).alias("cost"))
+
+
+class Cache:
+    """Costs of frequent grams, found through a table addressed by hash."""
+
+    def __init__(self, grams: np.ndarray, costs: np.ndarray):
+        bits = max(4, (2 * len(grams)).bit_length())
         self.shift = U(64 - bits)
         self.keys = np.full(1 << bits, _ALL_ONES, np.uint64)
-        self.costs = np.zeros(1 << bits, np.float32)
-        costs = np.log10(top.n / (top.total + top.kinds)[top.context_of])
-        left = np.arange(len(top.grams))
-        slot = self._slots(top.grams)
+        self.costs = np.zeros(1 << bits)
+        left = np.arange(len(grams))
+        slot = self._slots(grams)
         self.probes = 0
         while len(left):
             self.probes += 1
-            free = self.keys[slot[left]] == _ALL_ONES
-            trying = left[free]
+            trying = left[self.keys[slot[left]] == _ALL_ONES]
             _, first = np.unique(slot[trying], return_index=True)
             placed = trying[first]
-            self.keys[slot[placed]], self.costs[slot[placed]] = top.grams[placed], costs[placed]
+            self.keys[slot[placed]], self.costs[slot[placed]] = grams[placed], costs[placed]
             left = np.setdiff1d(left, placed, assume_unique=True)
             slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
 
     def _slots(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last symbol after its context."""
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of each gram (0 if it is not here), and the numbers of those not here."""
         out = np.zeros(len(grams))
-        slot = self._slots(grams)
-        left = None
+        left, slot, missed = np.arange(len(grams)), self._slots(grams), []
         for _ in range(self.probes):
-            keys = grams if left is None else grams[left]
             there = self.keys[slot]
-            hit, empty = there == keys, there == _ALL_ONES
-            if left is None:
-                out[hit] = self.costs[slot[hit]]
-                left = np.flatnonzero(~(hit | empty))
-                missed = [np.flatnonzero(empty)]
-            else:
-                out[left[hit]] = self.costs[slot[hit]]
-                missed.append(left[empty])
-                left = left[~(hit | empty)]
+            hit, empty = there == grams[left], there == _ALL_ONES
+            out[left[hit]] = self.costs[slot[hit]]
+            missed.append(left[empty])
+            further = ~(hit | empty)
+            left, slot = left[further], (slot[further] + 1) & (len(self.keys) - 1)
             if not len(left):
                 break
-            slot = (self._slots(grams[left]) + len(missed)) & (len(self.keys) - 1)
-        rare = np.arange(len(grams)) if left is None else np.concatenate([*missed, left])
-        if len(rare):
-            out[rare] = self._escaped(grams[rare])
-        return out
-
-    def _escaped(self, grams: np.ndarray) -> np.ndarray:
-        """The same for grams that the longest order lacks."""
-        out = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        ruled = np.full(len(grams), -1)  # the longer context escaped from
-        for k in range(len(self.orders) - 1, -1, -1):
-            order = self.orders[k]
-            longer = self.orders[k + 1] if k + 1 < len(self.orders) else None
-            keys = grams[left] & U((1 << _BITS * (k + 1)) - 1)
-            row = order.find(keys)
-            context = np.where(row >= 0, order.context_of[row] if len(order.grams) else -1, order.find_contexts(keys >> U(_BITS)))
-            total = order.total[context] if len(order.total) else np.zeros(len(left))
-            kinds = order.kinds[context] if len(order.kinds) else np.zeros(len(left))
-            if longer is not None and len(longer.contexts):
-                total = np.where(ruled >= 0, longer.rest_total[ruled], total)
-                kinds = np.where(ruled >= 0, longer.rest_kinds[ruled], kinds)
-            found = row >= 0
-            out[left[found]] += np.log10(order.n[row[found]] / (total[found] + kinds[found]))
-            escapes = ~found & (context >= 0) & (kinds > 0)
-            out[left[escapes]] += np.log10(kinds[escapes] / (total[escapes] + kinds[escapes]))
-            left, ruled = left[~found], context[~found]
-        out[left] -= np.log10(max(_SYMBOLS - len(self.orders[0].grams), 1))
-        return out
+        return out, np.concatenate([*missed, left])
 
 
 _ALL_ONES = U((1 << 64) - 1)
 
 
-def model_of(grams: DataFrame) -> Model:
-    """The trie of a table (gram, n) of five-symbol grams; a bounded part reaches the driver."""
-    orders, least = [], 0
-    for k in range(ORDER + 1):
-        own = grams if k == ORDER else grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        least = _threshold(own, MOST_GRAMS, least)
-        rows = own.where(_level() >= least).toArrow()
-        orders.append((rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()))
-    return Model(orders)
+def _rows(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+# ---------------------------------------------------------------------------
+# Scores
+# ---------------------------------------------------------------------------
+def _listed(owner: np.ndarray, key: np.ndarray, n: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each of ``n`` owners: list offsets, keys, numbers of uses."""
+    pair, uses = np.unique(owner.astype(np.int64) * max(kinds, 1) + key, return_counts=True)
+    return np.searchsorted(pair // max(kinds, 1), np.arange(n + 1)).astype(np.int32), pair % max(kinds, 1), uses
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, frequent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to scores, and the words to be looked up with their number of uses.
+def _score(batches: Iterator[pa.RecordBatch], cached: Broadcast, frequent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to scores, and the words and grams to be looked up with their number of uses.
 
     ``frequent``: sorted word hashes and their log10 base probabilities.
     """
@@ -282,7 +284,10 @@ def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, frequent: Broadc
             of = bytes_of(part.column(1)).lowered()
             n = len(of)
             grams, bounds = _grams(of)
-            score = per_text(model.value.log10(grams), bounds)
+            known_cost, missed = cached.value.find(grams)
+            score = per_text(known_cost, bounds)
+            gram, which = np.unique(grams[missed], return_inverse=True)
+            gram_at, gram_no, gram_uses = _listed(np.searchsorted(bounds, missed, side="right") - 1, which, n, len(gram))
             words = Words(of)
             key, first, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
             row = _rows(hashes, key)
@@ -290,20 +295,18 @@ def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, frequent: Broadc
             cost = np.where(row >= 0, costs[row] if len(costs) else 0.0, 0.0)[which]
             base = per_text(cost, words.bounds)
             rare = np.flatnonzero(~known)
-            pair = words.text_of[rare].astype(np.int64) * len(key) + which[rare]
-            pair, uses = np.unique(pair, return_counts=True)
-            owner, word = pair // max(len(key), 1), pair % max(len(key), 1)
-            listed = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+            listed, word, uses = _listed(words.text_of[rare], which[rare], n, len(key))
             text = _spans(of.data, words.start[first[word]], words.end[first[word]])
             columns = [
                 pa.array(task + done + np.arange(n)), part.column(0), pa.array(words.counts + 1), pa.array(per_text(known, words.bounds)),
                 pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(listed), text), pa.ListArray.from_arrays(pa.array(listed), pa.array(uses)),
+                pa.ListArray.from_arrays(pa.array(gram_at), pa.array(gram[gram_no].view(np.int64))), pa.ListArray.from_arrays(pa.array(gram_at), pa.array(gram_uses)),
             ]
             done += n
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SCORED.split(", ")])
 
 
-_SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, uses array<long>"
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<string>, uses array<long>, grams array<long>, gram_uses array<long>"
 
 
 def scores(docs: DataFrame, training: Column) -> DataFrame:
@@ -318,25 +321,34 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     n_all, n_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     scale = float(n_all + 0.1 * (n_words + 1))
     base = lambda n: F.log10((n + F.lit(0.1)) / F.lit(scale))
-    model = sc.broadcast(model_of(counted.where("gram IS NOT NULL").select("gram", "n")))
+    grams = counted.where("gram IS NOT NULL").select("gram", "n")
+    costs = settled(known_costs(grams), "gram-costs")
+    top = _most_frequent(costs, CACHED_GRAMS).select("gram", "cost").toArrow()
+    cached = sc.broadcast(Cache(top["gram"].to_numpy().view(np.uint64), top["cost"].to_numpy()))
     inner = words.where("word <> ''")
-    top = inner.where(_level() >= _threshold(inner, MOST_WORDS)).toArrow()
+    top = _most_frequent(inner, MOST_WORDS).toArrow()
     key = bytes_of(top["word"])
     order = np.argsort(hashed := key.span_hashes(key.offsets[:-1], key.offsets[1:]))
     frequent = sc.broadcast((hashed[order], np.log10((top["n"].to_numpy()[order] + 0.1) / scale)))
 
-    scored = settled(texts.select("doc_id", "text").mapInArrow(partial(_score, model=model, frequent=frequent), _SCORED), "language-scores")
+    scored = settled(texts.select("doc_id", "text").mapInArrow(partial(_score, cached=cached, frequent=frequent), _SCORED), "language-scores")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "uses")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.uses").alias("uses"))
     looked_up = rare.join(inner, "word", "left").groupBy("row").agg(
         F.sum(F.col("uses") * base(F.coalesce("n", F.lit(0)))).alias("rare_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("uses"))).alias("rare_known"),
     )
+    missed = scored.select("row", F.explode(F.arrays_zip("grams", "gram_uses")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.gram_uses").alias("uses"))
+    wanted = settled(missed.select("gram").distinct().join(costs.select("gram", "cost"), "gram", "left"), "wanted-grams")
+    unseen = escaped_costs(wanted.where("cost IS NULL"), orders(grams))
+    rare_scores = missed.join(wanted.where("cost IS NOT NULL").union(unseen), "gram").groupBy("row").agg(F.sum(F.col("uses") * F.col("cost")).alias("rare_score"))
     end_count = words.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     end_base, end_known = base(F.lit(end_count)), F.lit(int(end_count > 0))
-    return scored.drop("words", "uses").join(looked_up, "row", "left").select(
+    narrow = scored.drop("words", "uses", "grams", "gram_uses")
+    return narrow.join(looked_up, "row", "left").join(rare_scores, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + end_known).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + end_base).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + end_base).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -1,10 +1,11 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from llmdata import awkward, rows, spark_docs
+from llmdata import awkward, prose, rows, spark_docs
 from pyspark.sql import functions as F
 
 from emberscope.llm import lm_scoring
@@ -64,38 +65,55 @@ def brute(data, learn):
         yield i, len(words), sum(count[w] > 0 for w in words), n, base, trie.log10(t)
 
 
-@pytest.fixture(params=[(lm_scoring.MOST_GRAMS, lm_scoring.MOST_WORDS), (lm_scoring.MOST_GRAMS, 20)])
+@pytest.fixture(params=[(10**6, 10**5), (20, 20), (0, 0)])
 def bounds(request, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "MOST_GRAMS", request.param[0])
+    """The caches change no result."""
+    monkeypatch.setattr(lm_scoring, "CACHED_GRAMS", request.param[0])
     monkeypatch.setattr(lm_scoring, "MOST_WORDS", request.param[1])
 
 
-def test_scores_match_brute_force(spark, bounds):
-    data = [(i, t if len(t or "") < 3000 else t[:3000]) for i, t in enumerate([*awkward(), "naïve \x00 Ünseen 日本", "QQQ zzz"])]
-    learn = lambda i: zlib.crc32(str(i).encode()) % 10 != 0
-    got = {r["doc_id"]: r for r in lm_scoring.held_out_scores(spark_docs(spark, rows([t for _, t in data])).repartition(3)).collect()}
+def check(got, data, learn):
+    got = {r["doc_id"]: r for r in got.collect()}
     assert len(got) == len(data)
     for i, n_tokens, n_known, n, base, score in brute(data, learn):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not learn(i), n_tokens, n_known, n)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-5)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
-def test_probabilities_of_a_context_add_up(spark):
-    import numpy as np
+def learned(i):
+    return zlib.crc32(str(i).encode()) % 10 != 0
 
-    texts = spark.createDataFrame([("the cat sat",), ("the car ran on",), ("at a rate",)], "text string")
-    model = lm_scoring.model_of(lm_scoring.counts(texts).where("gram is not null").select("gram", "n"))
-    for history in ([256] * 4, list(b"the "), list(b"xcat"), list(b"zzzz"), list(b" cat")):
-        context = sum(s << 9 * (4 - i) for i, s in enumerate(history))
-        grams = np.array([context | s for s in range(257)], np.uint64)
-        assert (10.0 ** model.log10(grams)).sum() == pytest.approx(1.0, abs=1e-6)
+
+def test_scores_match_brute_force(spark, bounds):
+    data = [(i, t if len(t or "") < 3000 else t[:3000]) for i, t in enumerate([*awkward(), "naïve \x00 Ünseen 日本", "QQQ zzz"])]
+    check(lm_scoring.held_out_scores(spark_docs(spark, rows([t for _, t in data])).repartition(3)), data, learned)
 
 
-def test_a_small_trie_leaves_rare_grams_to_shorter_contexts(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "MOST_GRAMS", 60)
-    docs = spark_docs(spark, rows(["the cat sat on the mat " * 9, "a dog and a cat", "zebra"]))
-    assert all(-1e4 < r["score"] < 0 for r in lm_scoring.scores(docs, F.lit(True)).collect())
+def test_rare_grams_count_where_every_byte_is_frequent(spark, bounds):
+    rng = random.Random(6)
+    data = [(i, prose(rng, 30) + " " + "".join(rng.choice("abcdefgh ") for _ in range(300))) for i in range(60)]
+    train = Counter(b for i, t in data if learned(i) for b in t.encode())
+    assert min(train.values()) >= 10
+    check(lm_scoring.held_out_scores(spark_docs(spark, rows([t for _, t in data]))), data, learned)
+
+
+def test_scores_of_a_given_table_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    short = docs.where("length(text) < 1500")
+    check(lm_scoring.held_out_scores(short), sorted(map(tuple, short.collect())), learned)
+
+
+def test_probabilities_of_a_context_add_up(spark):
+    texts = spark.createDataFrame([("the cat sat",), ("the car ran on",), ("at a rate",)], "text string")
+    grams = lm_scoring.counts(texts).where("gram is not null").select("gram", "n")
+    by_order, known = lm_scoring.orders(grams), lm_scoring.known_costs(grams)
+    histories = ([256] * 4, list(b"the "), list(b"xcat"), list(b"zzzz"), list(b" cat"))
+    wanted = [(j, sum(s << 9 * (4 - i) for i, s in enumerate(h)) | s) for j, h in enumerate(histories) for s in range(257)]
+    asked = spark.createDataFrame(wanted, "history int, gram long")
+    unseen = lm_scoring.escaped_costs(asked.select("gram").distinct().join(known, "gram", "left_anti"), by_order)
+    found = asked.join(known.select("gram", "cost").union(unseen), "gram").groupBy("history").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(10.0), "cost")).alias("p"))
+    assert [(r["n"], round(r["p"], 9)) for r in found.collect()] == [(257, 1.0)] * len(histories)
 
 
 def test_nothing_to_learn_from_and_empty_table(spark):
