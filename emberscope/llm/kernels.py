@@ -231,3 +231,45 @@ def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return np.repeat(np.arange(len(column)), sizes), values
+
+
+_NONE = U(_ALL)
+
+
+class HashRows:
+    """Row numbers by 64-bit key (any but all ones), for whole arrays of keys; at most half full."""
+
+    def __init__(self, rows: int):
+        self.bits = max(4, (2 * rows).bit_length())
+        self.keys = np.full(1 << self.bits, _NONE, np.uint64)
+        self.rows = np.zeros(1 << self.bits, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _BASE) >> U(64 - self.bits)).astype(np.int64)
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Distinct keys that are not here yet."""
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            trying = left[self.keys[slot[left]] == _NONE]
+            _, first = np.unique(slot[trying], return_index=True)
+            placed = trying[first]
+            self.keys[slot[placed]], self.rows[slot[placed]] = keys[placed], rows[placed]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        out = np.full(len(keys), -1, np.int32)
+        left, slot, asked = None, self._slots(keys), keys
+        while len(asked):
+            there = self.keys[slot]
+            hit = there == asked
+            if left is None:
+                out[hit] = self.rows[slot[hit]]
+            else:
+                out[left[hit]] = self.rows[slot[hit]]
+            further = np.flatnonzero(~hit & (there != _NONE))
+            left = further if left is None else left[further]
+            asked, slot = asked[further], (slot[further] + 1) & (len(self.keys) - 1)
+        return out

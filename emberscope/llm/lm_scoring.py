@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberscope.llm.kernels import Bytes, U, Words, bytes_of, per_text, slices
+from emberscope.llm.kernels import Bytes, HashRows, U, Words, bytes_of, per_text, slices
 from emberscope.llm.tables import fold, settled
 
 ORDER = 4
@@ -214,45 +214,16 @@ def escaped_costs(unseen: DataFrame, by_order: list[DataFrame]) -> DataFrame:
 
 
 class Cache:
-    """Costs of frequent grams, found through a table addressed by hash."""
+    """Costs of frequent grams, for whole arrays of grams."""
 
     def __init__(self, grams: np.ndarray, costs: np.ndarray):
-        bits = max(4, (2 * len(grams)).bit_length())
-        self.shift = U(64 - bits)
-        self.keys = np.full(1 << bits, _ALL_ONES, np.uint64)
-        self.costs = np.zeros(1 << bits)
-        left = np.arange(len(grams))
-        slot = self._slots(grams)
-        self.probes = 0
-        while len(left):
-            self.probes += 1
-            trying = left[self.keys[slot[left]] == _ALL_ONES]
-            _, first = np.unique(slot[trying], return_index=True)
-            placed = trying[first]
-            self.keys[slot[placed]], self.costs[slot[placed]] = grams[placed], costs[placed]
-            left = np.setdiff1d(left, placed, assume_unique=True)
-            slot[left] = (slot[left] + 1) & ((1 << bits) - 1)
-
-    def _slots(self, grams: np.ndarray) -> np.ndarray:
-        return ((grams * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.rows, self.costs = HashRows(len(grams)), np.append(costs, 0.0)
+        self.rows.add(grams, np.arange(len(grams), dtype=np.int32))
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cost of each gram (0 if it is not here), and the numbers of those not here."""
-        out = np.zeros(len(grams))
-        left, slot, missed = np.arange(len(grams)), self._slots(grams), []
-        for _ in range(self.probes):
-            there = self.keys[slot]
-            hit, empty = there == grams[left], there == _ALL_ONES
-            out[left[hit]] = self.costs[slot[hit]]
-            missed.append(left[empty])
-            further = ~(hit | empty)
-            left, slot = left[further], (slot[further] + 1) & (len(self.keys) - 1)
-            if not len(left):
-                break
-        return out, np.concatenate([*missed, left])
-
-
-_ALL_ONES = U((1 << 64) - 1)
+        row = self.rows.find(grams)
+        return self.costs[row], np.flatnonzero(row < 0)
 
 
 def _rows(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:

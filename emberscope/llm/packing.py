@@ -8,7 +8,9 @@ end to end: a document goes on in the next sequence where one is full, and what
 the end of a range is cut into sequences of powers of two, which need no padding.
 
 Tokens: a text is cut at single spaces between two characters that are surely not white
-space; no token crosses such a cut, so each distinct part is encoded once per task process.
+space; no token crosses such a cut, so a part's ids are found once and kept by the task process,
+in flat arrays addressed by the part's hash.  New parts are encoded together in one call, as no
+token crosses from one to the next; only the first and the last part of a text go alone.
 A text that contains the special token's string is encoded whole by ``tokenizers``.
 
 Defined results: a null text is empty; every document ends with the end id, so each has a
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from emberscope.llm.kernels import Bytes, bytes_of, slices
+from emberscope.llm.kernels import Bytes, HashRows, bytes_of, slices
 from emberscope.llm.tables import settled
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -42,13 +44,26 @@ LENGTH = 1024
 END_ID = 0
 DIMENSIONS, BITS = 4, 15
 _REACH = 1.0  # coordinates beyond this are taken as this
-_CACHED = 400_000  # parts kept by a task process
+_CACHED = 400_000  # parts in each of the two generations that a task process keeps
 
 _SURE = np.zeros(256, bool)  # first bytes of characters that are not white space
 _SURE[0x21:0x7F] = True
 _SURE[0xC3:0xE0] = True
 
 
+class _Parts:
+    """Ids of parts seen before: rows of flat arrays, found by the parts' hashes."""
+
+    def __init__(self, room: int):
+        self.room, self.found = room, HashRows(room)
+        self.at, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.found.add(hashes, np.arange(len(self.at), len(self.at) + len(hashes), dtype=np.int32))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+
+
 class Encoder:
     """Texts to token ids, with the parts seen before kept."""
 
@@ -57,20 +72,44 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = max(table.values()) + 2
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        self.token_bytes = np.zeros(self.size, np.int64)
+        self.token_bytes[list(table.values())] = [len(token) for token in table]
         self.tokenizer_path = tokenizer
-        self.parts: dict[bytes, list[int]] = {}
+        self.young, self.old = _Parts(_CACHED), _Parts(0)
 
     @lru_cache(maxsize=1)
     def whole(self) -> Tokenizer:
         return Tokenizer.from_file(self.tokenizer_path)
 
-    def part(self, data: bytes) -> list[int]:
-        ids = self.parts.get(data)
-        if ids is None:
-            if len(self.parts) >= _CACHED:
-                self.parts.clear()
-            ids = self.parts[data] = self.fast.encode_ordinary(data.decode())
-        return ids
+    def _new_parts(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these parts, one after the other, and how many each has."""
+        joined = b"".join([raw[a:b] for a, b in zip(starts[~alone].tolist(), ends[~alone].tolist(), strict=True)])
+        ids = np.array(self.fast.encode_ordinary(joined.decode()), np.int32)
+        bounds = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum((ends - starts)[~alone])) + 1
+        sizes = np.zeros(len(starts), np.int64)
+        sizes[~alone] = np.diff(bounds, prepend=0)
+        single = [self.fast.encode_ordinary(raw[a:b].decode()) for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]
+        sizes[alone] = [len(x) for x in single]
+        out = np.zeros(int(sizes.sum()), np.int32)
+        from_single = np.repeat(alone, sizes)
+        out[~from_single], out[from_single] = ids, np.array([x for own in single for x in own], np.int32)
+        return out, sizes
+
+    def _rows(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """The row of each part: of the young generation, or beyond it of the old one."""
+        row = self.young.found.find(hashes)
+        missing = np.flatnonzero(row < 0)
+        before = self.old.found.find(hashes[missing])
+        new = missing[before < 0]
+        if len(new):
+            key, first = np.unique(hashes[new], return_index=True)
+            new = new[first]
+            if len(self.young.at) + len(key) > self.young.room:  # the new generation takes all of this slice
+                self.old, self.young = self.young, _Parts(max(_CACHED, len(np.unique(hashes))))
+            self.young.add(key, *self._new_parts(raw, starts[new], ends[new], alone[new]))
+            return self._rows(raw, hashes, starts, ends, alone)
+        row[missing] = before + len(self.young.at)
+        return row
 
     def encode(self, of: Bytes) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
@@ -80,17 +119,17 @@ class Encoder:
         before, after = data[space - 1], data[space + 1]
         plain = (before > 0x20) & (before < 0x7F)
         two = (before >= 0x80) & (before < 0xC0) & (data[space - 2] >= 0xC3) & (data[space - 2] < 0xE0)
-        cuts = space[(plain | two) & _SURE[after]]
-        starts = np.unique(np.concatenate([cuts, offsets[:-1][np.diff(offsets) > 0]]))
-        ends = np.append(starts[1:], len(data))
-        _, first, which = np.unique(of.span_hashes(starts, ends), return_index=True, return_inverse=True)
-        lists = [self.part(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(sizes.sum()))
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        counts = sizes[which]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[space[(plain | two) & _SURE[after]]] = True
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        starts = np.flatnonzero(begins[:-1] | edge[:-1])
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        which = self._rows(raw, of.span_hashes(starts, ends), starts, ends, edge[starts] | edge[ends])
+        counts = np.concatenate([self.young.sizes, self.old.sizes])[which]
+        at = np.concatenate([self.young.at, len(self.young.ids) + self.old.at])[which]
         total = np.concatenate([[0], np.cumsum(counts)])
-        ids = flat[np.repeat(at[which] - total[:-1], counts) + np.arange(total[-1])]
+        ids = np.concatenate([self.young.ids, self.old.ids])[np.repeat(at - total[:-1], counts) + np.arange(total[-1])]
         bounds = total[np.searchsorted(starts, offsets)]
         if SPECIAL in raw:
             return self._with_special(raw, offsets, ids, bounds)

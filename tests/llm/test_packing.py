@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llmdata import awkward, rows, spark_docs
 from tokenizers import Tokenizer
 
@@ -33,6 +34,33 @@ def test_encoder_equals_tokenizers():
         assert ids[end - n : end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("kept", [1, 3, 50])
+def test_encoder_forgets_parts_without_losing_any(monkeypatch, kept):
+    monkeypatch.setattr(packing, "_CACHED", kept)
+    encoder, tokenizer, rng = packing.Encoder(packing.RANKS, packing.TOKENIZER), whole(), random.Random(5)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "cat", "naïve", "x.", "日本", f"n{rng.randrange(99)}", "\n"]) for _ in range(rng.randrange(40))) for _ in range(4)]
+        ids, counts = encoder.encode(bytes_of(pa.array(texts)))
+        assert ids.tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
+        assert counts.tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_sequences_follow_the_curve(spark):
+    rng = random.Random(8)
+    themes = [[f"{c}{i}" for i in range(30)] for c in ("alpha", "beta ", "x", "日")]
+    texts = [" ".join(rng.choices(themes[i % 4], k=rng.randrange(20, 900))) for i in range(160)]
+    encoder = packing.encoder(packing.RANKS, packing.TOKENIZER)
+    keys = []
+    for t in texts:
+        ids = np.append(encoder.encode(bytes_of(pa.array([t])))[0], 0)
+        keys.append(int(packing._keys(ids, np.array([len(ids)]), encoder.size)[0]))
+    pieces = packing.packed(spark_docs(spark, rows(texts)).repartition(5)).collect()
+    along = [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"]))]
+    assert [keys[d] for d in along] == sorted(keys[d] for d in along)
+    alike = sum(a % 4 == b % 4 for a, b in zip(along, along[1:])) / (len(along) - 1)
+    assert alike > 0.8  # a quarter would be chance
+
+
 def test_hilbert_curve_visits_neighbours():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
