@@ -521,16 +521,19 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "p10_cluster_resources": "SELECT * FROM cluster",
     "p11_sql_executions": """SELECT 'app-1' AS app_id, id, status, description, plan_description, submission_ms, CASE WHEN status = 'COMPLETED' THEN duration ELSE 0 END AS duration FROM sql_executions""",
     "p12_sql_jobs": "SELECT 'app-1' AS app_id, sql_id, job_id, 'success' AS state FROM sql_jobs",
+    "st1_growing_log": "SELECT executor_id, status, count(*) AS n, sum(duration)::BIGINT AS duration_sum FROM tasks GROUP BY executor_id, status",
     "st1_stream_tasks": "SELECT executor_id, status, count(*) AS n, sum(duration)::BIGINT AS duration_sum FROM tasks GROUP BY executor_id, status",
     "st2_stream_stage_metrics": STAGE_METRICS,
+    "st2_compacted": STAGE_METRICS,
     "st4_stream_health": """SELECT finish_ms - finish_ms % 60000 AS window_start, count(*) AS n, count(*) FILTER (status = 'FAILED') AS failed, sum(input_bytes + shuffle_read_bytes)::BIGINT AS bytes
       FROM tasks WHERE finish_ms IS NOT NULL GROUP BY 1""",
 }
 
-BODIES["st3_stream_findings"] = (
-    "SELECT app_id, category, severity, n, savings FROM (SELECT unnest(['app-1', 'log app-2']) AS app_id) CROSS JOIN ("
-    f"SELECT category, severity, count(*) AS n, sum(estimated_savings_ms)::BIGINT AS savings FROM ({SUSPECTS}) GROUP BY category, severity)"
-)
+for _name, _apps in (("st3_stream_findings", "'app-1', 'log app-2'"), ("st3_two_attempts", "'app-1/1', 'app-1/2'")):
+    BODIES[_name] = (
+        f"SELECT app_id, category, severity, n, savings FROM (SELECT unnest([{_apps}]) AS app_id) CROSS JOIN ("
+        f"SELECT category, severity, count(*) AS n, sum(estimated_savings_ms)::BIGINT AS savings FROM ({SUSPECTS}) GROUP BY category, severity)"
+    )
 
 
 def _uses(name: str, text: str) -> bool:

@@ -14,7 +14,8 @@ from emberscope.operators import linking, reports, stage_rules, task_rules
 from emberscope.plans import analysis
 from emberscope.sources import event_log as log
 from emberscope.sources import rest_snapshot, store
-from emberscope.streaming import live
+from emberscope.sources.tailing import tail_lines
+from emberscope.streaming import batches, live
 from emberscope.workspace import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -644,6 +645,22 @@ def _(spark, sf_dir):
     )
 
 
+@register("st1_growing_log")
+def _(spark, sf_dir):
+    """Task rows of a rolling log that grows between two triggers, each read once."""
+    root, out, checkpoint = new_folder(spark, "growing"), new_folder(spark, "stream-tasks"), new_folder(spark, "stream-checkpoint")
+    for whole in (False, True):
+        X.grown_log(spark, sf_dir, root, whole)
+        query = (
+            live.stream_tasks(tail_lines(spark, root)).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(out).groupBy("executor_id", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration_sum")
+    )
+
+
 def _rolled(spark, sf_dir, summarize, rollup) -> DataFrame:
     path = new_folder(spark, "rollup")
     query = live.run_rollup(
@@ -670,6 +687,30 @@ def _(spark, sf_dir):
     )
 
 
+@register("st2_compacted")
+def _(spark, sf_dir):
+    """The rollup after batches, a compaction, more batches, and the removal of what it covers."""
+    path, checkpoint, root = new_folder(spark, "rollup"), new_folder(spark, "stream-checkpoint"), new_folder(spark, "growing")
+    for whole in (False, True):
+        X.grown_log(spark, sf_dir, root, whole)
+        live.run_rollup(live.stream_tasks(tail_lines(spark, root)), live.stage_batch, path, checkpoint, once=True).awaitTermination()
+        live.compact_rollup(spark, path, live.STAGE_ROLLUP)
+    batches.expire(spark, path, 0)
+    return live.read_rollup(spark, path, live.STAGE_ROLLUP).drop("app_id", "attempt_id")
+
+
+@register("st3_two_attempts")
+def _(spark, sf_dir):
+    """Findings of two attempts of one application whose logs appear in two batches."""
+    root, state, checkpoint = new_folder(spark, "attempts"), new_folder(spark, "findings"), new_folder(spark, "stream-checkpoint")
+    for attempt in (1, 2):
+        X.attempt_log(spark, sf_dir, root, attempt)
+        live.run_findings(tail_lines(spark, root), state, checkpoint, once=True, buckets=8, compact_every=2).awaitTermination()
+    return live.current_findings(spark, state).groupBy("app_id", "category", "severity").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("estimated_savings_ms").alias("savings")
+    )
+
+
 @register("st4_stream_health")
 def _(spark, sf_dir):
     found = _rolled(spark, sf_dir, live.health_batch, live.HEALTH_ROLLUP)

@@ -10,6 +10,7 @@ scan: no window, no shuffle, whatever the size of a stage.
 
 from __future__ import annotations
 
+import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -392,7 +393,8 @@ def _renamed(spark: SparkSession, root: str, name) -> None:
 
 
 def bare_gzip_log(spark: SparkSession, sf_dir: str) -> str:
-    """The event log gzip-compressed; the files of odd phases have no suffix that says so."""
+    """The event log gzip-compressed; the files of odd phases have no suffix that says so, or one
+    that says they are plain."""
 
     def write() -> str:
         root = new_folder(spark, "log-bare")
@@ -400,12 +402,43 @@ def bare_gzip_log(spark: SparkSession, sf_dir: str) -> str:
         for rest in (0, 1):
             part = f"{root}/eventlog_v2_app-1/half={rest}"
             lines.where(F.col("phase") % 2 == rest).write.partitionBy("phase").option("compression", "gzip").text(part)
-        _renamed(spark, f"{root}/eventlog_v2_app-1/half=1", lambda name: name.split(".")[0])
+        _renamed(spark, f"{root}/eventlog_v2_app-1/half=1", lambda name: name.split(".")[0] + ("" if zlib.crc32(name.encode()) % 3 else ".json"))
         return root
 
     return _once(spark, sf_dir, "log-bare", write)
 
 
+def grown_log(spark: SparkSession, sf_dir: str, root: str, whole: bool) -> None:
+    """Write the event log below a root as a rolling log of a running application: the part that is
+    there first, or the whole, of which that part is the beginning file by file."""
+    spread = F.when(F.col("phase") == 5, F.pmod(F.xxhash64("value"), F.lit(16))).otherwise(0)
+    lines = event_lines(telemetry(spark, sf_dir)).withColumns({
+        "number": (F.col("phase") * 16 + spread + 1).cast("int"), "late": F.pmod(F.xxhash64("value", F.lit(1)), F.lit(3)) == 0,
+    })
+    drafts = new_folder(spark, "log-drafts")
+    ordered = (lines if whole else lines.where("NOT late")).repartition("number").sortWithinPartitions("number", "late", "value")
+    ordered.select("number", "value").write.partitionBy("number").text(drafts)
+    java = spark._jvm.org.apache.hadoop.fs
+    folder = java.Path(f"{root}/eventlog_v2_app-1")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.create(java.Path(folder, "appstatus_app-1.inprogress"), True).close()
+    for status in system.listStatus(java.Path(drafts)):
+        name = status.getPath().getName()
+        if name.startswith("number="):
+            target = java.Path(folder, f"events_{name.removeprefix('number=')}_app-1")
+            draft = next(f.getPath() for f in system.listStatus(status.getPath()) if f.getPath().getName().startswith("part-"))
+            system.delete(target, False)
+            system.rename(draft, target)
+
+
+def attempt_log(spark: SparkSession, sf_dir: str, root: str, attempt: int) -> None:
+    """Write the event log of one attempt of the application below a root."""
+    lines = event_lines(telemetry(spark, sf_dir)).where("phase > 0")
+    start = _line(0, lines.limit(1), "SparkListenerApplicationStart", F.lit("app-1").alias("App ID"), F.lit(str(attempt)).alias("App Attempt ID"))
+    lines.unionByName(start).write.partitionBy("phase").text(f"{root}/eventlog_v2_attempt-{attempt}")
+
+
 def damaged_log(spark: SparkSession, sf_dir: str) -> str:
     """The plain lines of the jobs under names that promise gzip."""
 

@@ -98,6 +98,32 @@ def executor_totals(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def merged_totals(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``executor_totals`` over several shares of the tasks, as one row per stage and executor."""
+    keys = [*by, "stage_id", "executor_id"]
+    one = Window.partitionBy(*keys)  # a row per share
+    whole, merged = {}, []
+    for m in MEASURES:
+        n, mean = F.col(f"n_{m}").cast("double"), F.coalesce(f"mean_{m}", F.lit(0.0))
+        whole[f"_mean_{m}"] = F.sum(n * mean).over(one) / F.nullif(F.sum(n).over(one), F.lit(0.0))
+        apart = mean - F.col(f"_mean_{m}")
+        merged += [
+            F.sum(f"n_{m}").alias(f"n_{m}"), F.first(f"_mean_{m}").alias(f"mean_{m}"),
+            (F.sum(n * (F.coalesce(f"var_{m}", F.lit(0.0)) + apart * apart)) / F.nullif(F.sum(n), F.lit(0.0))).alias(f"var_{m}"),
+            F.max(f"max_{m}").alias(f"max_{m}"), F.max(f"top_{m}").alias(f"top_{m}"), F.max_by(f"bytes_{m}", f"top_{m}").alias(f"bytes_{m}"),
+        ]
+    return parts.withColumns(whole).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("tasks", "bytes", "duration_sum", "total_memory")],
+        F.min("min_duration").alias("min_duration"), F.max("slowest").alias("slowest"), F.max("max_memory").alias("max_memory"), *merged,
+    )
+
+
+def measure_counts(tasks: DataFrame, by: Sequence[str] = (), measures: Sequence[str] = MEASURES) -> DataFrame:
+    """Rows per stage, measure and value: all that medians need, combined before the shuffle."""
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), _values()[m].alias("value")) for m in measures])
+    return value_counts(tasks.select(*by, "stage_id", F.inline(values)), [*by, "stage_id", "measure"], "value")
+
+
 def _moments(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """One row per stage and measure: n, mean, deviation and the task with the largest value."""
     fields = ("n", "mean", "var", "max", "top", "bytes")
@@ -118,33 +144,43 @@ def _moments(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
     )
 
 
+def _medians(tasks: DataFrame, totals: DataFrame, keys: Sequence[str], measures: Sequence[str], large: int) -> DataFrame:
+    """Medians by stage and measure: one buffer for a stage of modest size, counted values beyond it."""
+    wide = tasks.select(*keys, *[_values()[m].alias(m) for m in measures])
+    small, big = parted(wide, totals.groupBy(*keys).agg(F.sum("tasks").alias("n")), keys, large)
+
+    def long(rows: DataFrame, value: str) -> DataFrame:
+        return rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias(value)) for m in measures])))
+
+    buffered = long(small.groupBy(*keys).agg(*[F.percentile(m, 0.5).alias(m) for m in measures]), "median")
+    counted = value_counts(long(big, "value"), [*keys, "measure"], "value")
+    return buffered.unionByName(quantiles_of_counts(counted, [*keys, "measure"], {"median": 0.5}).drop("n"))
+
+
 def distributions(
-    tasks: DataFrame,
+    tasks: DataFrame | None,
     by: Sequence[str] = (),
     measures: Sequence[str] = MEASURES,
     positive_mean: bool = True,
     totals: DataFrame | None = None,
+    counts: DataFrame | None = None,
     large: int = LARGE_GROUP,
 ) -> DataFrame:
     """Per stage and measure: ``n, mean, cv, median, max_val, max_median_ratio`` and the
     task with the largest value (``task_id``, its ``task_bytes``).
 
     Stages with fewer than two values or a mean of zero or less have no distribution; with
-    ``positive_mean=False`` the latter are kept, with ``cv`` 0.  Tasks are read twice: for
-    ``executor_totals`` (unless they are given), which also tell the sizes, and for the medians.
+    ``positive_mean=False`` the latter are kept, with ``cv`` 0.  Tasks are read for what is not
+    given: ``executor_totals``, which also tell the sizes, and the medians, which ``measure_counts``
+    give as well.
     """
     keys = [*by, "stage_id"]
     totals = executor_totals(tasks, by) if totals is None else totals
     moments = _moments(totals, keys, measures)
-    wide = tasks.select(*keys, *[_values()[m].alias(m) for m in measures])
-    small, big = parted(wide, totals.groupBy(*keys).agg(F.sum("tasks").alias("n")), keys, large)
-
-    def long(rows: DataFrame, value: str) -> DataFrame:
-        return rows.select(*keys, F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias(value)) for m in measures])))
-
-    buffered = long(small.groupBy(*keys).agg(*[F.percentile(m, 0.5).alias(m) for m in measures]), "median")
-    counted = value_counts(long(big, "value"), [*keys, "measure"], "value")
-    medians = buffered.unionByName(quantiles_of_counts(counted, [*keys, "measure"], {"median": 0.5}).drop("n"))
+    if counts is None:
+        medians = _medians(tasks, totals, keys, measures, large)
+    else:
+        medians = quantiles_of_counts(counts.where(F.col("measure").isin(*measures)), [*keys, "measure"], {"median": 0.5}).drop("n")
     rows = moments.join(medians, [*keys, "measure"])
     positive = F.col("mean") > 0
     ratio = F.when(
@@ -180,7 +216,7 @@ def skewed(dists: DataFrame) -> DataFrame:
     )
 
 
-def executor_shares(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
+def executor_shares(tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
     """Per stage and executor: tasks, bytes, share of the stage's bytes, stage totals.
 
     The window runs over one row per executor of a stage, not over tasks.
@@ -212,7 +248,7 @@ def slowest_tasks(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame |
     )
 
 
-def hotspots(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
+def hotspots(tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
     """Executors that read more than half of a stage's bytes (stages of two tasks or more)."""
     return executor_shares(tasks, by, totals).where(
         (F.col("stage_tasks") >= 2) & (F.col("stage_bytes") > 0) & (F.col("share") > HOT_SHARE)
@@ -241,7 +277,7 @@ def _skew_texts() -> tuple[str, str, str]:
     return title, detail, _by_measure(lit(DURATION_ADVICE), lit(SIZE_ADVICE), lit(RECORD_ADVICE))
 
 
-def _with_links(found: DataFrame, names: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_links(found: DataFrame, names: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add job, SQL and stage name; task findings carry no I/O text, pattern or savings."""
     nothing = F.lit(None).cast("string")
     linked = found.join(names, [*by, "stage_id"], "left")
@@ -271,29 +307,37 @@ def stage_names(stages: DataFrame, links: DataFrame, by: Sequence[str] = ()) ->
     )
 
 
-def skew_findings(dists: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def skew_rows(dists: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Skew findings by stage, without the names and links of the stage."""
     title, detail, advice = _skew_texts()
-    found = skewed(dists).selectExpr(
+    return skewed(dists).selectExpr(
         *by, "severity", "category", "stage_id", f"{title} AS title", f"{detail} AS detail",
         f"{advice} AS recommendation",
     )
-    return _with_links(found, names, by)
 
 
-def hotspot_findings(
-    tasks: DataFrame, names: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None
-) -> DataFrame:
+def skew_findings(dists: DataFrame, names: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return with_links(skew_rows(dists, by), names, by)
+
+
+def hotspot_rows(tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
+    """Hotspot findings by stage, without the names and links of the stage."""
     share = percent("share")
     title = fill(HOT_TITLE, "executor_id", share)
     detail = fill(
         HOT_DETAIL,
         "executor_id", bytes_text("bytes"), share, bytes_text("stage_bytes"), "tasks",
     )
-    found = hotspots(tasks, by, totals).selectExpr(
+    return hotspots(tasks, by, totals).selectExpr(
         *by, f"'{M.WARN}' AS severity", f"'{M.EXEC_HOTSPOT}' AS category", "stage_id",
         f"{title} AS title", f"{detail} AS detail", f"{lit(HOTSPOT_ADVICE)} AS recommendation",
     )
-    return _with_links(found, names, by)
+
+
+def hotspot_findings(
+    tasks: DataFrame, names: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None
+) -> DataFrame:
+    return with_links(hotspot_rows(tasks, by, totals), names, by)
 
 
 def task_findings(

@@ -19,6 +19,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 
 from emberscope import model as M
 from emberscope.operators.keys import small_side
-from emberscope.workspace import new_folder
+from emberscope.sources import tailing
+from emberscope.workspace import new_folder, ship_package
 
 # ---------------------------------------------------------------------------
 # Event tags, JSON field names, folder and file name patterns.
@@ -54,7 +56,7 @@ ROLLING_FOLDER = r"^(.*/eventlog_v2_[^/]+)/"
 ROLLING_FILE = r"/events_(\d+)_[^/]*$"
 PARENT_FOLDER = r"^(.*)/[^/]*$"
 CODEC_SUFFIX = r"\.(gz|gzip|zst|zstd|bz2|lz4|snappy|deflate)$"
-KNOWN_PLAIN = r"\.(json|jsonl|log|txt|text)$"
+READ_FAULT = "FAILED_READ_FILE"
 DAMAGED = "damaged gzip data"
 HEADS_AT_ONCE = 32
 
@@ -188,13 +190,29 @@ def _text(spark: SparkSession, paths: list[str], **options: str) -> DataFrame:
 
 
 def gzip_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files that begin like gzip but lack the suffix Spark goes by.
+    """Files that begin like gzip but lack the suffix Spark goes by, whatever else their name is.
 
-    Two bytes are read of each file whose name does not tell, by the file system the path
-    names; the listing of these names is what Spark's own reader keeps on the driver too.
+    Tasks read two bytes of each file; only the names of those found reach the driver, which
+    lists all names for Spark's own reader anyway.  Where the tasks have no client for the
+    file system, the driver opens the files through Spark's.
     """
     named = reduce(DataFrame.unionByName, [log_files(spark, p) for p in paths])
-    untold = named.where(~F.col("path").rlike(KNOWN_PLAIN) & ~F.col("path").rlike(CODEC_SUFFIX) & (F.col("length") > 2))
+    untold = named.where(~F.col("path").rlike(CODEC_SUFFIX) & (F.col("length") > 2)).select("path")
+    try:
+        for path in paths:
+            tailing.file_system(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # a scheme unknown to tasks
+        return _gzip_files_by_driver(spark, untold)
+    ship_package(spark)
+    return [row["path"] for row in untold.mapInArrow(_zipped, "path string").toLocalIterator()]
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([tailing.begins_like_gzip(unquote(p)) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+
+def _gzip_files_by_driver(spark: SparkSession, untold: DataFrame) -> list[str]:
     java, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def begins_like_gzip(path: str) -> bool:
@@ -206,8 +224,8 @@ def gzip_files(spark: SparkSession, paths: list[str]) -> list[str]:
             stream.close()
 
     with ThreadPoolExecutor(max_workers=HEADS_AT_ONCE) as pool:
-        files = [row["path"] for row in untold.select("path").toLocalIterator()]
-        return [path for path, yes in zip(files, pool.map(begins_like_gzip, files)) if yes]
+        found = [row["path"] for row in untold.toLocalIterator()]
+        return [path for path, yes in zip(found, pool.map(begins_like_gzip, found)) if yes]
 
 
 def _inflated(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -538,8 +556,24 @@ def _jobs(events: _Events) -> DataFrame:
     )
 
 
-def _stages(events: _Events) -> DataFrame:
-    keys = ["app_key", "stage_id", "attempt_id"]
+STAGE_KEYS = ("app_key", "stage_id", "attempt_id")
+
+
+def stage_sums(task_ends: DataFrame) -> DataFrame:
+    """What tasks add to their stage attempt: summed metrics, and where the first failure is logged."""
+    keys = list(STAGE_KEYS)
+    tasks = task_rows(task_ends)
+    # failed tasks only: positions are too wide for the hash aggregation of the sums
+    failures = (
+        tasks.where("failed")
+        .groupBy("app_key", "stage_id", F.col("stage_attempt_id").alias("attempt_id"))
+        .agg(F.min("pos").alias("failed_pos"))
+    )
+    return stage_metrics(tasks, ["app_key"]).join(failures, keys, "left")
+
+
+def _stages(events: _Events, sums: DataFrame | None = None) -> DataFrame:
+    keys = list(STAGE_KEYS)
     announced = events.of("job_start").select(
         "app_key", "pos", F.explode("stage_infos").alias("stage"),
         F.lit(None).cast(LINE_POSITION).alias("submit_pos"),
@@ -564,14 +598,7 @@ def _stages(events: _Events) -> DataFrame:
         .groupBy(*keys)
         .agg(F.max_by("completion_ms", "pos").alias("done_ms"), F.max("pos").alias("done_pos"))
     )
-    tasks = task_rows(events.of("task_end"))
-    sums = stage_metrics(tasks, ["app_key"])
-    # failed tasks only: positions are too wide for the hash aggregation above
-    failures = (
-        tasks.where("failed")
-        .groupBy("app_key", "stage_id", F.col("stage_attempt_id").alias("attempt_id"))
-        .agg(F.min("pos").alias("failed_pos"))
-    )
+    sums = stage_sums(events.of("task_end")) if sums is None else sums
     done = F.coalesce(F.col("done_pos") > F.col("first_pos"), F.lit(False))
     open_again = F.coalesce(F.col("submit_pos") > F.col("done_pos"), F.lit(False))
     status = (
@@ -584,7 +611,6 @@ def _stages(events: _Events) -> DataFrame:
     return (
         known.join(completed, keys, "left")
         .join(sums, keys, "left")
-        .join(failures, keys, "left")
         .select(
             "app_key",
             status.alias("status"),
@@ -662,14 +688,19 @@ def _executors(events: _Events) -> DataFrame:
     )
 
 
-def telemetry_of(events: DataFrame) -> M.Telemetry:
-    """The telemetry tables of parsed (best: staged) events, keyed by ``app_id``."""
+def telemetry_of(events: DataFrame, sums: DataFrame | None = None, apps: DataFrame | None = None) -> M.Telemetry:
+    """The telemetry tables of parsed (best: staged) events, keyed by ``app_id``.
+
+    ``sums`` holds what ``stage_sums`` makes of the task events, where those are not at hand;
+    ``apps`` holds the names of the logs (``app_key, app_id``), where they are not to be found
+    out from the events.
+    """
     ev = _Events(events)
-    apps = applications(events)
+    apps = applications(events) if apps is None else apps
     jobs = _with_app(_jobs(ev), apps)
     tables = {
         "tasks": _with_app(task_rows(ev.of("task_end")), apps),
-        "stages": _with_app(_stages(ev), apps),
+        "stages": _with_app(_stages(ev, sums), apps),
         "jobs": jobs,
         "job_stages": jobs.select("app_id", "job_id", F.explode("stage_ids").alias("stage_id")),
         "sql_executions": _with_app(_sql_executions(ev), apps),
@@ -772,7 +803,8 @@ def load_first(
     """The first root whose logs hold a job or a stage.
 
     A missing, empty or unreadable root is skipped; ``unreadable`` collects (root, reason)
-    of the last kind.
+    of the last kind.  Any other failure, a lost executor for one, is raised: the answer never
+    comes from a later root because of it.
     """
     for root in roots:
         try:
@@ -782,6 +814,8 @@ def load_first(
             return telemetry_of(events)
         except (PySparkException, Py4JJavaError) as error:
             missing = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+            if not missing and READ_FAULT not in str(error):
+                raise
             if not missing and unreadable is not None:
                 unreadable.append((root, str(error).splitlines()[0]))
     return None

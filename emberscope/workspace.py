@@ -7,6 +7,7 @@ Only a local session may fall back to a temporary folder.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -34,3 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten or removed."""
     return f"{shared_folder(spark)}/emberscope/{label}-{uuid.uuid4().hex}"
+
+
+_PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Put the package's folder on the path of Python workers that share it with the driver."""
+    environment = spark.sparkContext.environment
+    if _PACKAGE_PARENT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_PACKAGE_PARENT, environment.get("PYTHONPATH")]))

@@ -1,7 +1,13 @@
+import gzip
 import json
+import random
 
+import pytest
+
+from emberscope.plans.analysis import find_suspects
 from emberscope.sources import event_log as log
-from emberscope.streaming import live
+from emberscope.sources import tailing
+from emberscope.streaming import batches, live
 from emberscope.workspace import new_folder
 from tests.test_event_log import LOG, T0, task_end, text
 
@@ -78,8 +84,38 @@ def test_findings_follow_the_log(spark, tmp_path):
     write(root, "second", other)
     both = run()
     assert ("app-1", "Task Fail") in both and ("app-2", "Data Skew") in both
-    batches = spark.read.parquet(f"{state}/touched").groupBy("app_id").count().collect()
-    assert {(r.app_id, r["count"]) for r in batches} == {("app-1", 1), ("app-2", 1)}
+    kept = live.FindingState(spark, state)
+    written = batches.snapshot(spark, f"{state}/findings").select("app_key", "batch_id").distinct().groupBy("app_key").count()
+    assert {r["count"] for r in written.collect()} == {1}
+    before = sorted(map(str, live.current_findings(spark, state).collect()))
+    kept.compact()
+    kept.expire(0)
+    assert sorted(map(str, live.current_findings(spark, state).collect())) == before
+    write(root, "third", [dict(LOG[0], **{"App ID": "app-2"}), *LOG[1:]])
+    assert {a.split("@")[0] for a, _ in run()} == {"app-1", "app-2"} and len({a for a, _ in run()}) == 3
+
+
+def by_batch(spark, root):
+    """The findings of the batch analysis, without the parts that depend on the order of rows."""
+    return sorted(map(str, find_suspects(log.read_event_log(spark, str(root)), ["app_id"]).select(*FINDING).collect()))
+
+
+FINDING = ["app_id", "severity", "category", "stage_id", "title", "detail", "recommendation", "stage_name", "job_id", "sql_id"]
+
+
+def test_findings_over_batches_equal_one_analysis(spark, tmp_path):
+    """Stages whose tasks come in several batches, jobs after their tasks, compaction in between."""
+    root, state, checkpoint = tmp_path / "logs", new_folder(spark, "state"), new_folder(spark, "cp")
+    folder = root / "eventlog_v2_app-1"
+    folder.mkdir(parents=True)
+    tasks = [task_end(i + 10, T0, T0 + (100_000 if i == 39 else 100 + i)) for i in range(40)]
+    pieces = [LOG[:3], [*tasks[:15], *LOG[3:6]], tasks[15:], LOG[6:]]
+    for number, piece in enumerate(pieces):
+        (folder / f"events_{number + 1}_app-1").write_text(text(piece, False))
+        live.run_findings(tailing.tail_lines(spark, str(root)), state, checkpoint, once=True, compact_every=2).awaitTermination()
+        got = sorted(map(str, live.current_findings(spark, state).select(*FINDING).collect()))
+        assert got == by_batch(spark, root)
+    assert len(got) > 1
 
 
 def test_names_of_applications(spark):
@@ -106,12 +142,97 @@ def test_closed_files_only(spark, tmp_path):
 def test_compaction_keeps_the_totals(spark):
     path = new_folder(spark, "rollup")
     rows = spark.createDataFrame([("a", 1, 2, 1, 5)], "app_id string, window_start int, n long, failed long, bytes long")
-    part = f"{path}/base_id=__HIVE_DEFAULT_PARTITION__"
     for i in range(3):
-        rows.write.parquet(f"{part}/batch_id={i}")
+        batches.add_batch(rows, path, i)
     total = lambda: [tuple(r) for r in live.read_rollup(spark, path, live.HEALTH_ROLLUP).collect()]
     assert total() == [("a", 1, 6, 3, 15)]
     assert live.compact_rollup(spark, path, live.HEALTH_ROLLUP) == 2 and total() == [("a", 1, 6, 3, 15)]
-    rows.write.parquet(f"{part}/batch_id=3")
+    batches.add_batch(rows, path, 3)
     assert total() == [("a", 1, 8, 4, 20)]
+    assert batches.expire(spark, path, 3600) == []
+    assert len(batches.expire(spark, path, 0)) == 3 and total() == [("a", 1, 8, 4, 20)]
     assert live.compact_rollup(spark, path, live.HEALTH_ROLLUP) == 3 and total() == [("a", 1, 8, 4, 20)]
+    assert len(batches.expire(spark, path, 0)) == 2 and total() == [("a", 1, 8, 4, 20)]
+
+
+def test_a_batch_written_during_compaction_counts_once(spark):
+    path = new_folder(spark, "rollup")
+    rows = spark.createDataFrame([("a", 1, 1, 0, 0)], "app_id string, window_start int, n long, failed long, bytes long")
+    for i in range(2):
+        batches.add_batch(rows, path, i)
+
+    def merge(df):
+        batches.add_batch(rows, path, 2)  # beside the compaction
+        return live.HEALTH_ROLLUP.total(df)
+
+    assert batches.compact(spark, path, merge) == 1
+    assert live.read_rollup(spark, path, live.HEALTH_ROLLUP).first()["n"] == 3
+
+
+def test_a_batch_without_its_mark_is_not_read(spark):
+    path = new_folder(spark, "rollup")
+    rows = spark.createDataFrame([("a", 1, 1, 0, 0)], "app_id string, window_start int, n long, failed long, bytes long")
+    batches.add_batch(rows, path, 0)
+    rows.write.parquet(f"{path}/batches/batch_id=1")  # not complete
+    rows.write.parquet(f"{path}/bases/upto=1")
+    assert live.read_rollup(spark, path, live.HEALTH_ROLLUP).first()["n"] == 1
+    batches.add_batch(rows, path, 1)
+    assert live.compact_rollup(spark, path, live.HEALTH_ROLLUP) == 1
+    assert live.read_rollup(spark, path, live.HEALTH_ROLLUP).first()["n"] == 2
+
+
+def test_a_growing_rolling_log_arrives_once(spark, tmp_path):
+    folder = tmp_path / "eventlog_v2_app-1"
+    folder.mkdir()
+    (folder / "appstatus_app-1.inprogress").write_text("")
+    first, second = folder / "events_1_app-1", folder / "events_2_app-1"
+    checkpoint, out = new_folder(spark, "cp"), new_folder(spark, "lines")
+
+    def run():
+        query = (
+            tailing.tail_lines(spark, str(tmp_path)).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        return [(r.file.split("/")[-1], r.value) for r in spark.read.parquet(out).orderBy("file", "block").collect()]
+
+    first.write_text("a\nb\nhal")  # the open file ends inside a line
+    assert run() == [("events_1_app-1", "a"), ("events_1_app-1", "b")]
+    assert len(run()) == 2
+    first.write_text("a\nb\nhalf\nc")  # it grew, and then the next file was begun
+    second.write_text("d\n")
+    assert [v for _, v in run()] == ["a", "b", "half", "c", "d"]
+    with second.open("a") as more:
+        more.write("é" * 40 + "\nf")
+    (tmp_path / "single.inprogress").write_text("x\ny")
+    (tmp_path / "packed.json").write_bytes(gzip.compress(b"p\nq\n") + gzip.compress(b"r"))
+    (tmp_path / "broken").write_bytes(gzip.compress(b"s\n" * 9)[:-9])
+    got = run()
+    assert [v for f, v in got if f.startswith("events")] == ["a", "b", "half", "c", "d", "é" * 40]
+    assert [v for f, v in got if f == "packed.json"] == ["p", "q", "r"] and [v for f, v in got if f == "single"] == ["x"]
+    assert [v for f, v in got if f == "broken"][-1] == tailing.DAMAGED
+    (folder / "appstatus_app-1.inprogress").rename(folder / "appstatus_app-1")
+    (tmp_path / "single.inprogress").rename(tmp_path / "single")
+    got = run()
+    assert [v for f, v in got if f.startswith("events")][-1] == "f" and [v for f, v in got if f == "single"] == ["x", "y"]
+    assert len(run()) == len(got)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1000])
+def test_stretches_cut_no_line(tmp_path, stretch):
+    rng = random.Random(stretch)
+    for case in range(40):
+        body = "".join(rng.choice(["\n", "a", "bé", "ccc\r\n"]) for _ in range(rng.randrange(30))).encode()
+        path = tmp_path / f"log{case}"
+        path.write_bytes(body)
+        reader = tailing.LogTailReader({"path": str(tmp_path), "stretch": str(stretch)})
+        key = f"file://{path}"
+        cut = body.rfind(b"\n") + 1
+        rows = []
+        for start, end in ((0, cut), (cut, len(body))):
+            for part in reader.partitions({key: start}, {key: end}):
+                for batch in tailing.read_stretch(part):
+                    rows += zip(batch["block"].to_pylist(), batch["value"].to_pylist())
+        want = [line.removesuffix("\r") for line in body.decode().split("\n")]
+        assert [v for _, v in sorted(rows)] == (want if want[-1] else want[:-1])
+        path.unlink()
