@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 from emberscope.llm.tables import settled
 
 
+def _by_a(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least of their ``a``.  The second key keeps the join from taking over the
+    partitions of the aggregate, so that adaptive execution can split an ``a`` of many edges."""
+    again = F.xxhash64("a")
+    return edges.withColumn("_a", again).join(least.withColumn("_a", again), ["a", "_a"])
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step over edges (a, b) with a > b; the result has the same form."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        linked = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        linked = _by_a(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        linked = edges.join(least, "a").select("b", "m", "a")
+        linked = _by_a(edges, least).select("b", "m", "a")
         linked = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(linked.select("a", F.col("m").alias("b")))
     return linked.where("a > b").distinct()
 

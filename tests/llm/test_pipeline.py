@@ -5,7 +5,7 @@ from llmdata import awkward, rows, spark_docs
 from test_decontamination import brute as leaks
 from test_packing import check_pieces
 from test_quality import brute as measures
-from test_simhash import components_of_long_prints
+from test_similar import brute as similar
 from test_substring_dedup import brute as stripped
 
 
@@ -25,7 +25,7 @@ def test_run_equals_brute_force(spark, tmp_path):
 
     left = {i: t for i, t in texts.items() if keeps(t)}
     ids = list(left)
-    groups = components_of_long_prints([left[i] for i in ids])
+    groups = similar([left[i] for i in ids])
     left = {i: left[i] for k, i in enumerate(ids) if groups[k] == k}
     cut = stripped(left.items())
     left = {i: left[i] if not gone else text for i, (n, gone, text) in cut.items() if not gone or gone < n}

@@ -34,25 +34,6 @@ def brute_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
-def components_of_long_prints(texts):
-    """Smallest member of each text's component, by comparing all pairs that share a block."""
-    words = simhash.long_fingerprints_of(bytes_of(pa.array(texts)))
-    blocks, n = words.view(np.uint16), len(texts)
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(n):
-        for j in range(i):
-            if (blocks[i] == blocks[j]).any() and np.bitwise_count(words[i, :4] ^ words[j, :4]).sum() <= simhash.MOST_CHECKED:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
-
-
 def test_matches_brute_force(spark):
     texts = awkward()
     prints = [brute_print(t) for t in texts]

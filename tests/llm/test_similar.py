@@ -63,3 +63,32 @@ def test_chains_and_groups_of_many_cells(spark, monkeypatch):
     assert len(set(want)) > 1 and len(set(want)) < 40
     monkeypatch.setattr(simhash, "CELL", 1500)
     assert components_of(spark, texts) == want
+
+
+def test_blocks_alone_find_most_close_pairs_and_no_strangers(spark):
+    """What the fingerprints propose before the bands add theirs."""
+    rng = random.Random(9)
+    texts = []
+    for k in range(200):
+        words = prose(rng, 300, 5000).split()
+        size = len(words) - 4
+        cut = round(size * 0.05)  # similar to 0.9
+        texts += [" ".join(words), " ".join(words[: len(words) - cut] + [f"x{rng.random()}" for _ in range(cut)])]
+    docs = spark_docs(spark, rows(texts)).select("doc_id", "text")
+    prints = docs.mapInArrow(simhash._band_batches, "doc_id long, node long, keys array<long>, prints array<long>").cache()
+    of = {r["node"]: r["doc_id"] for r in prints.select("doc_id", "node").collect()}
+    found = {frozenset((of[r["a"]], of[r["b"]])) for r in simhash.block_candidates(prints.drop("doc_id")).collect()}
+    assert all(a // 2 == b // 2 for a, b in map(sorted, found))
+    assert len(found) > 160
+
+
+def test_a_bucket_of_many_copies_goes_on_once_a_batch():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 1000
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * simhash.BANDS), pa.array(np.tile(np.arange(simhash.BANDS), n)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), lists], ["node", "values"])
+    on, links = list(simhash._met(iter([batch]), False))
+    assert on.num_rows == simhash.BANDS and set(on.column(1).to_pylist()) == {0}
+    assert sorted(zip(links.column(1).to_pylist(), links.column(2).to_pylist())) == [(i, 0) for i in range(1, n)]
