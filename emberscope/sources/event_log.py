@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberscope import model as M
-from emberscope.operators.keys import small_side
 from emberscope.sources import tailing
 from emberscope.workspace import new_folder, ship_package
 

@@ -109,7 +109,7 @@ def test_findings_over_batches_equal_one_analysis(spark, tmp_path):
     folder = root / "eventlog_v2_app-1"
     folder.mkdir(parents=True)
     tasks = [task_end(i + 10, T0, T0 + (100_000 if i == 39 else 100 + i)) for i in range(40)]
-    pieces = [LOG[:3], [*tasks[:15], *LOG[3:6]], tasks[15:], LOG[6:]]
+    pieces = [[*LOG[:3], *tasks[:15]], [*LOG[3:6], *tasks[15:]], LOG[6:]]
     for number, piece in enumerate(pieces):
         (folder / f"events_{number + 1}_app-1").write_text(text(piece, False))
         live.run_findings(tailing.tail_lines(spark, str(root)), state, checkpoint, once=True, compact_every=2).awaitTermination()
