@@ -8,13 +8,20 @@ indentation of their depth, table cells are padded so that columns line up (seve
 a cell and column spans included), preformatted text keeps its white space, other white
 space collapses.
 
-Hidden, with all they contain: head, script, style, template, the attribute ``hidden``,
-``display: none`` or ``visibility: hidden`` in the style attribute, closed ``details`` but
-for their summary, closed ``dialog``, hidden and value-less controls.  ``noscript`` shows.
+Hidden, with all they contain: head, title, script, style, template, iframe, noembed,
+noframes, datalist, audio, video and canvas (their content is for browsers without them), the
+attribute ``hidden``, ``display: none`` in the style attribute, closed ``details`` but for
+their summary, closed ``dialog``, hidden and value-less controls.  ``visibility: hidden``
+hides text until an element inside says ``visible``.  Shown as a browser shows them: the
+content of ``textarea`` with its white space, the selected (else the first) option of a
+``select`` and all options of a list box, the ``text`` elements of ``svg``, the fallback of
+``object``, and ``noscript``.
 
 Defined results: null and empty pages give empty text; rows are read one by one, so repeated
 rows and null ids are like others; broken markup never fails; an empty table gives an empty
-result.  Both steps use explicit stacks, so deep nesting is no problem.
+result.  Both steps use explicit stacks and know the open elements by name, so time and
+memory follow the size of the page, however deep it nests: beyond ``MOST_INDENT`` levels the
+indentation grows no further, and tables beyond ``MOST_TABLES`` levels are written row by row.
 """
 
 from __future__ import annotations
@@ -33,7 +40,9 @@ from emberscope.llm.kernels import slices
 #: Fixed values of HTML: element names by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template title textarea iframe noembed noframes object audio video canvas svg select datalist".split())
+HIDDEN = frozenset("head script style template title iframe noembed noframes audio video canvas datalist".split())
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre table blockquote figure fieldset hr article section".split())
 BLOCK = SPACED | frozenset(
     "html body div header footer nav aside main address li dt dd tr td th thead tbody tfoot caption figcaption form details summary center legend dialog option optgroup".split()
@@ -54,7 +63,11 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(\s*=\s*)?")
 _UNQUOTED = re.compile(r"[^\s>]*")
 _SPACE = re.compile(r"[ \t\n\r\f\v​]+")
-_STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)")
+_NOT_DISPLAYED = re.compile(r"display\s*:\s*none")
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+
+MOST_INDENT = 40
+MOST_TABLES = 8
 
 
 class Node:
@@ -71,6 +84,7 @@ class Builder:
         self.page = page
         self.root = Node("html", {})
         self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}  # of open elements by name, in the stack
         self.none_left: set[str] = set()  # delimiters known not to come again
         self._read()
 
@@ -150,40 +164,50 @@ class Builder:
                 self.none_left.add(name)
                 return len(self.page) if name in ("script", "style") else at
             if name not in HIDDEN:
-                node.children.append(self.page[at : end.start()])
+                node.children.append(entities.unescape(self.page[at : end.start()]).removeprefix("\n"))
             close = self._find(">", end.end())
             return close + 1 if close >= 0 else len(self.page)
-        if name not in VOID and not (self_closed and name in ("svg", "path")):
-            self.stack.append(node)
+        if name not in VOID and not (self_closed and (name == "svg" or self.places.get("svg"))):
+            self._open(node)
         return at
 
+    def _open(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def _cut(self, at: int) -> None:
+        """End the open elements from that place on."""
+        for node in self.stack[at:]:
+            self.places[node.name].pop()
+        del self.stack[at:]
+
+    def _last(self, names: frozenset[str]) -> int:
+        """The place of the innermost open element of those names, 0 if there is none."""
+        return max((own[-1] for name in names if (own := self.places.get(name))), default=0)
+
     def _imply(self, name: str) -> None:
         """End what this start tag ends."""
         if name in CLOSES_P:
             self._end_within("p", _SCOPE)
         if name[0] == "h" and name[1:].isdigit() and self.stack[-1].name[0] == "h" and self.stack[-1].name[1:].isdigit():
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if name in _IMPLIED:
             ends, limits = _IMPLIED[name]
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].name in limits:
+            limit = self._last(limits)
+            while (found := self._last(ends)) > limit:
+                self._cut(found)
+                if name not in ("tr", "thead", "tbody", "tfoot"):
                     break
-                if self.stack[i].name in ends:
-                    del self.stack[i:]
-                    if name not in ("tr", "thead", "tbody", "tfoot"):
-                        break
         if name in ("td", "th") and self.stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {})
             self.stack[-1].children.append(row)
-            self.stack.append(row)
+            self._open(row)
 
     def _end_within(self, name: str, limits: frozenset[str]) -> bool:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == name:
-                del self.stack[i:]
-                return True
-            if self.stack[i].name in limits:
-                return False
+        found = self._last(frozenset({name}))
+        if found and found >= self._last(limits):
+            self._cut(found)
+            return True
         return False
 
     def end(self, name: str) -> None:
@@ -206,8 +230,30 @@ def _hidden(node: Node) -> bool:
         return True
     if name == "dialog" and "open" not in attributes:
         return True
-    style = attributes.get("style")
-    return bool(style and _STYLE_HIDDEN.search(style.lower()))
+    return bool(_NOT_DISPLAYED.search(attributes.get("style", "").lower()))
+
+
+def _shows(node: Node, around: bool) -> bool:
+    """Whether text right inside the element is visible."""
+    said = _VISIBILITY.search(node.attributes.get("style", "").lower())
+    return said[1] == "visible" if said else around
+
+
+def _options(select: Node) -> list[Node]:
+    out, left = [], list(reversed(select.children))
+    while left:
+        node = left.pop()
+        if isinstance(node, Node):
+            if node.name == "option":
+                out.append(node)
+            else:
+                left.extend(reversed(node.children))
+    return out
+
+
+def _is_list(select: Node) -> bool:
+    size = re.match(r"\s*(\d{1,4})", select.attributes.get("size", ""))
+    return "multiple" in select.attributes or bool(size and int(size[1]) > 1)
 
 
 class Writer:
@@ -216,7 +262,7 @@ class Writer:
     def __init__(self):
         self.lines: list[str] = []
         self.now: list[str] = []  # pieces of the line being written
-        self.prefix: list[str] = []  # indentation by depth
+        self.depth = 0  # of indentation
         self.mark = ""  # bullet waiting for its line
         self.space = False
         self.gap = 0  # empty lines owed before the next text
@@ -244,7 +290,7 @@ class Writer:
             if self.gap and self.lines:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            self.now.append("".join(self.prefix) + self.mark)
+            self.now.append("  " * min(self.depth, MOST_INDENT) + self.mark)
             self.mark = ""
         self.now.append(piece)
 
@@ -330,43 +376,58 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     outer = Writer()
-    writers, tables, lists, pre = [outer], [], [], 0
+    writers, lists, pre, svg, svg_text = [outer], [], 0, 0, 0
+    tables: list[Table | None] = []  # None: a table nested too deep to be aligned
+    shown = [True]
     todo: list[tuple[bool, Node | str]] = [(True, Builder(page).root)]
     while todo:
         enters, node = todo.pop()
         if isinstance(node, str):
-            if not (node.isspace() and not pre and not writers[-1].now):
+            if shown[-1] and (not svg or svg_text) and not (node.isspace() and not pre and not writers[-1].now):
                 writers[-1].text(node, bool(pre))
             continue
         name, writer = node.name, writers[-1]
+        aligned = bool(tables) and tables[-1] is not None
         if enters:
-            if _hidden(node):
+            if _hidden(node) or (svg and name in SVG_HIDDEN):
                 continue
             todo.append((False, node))
+            shown.append(_shows(node, shown[-1]))
             children = node.children
             if name == "details" and "open" not in node.attributes:
                 children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
+            elif name == "select" and not _is_list(node):
+                own = _options(node)
+                children = [o for o in own if "selected" in o.attributes][-1:] or own[:1]
+                children = [" ", *(c for o in children for c in o.children), " "]
             todo.extend((True, c) for c in reversed(children))
             if name == "br":
                 writer.line(True)
             elif name == "input":
-                if node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") and node.attributes.get("value"):
+                if shown[-1] and node.attributes.get("type", "text").lower() in ("submit", "button", "reset", "text") and node.attributes.get("value"):
                     writer.text(f" {entities.unescape(node.attributes['value'])} ", False)
+            elif name == "svg":
+                svg += 1
+            elif svg and name in SVG_TEXT:
+                svg_text += 1
+                writer.block(False)
             elif name == "table":
                 writer.block(True)
-                tables.append(Table())
-            elif tables and name == "tr":
+                tables.append(Table() if len(tables) < MOST_TABLES else None)
+            elif aligned and name == "tr":
                 tables[-1].row()
-            elif tables and name in ("td", "th", "caption"):
+            elif aligned and name in ("td", "th", "caption"):
                 writers.append(Writer())
+            elif tables and name in ("td", "th"):
+                writer.text(" ", False)
             elif name in BLOCK:
                 nested = name in ("ul", "ol") and lists
                 writer.block(name in SPACED and not nested)
             if name in ("ul", "ol"):
                 start = re.match(r"\s*(-?\d{1,9})", node.attributes.get("start", ""))
-                lists.append([name, int(start[1]) if start else 1, writer.prefix])
+                lists.append([name, int(start[1]) if start else 1, writer.depth])
                 if len(lists) > 1:
-                    writer.prefix = [*writer.prefix, "  "]
+                    writer.depth += 1
             elif name == "li":
                 if lists and lists[-1][0] == "ol":
                     writer.mark = f"{lists[-1][1]}. "
@@ -374,20 +435,28 @@ def render(page: str | None) -> str:
                 else:
                     writer.mark = "- "
             elif name in ("blockquote", "dd"):
-                writer.prefix = [*writer.prefix, "  "]
-            elif name == "pre":
+                writer.depth += 1
+            elif name in ("pre", "textarea"):
                 pre += 1
+            elif name == "optgroup" and shown[-1]:
+                writer.text(entities.unescape(node.attributes.get("label", "")), False)
             elif name == "q":
                 writer.text('"', False)
         else:
-            if name == "pre":
+            shown.pop()
+            if name in ("pre", "textarea"):
                 pre -= 1
+            elif name == "svg":
+                svg -= 1
+            elif svg and name in SVG_TEXT:
+                svg_text -= 1
+                writer.block(False)
             elif name in ("ul", "ol"):
                 writer.line()
-                writer.prefix = lists.pop()[2]
+                writer.depth = lists.pop()[2]
             elif name in ("blockquote", "dd"):
                 writer.line()
-                writer.prefix = writer.prefix[:-1]
+                writer.depth -= 1
             elif name == "li":
                 writer.line()
                 writer.mark = ""
@@ -397,15 +466,17 @@ def render(page: str | None) -> str:
                 table = tables.pop()
                 writer.line()
                 writer.block(True)
-                for line in table.lines():
+                for line in table.lines() if table else ():
                     writer._put(line)
                     writer.line()
                 writer.block(True)
-            elif tables and name in ("td", "th"):
+            elif aligned and name in ("td", "th"):
                 lines = writers.pop().done()
                 tables[-1].cell(lines, _span(node, "colspan"), _span(node, "rowspan"))
-            elif tables and name == "caption":
+            elif aligned and name == "caption":
                 tables[-1].caption = writers.pop().done()
+            elif tables and name in ("td", "th"):
+                writer.text(" ", False)
             elif name in BLOCK:
                 nested = name in ("ul", "ol") and lists
                 writer.block(name in SPACED and not nested)

@@ -1,4 +1,5 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -28,6 +29,15 @@ CASES = [
     ("x<!-- open", "x"),
     ("<", "<"),
     ("<script>never", ""),
+    ("a<textarea>\n b &amp; <i>\n  c</textarea>d", "a b & <i>\n  cd"),
+    ("<select><option>one<option selected>two<option>three</select> rest", "two rest"),
+    ("<select><optgroup label=g><option>one</optgroup><option>two</select>.", "one ."),
+    ("<select multiple><option>one<option>two</select>", "one\ntwo"),
+    ("<select size=3><optgroup label=g><option>one</select>", "g\none"),
+    ("<svg viewBox=x><title>no</title><rect/><text x=1>bar <tspan>7</tspan></text>no<g><text>axis</text></g><desc>no</desc></svg>after", "bar 7\naxis\nafter"),
+    ("<object data=x><p>fallback</object>", "fallback"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>z", "yes\nz"),
+    ("<video>no</video><canvas>no</canvas><iframe>no</iframe><datalist><option>no</datalist>v", "v"),
     ("", ""),
     (None, ""),
 ]
@@ -38,6 +48,18 @@ def test_layout(page, want):
     assert render(page) == want
 
 
+@pytest.mark.parametrize("deep", ["<div>", "<p><div>", "<ul><li>", "<ol><li>", "<blockquote>", "<table><tr><td>", "<b>", "<svg><g>", "<dl><dd>", "<select><option>"])
+def test_time_follows_the_size_of_a_deep_page(deep):
+    start = time.process_time()
+    assert "x" in render(deep * 100_000 + "<text>x")
+    assert time.process_time() - start < 30
+
+
+def test_tables_nested_deep_lose_no_text():
+    page = "".join(f"<table><tr><td>a{i}<td>b{i}<tr><td>" for i in range(50))
+    assert sorted(render(page).split()) == sorted(f"{c}{i}" for i in range(50) for c in "ab")
+
+
 def test_deep_and_long_pages():
     assert render("<div>" * 20_000 + "x") == "x"
     assert render("<table><tr><td>" * 300 + "x") == "x"
