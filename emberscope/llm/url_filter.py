@@ -3,9 +3,11 @@
 Everything is DataFrame expressions and Spark's own tree learner.  Rules are few and compiled
 into one expression, the longest first.  URLs that a rule judges are the labelled examples;
 the trees see lexical features only (lengths, depth, digits, character entropy, parameters,
-labels of the host) and statistics of the host's suffix counted over the labelled URLs.  The
-trees are fitted on at most ``MOST_EXAMPLES`` of them, the first by a hash of the URL; the
-suffix statistics and all verdicts cover every row.
+labels of the host) and statistics of the host's suffix counted over the labelled URLs.  An
+example's own fold of them is left out of its statistics, so its label never reaches its
+features, and both verdicts weigh the same in all.  The trees are fitted on at most
+``MOST_EXAMPLES`` examples, the first by a hash of the URL; the suffix statistics and all
+verdicts cover every row.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule and
 the trees' verdict; with examples of one verdict only, or none, that verdict (or allow) is
@@ -31,15 +33,18 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Labels that make a suffix of two labels with a country's.
+SECOND_LEVEL = "ac|co|com|edu|gov|net|org"
 ALLOW, BLOCK = "allow", "block"
 MOST_EXAMPLES = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
-_PRIOR = 10.0  # labelled URLs that a suffix's block rate starts with
+_PRIOR = 10.0  # weight of the even rate that a suffix starts with
+_FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "digit_ratio", "host_entropy", "url_entropy", "n_parameters",
-    "host_labels", "host_digits", "dashes", "fragment", "secure", "suffix_examples", "suffix_block_rate",
+    "host_labels", "host_digits", "dashes", "fragment", "secure", "suffix_length", "suffix_block_rate",
 )
 
 
@@ -82,6 +87,7 @@ def with_features(rows: DataFrame) -> DataFrame:
     url, host, path = F.coalesce("_url", F.lit("")), F.col("host"), F.col("path")
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
     query = F.regexp_extract(F.col("_rest"), r"^[^?#]*\?([^#]*)", 1)
+    suffix = F.regexp_extract(host, rf"(?:^|\.)((?:(?:{SECOND_LEVEL})\.[a-z]{{2}})|[^.:]*)(?::\d*)?$", 1)
     flag = lambda c: c.cast("double")
     return rows.withColumns({
         "url_length": F.length(url).cast("double"), "host_length": F.length(host).cast("double"), "path_length": F.length(path).cast("double"),
@@ -90,36 +96,63 @@ def with_features(rows: DataFrame) -> DataFrame:
         "n_parameters": F.when(query == "", F.lit(0.0)).otherwise(_count_of(query, "&") + 1),
         "host_labels": _count_of(host, "[.]"), "host_digits": _count_of(host, "[0-9]"), "dashes": _count_of(url, "[-_]"),
         "fragment": flag(F.instr(url, "#") > 0), "secure": flag(url.startswith("https")),
-        "suffix": F.regexp_extract(host, r"([^.:]*)(:\d*)?$", 1),
+        "suffix": suffix, "suffix_length": F.length(suffix).cast("double"),
     })
 
 
-def verdicts(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """Per row: page_id, host, path, rule, verdict and the trees' block probability."""
-    rows = pages.select("page_id", F.col("url").cast("string").alias("_url"))
-    rows = with_features(parts(rows)).withColumn("_rule", _rule(rules))
-    labelled = rows.where("_rule IS NOT NULL").withColumn("label", (F.col("_rule.verdict") == BLOCK).cast("double"))
-    totals = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked"))
-    totals = settled(totals, "url-suffixes")
-    n_all, n_blocked = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
-    if not 0 < n_blocked < n_all:  # nothing to tell apart
-        blocks = F.lit(1.0 if n_all and n_blocked == n_all else 0.0)
-        return _judged(rows.withColumn("block_probability", blocks))
-    rate = n_blocked / n_all
-    statistics = totals.select(
-        "suffix", F.log1p("n").alias("suffix_examples"), ((F.col("blocked") + _PRIOR * rate) / (F.col("n") + _PRIOR)).alias("suffix_block_rate")
-    )
-
-    def assembled(some: DataFrame) -> DataFrame:
-        known = some.join(statistics, "suffix", "left").fillna({"suffix_examples": 0.0, "suffix_block_rate": rate})
+class Trees:
+    """Trees fitted on labelled rows (those of ``with_features``, with ``label`` 1 for block).
+
+    ``constant`` is the block probability where the labels leave nothing to tell apart.
+    """
+
+    def __init__(self, labelled: DataFrame):
+        labelled = labelled.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "_url"), F.lit(_FOLDS)))
+        totals = settled(labelled.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")), "url-suffixes")
+        n_all, n_blocked = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
+        self.constant = None if 0 < n_blocked < n_all else 1.0 if n_all and n_blocked == n_all else 0.0
+        if self.constant is not None:
+            return
+        self.weights = n_all / (2 * (n_all - n_blocked)), n_all / (2 * n_blocked)  # of allow and block
+        self.suffixes = totals.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+        own = totals.select("suffix", "fold", F.col("n").alias("own_n"), F.col("blocked").alias("own_blocked"))
+        examples = labelled.orderBy(F.xxhash64("_url"), "_url").limit(MOST_EXAMPLES).join(self.suffixes, "suffix").join(own, ["suffix", "fold"])
+        examples = self._assembled(examples, F.col("n") - F.col("own_n"), F.col("blocked") - F.col("own_blocked"))
+        weight = F.when(F.col("label") == 1, F.lit(self.weights[1])).otherwise(F.lit(self.weights[0])).alias("weight")
+        examples = settled(examples.select("_features", "label", weight), "url-examples")
+        learner = GBTClassifier(featuresCol="_features", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
+        self.model = learner.setPredictionCol("_prediction").setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(examples)
+
+    def _assembled(self, rows: DataFrame, n: Column, blocked: Column) -> DataFrame:
+        """Feature vectors; the block rate of the suffix starts at one half."""
+        n, blocked = F.coalesce(n, F.lit(0)).cast("double"), F.coalesce(blocked, F.lit(0.0))
+        against, for_it = blocked * self.weights[1], (n - blocked) * self.weights[0]
+        known = rows.withColumn("suffix_block_rate", (against + _PRIOR / 2) / (against + for_it + _PRIOR))
         return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(known)
 
-    examples = labelled.orderBy(F.xxhash64("_url"), "_url").limit(MOST_EXAMPLES)
-    examples = settled(assembled(examples).select("_features", "label"), "url-examples")
-    learner = GBTClassifier(featuresCol="_features", maxIter=TREES, maxDepth=DEPTH, seed=SEED)
-    learner.setPredictionCol("_prediction").setRawPredictionCol("_raw").setProbabilityCol("_probability")
-    scored = learner.fit(examples).transform(assembled(rows))
-    return _judged(scored.withColumn("block_probability", vector_to_array("_probability")[1]))
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``block_probability``."""
+        if self.constant is not None:
+            return rows.withColumn("block_probability", F.lit(self.constant))
+        known = self._assembled(rows.join(self.suffixes, "suffix", "left"), F.col("n"), F.col("blocked"))
+        return self.model.transform(known).withColumn("block_probability", vector_to_array("_probability")[1])
+
+
+def prepared(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """page_id, parts, features, and ``_rule``, the rule that fits."""
+    rows = pages.select("page_id", F.col("url").cast("string").alias("_url"))
+    return with_features(parts(rows)).withColumn("_rule", _rule(rules))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """The rows that a rule judges, with that verdict as ``label``."""
+    return rows.where("_rule IS NOT NULL").withColumn("label", (F.col("_rule.verdict") == BLOCK).cast("double"))
+
+
+def verdicts(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """Per row: page_id, host, path, rule, verdict and the trees' block probability."""
+    rows = prepared(pages, rules)
+    return _judged(Trees(labelled(rows)).scored(rows))
 
 
 def _judged(rows: DataFrame) -> DataFrame:
