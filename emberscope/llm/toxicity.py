@@ -6,13 +6,13 @@ sentences' probabilities.  The weights are learned through that noisy-or from do
 so the sentence scores locate what made a document toxic.
 
 Features of a word are itself and its proper prefixes of 4 to 8 bytes, hashed.  The weights
-are fitted on a bounded sample: at most ``MOST_OF_A_CLASS`` labelled documents of each class,
-the first by a hash of the id, of at most ``MOST_CHARS`` characters (the bound on what the
-driver fits).  Scoring covers every whole text.
+are fitted on a bounded sample: of each class the first ``MOST_OF_A_CLASS`` labelled documents
+by a hash of the id, as far as they fit into ``MOST_BYTES`` of text together (the bound on
+what the driver fits), whatever their length.  Scoring covers every whole text.
 
 Defined results: an empty or null text gets the noisy-or of no sentence, which is 0; null
-labels and labels of unknown documents teach nothing; several labels of one id count as
-toxic if one is; with no example of a class all scores are 0; repeated rows and null ids are
+labels and labels of unknown documents teach nothing; a text longer than ``MOST_BYTES`` is
+scored but teaches nothing; several labels of one id count as toxic if one is; with no example of a class all scores are 0; repeated rows and null ids are
 scored each; an empty table gives an empty result.
 """
 
@@ -33,8 +33,8 @@ from emberscope.llm.tables import fold
 
 FOLDS, HELD_OUT = 3, 1
 TOXIC_FROM = 0.7
-MOST_OF_A_CLASS = 3000
-MOST_CHARS = 10_000
+MOST_OF_A_CLASS = 4000
+MOST_BYTES = 8 << 20
 _WIDTH = 1 << 20
 _PREFIXES = (4, 5, 6, 7, 8)
 _ROUNDS = 300
@@ -150,10 +150,17 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column) -> Model:
     """A model from the labels (doc_id, toxic) that ``rows`` picks, on a bounded sample."""
     named = labels.where(rows & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     named = named.groupBy(F.col("doc_id").cast("long").alias("_labelled")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MOST_CHARS)
-    there = named.join(texts.select("_id").distinct(), F.col("_labelled") == F.col("_id"), "left_semi")
-    of_class = lambda k: there.where(F.col("label") == k).orderBy(F.xxhash64("_labelled"), "_labelled").limit(MOST_OF_A_CLASS)
-    sample = of_class(1).union(of_class(0))  # its size is bounded
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    sizes = texts.groupBy("_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
+    there = named.join(sizes, F.col("_labelled") == F.col("_id")).select("label", "_labelled", "size")
+    picked = []
+    for k in (1, 0):
+        room = MOST_BYTES
+        for row in there.where(F.col("label") == k).orderBy(F.xxhash64("_labelled"), "_labelled").limit(MOST_OF_A_CLASS).collect():
+            if row["size"] <= room:
+                room -= row["size"]
+                picked.append((row["label"], row["_labelled"]))
+    sample = docs.sparkSession.createDataFrame(picked, "label int, _labelled long")  # its size is bounded
     chosen = texts.join(F.broadcast(sample), F.col("_id") == F.col("_labelled")).select("label", "text")
     table = chosen.mapInArrow(_features, "label int, features array<int>, sizes array<int>").toArrow().combine_chunks()
     flat = [table[c].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("features", "sizes")]

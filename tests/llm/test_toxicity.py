@@ -63,3 +63,14 @@ def test_awkward_tables(spark):
     assert X.held_out_toxicity(spark_docs(spark, []), labels).count() == 0
     nothing = X.toxicity(docs, X.learn(docs, labels.limit(0), F.lit(True)))
     assert nothing.agg(F.max("score")).first()[0] == 0
+
+
+def test_long_documents_teach(spark, monkeypatch):
+    """Where all toxic documents are long, they are drawn as far as the bytes allow."""
+    texts, toxic = data(120)
+    texts = [". ".join([t, *["filler words of no harm"] * 700]) if y else t for t, y in zip(texts, toxic)]
+    got = X.held_out_toxicity(spark_docs(spark, rows(texts)), labels_of(spark, toxic)).collect()
+    assert sum(r["predicted"] != toxic[r["doc_id"]] for r in got) <= 4
+    monkeypatch.setattr(X, "MOST_BYTES", 1000)  # no toxic one fits
+    model = X.learn(spark_docs(spark, rows(texts)), labels_of(spark, toxic), F.lit(True))
+    assert not len(model.weights)
