@@ -40,6 +40,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
 FROM bits
 """
 
+ABLATIONS = f"""
+WITH entries AS ({QUALITY}),
+rules AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32), ('stutter', 64)) AS r(rule, bit)),
+policies AS (SELECT * FROM (VALUES ('base', 3), ('v1', 7), ('v2', 119), ('strict', 127)) AS p(policy, bits))
+SELECT policy, rule, CAST(count(*) FILTER (failures & bit <> 0) AS BIGINT) AS n_failed,
+  CAST(count(*) FILTER (failures & bits = bit) AS BIGINT) AS n_failed_alone,
+  CAST(count(*) FILTER (failures & (bits - bit) = 0) AS BIGINT) AS n_kept_without
+FROM entries, policies JOIN rules ON bits & bit <> 0 GROUP BY policy, rule
+"""
+
 SUBSTRINGS = r"""
 WITH words AS (
   SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, count(*) OVER (PARTITION BY doc_id) AS n
@@ -117,6 +127,6 @@ def centroids(rounds: int = 10) -> str:
 
 
 ORACLES = {
-    "op4_quality_rules": QUALITY, "op5_substring_dedup": SUBSTRINGS,
+    "op4_quality_rules": QUALITY, "op4_ablations": ABLATIONS, "op5_substring_dedup": SUBSTRINGS,
     "op11_vector_codes": vector_codes(), "op13_centroid_clustering": centroids(),
 }

@@ -1,6 +1,6 @@
 """Quality rules kept as a ledger of failure bits.
 
-Every rule is evaluated once per document.  ``ledger`` stores the measurements and one
+Every rule is evaluated once per document.  ``stored_ledger`` writes the measurements and one
 bigint of failure bits; a policy is a named set of rules, so trying another one is a bit
 test on the stored ledger, and ``ablations`` answers "what would each rule remove, and what
 does it remove alone" from one count per distinct bit pattern.
@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberscope.llm.kernels import U, Words, bytes_of, per_text, scrambled, slices, window_hashes
+from emberscope.llm.kernels import Words, bytes_of, per_text, scrambled, slices, window_hashes
+from emberscope.llm.tables import settled
 
 REPEAT_WINDOW = 5
 _SYMBOL = np.zeros(256, bool)
@@ -49,7 +50,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
 }
 PRODUCTION = "v2"
 
-_MEASURED = "_measured"
+_MEASURED, _FAILURES = "_measured", "_failures"
 
 
 def _mask(rules: tuple[str, ...]) -> int:
@@ -136,6 +137,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs, ["doc_id"]).select("doc_id", f"{_MEASURED}.*").withColumn("failures", failures)
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger written once: policies and ablations are bit tests on it."""
+    return settled(ledger(docs), "quality-ledger")
+
+
 def with_policy(entries: DataFrame, version: str = PRODUCTION, name: str = "kept") -> DataFrame:
     """Whether no rule of the policy failed."""
     return entries.withColumn(name, F.col("failures").bitwiseAND(F.lit(_mask(POLICIES[version]))) == 0)
@@ -160,12 +166,13 @@ def ablations(entries: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, version: str = PRODUCTION) -> DataFrame:
     """The ledger with ``base_failed`` and ``kept`` (never true for a base failure)."""
-    entries = with_policy(with_policy(ledger(docs), version, "kept"), "base", "base_kept")
+    entries = with_policy(with_policy(stored_ledger(docs), version, "kept"), "base", "base_kept")
     return entries.withColumn("base_failed", ~F.col("base_kept")).withColumn("kept", F.col("kept") & F.col("base_kept")).drop("base_kept")
 
 
 def passing(docs: DataFrame, version: str = PRODUCTION) -> DataFrame:
-    """The documents the policy keeps, with all their columns."""
+    """The documents the policy keeps, with all their columns, from a ledger stored beside them."""
+    measured = measure(docs, docs.columns)
+    entries = settled(measured.withColumn(_FAILURES, _failures(f"{_MEASURED}.")), "documents-ledger")
     mask = _mask(POLICIES["base"]) | _mask(POLICIES[version])
-    kept = _failures(f"{_MEASURED}.").bitwiseAND(F.lit(mask)) == 0
-    return measure(docs, docs.columns).where(kept).drop(_MEASURED)
+    return entries.where(F.col(_FAILURES).bitwiseAND(F.lit(mask)) == 0).drop(_MEASURED, _FAILURES)

@@ -43,6 +43,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op4_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, from the stored ledger."""
+    return quality.ablations(quality.stored_ledger(table(spark, sf_dir, "documents")))
+
+
 @_register
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
