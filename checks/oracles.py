@@ -251,6 +251,41 @@ FOUND = "stage_id, job_id, sql_id, severity, category, bottleneck, estimated_sav
 TASK_FOUND = "stage_id, c.job_id, c.sql_id, f.severity, f.category, f.bottleneck, f.estimated_savings_ms, f.title"
 ALL_RULES = " UNION ALL ".join(f"SELECT {FOUND} FROM ({rule(r)})" for r in RULES)
 SUSPECTS = f"{ALL_RULES} UNION ALL SELECT {FOUND} FROM ({CACHE.format(app='')}) UNION ALL {_task_rows(TASK_FOUND)}"
+REMEDIES_SQL = "CASE bottleneck WHEN 'Large Scan' THEN '{}' WHEN 'Wide Shuffle' THEN '{}' WHEN 'Data Explosion' THEN '{}' END"
+
+
+#: The texts of the remedies, stated here on their own.
+REMEDY_TEXTS = (
+    "Read less: select the columns you need and filter on partition columns such as date or region before anything else.",
+    "Shuffle less: join small tables with broadcast(small_df) and aggregate before the join.",
+    "Filter before explode() and make sure that no join lacks its condition.",
+)
+
+
+def _remedies() -> str:
+    return REMEDIES_SQL.format(*[text.replace("'", "''") for text in REMEDY_TEXTS])
+
+
+DETAILED = " UNION ALL ".join(
+    [f"SELECT {FOUND}, detail FROM ({rule(r)})" for r in RULES] + [f"SELECT {FOUND}, detail FROM ({CACHE.format(app='')})", _task_rows(f"{TASK_FOUND}, f.detail")]
+)
+ADVICE = f"""CASE f.category
+  WHEN 'Slow Stage' THEN coalesce({_remedies().replace('CASE bottleneck', 'CASE f.bottleneck')}, 'Look at the code location and at df.explain(True); a large shuffle often means a missing filter or a broad join.')
+  WHEN 'Disk Spill' THEN concat_ws(' ', 'Raise spark.executor.memory or use smaller partitions with df.repartition(200).', {_remedies().replace('CASE bottleneck', 'CASE f.bottleneck')})
+  WHEN 'I/O Bound' THEN 'Waiting for I/O: cache DataFrames that are read again with df.cache(), raise spark.executor.memory, or repartition for locality.'
+  WHEN 'CPU Bound' THEN 'CPU is the limit: use built-in functions or @pandas_udf instead of @udf, cache with df.cache(), and raise parallelism with df.repartition(N).'
+  WHEN 'Rec Explode' THEN 'Filter first and explode later, and give every join an explicit condition.'
+  WHEN 'Task Fail' THEN 'Read the executor logs for out-of-memory and fetch failures; consider a larger spark.executor.memory and check spark.task.maxFailures.'
+  WHEN 'Mem Pressure' THEN 'Raise spark.executor.memory and spark.executor.memoryOverhead, or use smaller partitions with df.repartition(N).'
+  WHEN 'Too Many Parts' THEN 'Use df.coalesce(' || greatest((x.input_bytes + x.shuffle_read_bytes) // 134217728, 1) || ') for partitions of about 128MB.'
+  WHEN 'Too Few Parts' THEN 'Use df.repartition(' || greatest((x.input_bytes + x.shuffle_read_bytes) // 134217728, 8) || ') for partitions of about 128MB.'
+  WHEN 'Bcast Join' THEN 'Join with broadcast(small_df): the small side then needs no shuffle.'
+  WHEN 'Python UDF' THEN 'Use built-in functions such as F.when() and F.expr(), or @pandas_udf; a plain @udf moves the data row by row.'
+  WHEN 'Cache Oppty' THEN 'Call df.cache() or df.persist() before the first action and df.unpersist() after the last.'
+  WHEN 'Data Skew' THEN 'Repartition, or salt the keys that hold most rows.'
+  WHEN 'Size Skew' THEN 'Tasks get unequal amounts of data: repartition by a more even key or salt it.'
+  WHEN 'Record Skew' THEN 'Tasks get unequal numbers of records: look for hot keys in joins and groupings.'
+  WHEN 'Exec Hotspot' THEN 'One executor does most of the work: check data locality and how partitions are placed.' END"""
 SUSPECT_ORDER = "(severity = 'CRIT') DESC, estimated_savings_ms DESC, category, stage_id, title"
 
 # Per application: links inside one application, statistics per application.
@@ -366,21 +401,6 @@ def _skew(measure: str) -> str:
     return f"SELECT stage_id, severity, category, task_id, task_bytes, median, max_val FROM skews WHERE measure = '{measure}'"
 
 
-REMEDIES_SQL = "CASE bottleneck WHEN 'Large Scan' THEN '{}' WHEN 'Wide Shuffle' THEN '{}' WHEN 'Data Explosion' THEN '{}' END"
-
-
-#: The texts of the remedies, stated here on their own.
-REMEDY_TEXTS = (
-    "Read less: select the columns you need and filter on partition columns such as date or region before anything else.",
-    "Shuffle less: join small tables with broadcast(small_df) and aggregate before the join.",
-    "Filter before explode() and make sure that no join lacks its condition.",
-)
-
-
-def _remedies() -> str:
-    return REMEDIES_SQL.format(*[text.replace("'", "''") for text in REMEDY_TEXTS])
-
-
 BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "d1_slow_stage": _found("d1"),
     "d2_disk_spill": _found("d2"),
@@ -443,9 +463,10 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "v3_suspect_detail": f"""SELECT f.severity, f.category, coalesce(f.bottleneck, '-') AS pattern, f.stage_id, f.job_id, j.name AS job_name, j.status AS job_status,
       coalesce('#' || f.sql_id, '-') AS sql, {cut('f.title', 50)} AS title, 'Stage ' || f.stage_id || ': ' || x.label AS stage,
       '#' || f.sql_id || ' — ' || {cut("coalesce(x.sql_description, '(no description)')", 70)} AS sql_text, {cut('x.hint', 80)} AS operators, {cut('f.detail', 80)} AS detail,
-      x.io_summary, CASE WHEN f.estimated_savings_ms > 0 THEN '~' || ({dur('f.estimated_savings_ms')}) || ' potential savings' END AS savings, c.stage_id IS NOT NULL AS critical
-      FROM ({" UNION ALL ".join(f"SELECT {FOUND}, detail FROM ({rule(r)})" for r in RULES)}) f JOIN ctx x ON x.stage_id = f.stage_id LEFT JOIN jobs j ON j.job_id = f.job_id LEFT JOIN critical c ON c.stage_id = f.stage_id""",
-    "v4_sql_recommendations": f"SELECT sql_id, severity, '[Stage ' || stage_id || ']' AS stage, category, stage_id, title FROM ({SUSPECTS}) WHERE sql_id IS NOT NULL",
+      CASE WHEN f.category NOT IN ('Data Skew', 'Size Skew', 'Record Skew', 'Exec Hotspot') THEN x.io_summary END AS io_summary, CASE WHEN f.estimated_savings_ms > 0 THEN '~' || ({dur('f.estimated_savings_ms')}) || ' potential savings' END AS savings, {ADVICE} AS recommendation, c.stage_id IS NOT NULL AS critical
+      FROM ({DETAILED}) f JOIN ctx x ON x.stage_id = f.stage_id LEFT JOIN jobs j ON j.job_id = f.job_id LEFT JOIN critical c ON c.stage_id = f.stage_id""",
+    "v4_sql_recommendations": f"""SELECT f.sql_id, f.severity, '[Stage ' || f.stage_id || ']' AS stage, f.category, f.stage_id, f.title, f.detail, {ADVICE} AS recommendation
+      FROM ({DETAILED}) f JOIN stages x ON x.stage_id = f.stage_id WHERE f.sql_id IS NOT NULL""",
     "v5_stage_header": f"""SELECT stage_id, status, num_tasks, label AS name, coalesce({dur(WALL)}, 'active') AS duration, hint AS sql_plan_hint, nullif({HEADER_IO}, '') AS io,
       CASE WHEN run > 0 THEN {pct('cpu')} END AS cpu, CASE WHEN run > 0 THEN 'cpu: ' || ({dur('(executor_cpu_time // 1000000)')}) || ' / runtime: ' || ({dur('run')}) END AS cpu_detail,
       {PEAK} AS peak_memory, {byt(f'({PEAK})')} AS peak_memory_text,
@@ -483,6 +504,9 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "v14_plan_operators": f"""SELECT id AS sql_id, token AS operator, count(*) AS n FROM (
       SELECT id, unnest(regexp_extract_all(regexp_replace(line, '^[ +\\-:|!*]*', ''), '({KEYWORDS})(?:[^A-Za-z0-9]|$)', 1)) AS token FROM plan_lines
       WHERE NOT (trim(line) LIKE '==%' AND trim(line) LIKE '%==')) GROUP BY ALL""",
+    "v14_plan_numbers": """SELECT id AS sql_id, token, count(*) AS n FROM (
+      SELECT id, unnest(regexp_extract_all(line, '(?:^|[^A-Za-z0-9_#.])([0-9][0-9.]*)(?:[^A-Za-z0-9_.]|$)', 1)) AS token FROM plan_lines
+      WHERE NOT (trim(line) LIKE '==%' AND trim(line) LIKE '%==')) GROUP BY ALL""",
     "v14_plan_tokens": """SELECT id AS sql_id, token, count(*) AS n FROM (
       SELECT id, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*#[0-9]+[A-Za-z]?')) AS token FROM plan_lines) GROUP BY ALL""",
     "f_format": f"""SELECT stage_id, {dur('executor_run_time')} AS run_text, {dur('(executor_run_time % 70000 - 5)')} AS short_text, {byt('input_bytes')} AS input_text,
@@ -509,7 +533,19 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "s6_rest_tasks": f"SELECT 0::BIGINT AS attempt_id, * FROM ({STAGE_METRICS})",
     "s7_rest_without_sql": """SELECT 'jobs' AS table_name, count(*) AS n FROM jobs UNION ALL SELECT 'stages', count(*) FROM stages
       UNION ALL SELECT unnest(['tasks', 'job_stages', 'sql_executions', 'sql_jobs', 'executors']), 0""",
-    "s8_store": f"SELECT {APP_STAGE} AS app_id, count(*) AS tasks, sum(input_bytes)::BIGINT AS input_bytes, max(duration) AS max_duration FROM tasks GROUP BY 1",
+    "s8_store": (
+        f"""SELECT 'tasks' AS table_name, {APP_STAGE} AS app_id, count(*) AS n, sum(task_id)::BIGINT AS total FROM tasks GROUP BY ALL
+      UNION ALL SELECT 'stages', {APP_STAGE}, count(*), sum(stage_id)::BIGINT FROM stages GROUP BY ALL
+      UNION ALL SELECT 'jobs', {APP_JOB}, count(*), sum(job_id)::BIGINT FROM jobs GROUP BY ALL
+      UNION ALL SELECT 'job_stages', {APP_STAGE}, count(*), sum(stage_id)::BIGINT FROM job_stages WHERE {APP_STAGE} = {APP_JOB} GROUP BY ALL
+      UNION ALL SELECT 'sql_executions', 'app-' || (id % 7), count(*), sum(id)::BIGINT FROM sql_executions GROUP BY ALL
+      UNION ALL SELECT 'sql_jobs', 'app-' || (sql_id % 7), count(*), sum(job_id)::BIGINT FROM sql_jobs GROUP BY ALL
+      UNION ALL SELECT 'executors', 'app-0', count(*), sum(total_cores)::BIGINT FROM executors GROUP BY ALL
+      UNION ALL SELECT 'suspects', app_id, count(*), sum(estimated_savings_ms)::BIGINT FROM ({APP_SUSPECTS}) GROUP BY ALL
+      UNION ALL SELECT 'suspects_json', app_id, count(*), sum(estimated_savings_ms)::BIGINT FROM ({APP_SUSPECTS}) GROUP BY ALL
+      UNION ALL SELECT 'health', app_id, count(*), 0 FROM ({APP_HEALTH}) GROUP BY ALL""",
+        APP_TABLES,
+    ),
     "p2_jobs": """SELECT 'app-1' AS app_id, j.job_id, name, status, submission_ms, completion_ms, n AS num_tasks, CASE WHEN status = 'SUCCEEDED' THEN n ELSE 0 END AS num_completed_tasks,
       CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END::BIGINT AS num_failed_tasks
       FROM jobs j JOIN (SELECT js.job_id, sum(s.num_tasks)::BIGINT AS n FROM job_stages js JOIN stages s ON s.stage_id = js.stage_id GROUP BY 1) t ON t.job_id = j.job_id""",

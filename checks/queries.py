@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -317,14 +318,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     t = X.telemetry(spark, sf_dir)
     critical = reports.critical_stages(t.stages, t.job_stages)
-    found = analysis.row_findings(analysis.inputs_of(t))
-    return reports.suspect_detail(found, _jobs(t), critical).drop("recommendation")
+    return reports.suspect_detail(analysis.find_suspects(t), _jobs(t), critical)
 
 
 @register("v4_sql_recommendations")
 def _(spark, sf_dir):
     found = store.written(analysis.find_suspects(X.telemetry(spark, sf_dir)), "findings")
-    return reports.sql_recommendations(found).select("sql_id", "severity", "stage", "category", "stage_id", "title")
+    return reports.sql_recommendations(found)
 
 
 @register("v5_stage_header")
@@ -387,6 +387,13 @@ def _(spark, sf_dir):
     return reports.plan_operator_census(X.telemetry(spark, sf_dir).sql_executions)
 
 
+@register("v14_plan_numbers")
+def _(spark, sf_dir):
+    return reports.plan_tokens(X.telemetry(spark, sf_dir).sql_executions).where("kind = 'number'").select(
+        "sql_id", "token", "n"
+    )
+
+
 @register("v14_plan_tokens")
 def _(spark, sf_dir):
     return reports.plan_tokens(X.telemetry(spark, sf_dir).sql_executions).where("kind = 'column'").select(
@@ -532,7 +539,7 @@ def _(spark, sf_dir):
 
 @register("s8_store")
 def _(spark, sf_dir):
-    """Telemetry written to the store, partitioned by application, and read back."""
+    """All telemetry tables and a report written to the store, partitioned by application, and read back."""
     t = _fleet(spark, sf_dir)
 
     def complete(name: str, df: DataFrame) -> DataFrame:
@@ -546,10 +553,20 @@ def _(spark, sf_dir):
     path = new_folder(spark, "store")
     store.write_telemetry(t.map(complete), path)
     back = store.read_telemetry(spark, path)
-    return back.tasks.groupBy("app_id").agg(
-        F.count(F.lit(1)).alias("tasks"), F.sum("input_bytes").alias("input_bytes"),
-        F.max("duration").alias("max_duration"),
-    )
+    report = analysis.analyze(t, ["app_id"])
+    store.write_report({"suspects": report.found, "health": report.health}, f"{path}/report", "derived")
+    shown = {**back.tables(), "suspects": spark.read.parquet(f"{path}/report/suspects"), "suspects_json": spark.read.json(f"{path}/report/suspects_json")}
+    shown["health"] = spark.read.parquet(f"{path}/report/health")
+    measures = {
+        "tasks": "task_id", "stages": "stage_id", "jobs": "job_id", "job_stages": "stage_id", "sql_executions": "id",
+        "sql_jobs": "job_id", "executors": "total_cores", "suspects": "estimated_savings_ms", "suspects_json": "estimated_savings_ms", "health": "0",
+    }
+    sizes = [
+        shown[name].groupBy("app_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(value)).cast("bigint").alias("total"))
+        .select(F.lit(name).alias("table_name"), "app_id", "n", "total")
+        for name, value in measures.items()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
 
 
 def _logged(spark, sf_dir) -> M.Telemetry:
