@@ -451,6 +451,10 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "r6_report_sizes": f"""SELECT 'suspects' AS table_name, count(*) AS n FROM ({SUSPECTS}) UNION ALL SELECT 'jobs', count(*) FROM jobs
       UNION ALL SELECT 'critical_stages', count(*) FROM critical UNION ALL SELECT 'stage_hints', count(*) FROM ctx WHERE hint IS NOT NULL
       UNION ALL SELECT 'health', count(*) FROM ({HEALTH}) UNION ALL SELECT 'cluster', count(*) FROM cluster""",
+    "r6_report_contents": f"""SELECT 'suspects' AS table_name, severity || ' ' || category AS part, count(*) AS n, sum(estimated_savings_ms)::BIGINT AS total FROM ({SUSPECTS}) GROUP BY ALL
+      UNION ALL SELECT 'jobs', status, count(*), sum(job_id)::BIGINT FROM jobs GROUP BY ALL
+      UNION ALL SELECT 'critical_stages', 'critical', count(*), sum(stage_id)::BIGINT FROM critical
+      UNION ALL SELECT 'stage_hints', hint, count(*), sum(stage_id)::BIGINT FROM ctx WHERE hint IS NOT NULL GROUP BY ALL""",
     "v1_jobs_report": f"""SELECT job_id, status, {CLOCK} AS started, coalesce({dur('duration_ms')}, 'running') AS duration, num_tasks, num_failed_tasks,
       coalesce('#' || sql_id, '-') AS sql, {cut('name', 50)} AS name FROM job_rows""",
     "v2_job_detail": f"""SELECT job_id, stage_id, status, CASE WHEN critical THEN ({cut('label', 27)}) || ' CP' ELSE {cut('label', 30)} END AS name,

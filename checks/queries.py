@@ -297,6 +297,22 @@ def _(spark, sf_dir):
     return sizes
 
 
+@register("r6_report_contents")
+def _(spark, sf_dir):
+    """What the tables of the assembled report hold, by category, status, stage and hint."""
+    tables = analysis.analyze(X.telemetry(spark, sf_dir)).tables()
+    parts = {
+        "suspects": ("concat(severity, ' ', category)", "estimated_savings_ms"), "jobs": ("status", "job_id"),
+        "critical_stages": ("'critical'", "stage_id"), "stage_hints": ("sql_plan_hint", "stage_id"),
+    }
+    sums = [
+        tables[name].groupBy(F.expr(key).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        .select(F.lit(name).alias("table_name"), "part", "n", "total")
+        for name, (key, value) in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, sums)
+
+
 # -- views ---------------------------------------------------------------------------------
 def _jobs(t: M.Telemetry) -> DataFrame:
     return reports.job_rows(t.jobs, t.sql_jobs, t.sql_executions)
