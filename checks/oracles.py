@@ -534,6 +534,10 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
       FROM tasks WHERE finish_ms IS NOT NULL GROUP BY 2""",
     "s5_rest_snapshot": """SELECT 'app-1' AS app_id, job_id, status, duration_ms, sql_id, (SELECT count(*) FROM job_stages js JOIN critical c ON c.stage_id = js.stage_id WHERE js.job_id = j.job_id) AS critical_stages
       FROM job_rows j""",
+    "s5_rest_arrays": """SELECT 'jobs' AS table_name, count(*) AS n, sum(job_id)::BIGINT AS total FROM jobs UNION ALL SELECT 'stages', count(*), sum(stage_id)::BIGINT FROM stages
+      UNION ALL SELECT 'sql_executions', count(*), sum(id)::BIGINT FROM sql_executions WHERE id IN (SELECT sql_id FROM sql_jobs) UNION ALL SELECT 'sql_jobs', count(*), sum(job_id)::BIGINT FROM sql_jobs
+      UNION ALL SELECT 'job_stages', count(*), sum(stage_id)::BIGINT FROM job_stages UNION ALL SELECT 'tasks', count(*), sum(task_id)::BIGINT FROM tasks""",
+    "s6_rest_array_tasks": f"SELECT 0::BIGINT AS attempt_id, * FROM ({STAGE_METRICS})",
     "s6_rest_tasks": f"SELECT 0::BIGINT AS attempt_id, * FROM ({STAGE_METRICS})",
     "s7_rest_without_sql": """SELECT 'jobs' AS table_name, count(*) AS n FROM jobs UNION ALL SELECT 'stages', count(*) FROM stages
       UNION ALL SELECT unnest(['tasks', 'job_stages', 'sql_executions', 'sql_jobs', 'executors']), 0""",

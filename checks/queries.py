@@ -527,6 +527,25 @@ def _(spark, sf_dir):
     return log.stage_metrics(t.tasks)
 
 
+@register("s6_rest_array_tasks")
+def _(spark, sf_dir):
+    """The same from one JSON array a file, cut between elements."""
+    t = rest_snapshot.read_snapshot(spark, X.rest_arrays(spark, sf_dir))
+    return log.stage_metrics(t.tasks)
+
+
+@register("s5_rest_arrays")
+def _(spark, sf_dir):
+    """Jobs, stages and SQL executions of a snapshot of arrays, with their sums."""
+    t = rest_snapshot.read_snapshot(spark, X.rest_arrays(spark, sf_dir)).tables()
+    ids = {"jobs": "job_id", "stages": "stage_id", "sql_executions": "id", "sql_jobs": "job_id", "job_stages": "stage_id", "tasks": "task_id"}
+    sizes = [
+        t[name].agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("total")).select(F.lit(name).alias("table_name"), "n", "total")
+        for name, column in ids.items()
+    ]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 @register("s6_broken_answers")
 def _(spark, sf_dir):
     """Rows and broken rows of each saved answer, and what is left of them."""

@@ -502,6 +502,20 @@ def two_logs(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "logs-two", write)
 
 
+def rest_arrays(spark: SparkSession, sf_dir: str) -> str:
+    """The same answers as one JSON array a file (with a null at its end)."""
+
+    def write() -> str:
+        root, lines = new_folder(spark, "rest-arrays"), rest_snapshot(spark, sf_dir)
+        ends = spark.createDataFrame([(0, "["), (2, "null]")], "place int, value string")
+        for file in ("jobs.json", "stages.json", "sql.json", "executors.json", "stages/0/0/taskList.json"):
+            rows = spark.read.text(f"{lines}/app-1/{file}").select(F.lit(1).alias("place"), F.concat("value", F.lit(",")).alias("value"))
+            rows.unionByName(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(f"{root}/app-1/{file}")
+        return root
+
+    return _once(spark, sf_dir, "rest-arrays", write)
+
+
 def broken_rest(spark: SparkSession, sf_dir: str) -> str:
     """Saved answers in which every tenth job has a text for its id and every seventh stage is cut off."""
 

@@ -8,8 +8,9 @@ Expected layout, one folder per application id::
     <root>/<app_id>/executors.json                 (optional)
     <root>/<app_id>/stages/<id>/<attempt>/taskList.json   (optional)
 
-Each file holds one JSON array, or one object per line with ``json_lines=True`` (better for
-stages with very many tasks, because such files can be split).
+Each file holds one JSON array, or one object per line with ``json_lines=True``.  Both are
+read by as many tasks as their bytes ask for: arrays are cut between their elements
+(``json_arrays``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from emberscope import model as M
 from emberscope.functions.times import parse_time
+from emberscope.sources.json_arrays import array_elements
 
 # File names and the field names of the REST answers.
 JOBS_FILE, STAGES_FILE, SQL_FILE = "jobs.json", "stages.json", "sql.json"
@@ -90,23 +92,21 @@ def _zero(name: str) -> Column:
 def _answers(spark: SparkSession, root: str, file: str, ddl: str, json_lines: bool, optional: bool) -> DataFrame:
     """Rows of one kind of answer with ``app_id`` and ``file`` from the path.
 
-    Every row is parsed on its own: ``_broken`` holds the text of a row that does not fit, or
-    of a file that is no array.  A missing optional answer has no rows.
+    Every row is parsed on its own: ``_broken`` holds the text of a row that does not fit, of
+    the element in which an array is cut off, or of a file that is no array.  A missing optional answer has no rows.
     """
+    pattern = f"{root.rstrip('/')}/*/{file}"
     try:
-        text = spark.read.option("wholetext", str(not json_lines).lower()).text(f"{root.rstrip('/')}/*/{file}")
+        if json_lines:
+            text = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("file"), "value")
+        else:
+            text = array_elements(spark, pattern)
     except AnalysisException as missing:
         if optional and missing.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], f"{ddl}, app_id string, file string, _broken string")
         raise
     inside = re.escape(file).replace(r"\*", "[^/]+")
-    path = F.col("_metadata.file_path")
-    rows = text.select(
-        "value", F.regexp_extract(path, rf"/([^/]+)/{inside}(/[^/]*)?$", 1).alias("app_id"), path.alias("file")
-    )
-    if not json_lines:
-        listed = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
-        rows = rows.select("app_id", "file", F.explode(listed).alias("value"))
+    rows = text.select("value", F.regexp_extract("file", rf"/([^/]+)/{inside}(/[^/]*)?$", 1).alias("app_id"), "file")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     parsed = rows.where(r"value RLIKE r'\S'").select("app_id", "file", F.from_json("value", f"{ddl}, _broken string", options).alias("r"), "value")
     broken = F.when(F.col("r").isNull() | F.col("r._broken").isNotNull(), F.col("value"))
@@ -185,7 +185,7 @@ def first_application(spark: SparkSession, root: str) -> DataFrame:
 def read_snapshot(spark: SparkSession, root: str, json_lines: bool = False) -> M.Telemetry:
     """All saved answers below a root, keyed by ``app_id``.
 
-    A broken row costs that row and a broken file that file; ``broken_rows`` counts them.
+    A broken row costs that row, a file that is no array that file; ``broken_rows`` counts them.
     """
 
     jobs, stages, sqls, executors, tasks = [_read(spark, root, file, ddl, json_lines, optional) for file, ddl, optional in ANSWERS]
