@@ -434,6 +434,7 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "k7_task_analysis_stages": _k7("WHERE pick <= 15"),
     "k7_task_analysis_stages_uncapped": _k7(""),
     "k7_task_analysis_stages_by_app": _k7("WHERE pick <= 15", "x"),
+    "k7_chosen_tasks": f"SELECT stage_id, count(*) AS n, sum(duration)::BIGINT AS duration_sum FROM tasks WHERE stage_id IN (SELECT stage_id FROM ({_k7('WHERE pick <= 15')})) GROUP BY stage_id",
     "k_titles": _task_rows("stage_id, f.category, f.title, f.detail, c.name AS stage_name, c.hint AS sql_plan_hint"),
     "l1_job_to_sql": "SELECT job_id, sql_id FROM job_sql",
     "l2_stage_to_job": "SELECT stage_id, job_id FROM stage_job",
@@ -505,6 +506,9 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "v13_merge_snapshots": """SELECT stage_id, count(*) AS n, sum(CASE WHEN fresh THEN duration * 2 ELSE duration END)::BIGINT AS duration_sum
       FROM (SELECT *, stage_id % 3 = 0 AND max(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END) OVER (PARTITION BY stage_id) = 1 AS fresh FROM tasks)
       WHERE NOT fresh OR status = 'SUCCESS' GROUP BY stage_id""",
+    "v13_bucketed_snapshots": """SELECT stage_id, count(*) AS n, sum(CASE WHEN fresh THEN duration * 2 ELSE duration END)::BIGINT AS duration_sum
+      FROM (SELECT *, stage_id % 3 = 0 AND max(CASE WHEN status = 'SUCCESS' THEN 1 ELSE 0 END) OVER (PARTITION BY stage_id) = 1 AS fresh FROM tasks)
+      WHERE NOT fresh OR status = 'SUCCESS' GROUP BY stage_id""",
     "v14_plan_operators": f"""SELECT id AS sql_id, token AS operator, count(*) AS n FROM (
       SELECT id, unnest(regexp_extract_all(regexp_replace(line, '^[ +\\-:|!*]*', ''), '({KEYWORDS})(?:[^A-Za-z0-9]|$)', 1)) AS token FROM plan_lines
       WHERE NOT (trim(line) LIKE '==%' AND trim(line) LIKE '%==')) GROUP BY ALL""",

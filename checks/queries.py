@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -197,6 +198,17 @@ def _(spark, sf_dir):
     return task_rules.stages_worth_task_analysis(X.with_attempts(_fleet(spark, sf_dir).stages), ["app_id"])
 
 
+@register("k7_chosen_tasks")
+def _(spark, sf_dir):
+    """Tasks of the stages chosen for task analysis, the others not read."""
+    t, path = X.telemetry(spark, sf_dir), new_folder(spark, "tasks-by-stage")
+    store.write_tasks_by_stage(t.tasks, path)
+    chosen = task_rules.stages_worth_task_analysis(X.with_attempts(t.stages)).select("stage_id")
+    return store.read_tasks_of(spark, path, chosen).groupBy("stage_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration_sum")
+    )
+
+
 @register("k_titles")
 def _(spark, sf_dir):
     """Titles and details of all task findings."""
@@ -398,6 +410,17 @@ def _(spark, sf_dir):
     )
 
 
+@register("v13_bucketed_snapshots")
+def _(spark, sf_dir):
+    """The same with the old snapshot as a bucketed table, which is not shuffled."""
+    tasks, name = X.task_table(spark, sf_dir), f"tasks_{uuid.uuid4().hex}"
+    store.write_task_table(tasks, name, new_folder(spark, "task-table"))
+    new = tasks.where("stage_id % 3 = 0 and status = 'SUCCESS'").withColumn("duration", F.col("duration") * 2)
+    return store.merged_task_table(spark, name, new).groupBy("stage_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration_sum")
+    )
+
+
 @register("v14_plan_operators")
 def _(spark, sf_dir):
     return reports.plan_operator_census(X.telemetry(spark, sf_dir).sql_executions)
