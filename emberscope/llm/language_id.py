@@ -8,6 +8,9 @@ language with the most letters names the text.
 
 Learning is one pass that adds up counts per task and one small shuffle; the model (a table
 of fixed width per label) is broadcast.  ``MOST_LABELS`` bounds it; more labels are an error.
+Labelling holds words times labels for at most ``_HELD`` scores; a text of more words is
+labelled stretch by stretch: the best value of each label is carried on, and what the way back
+needs is one bit per word and label.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with nothing
 learned every text is ``und``; rows are judged one by one, so repeated rows and null ids are
@@ -17,7 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -31,7 +34,7 @@ from emberscope.llm.kernels import Bytes, U, Words, bytes_of, per_text, slices
 from emberscope.llm.tables import fold
 
 FOLDS, HELD_OUT = 4, 2
-MOST_LABELS = 500
+MOST_LABELS = 200
 SWITCH = 12.0
 NONE = "und"
 _GRAMS = (3, 4)
@@ -39,7 +42,9 @@ _WIDTH = 1 << 16  # buckets of each gram length
 _SMOOTH = 0.5
 _SCRIPT_SHARE = 0.01  # of a language's letters, for it to own words in that script
 _BANNED = -1000.0
-_CHUNK = 16 << 20  # texts labelled together
+_HELD = 64 << 20  # bytes of text times labels that are labelled together
+_LEAST = 1 << 16
+_STRETCH = 1 << 20  # bytes of a long text at a time
 
 #: First code points of blocks and the script that holds from there on.
 SCRIPT_STARTS = (
@@ -133,16 +138,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Labels in order, log probabilities per bucket and label, and owned scripts per label."""
 
-    def __init__(self, labels: list[str], counts: np.ndarray):
+    def __init__(self, labels: list[str], counts: Iterable[np.ndarray]):
+        """``counts`` has one array per label."""
         self.labels = labels
-        grams = counts[: _WIDTH * len(_GRAMS)].astype(np.float64)
-        self.scores = np.zeros(grams.shape, np.float32)
-        for k in range(len(_GRAMS)):
-            own = grams[k * _WIDTH : (k + 1) * _WIDTH]
-            self.scores[k * _WIDTH : (k + 1) * _WIDTH] = np.log((own + _SMOOTH) / (own.sum(axis=0) + _SMOOTH * _WIDTH))
-        scripts = counts[_WIDTH * len(_GRAMS) :]
-        self.owned = (scripts >= _SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)).astype(np.int64)
-        self.owned = (self.owned << np.arange(len(_SCRIPTS))[:, None]).sum(axis=0)
+        self.scores = np.zeros((_WIDTH * len(_GRAMS), len(labels)), np.float32)
+        self.owned = np.zeros(len(labels), np.int64)
+        for i, own in enumerate(counts):
+            for k in range(len(_GRAMS)):
+                part = own[k * _WIDTH : (k + 1) * _WIDTH].astype(np.float64)
+                self.scores[k * _WIDTH : (k + 1) * _WIDTH, i] = np.log((part + _SMOOTH) / (part.sum() + _SMOOTH * _WIDTH))
+            scripts = own[_WIDTH * len(_GRAMS) :]
+            self.owned[i] = ((scripts >= _SCRIPT_SHARE * max(scripts.sum(), 1)).astype(np.int64) << np.arange(len(_SCRIPTS))).sum()
 
     def word_scores(self, grams: Grams) -> np.ndarray:
         """One row per word; words without a letter favour no language."""
@@ -166,11 +172,56 @@ def learn(texts: DataFrame) -> Model:
     langs = sorted(r["lang"] for r in texts.select("lang").distinct().limit(MOST_LABELS + 1).collect())
     if len(langs) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels")
-    table = rows.toArrow()
-    counts = np.zeros((BUCKETS, len(langs)), np.int64)
-    column = np.searchsorted(np.array(langs, object), np.array(table["lang"].to_pylist(), object))
-    counts[table["bucket"].to_numpy(), column] = table["n"].to_numpy()
-    return Model(langs, counts)
+    packed = rows.groupBy("lang").agg(F.collect_list(F.struct(F.col("bucket").cast("int").alias("bucket"), "n")).alias("c"))  # at most BUCKETS each
+    found = packed.select("lang", F.col("c.bucket").alias("bucket"), F.col("c.n").alias("n")).toArrow()
+    place = {lang: i for i, lang in enumerate(found["lang"].to_pylist())}
+
+    def counts_of(lang: str) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.int64)
+        if lang in place:
+            out[np.asarray(found["bucket"][place[lang]].values)] = np.asarray(found["n"][place[lang]].values)
+        return out
+
+    return Model(langs, map(counts_of, langs))
+
+
+def _long_text(text: Bytes) -> Iterator[Bytes]:
+    """A text in stretches that cut no word."""
+    data, at = text.data, 0
+    gaps = np.flatnonzero(~Words(text).inside)
+    while at < len(data):
+        to = len(data)
+        if to - at > _STRETCH:
+            i = np.searchsorted(gaps, at + _STRETCH)
+            to = int(gaps[i]) + 1 if i < len(gaps) else to
+        yield Bytes(data[at:to], np.array([0, to - at]))
+        at = to
+
+
+def labelled_stretches(stretches: Iterable[np.ndarray], k: int, switch: float = SWITCH) -> np.ndarray:
+    """The best labels of the words of one text whose scores come in stretches."""
+    value, bits, tops = None, [], []
+    for scores in stretches:
+        stays, top = np.ones((len(scores), k), bool), np.zeros(len(scores), np.int16)
+        for t, own in enumerate(scores.astype(np.float64)):
+            if value is None:
+                value = own.copy()
+                continue
+            top[t] = value.argmax()
+            change = value[top[t]] - switch
+            stays[t] = value >= change
+            value = np.where(stays[t], value, change) + own
+        bits.append(np.packbits(stays, axis=1))
+        tops.append(top)
+    out, label = [], int(value.argmax()) if value is not None else 0
+    for packed, top in zip(reversed(bits), reversed(tops), strict=True):
+        stays = np.unpackbits(packed, axis=1, count=k).astype(bool)
+        own = np.zeros(len(top), np.int16)
+        for t in range(len(top) - 1, -1, -1):
+            own[t] = label
+            label = label if stays[t, label] else int(top[t])
+        out.append(own)
+    return np.concatenate([*reversed(out), np.zeros(0, np.int16)])
 
 
 def labelling(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -209,25 +260,40 @@ def labelling(scores: np.ndarray, bounds: np.ndarray, switch: float = SWITCH) ->
 def _label(batches: Iterator[pa.RecordBatch], model: Broadcast) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to doc_id, lang_pred, score and spans."""
     labels = model.value.labels
+    together = max(_HELD // max(len(labels), 1), _LEAST)
     for batch in batches:
-        for part in slices(batch, 1, _CHUNK):
+        for part in slices(batch, 1, together):
             scores, letters, counts, named = [], [], [], []
+            long = bool(labels) and part.num_rows == 1 and len(bytes_of(part.column(1)).data) > together
             for small in slices(part, 1, 1 << 20):
                 of = bytes_of(small.column(1))
-                grams = Grams(of)
-                scores.append(model.value.word_scores(grams))
-                letters.append(grams.letters)
-                counts.append(grams.words.counts)
                 has = per_text(_ASCII_LETTER[of.data], of.offsets) > 0
                 for i in np.flatnonzero(~has):  # few: texts without a-z
                     has[i] = any(map(str.isalpha, small.column(1)[int(i)].as_py()))
                 named.append(has)
-            scores, letters, counts, named = (np.concatenate(x) for x in (scores, letters, counts, named))
+                if long:
+                    continue
+                grams = Grams(of)
+                scores.append(model.value.word_scores(grams))
+                letters.append(grams.letters)
+                counts.append(grams.words.counts)
+            if long:
+                def stretches():
+                    for some in _long_text(bytes_of(part.column(1))):
+                        grams = Grams(some)
+                        letters.append(grams.letters)
+                        yield model.value.word_scores(grams)
+
+                label = labelled_stretches(stretches(), len(labels))
+                letters, named = np.concatenate([*letters, np.zeros(0, np.int64)]), named[0]
+                counts = np.array([len(label)])
+            else:
+                scores, letters, counts, named = (np.concatenate(x) for x in (scores, letters, counts, named))
             bounds = np.concatenate([[0], np.cumsum(counts)])
             n = part.num_rows
             named &= bool(labels)
             if labels:
-                label = labelling(scores, bounds)
+                label = label if long else labelling(scores, bounds)
                 text = np.repeat(np.arange(n), counts)
                 weight = np.bincount(text * len(labels) + label, np.maximum(letters, 0), n * len(labels)).reshape(n, -1)
                 pred = weight.argmax(axis=1)

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from llmdata import awkward, rows, spark_docs
 from pyspark.sql import functions as F
 
@@ -69,3 +70,23 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows_ = L.held_out_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows_) >= 0.97 * len(rows_)
+
+
+def test_stretches_of_a_long_text_change_nothing(spark, monkeypatch):
+    model = L.learn(corpus(spark))
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([ENGLISH, GERMAN, RUSSIAN, "12 , ! "], 12)) for _ in range(6)] + ["", None, "  \t ", "x" * 300, "日" * 200]
+    want = [tuple(r) for r in L.languages(docs_of(spark, texts), model).orderBy("doc_id").collect()]
+    for k, name in ((1, "_HELD"), (150, "_LEAST"), (100, "_STRETCH")):
+        monkeypatch.setattr(L, name, k)
+    of = L.bytes_of(pa.array([texts[0]]))
+    parts = list(L._long_text(of))
+    assert len(parts) > 5 and b"".join(p.data.tobytes() for p in parts) == texts[0].encode()
+    scores = [model.word_scores(L.Grams(p)) for p in parts]
+    whole = L.labelling(np.concatenate(scores), np.array([0, sum(map(len, scores))]))
+    assert (L.labelled_stretches(scores, 3) == whole).all() and len(set(whole.tolist())) == 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t or "" for t in texts])], ["doc_id", "text"])
+    shared = spark.sparkContext.broadcast(model)
+    found = [tuple(r.values()) for b in L._label(iter([batch]), shared) for r in b.to_pylist()]
+    assert [(i, lang, share) for i, lang, share, _ in found] == [(i, lang, share) for i, lang, share, _ in want]
+    assert [[tuple(s.values()) for s in spans] for *_, spans in found] == [[tuple(s) for s in spans] for *_, spans in want]
