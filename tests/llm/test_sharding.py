@@ -61,4 +61,4 @@ def test_balance_and_little_movement(spark):
     assert len(was) == docs.count() and max(counts.values()) - min(counts.values()) <= 1
     grown = {r["doc_id"]: r["shard"] for r in sharding.sharded(docs, 17).collect()}
     moved = sum(was[d] != s for d, s in grown.items()) / len(was)
-    assert moved < 0.35  # 94 % move where the shard is the id modulo their number
+    assert moved < 0.15  # 6 % is the least, 94 % move where the shard is the id modulo their number
