@@ -2,13 +2,11 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from llmdata import awkward, prose, rows, spark_docs
 
 from emberscope.llm import simhash
 from emberscope.llm.components import components
-from emberscope.llm.kernels import bytes_of
 
 
 def brute_print(text):
