@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LARGE_GROUP = 65_536  # rows of a group up to which one buffer may hold its values
+LARGE_PARTS = 32  # tasks that share a large group where its rows are told apart
 
 _BASE_BITS, _STEP_BITS, _VALUE_BITS = 12, 4, 63
 _PART_BITS, _PARTS = 16, 1
@@ -141,12 +142,18 @@ def quantiles_of_counts(
 
 
 def parted(df: DataFrame, sizes: DataFrame, keys: Sequence[str], large: int = LARGE_GROUP) -> tuple[DataFrame, DataFrame]:
-    """``(rows of groups of up to large rows, rows of larger groups)`` by a table (keys, n)."""
-    over = sizes.where(F.col("n") > large).select(*[F.col(k).alias(f"_{k}") for k in keys])
-    same = F.lit(True)  # a NULL key is a group like any other
-    for k in keys:
-        same = same & df[k].eqNullSafe(over[f"_{k}"])
-    return df.join(over, same, "left_anti"), df.join(over, same, "left_semi")
+    """``(rows of groups of up to large rows, rows of larger groups)`` by a table (keys, n).
+
+    The keys of large groups, few by their size, are repeated once per part and the rows
+    dealt to the parts, so that a large group is several tasks' work where the join shuffles.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(LARGE_PARTS - 1))).alias("_part_of")
+    over = sizes.where(F.col("n") > large).select(*[F.col(k).alias(f"_{k}") for k in keys], parts)
+    dealt = df.withColumn("_part", (F.monotonically_increasing_id() % LARGE_PARTS).cast("int"))
+    same = dealt["_part"] == over["_part_of"]
+    for k in keys:  # a NULL key is a group like any other
+        same = same & dealt[k].eqNullSafe(over[f"_{k}"])
+    return dealt.join(over, same, "left_anti").drop("_part"), dealt.join(over, same, "left_semi").drop("_part")
 
 
 def exact_quantiles(
