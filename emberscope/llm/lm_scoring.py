@@ -32,19 +32,19 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberscope.llm.kernels import Bytes, HashRows, U, Words, bytes_of, per_text, slices
 from emberscope.llm.tables import fold, settled
 
 ORDER = 4
-CACHED_GRAMS = 1_000_000
+CACHED_GRAMS = 500_000
 MOST_WORDS = 200_000
 FOLDS = 10
 _EDGE = 256  # starts and ends a text
 _SYMBOLS = 257
 _BITS = 9
 _SLICE = 1 << 20
+_HELD = 1 << 20  # counts of grams held apart before they are merged
 
 
 def _grams(of: Bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +94,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, n = np.unique(_grams(of)[0], return_counts=True)
             grams.append(key)
             gram_counts.append(n)
+            if sum(map(len, grams)) > _HELD:
+                key, _, n = _merged(grams, gram_counts)
+                grams, gram_counts = [key], [n]
             found = Words(of)
             key, first, n = np.unique(found.hashes(), return_index=True, return_counts=True)
             words.append(key)
