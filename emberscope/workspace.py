@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,10 +34,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is ever overwritten or removed."""
+    """A fresh path below the shared folder; only ``expire_folders`` ever removes one."""
     return f"{shared_folder(spark)}/emberscope/{label}-{uuid.uuid4().hex}"
 
 
+def expire_folders(spark: SparkSession, older_than_seconds: float) -> list[str]:
+    """Remove written intermediates below the shared folder that were last changed longer ago.
+
+    Their tables can no longer be read: give an age beyond that of any session in use.
+    Returns the removed paths; checkpoints of Spark itself are not touched.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(f"{shared_folder(spark)}/emberscope")
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return []
+    before = (time.time() - older_than_seconds) * 1000
+    old = [status.getPath() for status in system.listStatus(top) if status.getModificationTime() < before]
+    return [path.toString() for path in old if system.delete(path, True)]
+
+
 _PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from emberscope.operators import reports
 from emberscope.sources import store
-from emberscope.workspace import new_folder
+from emberscope.workspace import expire_folders, new_folder
 from tests.rows import frame, task
 
 
@@ -60,3 +60,17 @@ def test_bucketed_merge_does_not_shuffle_the_old_side(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS old_tasks")
+
+
+def test_only_old_folders_expire(spark):
+    import os
+    import time
+
+    old, young = new_folder(spark, "old"), new_folder(spark, "young")
+    for path in (old, young):
+        spark.range(3).write.parquet(path)
+    place = old.removeprefix("file:")
+    os.utime(place, (time.time() - 10_000_000, time.time() - 10_000_000))
+    removed = expire_folders(spark, 5_000_000)
+    assert [p.split("/")[-1] for p in removed] == [old.split("/")[-1]]
+    assert not os.path.exists(place) and spark.read.parquet(young).count() == 3
