@@ -372,19 +372,20 @@ def profile_texts(profile: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 HISTOGRAM_SALTS = 8  # tasks that share the lookup of one stage's range
 
 
-def duration_histogram(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def duration_histogram(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
     """Ten equal duration buckets per stage, empty ones included; none without a range.
 
     Tasks are first counted per duration; the range of a stage then reaches its counts by
-    a salted lookup, so one large stage is worked on by many tasks.
+    a salted lookup, so one large stage is worked on by many tasks.  With ``executor_totals``
+    at hand the ranges come from them and tasks are read once, else twice.
     """
     keys = [*by, "stage_id"]
     counts = value_counts(tasks, keys, "duration")
-    ranges = (  # from the counted values: tasks are read once
-        counts.groupBy(*keys)
-        .agg(F.min("value").alias("least"), F.max("value").alias("most"))
-        .where("most > least")
-    )
+    if totals is None:
+        bounds = counts.groupBy(*keys).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    else:
+        bounds = totals.groupBy(*keys).agg(F.min("min_duration").alias("least"), F.max("max_duration").alias("most"))
+    ranges = bounds.where("most > least")
     width = (F.col("most") - F.col("least")).cast("double") / F.lit(float(HISTOGRAM_BUCKETS))
     at = F.least(
         F.floor((F.col("value") - F.col("least")).cast("double") / width),

@@ -130,6 +130,8 @@ def test_histogram(spark):
     rows += [task(i + 10, stage_id=1, duration=5) for i in range(3)]
     bars = reports.duration_histogram(frame(spark, "tasks", rows)).orderBy("bucket").collect()
     assert [b.n for b in bars] == [1, 1, 1, 0, 0, 0, 0, 0, 0, 3] and {b.stage_id for b in bars} == {0}
+    tasks = frame(spark, "tasks", rows)
+    assert reports.duration_histogram(tasks, totals=task_rules.executor_totals(tasks)).orderBy("bucket").collect() == bars
     assert [b.bar for b in bars][0] == 13 and bars[9].bar == 40 and (bars[2].lo, bars[2].hi) == (20.0, 30.0)
 
 
