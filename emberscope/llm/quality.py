@@ -50,7 +50,7 @@ POLICIES: dict[str, tuple[str, ...]] = {
 }
 PRODUCTION = "v2"
 
-_MEASURED, _FAILURES = "_measured", "_failures"
+_MEASURED = "_measured"
 
 
 def _mask(rules: tuple[str, ...]) -> int:
@@ -171,8 +171,11 @@ def judged(docs: DataFrame, version: str = PRODUCTION) -> DataFrame:
 
 
 def passing(docs: DataFrame, version: str = PRODUCTION) -> DataFrame:
-    """The documents the policy keeps, with all their columns, from a ledger stored beside them."""
-    measured = measure(docs, docs.columns)
-    entries = settled(measured.withColumn(_FAILURES, _failures(f"{_MEASURED}.")), "documents-ledger")
+    """The documents the policy keeps, with all their columns, by their failure bits in one pass.
+
+    The bits are not stored here: a ledger that can be filtered without another shuffle or
+    evaluation would hold a copy of all texts.
+    """
     mask = _mask(POLICIES["base"]) | _mask(POLICIES[version])
-    return entries.where(F.col(_FAILURES).bitwiseAND(F.lit(mask)) == 0).drop(_MEASURED, _FAILURES)
+    kept = _failures(f"{_MEASURED}.").bitwiseAND(F.lit(mask)) == 0
+    return measure(docs, docs.columns).where(kept).drop(_MEASURED)
