@@ -6,16 +6,18 @@ first pass finds for both how many brackets the stretch opens and whether it end
 text, one row per stretch.  These rows, put together in the order of the file, give the state
 in which each stretch begins.  A second pass then cuts the stretches at the commas of the
 outermost array; an element belongs to the stretch that holds the mark before it.  Files of
-one stretch need no first pass.  Elements are texts, not parsed.
+one stretch need no first pass.  Elements are texts, not parsed.  A file whose name ends in
+``.gz`` cannot be cut: one task unpacks it as a stream and holds one block of it.
 
 Defined results: an empty or blank file has no element; a file that does not begin with a
 bracket gives its first stretch as one text, and an array that is cut off gives the cut
-element as it is, so both fail to parse; null elements are left out; arrays one after the other
+element as it is, so both fail to parse, as the last element of a damaged gzip file does; null elements are left out; arrays one after the other
 in a file are all read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 from urllib.parse import unquote
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberscope.sources import tailing
 from emberscope.sources.tailing import file_system
 from emberscope.workspace import ship_package
 
@@ -33,6 +36,8 @@ STRETCH = 32 << 20
 _BLOCK = 1 << 20
 _GIVEN = 1 << 20  # characters of elements in one batch
 MOST_TASKS = 20_000
+PACKED = ".gz"
+_NO_END = 1 << 62
 
 _QUOTE, _ESCAPE = 0x22, 0x5C
 _STEP = np.zeros(256, np.int8)
@@ -82,6 +87,25 @@ def _escaped_at(stream, at: int) -> bool:
     return run % 2 == 1
 
 
+class _Unpacked:
+    """A gzip file read forward block by block; what follows damage is a text that no parser takes."""
+
+    def __init__(self, stream):
+        self.parts, self.at, self.held = tailing._unpacked(stream, "gzip"), 0, b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        self.held, self.at = self.held[at - self.at :], at
+        while len(self.held) < n:
+            try:
+                data = next(self.parts, None)
+            except (zlib.error, OSError, EOFError):
+                data, self.parts = tailing.DAMAGED.encode(), iter(())
+            if data is None:
+                break
+            self.held += data
+        return self.held[:n]
+
+
 def _opened(uri: str):
     system, path, _ = file_system(unquote(uri))
     return system.open_input_file(path)
@@ -123,7 +147,7 @@ def _elements_of(stream, start: int, end: int, length: int, inside: bool, depth:
     if start == 0:
         head = stream.read_at(min(length, _BLOCK), 0)
         if head.strip() and not head.lstrip().startswith(b"["):
-            yield stream.read_at(min(length, end), 0)
+            yield stream.read_at(min(length, end) if end < _NO_END else STRETCH, 0)
             return
     scan = _Scan(inside, depth, _escaped_at(stream, start))
     held: list[bytes] | None = None  # the parts of the element being read
@@ -153,7 +177,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batch.to_pylist():
             texts, size = [], 0
             with _opened(r["file"]) as stream:
-                for element in _elements_of(stream, r["start"], r["end"], r["length"], r["inside"], r["depth"]):
+                parts = (r["start"], r["end"], r["length"], r["inside"], r["depth"])
+                if r["file"].endswith(PACKED):
+                    stream, parts = _Unpacked(stream), (0, _NO_END, _NO_END, False, 0)
+                for element in _elements_of(stream, *parts):
                     text = element.strip()
                     if text and text != b"null":
                         texts.append(text.decode("utf-8", "replace"))
@@ -173,10 +200,12 @@ def array_elements(spark: SparkSession, pattern: str, stretch: int = STRETCH) ->
     """``file, value`` for each element of the arrays in the files that match."""
     ship_package(spark)
     files = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("file"), "length").where("length > 0")
-    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(stretch).cast("long"))
-    stretches = files.select("file", "length", F.explode(starts).alias("start")).withColumn("end", F.least(F.col("start") + stretch, F.col("length")))
+    own = F.when(F.col("file").endswith(PACKED), F.col("length")).otherwise(F.lit(stretch)).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.col("stretch"))
+    stretches = files.withColumn("stretch", own).select("file", "length", "stretch", F.explode(starts).alias("start"))
+    stretches = stretches.withColumn("end", F.least(F.col("start") + F.col("stretch"), F.col("length")))
     tasks = min(max(stretches.count(), 1), MOST_TASKS)
-    large = stretches.where(F.col("length") > stretch).repartition(tasks, "file", "start")
+    large = stretches.where(F.col("length") > F.col("stretch")).repartition(tasks, "file", "start")
     states = large.select("file", "start", "end").mapInArrow(_summaries, _SUMMARY)
     states = states.groupBy("file").applyInPandas(_states, "file string, start long, inside boolean, depth long")
     known = stretches.join(states, ["file", "start"], "left").select(
