@@ -41,7 +41,7 @@ def clustered(df: DataFrame) -> DataFrame:
 def write_telemetry(telemetry: Telemetry, path: str, mode: str = "errorifexists") -> None:
     """One Parquet folder per table; tables with ``app_id`` are partitioned by it."""
     for name, df in telemetry.tables().items():
-        writer = clustered(df).write.mode(mode)
+        writer = clustered(df).write.mode(mode).option("compression", "zstd")
         if "app_id" in df.columns:
             writer = writer.partitionBy("app_id")
         writer.parquet(f"{path.rstrip('/')}/{name}")
@@ -118,10 +118,10 @@ def merged_task_table(spark: SparkSession, name: str, new: DataFrame, by: Sequen
 
 
 def write_report(tables: dict[str, DataFrame], path: str, source: str, mode: str = "errorifexists") -> None:
-    """Result tables stamped with their source and the time of writing; findings as JSON too."""
+    """Result tables stamped with their source and the time of writing; findings as JSON too (gzip)."""
     for name, df in tables.items():
         target = f"{path.rstrip('/')}/{name}"
         stamped = df.withColumns({"data_source": F.lit(source), "written_at": F.current_timestamp()})
         stamped.write.mode(mode).parquet(target)
         if name == "suspects":
-            df.sparkSession.read.schema(stamped.schema).parquet(target).write.mode(mode).json(f"{target}_json")
+            df.sparkSession.read.schema(stamped.schema).parquet(target).write.mode(mode).option("compression", "gzip").json(f"{target}_json")
