@@ -87,3 +87,26 @@ def test_both_ways_of_totals_and_counts(spark, monkeypatch, large):
     found = task_rules.distributions(tasks)
     given = task_rules.distributions(None, totals=task_rules.executor_totals(tasks), counts=task_rules.measure_counts(tasks))
     assert simple(found) == simple(given) and found.count() > 0
+
+
+def test_events_are_written_without_a_sort(spark, tmp_path):
+    name, path = "spark.sql.maxConcurrentOutputFileWriters", str(tmp_path / "events")
+    before, planned = spark.conf.get(name, None), []
+    lines = log.read_lines(spark, fixtures.event_log(spark, SF_DIR))
+    with pytest.MonkeyPatch.context() as patch:
+        from pyspark.sql.readwriter import DataFrameWriter
+
+        write = DataFrameWriter.parquet
+        patch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (planned.append(spark.conf.get(name, None)), write(self, *a, **k))[1])
+        events = log.stage_events(log.parse_lines(lines), path)
+    assert planned == ["2"] and spark.conf.get(name, None) == before
+    assert events.where("part = 'tasks'").count() == events.where("kind = 'task_end'").count() > 0
+    assert events.where("part = 'others'").count() > 0
+
+
+def test_applications_do_not_sort_all_lines(spark):
+    events = fixtures.staged_events(spark, SF_DIR)
+    plan = log.applications(events)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert any("pos:struct" in scan for scan in scans) and all("= others" in scan for scan in scans if "pos:struct" in scan)
+    assert [r.app_id for r in log.applications(events).collect()] == ["app-1"]
