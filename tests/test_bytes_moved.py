@@ -10,7 +10,8 @@ from rows import frame, task
 from emberscope import fixtures
 from emberscope.operators import quantiles, task_rules
 from emberscope.sources import event_log as log
-from emberscope.sources import json_arrays
+from emberscope.sources import json_arrays, store
+from emberscope.streaming import batches
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -104,6 +105,16 @@ def test_events_are_written_without_a_sort(spark, tmp_path):
     assert events.where("part = 'others'").count() > 0
 
 
+def test_what_is_written_in_between_is_zstd(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "'task_end' AS kind")
+    log.stage_events(rows, str(tmp_path / "events"))
+    batches.add_batch(rows, str(tmp_path / "rollup"), 0)
+    assert batches.compact(spark, str(tmp_path / "rollup"), lambda df: df) == 0
+    kept = [f.split("/")[-1] for f in store.written(rows, "zstd").inputFiles()]
+    found = names(tmp_path, "*.parquet") + kept
+    assert len(found) >= 4 and all(n.endswith(".zstd.parquet") for n in found)
+
+
 def test_applications_do_not_sort_all_lines(spark):
     events = fixtures.staged_events(spark, SF_DIR)
     plan = log.applications(events)._jdf.queryExecution().executedPlan().toString()
