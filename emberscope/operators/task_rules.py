@@ -48,6 +48,7 @@ RECORD_ADVICE = "Tasks get unequal numbers of records: look for hot keys in join
 HOTSPOT_ADVICE = "One executor does most of the work: check data locality and how partitions are placed."
 
 MEASURES = ("duration", "size", "records")
+SPREAD_FIELDS = ("n", "mean", "sd", "max", "top", "bytes")
 _TASK_ID_ROOM = Decimal(10**19)
 
 
@@ -99,8 +100,8 @@ def stage_sizes(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return tasks.groupBy(*by, "stage_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _totals(tasks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    measured = []
+def _totals(tasks: DataFrame, keys: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    measured = [*more]
     for m in MEASURES:
         value = F.col(m)
         packed = F.when(value.isNotNull(), _packed(value))
@@ -160,6 +161,11 @@ def _long(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], value:
 
 def _moments(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """One row per stage and measure: n, mean, deviation and the task with the largest value."""
+    return _by_stage(totals, keys, measures).select(*keys, F.inline(F.array(*measures))).where("n > 0")
+
+
+def _by_stage(totals: DataFrame, keys: Sequence[str], measures: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    """One row per stage with a struct of moments per measure; its rows of totals need not be moved if they lie together."""
     stage = Window.partitionBy(*keys)  # over executors, not tasks
     whole, merged = {}, []
     for m in measures:
@@ -171,9 +177,50 @@ def _moments(totals: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
             F.sqrt(F.sum(weight * (F.col(f"var_{m}") + apart * apart)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("sd"),
             F.max(f"max_{m}").alias("max"), _task_id_of(F.max(f"top_{m}")).alias("top"), F.max_by(f"bytes_{m}", f"top_{m}").alias("bytes"),
         ).alias(m))
-    fields = ("n", "mean", "var", "max", "top", "bytes")
-    wide = totals.select(*keys, *[f"{f}_{m}" for m in measures for f in fields]).withColumns(whole)
-    return wide.groupBy(*keys).agg(*merged).select(*keys, F.inline(F.array(*measures))).where("n > 0")
+    return totals.withColumns(whole).groupBy(*keys).agg(*merged, *more)
+
+
+def stage_spreads(tasks: DataFrame, by: Sequence[str] = (), measures: Sequence[str] = MEASURES, large: int = LARGE_GROUP) -> DataFrame:
+    """One row per stage with all that the rules over tasks need: ``stage_tasks, stage_bytes``, tasks and
+    bytes of its ``executors``, and per measure the moments (a struct) and the median (``median_`` and its name).
+
+    Tasks of stages of modest size are dealt out by stage once, and all of this is made where they lie:
+    neither they nor the totals of their executors are moved again.  Large stages are combined before the shuffle.
+    """
+    keys = [*by, "stage_id"]
+    medians = [f"median_{m}" for m in measures]
+    narrow = tasks.select(*keys, "executor_id", "task_id", "peak_execution_memory", *_measured(MEASURES))
+    small, big = parted(narrow, stage_sizes(tasks, by), keys, large)
+    stage = Window.partitionBy(*keys)  # of at most `large` tasks
+    dealt = small.repartition(*keys).withColumns({f"median_{m}": F.percentile(m, 0.5).over(stage) for m in measures})
+    whole = [
+        F.sum("tasks").alias("stage_tasks"), F.sum("bytes").alias("stage_bytes"),
+        F.collect_list(F.struct("executor_id", "tasks", "bytes")).alias("executors"),
+    ]
+    known = [F.first(name).alias(name) for name in medians]
+    near = _by_stage(_totals(dealt, keys, known), keys, measures, [*whole, *known])
+    counted = value_counts(_long(big, keys, measures, "value"), [*keys, "measure"], "value")
+    far = quantiles_of_counts(counted, [*keys, "measure"], {"median": 0.5}).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"median_{m}") for m in measures]
+    )
+    return near.unionByName(_by_stage(_totals(big, keys), keys, measures, whole).join(far, keys, "left").select(*near.columns))
+
+
+def _spread_rows(spreads: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """``stage_spreads`` as a row per stage and measure; a stage without a key has no distribution."""
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"median_{m}").alias("median"), *[F.col(m)[f].alias(f) for f in SPREAD_FIELDS]) for m in measures])
+    return spreads.dropna(subset=list(keys)).select(*keys, F.inline(each)).where("n > 0")
+
+
+def _shares_of_spreads(spreads: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of ``executor_shares`` but for ``duration_sum``."""
+    rows = spreads.select(*by, "stage_id", "stage_bytes", "stage_tasks", F.inline("executors"))
+    return rows.withColumn("share", _share("stage_bytes"))
+
+
+def _share(total: str) -> Column:
+    of = F.col(total)
+    return F.when(of > 0, F.col("bytes").cast("double") / F.nullif(of, F.lit(0)).cast("double")).otherwise(F.lit(0.0))
 
 
 def _medians(tasks: DataFrame, sizes: DataFrame, keys: Sequence[str], measures: Sequence[str], large: int) -> DataFrame:
@@ -199,24 +246,28 @@ def distributions(
     totals: DataFrame | None = None,
     counts: DataFrame | None = None,
     large: int = LARGE_GROUP,
+    spreads: DataFrame | None = None,
 ) -> DataFrame:
     """Per stage and measure: ``n, mean, cv, median, max_val, max_median_ratio`` and the
     task with the largest value (``task_id``, its ``task_bytes``).
 
     Stages with fewer than two values or a mean of zero or less have no distribution; with
     ``positive_mean=False`` the latter are kept, with ``cv`` 0.  Tasks are read for what is not
-    given: ``executor_totals``, which also tell the sizes, and the medians, which ``measure_counts``
-    give as well.
+    given: ``stage_spreads`` hold all of it; ``executor_totals`` tell the moments and the sizes, and
+    ``measure_counts`` the medians.
     """
     keys = [*by, "stage_id"]
-    sizes = stage_sizes(tasks, by) if totals is None else totals.groupBy(*keys).agg(F.sum("tasks").alias("n"))
-    totals = executor_totals(tasks, by) if totals is None else totals
-    moments = _moments(totals, keys, measures)
-    if counts is None:
-        medians = _medians(tasks, sizes, keys, measures, large)
+    if totals is None and counts is None:
+        rows = _spread_rows(stage_spreads(tasks, by, measures, large) if spreads is None else spreads, keys, measures)
     else:
-        medians = _medians_of_counts(counts.where(F.col("measure").isin(*measures)), sizes, keys)
-    rows = moments.join(medians, [*keys, "measure"])
+        totals = executor_totals(tasks, by) if totals is None else totals
+        sizes = totals.groupBy(*keys).agg(F.sum("tasks").alias("n"))
+        moments = _moments(totals, keys, measures)
+        if counts is None:
+            medians = _medians(tasks, sizes, keys, measures, large)
+        else:
+            medians = _medians_of_counts(counts.where(F.col("measure").isin(*measures)), sizes, keys)
+        rows = moments.join(medians, [*keys, "measure"])
     positive = F.col("mean") > 0
     ratio = F.when(
         F.col("median") > 0, F.col("max").cast("double") / F.nullif(F.col("median"), F.lit(0.0))
@@ -265,10 +316,7 @@ def executor_shares(tasks: DataFrame | None, by: Sequence[str] = (), totals: Dat
         "*",
         total.alias("stage_bytes"),
         F.sum("tasks").over(stage).alias("stage_tasks"),
-        F.when(total > 0, F.col("bytes").cast("double") / F.nullif(total, F.lit(0)).cast("double"))
-        .otherwise(F.lit(0.0))
-        .alias("share"),
-    )
+    ).withColumn("share", _share("stage_bytes"))
 
 
 def slowest_tasks(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
@@ -283,9 +331,12 @@ def slowest_tasks(tasks: DataFrame, by: Sequence[str] = (), totals: DataFrame |
     )
 
 
-def hotspots(tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
+def hotspots(
+    tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None, spreads: DataFrame | None = None
+) -> DataFrame:
     """Executors that read more than half of a stage's bytes (stages of two tasks or more)."""
-    return executor_shares(tasks, by, totals).where(
+    shares = executor_shares(tasks, by, totals) if spreads is None else _shares_of_spreads(spreads, by)
+    return shares.where(
         (F.col("stage_tasks") >= 2) & (F.col("stage_bytes") > 0) & (F.col("share") > HOT_SHARE)
     )
 
@@ -355,7 +406,9 @@ def skew_findings(dists: DataFrame, names: DataFrame, by: Sequence[str] = ()) ->
     return with_links(skew_rows(dists, by), names, by)
 
 
-def hotspot_rows(tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None) -> DataFrame:
+def hotspot_rows(
+    tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFrame | None = None, spreads: DataFrame | None = None
+) -> DataFrame:
     """Hotspot findings by stage, without the names and links of the stage."""
     share = percent("share")
     title = fill(HOT_TITLE, "executor_id", share)
@@ -363,16 +416,16 @@ def hotspot_rows(tasks: DataFrame | None, by: Sequence[str] = (), totals: DataFr
         HOT_DETAIL,
         "executor_id", bytes_text("bytes"), share, bytes_text("stage_bytes"), "tasks",
     )
-    return hotspots(tasks, by, totals).selectExpr(
+    return hotspots(tasks, by, totals, spreads).selectExpr(
         *by, f"'{M.WARN}' AS severity", f"'{M.EXEC_HOTSPOT}' AS category", "stage_id",
         f"{title} AS title", f"{detail} AS detail", f"{lit(HOTSPOT_ADVICE)} AS recommendation",
     )
 
 
 def hotspot_findings(
-    tasks: DataFrame, names: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None
+    tasks: DataFrame | None, names: DataFrame, by: Sequence[str] = (), totals: DataFrame | None = None, spreads: DataFrame | None = None
 ) -> DataFrame:
-    return with_links(hotspot_rows(tasks, by, totals), names, by)
+    return with_links(hotspot_rows(tasks, by, totals, spreads), names, by)
 
 
 def task_findings(

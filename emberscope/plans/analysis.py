@@ -16,10 +16,10 @@ from emberscope.sources import store
 
 @dataclass(frozen=True)
 class Inputs:
-    """What a detector may read: the telemetry, the wide stage rows, links, names and totals.
+    """What a detector may read: the telemetry, the wide stage rows, links, names, spreads and totals.
 
-    The wide rows, the names and the totals per stage and executor are each computed when a
-    detector first asks for them, once, and written to the shared folder.
+    The wide rows, the names, the spreads of tasks per stage and the totals per stage and executor
+    are each computed when a detector first asks for them, once, and written to the shared folder.
     """
 
     telemetry: Telemetry
@@ -38,6 +38,10 @@ class Inputs:
         links = linking.stage_links(t.job_stages, t.sql_jobs, t.sql_executions, self.by, self.strict)
         return store.written(task_rules.stage_names(t.stages, links, self.by), "stage-names")
 
+    @cached_property
+    def spreads(self) -> DataFrame:
+        return store.written(task_rules.stage_spreads(self.telemetry.tasks, self.by), "stage-spreads")
+
     @cached_property
     def totals(self) -> DataFrame:
         return store.written(task_rules.executor_totals(self.telemetry.tasks, self.by), "executor-totals")
@@ -56,12 +60,12 @@ def repeated_stages(inputs: Inputs) -> DataFrame:
 
 
 def skew_findings(inputs: Inputs) -> DataFrame:
-    dists = task_rules.distributions(inputs.telemetry.tasks, inputs.by, totals=inputs.totals)
+    dists = task_rules.distributions(None, inputs.by, spreads=inputs.spreads)
     return task_rules.skew_findings(dists, inputs.names, inputs.by)
 
 
 def hotspot_findings(inputs: Inputs) -> DataFrame:
-    return task_rules.hotspot_findings(inputs.telemetry.tasks, inputs.names, inputs.by, inputs.totals)
+    return task_rules.hotspot_findings(None, inputs.names, inputs.by, spreads=inputs.spreads)
 
 
 # The registry.  Add a function from Inputs to a table with the suspect columns.

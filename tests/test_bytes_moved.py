@@ -90,6 +90,27 @@ def test_both_ways_of_totals_and_counts(spark, monkeypatch, large):
     assert simple(found) == simple(given) and found.count() > 0
 
 
+@pytest.mark.parametrize("large", [4, quantiles.LARGE_GROUP])
+def test_spreads_are_what_totals_and_counts_tell(spark, large):
+    rows = [task(i, stage_id=i % 3 if i < 12 else i % 2 + 3 if i < 18 else None, executor_id=f"e{i % 7 % 2}", duration=None if i % 5 == 0 else i * i % 17, input_bytes=i * 7 % 23) for i in range(40)]
+    tasks = frame(spark, "tasks", rows)
+    simple = lambda df: sorted(str([f"{v:.9g}" if isinstance(v, float) else str(v) for v in r]) for r in df.collect())
+    totals, spreads = task_rules.executor_totals(tasks), task_rules.stage_spreads(tasks, large=large)
+    found = task_rules.distributions(None, spreads=spreads)
+    assert simple(found) == simple(task_rules.distributions(None, totals=totals, counts=task_rules.measure_counts(tasks))) and found.count() > 9
+    shares = task_rules._shares_of_spreads(spreads, ())
+    assert simple(shares) == simple(task_rules.executor_shares(None, (), totals).select(*shares.columns))
+    assert simple(task_rules.hotspots(None, spreads=spreads)) == simple(task_rules.hotspots(tasks).select(*shares.columns))
+
+
+def test_tasks_are_dealt_out_once_for_moments_and_medians(spark):
+    tasks = frame(spark, "tasks", [task(i, stage_id=i % 3) for i in range(30)])
+    dealt = lambda df: df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL")
+    assert dealt(task_rules.stage_spreads(tasks)) == dealt(task_rules.distributions(tasks)) == 1
+    spreads = task_rules.stage_spreads(tasks)
+    assert dealt(task_rules.distributions(None, spreads=spreads)) == dealt(task_rules.hotspots(None, spreads=spreads)) == 1
+
+
 def test_events_are_written_without_a_sort(spark, tmp_path):
     name, path = "spark.sql.maxConcurrentOutputFileWriters", str(tmp_path / "events")
     before, planned = spark.conf.get(name, None), []
