@@ -111,6 +111,13 @@ def test_tasks_are_dealt_out_once_for_moments_and_medians(spark):
     assert dealt(task_rules.distributions(None, spreads=spreads)) == dealt(task_rules.hotspots(None, spreads=spreads)) == 1
 
 
+def test_a_few_applications_are_broadcast_to_their_tasks(spark):
+    tables = log.telemetry_of(fixtures.staged_events(spark, SF_DIR))
+    for name in ("tasks", "jobs"):
+        plan = getattr(tables, name)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [app_key" in plan and "SortMergeJoin [app_key#" not in plan.split("BroadcastHashJoin [app_key")[0]
+
+
 def test_events_are_written_without_a_sort(spark, tmp_path):
     name, path = "spark.sql.maxConcurrentOutputFileWriters", str(tmp_path / "events")
     before, planned = spark.conf.get(name, None), []
