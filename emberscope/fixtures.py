@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscope.model import Telemetry
+from emberscope.operators.quantiles import LARGE_GROUP, parted
 from emberscope.workspace import new_folder, open_files, ship_package
 
 EPOCH_MS = 1704067200000
@@ -174,6 +175,17 @@ def task_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_times(_view(spark, TASKS, lineitem=source(spark, sf_dir, "lineitem")))
 
 
+def stage_table(spark: SparkSession, sf_dir: str, large: int = LARGE_GROUP) -> DataFrame:
+    """The stages: tasks of modest stages are dealt out by stage as narrow rows of ``lineitem``, for the sums of a
+    stage are wider than its tasks and hardly combine before a shuffle where its tasks lie far apart."""
+    part, lines = source(spark, sf_dir, "part"), source(spark, sf_dir, "lineitem")
+    used = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    narrow = lines.select(*used, *[F.floor(name).cast("bigint").alias(name) for name in ("l_extendedprice", "l_quantity")])
+    small, big = parted(narrow, None, ["l_partkey"], large)
+    rows = [_view(spark, STAGES, part=part, tasks=_view(spark, TASKS, lineitem=df)) for df in (small.repartition("l_partkey"), big)]
+    return rows[0].unionByName(rows[1])
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
     """The telemetry tables.
 
@@ -219,7 +231,7 @@ def _ingest(spark: SparkSession, sf_dir: str) -> str:
         _with_times(df).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    stages = store("stages", _view(spark, STAGES, part=source(spark, sf_dir, "part"), tasks=tasks))
+    stages = store("stages", stage_table(spark, sf_dir))
     job_stages = _view(spark, JOB_STAGES, stages=stages)
     jobs = store("jobs", _view(spark, JOBS, job_stages=job_stages, stages=stages))
     sql_jobs = _view(spark, SQL_JOBS, jobs=jobs)

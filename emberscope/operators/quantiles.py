@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 LARGE_GROUP = 65_536  # rows of a group up to which one buffer may hold its values
 LARGE_PARTS = 32  # tasks that share a large group where its rows are told apart
+SIZE_CELLS = 32_768  # hash cells whose rows are counted before those of single groups
 
 _BASE_BITS, _STEP_BITS, _VALUE_BITS = 12, 4, 63
 _PART_BITS, _PARTS = 16, 1
@@ -144,13 +145,27 @@ def quantiles_of_counts(
     return found.select(*keys, "n", *columns)
 
 
-def parted(df: DataFrame, sizes: DataFrame, keys: Sequence[str], large: int = LARGE_GROUP) -> tuple[DataFrame, DataFrame]:
-    """``(rows of groups of up to large rows, rows of larger groups)`` by a table (keys, n).
+def large_sizes(df: DataFrame, keys: Sequence[str], large: int = LARGE_GROUP) -> DataFrame:
+    """``keys, n`` of every group of more than ``large`` rows.
+
+    Counts of single groups hardly combine before the shuffle where a task sees few rows of each, so their
+    number would follow the rows.  Hash cells are counted first, a bounded number per task; only groups in
+    cells of more than ``large`` rows can be that large, and only their rows are counted by group.
+    """
+    cell = F.pmod(F.xxhash64(*keys), F.lit(SIZE_CELLS)).cast("int")
+    cells = df.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select("_cell")
+    rows = df.select(*keys).join(F.broadcast(cells), cell == cells["_cell"], "left_semi")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large)
+
+
+def parted(df: DataFrame, sizes: DataFrame | None, keys: Sequence[str], large: int = LARGE_GROUP) -> tuple[DataFrame, DataFrame]:
+    """``(rows of groups of up to large rows, rows of larger groups)`` by a table (keys, n), or as counted here.
 
     The keys of large groups are broadcast: by their size they are fewer than one in 65,536 rows.
     Where ``large`` is below that, the keys are repeated once per part and the rows dealt to the
     parts, so that a large group is several tasks' work where the join shuffles.
     """
+    sizes = large_sizes(df, keys, large) if sizes is None else sizes
     if large >= LARGE_GROUP:
         over = F.broadcast(sizes.where(F.col("n") > large).select(*[F.col(k).alias(f"_{k}") for k in keys]))
         same = reduce(and_, [df[k].eqNullSafe(over[f"_{k}"]) for k in keys])

@@ -91,15 +91,10 @@ def executor_totals(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     keys = [*by, "stage_id"]
     narrow = tasks.select(*keys, "executor_id", "task_id", "peak_execution_memory", *_measured(MEASURES))
-    small, big = parted(narrow, stage_sizes(tasks, by), keys)
+    small, big = parted(narrow, None, keys)
     return _totals(small.repartition(*keys), keys).unionByName(_totals(big, keys))
 
 
-def stage_sizes(tasks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Tasks (``n``) per stage."""
-    return tasks.groupBy(*by, "stage_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _totals(tasks: DataFrame, keys: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
     measured = [*more]
     for m in MEASURES:
@@ -146,7 +141,7 @@ def measure_counts(tasks: DataFrame, by: Sequence[str] = (), measures: Sequence[
     those of large stages are combined before the shuffle.
     """
     keys = [*by, "stage_id"]
-    small, big = parted(tasks.select(*keys, *_measured(measures)), stage_sizes(tasks, by), keys)
+    small, big = parted(tasks.select(*keys, *_measured(measures)), None, keys)
 
     def counted(rows: DataFrame) -> DataFrame:
         return value_counts(_long(rows, keys, measures, "value"), [*keys, "measure"], "value")
@@ -190,7 +185,7 @@ def stage_spreads(tasks: DataFrame, by: Sequence[str] = (), measures: Sequence[s
     keys = [*by, "stage_id"]
     medians = [f"median_{m}" for m in measures]
     narrow = tasks.select(*keys, "executor_id", "task_id", "peak_execution_memory", *_measured(MEASURES))
-    small, big = parted(narrow, stage_sizes(tasks, by), keys, large)
+    small, big = parted(narrow, None, keys, large)
     stage = Window.partitionBy(*keys)  # of at most `large` tasks
     dealt = small.repartition(*keys).withColumns({f"median_{m}": F.percentile(m, 0.5).over(stage) for m in measures})
     whole = [

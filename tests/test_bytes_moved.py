@@ -111,6 +111,27 @@ def test_tasks_are_dealt_out_once_for_moments_and_medians(spark):
     assert dealt(task_rules.distributions(None, spreads=spreads)) == dealt(task_rules.hotspots(None, spreads=spreads)) == 1
 
 
+def test_sizes_are_counted_by_cell_first(spark, monkeypatch):
+    df = spark.createDataFrame([(None if i % 7 == 0 else i * i % 13, "x" if i % 2 else None) for i in range(90)], "a int, b string")
+    want = sorted(map(str, df.groupBy("a", "b").count().where("count > 4").collect()))
+    for cells in (1, 5, quantiles.SIZE_CELLS):
+        monkeypatch.setattr(quantiles, "SIZE_CELLS", cells)
+        assert sorted(map(str, quantiles.large_sizes(df, ["a", "b"], 4).withColumnRenamed("n", "count").collect())) == want and len(want) > 3
+    tasks = frame(spark, "tasks", [task(i, stage_id=i % 3) for i in range(30)])
+    for made in (task_rules.stage_spreads, task_rules.executor_totals, task_rules.measure_counts):
+        assert "pmod(xxhash64(stage_id" in made(tasks)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("large", [31, quantiles.LARGE_GROUP])
+def test_stages_are_made_where_their_tasks_are_dealt_to(spark, large):
+    view = fixtures._view
+    want = view(spark, fixtures.STAGES, part=fixtures.source(spark, SF_DIR, "part"), tasks=fixtures.task_table(spark, SF_DIR))
+    got = fixtures.stage_table(spark, SF_DIR, large)
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_partkey") >= 1 and "REPARTITION_BY_COL" in plan
+
+
 def test_a_few_applications_are_broadcast_to_their_tasks(spark):
     tables = log.telemetry_of(fixtures.staged_events(spark, SF_DIR))
     for name in ("tasks", "jobs"):
