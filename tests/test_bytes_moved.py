@@ -5,9 +5,12 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from rows import frame, task
 
+from checks import queries
 from emberscope import fixtures
+from emberscope import model as M
 from emberscope.operators import quantiles, task_rules
 from emberscope.sources import event_log as log
 from emberscope.sources import json_arrays, store
@@ -132,6 +135,15 @@ def test_stages_are_made_where_their_tasks_are_dealt_to(spark, large):
     assert plan.count("hashpartitioning(l_partkey") >= 1 and "REPARTITION_BY_COL" in plan
 
 
+def test_only_what_is_returned_is_ranked(spark, monkeypatch):
+    ranked = []
+    monkeypatch.setattr(queries.reports, "rank_suspects", lambda found, by=(): (ranked.append(set(found.columns)), found.withColumn("rank", F.lit(1)))[1])
+    monkeypatch.setattr(queries.analysis, "find_suspects", lambda t, by=(): spark.createDataFrame([], ", ".join(f"{n} string" for n in [*by, *M.SUSPECT_COLUMNS])))
+    for name, by in (("r1_suspects", []), ("r1_suspects_by_app", ["app_id"])):
+        queries.QUERIES[name](spark, SF_DIR)
+        assert ranked.pop() == {*by, *queries.FINDING}
+
+
 def test_a_few_applications_are_broadcast_to_their_tasks(spark):
     tables = log.telemetry_of(fixtures.staged_events(spark, SF_DIR))
     for name in ("tasks", "jobs"):
