@@ -556,14 +556,12 @@ def rest_arrays(spark: SparkSession, sf_dir: str) -> str:
 
     def write() -> str:
         root, lines = new_folder(spark, "rest-arrays"), rest_snapshot(spark, sf_dir)
-        ends = spark.createDataFrame([(0, "["), (2, "null]")], "place int, value string")
-        for file in ("jobs.json", "stages.json", "sql.json", "executors.json"):
-            rows = spark.read.text(f"{lines}/app-1/{file}").select(F.lit(1).alias("place"), F.concat("value", F.lit(",")).alias("value"))
-            rows.unionByName(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(f"{root}/app-1/{file}")
         ship_package(spark)
+        for file in ("jobs.json", "stages.json", "sql.json", "executors.json"):
+            spark.read.text(f"{lines}/app-1/{file}").coalesce(1).mapInArrow(_as_array, "value string").write.text(f"{root}/app-1/{file}")
         file = "stages/0/0/taskList.json"
         tasks = spark.read.text(f"{lines}/app-1/{file}").mapInArrow(_as_array, "value string")
-        tasks.write.option("compression", "gzip").text(f"{root}/app-1/{file}")
+        tasks.write.options(**PACK).text(f"{root}/app-1/{file}")
         return root
 
     return _once(spark, sf_dir, "rest-arrays", write)
@@ -664,7 +662,7 @@ def rest_snapshot(spark: SparkSession, sf_dir: str) -> str:
             "stages/0/0/taskList.json": tasks,
         }
         for file, df in answers.items():
-            df.write.option("compression", "gzip").json(f"{root}/app-1/{file}")
+            df.write.options(**PACK).json(f"{root}/app-1/{file}")
         return root
 
     return _once(spark, sf_dir, "rest", write)

@@ -52,25 +52,41 @@ class _Scan:
         self.inside, self.depth, self.escaped = inside, depth, escaped
 
     def marks(self, data: np.ndarray) -> np.ndarray:
-        """Positions in a block of the marks of the outermost array: its brackets and the commas between elements."""
-        n = len(data)
-        slash = data == _ESCAPE
-        plain = np.where(~slash, np.arange(n), -1)
-        last = np.concatenate([[-1], np.maximum.accumulate(plain)[:-1]])  # the last other byte before each
-        run = np.arange(n) - 1 - last
-        run += np.where(last < 0, int(self.escaped), 0)
-        quotes = (data == _QUOTE) & (run % 2 == 0)
-        before = (np.cumsum(quotes) - quotes + self.inside) % 2 == 1  # inside a text before this byte
-        outside = ~before & ~quotes
-        steps = np.where(outside, _STEP[data], 0).astype(np.int64)
-        depth = self.depth + np.cumsum(steps) - steps  # before this byte
-        marks = outside & (((data == _COMMA) & (depth == 1)) | ((steps == 1) & (depth == 0)) | ((steps == -1) & (depth == 1)))
-        if n:
-            trailing = n - 1 - (int(plain.max()) if plain.max() >= 0 else -1)
-            self.escaped = (trailing + (int(self.escaped) if trailing == n else 0)) % 2 == 1
-            self.inside = bool((int(quotes.sum()) + self.inside) % 2)
-            self.depth += int(steps.sum())
-        return np.flatnonzero(marks)
+        """Positions in a block of the marks of the outermost array: its brackets and the commas between elements.
+
+        Only quotes, brackets and commas are looked at one by one, and of the commas those outside elements.
+        """
+        quotes = self._quotes(data)
+        brackets = np.flatnonzero(_STEP[data])
+        brackets = brackets[(np.searchsorted(quotes, brackets) + self.inside) % 2 == 0]
+        steps = _STEP[data[brackets]].astype(np.int64)
+        after = self.depth + np.cumsum(steps)
+        ends = ((steps == 1) & (after == 1)) | ((steps == -1) & (after == 0))
+        commas = np.flatnonzero(data == _COMMA)
+        depth = np.concatenate([[self.depth], after])
+        open_at = np.flatnonzero(depth == 1)  # stretches between brackets that lie in no element
+        begins, stops = np.concatenate([[0], brackets])[open_at], np.concatenate([brackets, [len(data)]])[open_at]
+        turns = np.bincount(np.searchsorted(commas, begins), minlength=len(commas) + 1)
+        turns = turns - np.bincount(np.searchsorted(commas, stops), minlength=len(commas) + 1)
+        commas = commas[np.cumsum(turns)[:-1] > 0]
+        commas = commas[(np.searchsorted(quotes, commas) + self.inside) % 2 == 0]
+        self.inside = bool((len(quotes) + self.inside) % 2)
+        self.depth = int(depth[-1])
+        return np.sort(np.concatenate([brackets[ends], commas]))
+
+    def _quotes(self, data: np.ndarray) -> np.ndarray:
+        """Positions of the quotes that no odd run of backslashes stands before."""
+        quotes, slashes = np.flatnonzero(data == _QUOTE), np.flatnonzero(data == _ESCAPE)
+        if not len(data) or not (len(slashes) or self.escaped):
+            return quotes
+        first = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)  # of each run
+        begins, ends = slashes[first], slashes[np.append(first[1:], len(slashes)) - 1] if len(slashes) else slashes
+        odd = (ends - begins + 1 + ((begins == 0) & self.escaped)) % 2 == 1
+        escaped = ends[odd] + 1
+        if self.escaped and data[0] != _ESCAPE:
+            escaped = np.append(0, escaped)
+        self.escaped = bool(len(escaped) and escaped[-1] == len(data))
+        return quotes[~np.isin(quotes, escaped)]
 
 
 def _escaped_at(stream, at: int) -> bool:
@@ -205,10 +221,15 @@ def array_elements(spark: SparkSession, pattern: str, stretch: int = STRETCH) ->
     stretches = files.withColumn("stretch", own).select("file", "length", "stretch", F.explode(starts).alias("start"))
     stretches = stretches.withColumn("end", F.least(F.col("start") + F.col("stretch"), F.col("length")))
     tasks = min(max(stretches.count(), 1), MOST_TASKS)
-    large = stretches.where(F.col("length") > F.col("stretch")).repartition(tasks, "file", "start")
+    large = _dealt(stretches.where(F.col("length") > F.col("stretch")), tasks)
     states = large.select("file", "start", "end").mapInArrow(_summaries, _SUMMARY)
     states = states.groupBy("file").applyInPandas(_states, "file string, start long, inside boolean, depth long")
     known = stretches.join(states, ["file", "start"], "left").select(
         "file", "start", "end", "length", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth")
     )
-    return known.repartition(tasks, "file", "start").mapInArrow(partial(_cut), "file string, value string")
+    return _dealt(known, tasks).mapInArrow(partial(_cut), "file string, value string")
+
+
+def _dealt(stretches: DataFrame, tasks: int) -> DataFrame:
+    """A stretch a task: by range of names and positions, as hashes of a few of them often meet."""
+    return stretches.repartitionByRange(tasks, "file", "start")

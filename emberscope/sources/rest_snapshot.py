@@ -108,7 +108,9 @@ def _answers(spark: SparkSession, root: str, file: str, ddl: str, json_lines: bo
     inside = re.escape(file).replace(r"\*", "[^/]+")
     rows = text.select("value", F.regexp_extract("file", rf"/([^/]+)/{inside}(/[^/]*)?$", 1).alias("app_id"), "file")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
-    parsed = rows.where(r"value RLIKE r'\S'").select("app_id", "file", F.from_json("value", f"{ddl}, _broken string", options).alias("r"), "value")
+    # a generated row: the condition on broken rows would otherwise parse each text once more
+    row = F.explode(F.array(F.from_json("value", f"{ddl}, _broken string", options)))
+    parsed = rows.where(r"value RLIKE r'\S'").select("app_id", "file", row.alias("r"), "value")
     broken = F.when(F.col("r").isNull() | F.col("r._broken").isNotNull(), F.col("value"))
     return parsed.select("r.*", "app_id", "file", broken.alias("_bad")).drop("_broken").withColumnRenamed("_bad", "_broken")
 
@@ -189,15 +191,10 @@ def read_snapshot(spark: SparkSession, root: str, json_lines: bool = False) -> M
     """
 
     jobs, stages, sqls, executors, tasks = [_read(spark, root, file, ddl, json_lines, optional) for file, ddl, optional in ANSWERS]
-    links = [
-        sqls.select(
-            "app_id", F.col("id").alias("sql_id"), F.explode(column).alias("job_id"),
-            F.lit(state).alias("state"),
-        )
-        for column, state in (
-            ("runningJobIds", "running"), ("successJobIds", "success"), ("failedJobIds", "failed"),
-        )
-    ]
+    lists = [(F.col(f"{state}JobIds").alias("job_ids"), F.lit(state).alias("state")) for state in ("running", "success", "failed")]
+    links = sqls.select("app_id", F.col("id").alias("sql_id"), F.inline(F.array(*[F.struct(*pair) for pair in lists]))).select(
+        "app_id", "sql_id", F.explode("job_ids").alias("job_id"), "state"
+    )
     tables = {
         "tasks": task_rows(tasks),
         "stages": stages.select(
@@ -218,7 +215,7 @@ def read_snapshot(spark: SparkSession, root: str, json_lines: bool = False) -> M
             "app_id", "id", "status", "description", F.col("planDescription").alias("plan_description"),
             F.expr(parse_time("submissionTime")).alias("submission_time"), _zero("duration").alias("duration"),
         ),
-        "sql_jobs": links[0].unionByName(links[1]).unionByName(links[2]),
+        "sql_jobs": links,
         "executors": executors.select(
             "app_id", "id", _zero("totalCores").alias("total_cores"), _zero("maxMemory").alias("max_memory"),
             F.coalesce("isActive", F.lit(False)).alias("is_active"),

@@ -1,11 +1,14 @@
 """Work that is done once, and spread over tasks."""
 
 import gzip
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks import queries
 from emberscope.sources import event_log as log
+from emberscope.sources import json_arrays, rest_snapshot
 from emberscope.streaming import live
 from emberscope.workspace import new_folder
 from tests.test_event_log import LOG, T0, task_end, text
@@ -51,3 +54,40 @@ def test_sums_beyond_bigint_do_not_fail(spark):
     sums = df.groupBy("app_id").agg(queries._total("task_id").alias("total"))
     assert sums.schema["total"].dataType.simpleString() == "bigint"
     assert {r.app_id: r.total for r in sums.collect()} == {"fits": 5, "over": None, "none": None}
+
+
+def test_answers_are_parsed_once(spark, tmp_path):
+    (tmp_path / "app-1").mkdir()
+    (tmp_path / "app-1" / "jobs.json").write_text('[{"jobId": 1, "status": "SUCCEEDED", "stageIds": [1, 2]}, {"jobId": "x"}]')
+    (tmp_path / "app-1" / "stages.json").write_text('[{"stageId": 1}]')
+    (tmp_path / "app-1" / "sql.json").write_text('[{"id": 4, "runningJobIds": [1], "successJobIds": [2, 3]}, {"id": 5, "failedJobIds": []}]')
+    found = rest_snapshot.read_snapshot(spark, str(tmp_path))
+    for df in found.tables().values():
+        assert plan_of(df).count("from_json(") <= 1 and plan_of(df).count("MapInArrow") <= 2
+    assert sorted((r.sql_id, r.job_id, r.state) for r in found.sql_jobs.collect()) == [(4, 1, "running"), (4, 2, "success"), (4, 3, "success")]
+    assert [r.job_id for r in found.jobs.collect()] == [1]
+
+
+def test_each_stretch_is_a_task_of_its_own(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"{i}.json.gz").write_bytes(gzip.compress(f"[{i}, {i}]".encode()))
+    (tmp_path / "plain.json").write_text(str(list(range(100, 200))))
+    rows = json_arrays.array_elements(spark, f"{tmp_path}/*", 100).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(int(r.value) for r in rows) == sorted([*range(12), *range(12), *range(100, 200)])
+    packed = {r.part for r in rows if int(r.value) < 100}
+    assert len(packed) == 12 and not packed & {r.part for r in rows if int(r.value) >= 100}
+
+
+def test_marks_need_not_be_in_one_block():
+    """Blocks cut anywhere, also between a backslash and what it escapes, give the marks of the whole."""
+    rng = random.Random(3)
+    for _ in range(300):
+        data = "".join(rng.choice('\\\\"[]{},a') for _ in range(rng.randrange(40))).encode()
+        start = (rng.random() < 0.5, rng.randrange(3), rng.random() < 0.5)
+        whole, parts = json_arrays._Scan(*start), json_arrays._Scan(*start)
+        want, got, at = whole.marks(np.frombuffer(data, np.uint8)).tolist(), [], 0
+        while at < len(data):
+            step = rng.randrange(1, 6)
+            got += [at + m for m in parts.marks(np.frombuffer(data[at : at + step], np.uint8)).tolist()]
+            at += step
+        assert got == want and vars(whole) == vars(parts)
