@@ -91,3 +91,35 @@ def test_marks_need_not_be_in_one_block():
             got += [at + m for m in parts.marks(np.frombuffer(data[at : at + step], np.uint8)).tolist()]
             at += step
         assert got == want and vars(whole) == vars(parts)
+
+
+def test_one_application_is_several_tasks_work_when_merged(spark):
+    path, joined = new_folder(spark, "state"), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = spark.range(4000).selectExpr("'a' AS app_key", "1 AS bucket", "id % 100 AS stage_id", "'size' AS measure", "id AS value", "1L AS times")
+    state = live.FindingState(spark, path)
+    for number in range(2):
+        state.add("counts", rows, number)
+    before = spark.conf.get(joined)
+    spark.conf.set(joined, "false")
+    try:
+        state.compact()
+    finally:
+        spark.conf.set(joined, before)
+    base = spark.read.parquet(f"{path}/counts/bases/upto=1")
+    assert len(base.inputFiles()) > 1 and base.count() == 4000
+    assert state.rows("counts").agg(F.sum("times")).first()[0] == 8000
+
+
+def test_a_first_batch_is_not_merged(spark):
+    path = new_folder(spark, "state")
+    state, rows = live.FindingState(spark, path), spark.createDataFrame([("a", 0, 1, "size", 5, 2)], "app_key string, bucket int, stage_id long, measure string, value long, times long")
+    touched = rows.select("app_key", "stage_id")
+    read = lambda: state.raw("counts", [0], touched, ["app_key", "stage_id"])
+    state.add("counts", rows, 3)
+    assert "Aggregate" not in plan_of(read()) and [r.times for r in read().collect()] == [2]
+    state.add("counts", rows, 4)
+    assert "Aggregate" in plan_of(read()) and [r.times for r in read().collect()] == [4]
+    state.compact()
+    assert [r.times for r in state.raw("counts", [0], touched, ["app_key", "stage_id"], stored=True).collect()] == [4]
+    assert "Aggregate" in plan_of(read())  # a base may hold rows that no batch touched now
+    assert state.raw("counts", [0], touched.where("stage_id = 2"), ["app_key", "stage_id"]).isEmpty()
