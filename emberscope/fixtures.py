@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from emberscope.model import Telemetry
 from emberscope.operators.quantiles import LARGE_GROUP, parted
+from emberscope.sources import tailing
 from emberscope.workspace import new_folder, open_files, ship_package
 
 EPOCH_MS = 1704067200000
@@ -444,33 +445,55 @@ def grown_log(spark: SparkSession, sf_dir: str, root: str, whole: bool) -> None:
     log come as new files.  All other lines and one of ``GROWING`` task lines are in plain files of
     which the first part is the beginning, file by file.
     """
-    spread = F.when(F.col("phase") == 5, F.pmod(F.xxhash64("value"), F.lit(GROWING))).otherwise(0)
-    lines = event_lines(telemetry(spark, sf_dir)).withColumns({
-        "number": ((F.col("phase") + 1) * ROLLED_FILES).cast("int"), "late": F.pmod(F.xxhash64("value", F.lit(1)), F.lit(3)) == 0,
-        "spread": spread,
-    })
-    drafts, packed = new_folder(spark, "log-drafts"), new_folder(spark, "log-drafts")
-    plain = lines.where("spread = 0")
-    ordered = (plain if whole else plain.where("NOT late")).repartition("number").sortWithinPartitions("number", "late", "value")
-    ordered.select("number", "value").write.partitionBy("number").text(drafts)
-    closed = lines.where(F.col("phase") == 5).where(F.col("spread") > 0).where(F.col("late") == whole)
-    closed.select("value").write.option("compression", "gzip").text(packed)
+    drafts = _once(spark, sf_dir, f"grown-{root}", lambda: _log_drafts(spark, sf_dir))
     java = spark._jvm.org.apache.hadoop.fs
     folder = java.Path(f"{root}/eventlog_v2_app-1")
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(folder)
     system.create(java.Path(folder, "appstatus_app-1.inprogress"), True).close()
-    found = sorted(f.getPath().getName() for f in system.listStatus(java.Path(packed)) if f.getPath().getName().startswith("part-"))
-    for at, name in enumerate(found):
-        number = 5 * ROLLED_FILES + 2 * at + 1 + whole
-        system.rename(java.Path(packed, name), java.Path(folder, f"events_{number}_app-1.gz"))
-    for status in system.listStatus(java.Path(drafts)):
-        name = status.getPath().getName()
-        if name.startswith("number="):
-            target = java.Path(folder, f"events_{name.removeprefix('number=')}_app-1")
-            draft = next(f.getPath() for f in system.listStatus(status.getPath()) if f.getPath().getName().startswith("part-"))
-            system.delete(target, False)
-            system.rename(draft, target)
+
+    def parts(late: bool, number: int) -> list:
+        place = java.Path(f"{drafts}/late={str(late).lower()}/number={number}")
+        found = system.listStatus(place) if system.exists(place) else []
+        return sorted((f.getPath() for f in found if f.getPath().getName().startswith("part-")), key=lambda path: path.getName())
+
+    for at, path in enumerate(parts(whole, 0)):
+        system.rename(path, java.Path(folder, f"events_{5 * ROLLED_FILES + 2 * at + 1 + whole}_app-1.gz"))
+    files = []
+    for number in range(ROLLED_FILES, (PHASES + 1) * ROLLED_FILES, ROLLED_FILES):
+        taken = [path.toString() for late in ([False, True] if whole else [False]) for path in parts(late, number)]
+        if taken:
+            files.append((taken, f"{drafts}/whole={whole}-{number}".lower(), java.Path(folder, f"events_{number}_app-1")))
+    ship_package(spark)
+    context = spark.sparkContext
+    context.parallelize([file[:2] for file in files], max(len(files), 1)).foreach(_unpacked_together)
+    for _, draft, target in files:
+        system.delete(target, False)
+        system.rename(java.Path(draft), target)
+
+
+def _log_drafts(spark: SparkSession, sf_dir: str) -> str:
+    """The lines of the log, packed, in a folder for each of its growing files, by what comes late; number 0 are the closed files."""
+    spread = F.when(F.col("phase") == 5, F.pmod(F.xxhash64("value"), F.lit(GROWING))).otherwise(0)
+    number = F.when(spread > 0, 0).otherwise((F.col("phase") + 1) * ROLLED_FILES).cast("int")
+    late = F.pmod(F.xxhash64("value", F.lit(1)), F.lit(3)) == 0
+    drafts = new_folder(spark, "log-drafts")
+    lines = event_lines(telemetry(spark, sf_dir)).select(late.alias("late"), number.alias("number"), "value")
+    with open_files(spark, 2 * (PHASES + 1)):
+        lines.write.partitionBy("late", "number").options(**PACK).text(drafts)
+    return drafts
+
+
+def _unpacked_together(file: tuple[list[str], str]) -> None:
+    """Write the bytes of packed files, one after the other, to a plain one."""
+    packed, target = file
+    system, path, _ = tailing.file_system(target)
+    with system.open_output_stream(path, compression=None) as out:
+        for part in packed:
+            system, path, _ = tailing.file_system(part)
+            with system.open_input_file(path) as stream:
+                for data in tailing._unpacked(stream, "gzip"):
+                    out.write(data)
 
 
 def attempt_log(spark: SparkSession, sf_dir: str, root: str, attempt: int) -> None:

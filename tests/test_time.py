@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from checks import queries
+from emberscope import fixtures
 from emberscope.sources import event_log as log
 from emberscope.sources import json_arrays, rest_snapshot
 from emberscope.streaming import live
@@ -14,6 +15,9 @@ from emberscope.workspace import new_folder
 from tests.test_event_log import LOG, T0, task_end, text
 
 
+SF_DIR = "/root/testdata/sf0.001"
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -123,3 +127,16 @@ def test_a_first_batch_is_not_merged(spark):
     assert [r.times for r in state.raw("counts", [0], touched, ["app_key", "stage_id"], stored=True).collect()] == [4]
     assert "Aggregate" in plan_of(read())  # a base may hold rows that no batch touched now
     assert state.raw("counts", [0], touched.where("stage_id = 2"), ["app_key", "stage_id"]).isEmpty()
+
+
+def test_lines_of_a_growing_log_are_made_once(spark, tmp_path, monkeypatch):
+    made, lines = [], fixtures.event_lines
+    monkeypatch.setattr(fixtures, "event_lines", lambda t: (made.append(1), lines(t))[1])
+    fixtures.grown_log(spark, SF_DIR, str(tmp_path), False)
+    first = {p.name: p.read_bytes() for p in tmp_path.rglob("events_*")}
+    fixtures.grown_log(spark, SF_DIR, str(tmp_path), True)
+    then = {p.name: p.read_bytes() for p in tmp_path.rglob("events_*")}
+    assert len(made) == 1 and len(first) > 9 and first.keys() <= then.keys()
+    assert all(then[n] == b if n.endswith(".gz") else then[n].startswith(b) for n, b in first.items())
+    text_of = [x for n, b in then.items() for x in (gzip.decompress(b) if n.endswith(".gz") else b).decode().splitlines()]
+    assert sorted(text_of) == sorted(r.value for r in lines(fixtures.telemetry(spark, SF_DIR)).select("value").collect())
