@@ -1,6 +1,7 @@
 """Work that is done once, and spread over tasks."""
 
 import gzip
+import json
 import random
 
 import numpy as np
@@ -140,3 +141,13 @@ def test_lines_of_a_growing_log_are_made_once(spark, tmp_path, monkeypatch):
     assert all(then[n] == b if n.endswith(".gz") else then[n].startswith(b) for n, b in first.items())
     text_of = [x for n, b in then.items() for x in (gzip.decompress(b) if n.endswith(".gz") else b).decode().splitlines()]
     assert sorted(text_of) == sorted(r.value for r in lines(fixtures.telemetry(spark, SF_DIR)).select("value").collect())
+
+
+def test_arrays_are_written_without_python(spark, tmp_path):
+    lines = spark.range(0, 100, 1, 3).select(F.format_string('{"id": %d, "t": ","}', "id").alias("value"))
+    made = fixtures._as_arrays(lines)
+    assert "MapInArrow" not in plan_of(made)
+    made.write.text(str(tmp_path / "a"))
+    files = [json.loads(p.read_text()) for p in (tmp_path / "a").glob("part-*")]
+    assert len(files) == 3 and all(f[-1] is None for f in files)
+    assert sorted(x["id"] for f in files for x in f[:-1]) == list(range(100))
